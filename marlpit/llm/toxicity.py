@@ -7,9 +7,10 @@ counted. Words the classes rarely show back off to continuation counts that both
 share, so a rare expression favours neither class by accident.
 
 Words are runs of ASCII letters, digits and characters outside ASCII, lower-cased.
-Words and pairs live in hashed tables of fixed size. Learning reads at most
-SAMPLE_DOCS labelled texts of each class, those with the smallest hashes of their
-id; the held-out rows, languages, sources and ids are never inputs of a score.
+Words live in hashed slots of fixed number, pairs in a table that the sample
+bounds. Learning reads at most
+SAMPLE_DOCS labelled texts of each class, as many of one as of the other, those
+with the smallest hashes of their id; the held-out rows, languages, sources and ids are never inputs of a score.
 
 Null and empty texts, and texts without words, get the curve's value for a
 difference of zero. Without labelled rows of both classes every score is 0.
@@ -26,20 +27,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bpe import PairTable
 from .common import crc_bucket, cut, keyed_text, map_batches
-from .textkernel import ALPHANUMERIC, hash_words, mix, steps
+from .textkernel import ALPHANUMERIC, hash_words, steps
 
 #: The most labelled texts read of each class; one in CURVE_SHARE of them fits the curve, the rest the models.
 SAMPLE_DOCS, CURVE_SHARE = 6000, 4
-WORD_SLOTS, PAIR_SLOTS = 1 << 18, 1 << 20
-DISCOUNT = 0.75
+WORD_SLOTS = 1 << 18
+#: Pairs seen less often count only in the back-off weights.
+PAIR_COUNT = 7
+#: A word is telling from this difference of log-likelihoods on.
+TELLING = 2.0
+#: Taken off every count of a word and of a pair, and given to the shared back-off: what few texts say favours neither class.
+WORD_DISCOUNT, PAIR_DISCOUNT = 8.0, 6.0
 THRESHOLD = 0.7
 
 
 @dataclass
 class Model:
-    """Arrays by class (0 ordinary, 1 toxic) and slot, and the curve's weights."""
+    """Counts by class (0 ordinary, 1 toxic) of pairs and of word slots, and the curve's weights."""
 
+    pairs: PairTable
     pair: np.ndarray
     total: np.ndarray
     backoff: np.ndarray
@@ -56,21 +64,22 @@ def slots(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return before, own, offsets
 
 
-def pair_slots(before: np.ndarray, own: np.ndarray) -> np.ndarray:
-    return (mix((before * WORD_SLOTS + own).astype(np.uint64)) & np.uint64(PAIR_SLOTS - 1)).astype(np.int64)
-
-
 def count_pairs(labelled: DataFrame) -> DataFrame:
-    """(before, own, ordinary, toxic): how often each pair of word slots occurs in (doc_id, text, toxic)."""
+    """(before, own, ordinary, toxic): in how many texts of (doc_id, text, toxic) each pair of word slots occurs; before is -1 for the word alone.
+
+    A text counts once however often it repeats a line.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             toxic = np.array(batch.column(2).to_pylist(), np.int64)
             for first, texts in steps(batch):
                 before, own, offsets = slots(texts)
-                keys = (before * WORD_SLOTS + own) * 2 + np.repeat(toxic[first : first + len(texts)], np.diff(offsets))
-                keys, counts = np.unique(keys, return_counts=True)
-                columns = [keys // 2 // WORD_SLOTS, keys // 2 % WORD_SLOTS, np.where(keys & 1, 0, counts), np.where(keys & 1, counts, 0)]
+                text = np.repeat(np.arange(len(texts)), np.diff(offsets))
+                pairs = np.concatenate([(before + 1) * WORD_SLOTS + own, own])
+                once = np.unique(np.stack([np.concatenate([text, text]), pairs]), axis=1)
+                keys, counts = np.unique(once[1] * 2 + toxic[first + once[0]], return_counts=True)
+                columns = [keys // 2 // WORD_SLOTS - 1, keys // 2 % WORD_SLOTS, np.where(keys & 1, 0, counts), np.where(keys & 1, counts, 0)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["before", "own", "ordinary", "toxic"])
 
     counted = map_batches(labelled, run, "before long, own long, ordinary long, toxic long")
@@ -86,43 +95,44 @@ def dense(rows: DataFrame, key: str, columns: list[str], size: int) -> np.ndarra
 
 
 def fit_models(labelled: DataFrame) -> Model:
-    pairs = cut(count_pairs(labelled))
-    kinds = [F.sum(F.when(F.col(c) > 0, 1).otherwise(0)) for c in ("ordinary", "toxic")]
-    sums = [F.sum("ordinary").alias("o"), F.sum("toxic").alias("t"), kinds[0].alias("ko"), kinds[1].alias("kt"), F.count("*").alias("k")]
+    counts = cut(count_pairs(labelled))
+    pairs = counts.where("before >= 0")
+    taken = [F.sum(F.least(F.col(c), F.lit(PAIR_DISCOUNT))) for c in ("ordinary", "toxic")]
+    sums = [F.sum("ordinary").alias("o"), F.sum("toxic").alias("t"), taken[0].alias("ko"), taken[1].alias("kt")]
     contexts = dense(pairs.groupBy("before").agg(*sums), "before", ["o", "t", "ko", "kt"], WORD_SLOTS)
-    words = dense(pairs.groupBy("own").agg(*sums), "own", ["o", "t", "k"], WORD_SLOTS)
-    slot = F.pandas_udf(lambda b, w: pd_series(pair_slots(b.to_numpy(), w.to_numpy())), "long")(F.col("before"), F.col("own"))
-    pair = dense(pairs.groupBy(slot.alias("slot")).agg(*sums[:2]), "slot", ["o", "t"], PAIR_SLOTS)
-    shared = (words[2] + 0.5) / (words[2].sum() + 0.5 * WORD_SLOTS)
+    words = dense(counts.where("before < 0"), "own", ["ordinary", "toxic"], WORD_SLOTS)
+    kept = pairs.where(F.col("ordinary") + F.col("toxic") >= PAIR_COUNT).toPandas()
+    row = np.arange(len(kept), dtype=np.int32)
+    table = PairTable(kept["before"].to_numpy(np.int64), kept["own"].to_numpy(np.int64), row, row)
+    pair = np.concatenate([kept[["ordinary", "toxic"]].to_numpy(np.float32).T, np.zeros((2, 1), np.float32)], axis=1)
+    # The back-off is what both classes share of a word, so a word of few texts gains nothing from the class they are in.
+    shared = words.min(axis=0) + 0.1
+    shared /= shared.sum()
     sizes = words[:2].sum(axis=1, keepdims=True)
-    types = (words[:2] > 0).sum(axis=1, keepdims=True)
-    word = (np.maximum(words[:2] - DISCOUNT, 0) + DISCOUNT * types * shared) / np.maximum(sizes, 1)
+    spare = np.minimum(words[:2], WORD_DISCOUNT).sum(axis=1, keepdims=True)
+    word = (np.maximum(words[:2] - WORD_DISCOUNT, 0) + spare * shared) / np.maximum(sizes, 1)
     total = contexts[:2]
-    backoff = np.where(total > 0, DISCOUNT * contexts[2:] / np.maximum(total, 1), 1.0)
-    return Model(pair.astype(np.float32), total.astype(np.float32), backoff.astype(np.float32), word.astype(np.float32), np.zeros(4))
-
-
-def pd_series(values: np.ndarray):
-    import pandas as pd
-
-    return pd.Series(values)
+    backoff = np.where(total > 0, contexts[2:] / np.maximum(total, 1), 1.0)
+    return Model(table, pair, total.astype(np.float32), backoff.astype(np.float32), word.astype(np.float32), np.zeros(4))
 
 
 def features(model: Model, texts: list[bytes]) -> np.ndarray:
-    """A row for each text: 1, the difference of log-likelihoods a word, that a root of words, and the share of telling words."""
+    """A row for each text: 1, the difference of log-likelihoods a word, that a root of words, and the log of what telling words add."""
     before, own, offsets = slots(texts)
     n = np.diff(offsets)
-    at = pair_slots(before, own)
+    at = model.pairs.merged[model.pairs.find(before, own)]  # -1, the last column, where there is no such pair
+    pooled = model.pair[:, at].sum(axis=0) / np.maximum(model.total[:, before].sum(axis=0), 1)
     logs = []
     for c in (0, 1):
-        seen = np.maximum(model.pair[c][at] - DISCOUNT, 0) / np.maximum(model.total[c][before], 1)
-        logs.append(np.log(seen + model.backoff[c][before] * model.word[c][own] + 1e-12))
+        seen = np.maximum(model.pair[c][at] - PAIR_DISCOUNT, 0) / np.maximum(model.total[c][before], 1)
+        spare = np.where(pooled > 0, (pooled + model.word[c][own]) / 2, model.word[c][own])
+        logs.append(np.log(seen + model.backoff[c][before] * spare + 1e-12))
     gain = np.clip(logs[1] - logs[0], -6, 6)
     sums = np.concatenate([[0], np.cumsum(gain)])
-    telling = np.concatenate([[0], np.cumsum(gain > 2)])
+    telling = np.concatenate([[0], np.cumsum(np.maximum(gain - TELLING, 0))])
     difference, many = sums[offsets[1:]] - sums[offsets[:-1]], telling[offsets[1:]] - telling[offsets[:-1]]
     size = np.maximum(n, 1)
-    return np.stack([np.ones(len(texts)), difference / size, difference / np.sqrt(size), many / np.sqrt(size)], axis=1)
+    return np.stack([np.ones(len(texts)), difference / size, difference / np.sqrt(size), np.log1p(many)], axis=1)
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -147,10 +157,11 @@ def train(docs: DataFrame, labels: DataFrame, learn_from=None, sample_docs: int
     sizes = {r["toxic"]: r["count"] for r in own.groupBy("toxic").count().collect()}
     if len(sizes) < 2:
         return None
-    picked = [own.where(F.col("toxic") == c).orderBy(order, "doc_id").limit(sample_docs) for c in (0, 1)]
+    many = min(sample_docs, *sizes.values())
+    picked = [own.where(F.col("toxic") == c).orderBy(order, "doc_id").limit(many) for c in (0, 1)]
     part = (F.shiftrightunsigned(order, 7) % CURVE_SHARE == 0).alias("for_curve")
     # At most 2 * sample_docs rows, so the broadcast is bounded.
-    sample = cut(keyed_text(docs).join(F.broadcast(picked[0].unionByName(picked[1]).select("doc_id", "toxic", part)), "doc_id").dropDuplicates(["doc_id"]))
+    sample = cut(keyed_text(docs).join(F.broadcast(picked[0].unionByName(picked[1]).select("doc_id", "toxic", part)), "doc_id").dropDuplicates(["toxic", "text"]))
     model = fit_models(sample.where("not for_curve").select("doc_id", "text", "toxic"))
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
