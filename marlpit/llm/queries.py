@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, fingerprints, minhash, token_counts, toxicity
+from . import bpe, chat, decontam, fingerprints, minhash, pii, token_counts, toxicity
 from .common import crc_bucket, table
 
 
@@ -27,6 +27,10 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op6_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edit_report(table(spark, sf_dir, "documents"))
 
@@ -61,7 +65,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_byte_bpe, op4_token_counts, op5_minhash_near_dedup, op7_fingerprints, op8_toxicity, op9_chat_formatting, op10_decontamination)
+    f.__name__: f for f in (op2_byte_bpe, op4_token_counts, op5_minhash_near_dedup, op6_pii_surrogates, op7_fingerprints, op8_toxicity, op9_chat_formatting, op10_decontamination)
 }
 
 #: DuckDB SQL for the operators that SQL can express.
