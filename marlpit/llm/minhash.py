@@ -9,9 +9,9 @@ lanes, corrected for lanes that agree by chance. Pairs whose estimate is not six
 standard deviations below the threshold are confirmed on the full sets.
 
 A bucket's documents are not paired with each other: first each is compared with
-the bucket's smallest id; only documents that are then still in different
-components are compared further, and the estimate drops most of those inside the
-join. At the threshold a linked pair shares no band with probability
+the bucket's smallest id; documents of buckets that then still hold different
+components are compared further, by a prefix-filtered join of their rarest
+shingles that pairs only across components. At the threshold a linked pair shares no band with probability
 (1 - t**BAND_ROWS)**BANDS: 7e-9 for 0.85 and 3e-6 for 0.8.
 
 Words are `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased. A text of fewer words than a
@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, keyed_text, map_batches
@@ -41,6 +41,8 @@ MULTIPLIERS = mix(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0xA0761D
 ADDENDS = mix(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0xE7037ED1A0B428DB))
 #: Standard deviations an estimate may fall short of the threshold.
 SLACK = 6
+#: Bits of the filter that finds the rows of named documents at the scan: 2 MB however many are named.
+FILTER_BITS = 1 << 24
 
 
 def shingle_sets(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -115,62 +117,104 @@ def likely(a: str, b: str, threshold: float) -> Column:
     return (F.lit(1.0) - unequal / F.lit(float(HASHES)) - F.lit(chance)) / F.lit(1 - chance) >= F.lit(threshold - SLACK * spread / (1 - chance))
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, percent: int, n: int) -> DataFrame:
-    """The pairs (a, b) of ids whose full sets have 100 * intersection >= percent * union."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+def membership_bits(ids: DataFrame) -> np.ndarray:
+    """A filter of FILTER_BITS bits, whatever the number of ids (doc_id): false positives are possible, false negatives are not."""
+    place = bit_place("doc_id")
+    words = ids.select(place.alias("at")).selectExpr("cast(at div 64 as int) AS word", "shiftleft(1L, cast(at % 64 as int)) AS bit")
+    found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    out = np.zeros(FILTER_BITS // 64, np.int64)
+    out[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
+    return out.view(np.uint64)
+
+
+def bit_place(id_col: str) -> Column:
+    return F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(FILTER_BITS))
+
+
+def sets_of(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
+    """(doc_id, shingles) of the documents named in ids (doc_id); no text is shuffled, a bit filter picks rows at the scan."""
+    shipped = docs.sparkSession.sparkContext.broadcast(membership_bits(ids))
 
-    def take_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shipped.value
         for batch in batches:
-            for first, texts in steps(batch):
+            at = batch.column(2).to_numpy()
+            keep = (bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)
+            chosen = batch.filter(pa.array(keep.astype(bool)))
+            for first, texts in steps(chosen):
                 shingles, offsets = shingle_sets(texts, n)
-                raw = shingles.tobytes()
-                sets = [raw[8 * a : 8 * b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(sets, pa.binary())], ["doc_id", "shingles"])
+                sets = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(shingles.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([chosen.column(0).slice(first, len(texts)), sets], ["doc_id", "shingles"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    likely_rows = map_batches(docs.where("doc_id is not null").select("doc_id", "text", bit_place("doc_id").alias("at")), run, f"doc_id {kind}, shingles array<bigint>")
+    return cut(likely_rows.join(ids.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+
+
+def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of ids whose full sets have 100 * intersection >= percent * union."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ours, theirs = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             keep = []
-            for x, y in zip(ours, theirs):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for k in range(batch.num_rows):
+                x, y = (batch.column(c)[k].values.to_numpy() for c in (2, 3))
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
-            kept = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-            yield kept
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    kind = pairs.dtypes[0][1]
-    named = keyed_text(docs).join(wanted, "doc_id", "left_semi")
-    sets = cut(map_batches(named, take_sets, f"doc_id {kind}, shingles binary").dropDuplicates(["doc_id"]))
+    kind = pairs.schema["a"].dataType.simpleString()
     left = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("ours")), "a")
     full = left.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("theirs")), "b")
     return map_batches(full.select("a", "b", "ours", "theirs"), compare, f"a {kind}, b {kind}")
 
 
+def pairs_across(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): the pairs of nodes (doc_id, component) in different components that may reach the similarity.
+
+    Sets are ordered by how few of the nodes share a shingle; two sets that reach it share one of the
+    first n - ceil(t * n) + 1 of either. A document whose first shingles are its own alone pairs with none.
+    """
+    each = sets.join(nodes, "doc_id").select("doc_id", "component", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    shared = each.groupBy("shingle").agg(F.count("*").alias("many")).where("many > 1")
+    known = each.join(shared, "shingle")
+    by_doc = Window.partitionBy("doc_id")
+    alone = F.col("n") - F.count("*").over(by_doc)
+    first = F.row_number().over(by_doc.orderBy("many", "shingle"))
+    reach = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)) + 1
+    prefix = known.select("doc_id", "component", "n", "shingle", first.alias("place"), (reach - alone).alias("most")).where("place <= most").drop("place", "most")
+    other = prefix.select("shingle", F.col("doc_id").alias("other"), F.col("component").alias("other_component"), F.col("n").alias("m"))
+    long_enough = (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & (F.col("component") < F.col("other_component"))
+    return prefix.join(other, "shingle").where(long_enough).select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80, n: int = SHINGLE_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): documents linked at 100 * intersection >= percent * union, closed transitively."""
     docs = keyed_text(docs, id_col, text_col)
     profiles = cut(profile(docs, n))
-    threshold = percent / 100
-    words = F.struct(*[F.col("bits")[k].alias(f"w{k}") for k in range(HASHES // LANES)])
     own = profiles.where("set_key is not null and doc_id is not null")
-    classes = cut(own.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("bits").alias("bits"), F.first("bands").alias("bands")).withColumn("bits", words))
-    spread = classes.select(F.explode("bands").alias("band"), "rep", "bits")
-    hubs = spread.groupBy("band").agg(F.min(F.struct("rep", "bits")).alias("hub"), F.count("*").alias("many")).where("many > 1").drop("many")
-    crowded = cut(spread.join(hubs, "band").select("band", "rep", "bits", "hub"))
-    near_hub = crowded.where((F.col("rep") != F.col("hub.rep")) & likely("bits", "hub.bits", threshold))
-    links = cut(confirm(cut(near_hub.select(F.col("hub.rep").alias("a"), F.col("rep").alias("b")).distinct()), docs, percent, n))
+    classes = cut(own.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("bits").alias("bits"), F.first("bands").alias("bands")))
+    spread = classes.select(F.explode("bands").alias("band"), "rep")
+    hubs = spread.groupBy("band").agg(F.min("rep").alias("hub"), F.count("*").alias("many")).where("many > 1").drop("many")
+    crowded = cut(spread.join(hubs, "band"))
+    words = classes.select("rep", F.struct(*[F.col("bits")[k].alias(f"w{k}") for k in range(HASHES // LANES)]).alias("bits"))
+    stars = crowded.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
+    stars = stars.join(words.select(F.col("rep").alias("a"), F.col("bits").alias("x")), "a").join(words.select(F.col("rep").alias("b"), F.col("bits").alias("y")), "b")
+    stars = cut(stars.where(likely("x", "y", percent / 100)).select("a", "b"))
+    links = cut(confirm(stars, sets_of(docs, ends_of(stars), n), percent))
     labels = label_components(links)
-    labelled = crowded.select("band", "rep", "bits").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    labelled = crowded.select("band", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     mixed = labelled.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band")
-    still = cut(labelled.join(mixed, "band", "left_semi"))
-    others = still.select("band", F.col("rep").alias("other"), F.col("bits").alias("other_bits"), F.col("component").alias("other_component"))
-    apart = still.join(others, "band").where((F.col("component") < F.col("other_component")) & likely("bits", "other_bits", threshold))
-    tested = links.select("a", "b").unionByName(near_hub.select(F.col("hub.rep").alias("a"), F.col("rep").alias("b")))
-    pairs = apart.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct().join(tested.distinct(), ["a", "b"], "left_anti")
-    more = cut(pairs)
+    still = cut(labelled.join(mixed, "band", "left_semi").select(F.col("rep").alias("doc_id"), "component").distinct())
+    left_sets = sets_of(docs, still, n)
+    more = cut(pairs_across(still, left_sets, percent).join(stars, ["a", "b"], "left_anti"))
     if not more.isEmpty():
-        labels = label_components(links.unionByName(cut(confirm(more, docs, percent, n))))
+        labels = label_components(links.unionByName(cut(confirm(more, left_sets, percent))))
     found = classes.select("set_key", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
     out = profiles.select("doc_id", "n_shingles", "set_key").join(found, "set_key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept"))
+
+
+def ends_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
