@@ -1,10 +1,85 @@
-"""The training-data pipeline: each stage reads what the one before it wrote."""
+"""The training-data pipeline: each stage reads what the one before it wrote.
+
+toxicity -> near duplicates -> decontamination -> personal data -> token ids.
+Stages that filter carry whole rows through the operator, so rows with null or
+repeated ids are judged one by one; only the near-duplicate stage goes by
+doc_id, keeps one row of each group, and keeps rows without an id. Null texts
+count as empty. All stages but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from collections.abc import Callable
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from marlpit.llm import bpe, decontam, minhash, pii, toxicity
+from marlpit.llm.common import cut, table
+
+#: Percent of shared shingles from which documents are near duplicates.
+NEAR_PERCENT = 80
+
+
+def whole_rows(docs: DataFrame) -> DataFrame:
+    """(row, text): every column in one struct, which operators carry as the row's identity."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the documents whose toxicity stays below the operator's threshold; learn from the labelled rows that are not held out."""
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), toxicity.not_held_out())
+    return toxicity.score(whole_rows(docs), model, "row").where("predicted = 0").select("doc_id.*")
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the smallest id of each group of near duplicates."""
+    kept = minhash.near_duplicates(docs, NEAR_PERCENT).where("kept").select("doc_id").distinct()
+    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.unionByName(docs.where("doc_id is null")).select(docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the documents in which no benchmark window occurs."""
+    found = decontam.find_windows(whole_rows(docs), table(spark, sf_dir, "benchmark"), id_col="row")
+    return found.where(F.size("item_ids") == 0).select("doc_id.*")
+
+
+def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Write surrogates over personal data; n_chars follows the new text."""
+    clean = pii.replace_pii(docs).select(docs.columns)
+    return clean.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else clean
+
+
+def to_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The kept documents as packed token ids, with digests of the ids and of what they decode to."""
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    encoded = bpe.encode(whole_rows(docs), ranks, public_tokenizers.PATTERN, "row", decoded=True)
+    kept = [F.col(f"doc_id.{c}").alias(c) for c in ("doc_id", "lang", "source") if c in docs.columns]
+    return encoded.select(
+        *kept,
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        "ids",
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("pii", replace_personal_data),
+    ("byte_bpe", to_token_ids),
+]
+
+#: Trained scores, groups and merges are beyond SQL; tests hold each stage against a plain version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
