@@ -10,8 +10,7 @@ standard deviations below the threshold are confirmed on the full sets.
 
 A bucket's documents are not paired with each other: first each is compared with
 the bucket's smallest id; documents of buckets that then still hold different
-components are compared further, by a prefix-filtered join of their rarest
-shingles that pairs only across components. At the threshold a linked pair shares no band with probability
+components are compared further, in blocks whose pairs stay inside a task. At the threshold a linked pair shares no band with probability
 (1 - t**BAND_ROWS)**BANDS: 7e-9 for 0.85 and 3e-6 for 0.8.
 
 Words are `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased. A text of fewer words than a
@@ -27,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, keyed_text, map_batches
@@ -43,6 +42,8 @@ ADDENDS = mix(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0xE7037ED1A0
 SLACK = 6
 #: Bits of the filter that finds the rows of named documents at the scan: 2 MB however many are named.
 FILTER_BITS = 1 << 24
+#: Documents of one block; two blocks are compared in one task.
+BLOCK = 256
 
 
 def shingle_sets(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -169,23 +170,48 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return map_batches(full.select("a", "b", "ours", "theirs"), compare, f"a {kind}, b {kind}")
 
 
-def pairs_across(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b): the pairs of nodes (doc_id, component) in different components that may reach the similarity.
+def links_across(nodes: DataFrame, bands: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links between different components of nodes (doc_id, component), enough to join all that are linked.
 
-    Sets are ordered by how few of the nodes share a shingle; two sets that reach it share one of the
-    first n - ceil(t * n) + 1 of either. A document whose first shingles are its own alone pairs with none.
+    A document too much of whose set no other node shares can link with none. The others are gathered by
+    shared bands (band, doc_id); a gathering is cut into blocks of BLOCK documents, and each pair of blocks
+    is one small group whose sets are compared by a matrix product. Only a spanning forest of the links
+    leaves a group, never its pairs.
     """
-    each = sets.join(nodes, "doc_id").select("doc_id", "component", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    kind = nodes.schema["doc_id"].dataType.simpleString()
+    each = sets.select("doc_id", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
     shared = each.groupBy("shingle").agg(F.count("*").alias("many")).where("many > 1")
-    known = each.join(shared, "shingle")
-    by_doc = Window.partitionBy("doc_id")
-    alone = F.col("n") - F.count("*").over(by_doc)
-    first = F.row_number().over(by_doc.orderBy("many", "shingle"))
-    reach = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)) + 1
-    prefix = known.select("doc_id", "component", "n", "shingle", first.alias("place"), (reach - alone).alias("most")).where("place <= most").drop("place", "most")
-    other = prefix.select("shingle", F.col("doc_id").alias("other"), F.col("component").alias("other_component"), F.col("n").alias("m"))
-    long_enough = (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & (F.col("component") < F.col("other_component"))
-    return prefix.join(other, "shingle").where(long_enough).select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct()
+    able = each.join(shared, "shingle").groupBy("doc_id").agg(F.count("*").alias("common"), F.first("n").alias("n")).where(100 * F.col("common") >= percent * F.col("n"))
+    kept = cut(nodes.join(able.select("doc_id"), "doc_id", "left_semi"))
+    near = bands.join(kept, "doc_id", "left_semi")
+    heads = near.groupBy("band").agg(F.min("doc_id").alias("a"))
+    gathered = label_components(near.join(heads, "band").select("a", F.col("doc_id").alias("b")).distinct())
+    grouped = kept.join(gathered.select(F.col("node").alias("doc_id"), F.col("component").alias("found")), "doc_id", "left").withColumn("group", F.coalesce("found", "doc_id")).drop("found")
+    sizes = grouped.groupBy("group").agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    blocks = F.ceil(F.col("size") / BLOCK)
+    own = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), blocks)
+    placed = grouped.join(sizes, "group").select("group", "doc_id", "component", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), (blocks - 1).cast("long"))).alias("other"))
+    keyed = placed.select("group", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "doc_id", "component").join(sets, "doc_id")
+
+    def compare(table: pa.Table) -> pa.Table:
+        ids, component = table.column("doc_id").to_pylist(), np.array(table.column("component").to_pylist())
+        lists = [np.asarray(x, np.int64) for x in table.column("shingles").to_pylist()]
+        n = np.array([len(x) for x in lists])
+        names, column, many = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
+        row, common = np.repeat(np.arange(len(n)), n), many[column] > 1
+        at = np.cumsum(many > 1) - 1
+        marks = np.zeros((len(n), int((many > 1).sum())), np.float32)
+        marks[row[common], at[column[common]]] = 1
+        both = (marks @ marks.T).astype(np.int64)
+        linked = (100 * both >= percent * (n[:, None] + n[None] - both)) & (both > 0)
+        label, out = np.unique(component, return_inverse=True)[1], []
+        for x, y in zip(*np.nonzero(np.triu(linked, 1))):
+            if label[x] != label[y]:
+                out.append((ids[x], ids[y]))
+                label[label == label[y]] = label[x]
+        return pa.table({"a": pa.array([o[0] for o in out], table.schema.field("doc_id").type), "b": pa.array([o[1] for o in out], table.schema.field("doc_id").type)})
+
+    return keyed.groupBy("group", "i", "j").applyInArrow(compare, f"a {kind}, b {kind}")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, n: int = SHINGLE_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -206,10 +232,10 @@ def near_duplicates(docs: DataFrame, percent: int = 80, n: int = SHINGLE_WORDS,
     labelled = crowded.select("band", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     mixed = labelled.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band")
     still = cut(labelled.join(mixed, "band", "left_semi").select(F.col("rep").alias("doc_id"), "component").distinct())
-    left_sets = sets_of(docs, still, n)
-    more = cut(pairs_across(still, left_sets, percent).join(stars, ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        labels = label_components(links.unionByName(cut(confirm(more, left_sets, percent))))
+    if not still.isEmpty():
+        near_bands = crowded.select("band", F.col("rep").alias("doc_id")).join(mixed, "band", "left_semi")
+        more = cut(links_across(still, near_bands, sets_of(docs, still, n), percent))
+        labels = label_components(links.unionByName(more).unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b"))))
     found = classes.select("set_key", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
     out = profiles.select("doc_id", "n_shingles", "set_key").join(found, "set_key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
