@@ -35,7 +35,7 @@ from .common import cut, keyed_text, map_batches
 from .suffix_array import common_prefixes, suffix_array
 from .textkernel import BYTE_VALUE, mix, steps
 
-LENGTH, GRAM = 200, 48
+LENGTH, GRAM = 200, 96
 #: Occurrences of an anchor that a shard takes; bytes of surroundings in one suffix array.
 HOT, SHARD_BYTES = 12_000, 2 << 20
 POSITION_BITS = 30
@@ -269,15 +269,16 @@ def remove_spans(texts: DataFrame) -> DataFrame:
 def repeated_parts(docs: DataFrame, length: int = LENGTH, hot: int = HOT, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, DataFrame]:
     """(texts (doc_id, key, text), parts (key, n_removed, n_spans, kept)): parts holds the texts that lose bytes and are not exact copies."""
     texts = text_keys(docs)
+    # Both readers of the anchors take all their columns, so that they share one exchange.
     found = find_anchors(texts, length).repartition("anchor")
     again = (
         found.groupBy("anchor")
-        .agg(F.min("key").alias("low"), F.max("key").alias("high"), F.max("twice").alias("twice"), F.count("*").alias("many"))
-        .where("low < high or twice")
+        .agg(F.min("key").alias("low"), F.max("key").alias("high"), F.max("twice").alias("twice"), F.max("at").alias("top"), F.count("*").alias("many"))
+        .where("(low < high or twice) and top >= 0")
         .select("anchor", (F.col("many") > hot).alias("hot"))
     )
-    places = found.join(again, "anchor").select("key", "anchor", "at", "hot").distinct()
-    by_text = places.groupBy("key").agg(F.collect_list(F.struct("anchor", "at", "hot")).alias("places"))
+    places = found.join(again, "anchor").select("key", "anchor", "at", "twice", "hot").distinct()
+    by_text = places.groupBy("key").agg(F.collect_list(F.struct("anchor", "at", "hot", "twice")).alias("places"))
     named = cut(texts.select("key", "text").join(by_text, "key").dropDuplicates(["key"]))
     spans = shard_spans(surroundings(named, length), length, shard_bytes).unionByName(hot_spans(named, length))
     gathered = spans.distinct().groupBy("key").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
