@@ -57,8 +57,12 @@ def to_words(text: Column, fold: bool = True) -> Column:
 def shingles(words: Column, n: int = SHINGLE) -> Column:
     """The set of runs of n words; fewer words are one run, none are the empty set."""
     many = F.size(words)
-    starts = F.sequence(F.lit(1), F.greatest(many - (n - 1), F.lit(1)))
-    return F.when(many == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(starts, lambda s: F.array_join(F.slice(words, s, n), " "))))
+    # Shifted copies are zipped, so that no lambda evaluates the words again for every element.
+    runs = words
+    for k in range(1, n):
+        runs = F.zip_with(runs, F.slice(words, F.lit(k + 1), F.greatest(many - k, F.lit(0))), lambda run, word: F.concat(run, F.lit(" "), word))
+    whole = F.array_distinct(F.filter(runs, lambda run: run.isNotNull()))
+    return F.when(many == 0, F.array().cast("array<string>")).when(many < n, F.array(F.array_join(words, " "))).otherwise(whole)
 
 
 def comparable(outputs: DataFrame, fold: bool = True) -> DataFrame:
