@@ -7,6 +7,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from urllib.parse import urljoin
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -96,16 +97,15 @@ def extract_links(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [
-                (page, url, origin, place, base, href, text, bool({"nofollow", "ugc", "sponsored"} & {*rel.split()}))
+                (page, origin, place, urljoin(url or "", base) if base else url, href, text, bool({"nofollow", "ugc", "sponsored"} & {*rel.split()}))
                 for page, url, origin, body in zip(batch.page_id, batch.url, batch.origin, batch.html)
                 for place, (base, href, text, rel) in enumerate(scan_links(body or ""))
             ]
-            yield pd.DataFrame(rows, columns=["page_id", "page_url", "origin", "place", "base", "href", "anchor_text", "is_nofollow"])
+            yield pd.DataFrame(rows, columns=["page_id", "origin", "place", "base", "href", "anchor_text", "is_nofollow"])
 
-    schema = "page_id long, page_url string, origin string, place int, base string, href string, anchor_text string, is_nofollow boolean"
+    schema = "page_id long, origin string, place int, base string, href string, anchor_text string, is_nofollow boolean"
     found = pages.select("page_id", "url", "origin", "html").mapInPandas(run, schema)
-    based = normalise_urls(found.withColumn("base", F.coalesce("base", "page_url")), "base", "page_url").withColumn("base", F.coalesce("normalised", "page_url")).drop("normalised", "refusal")
-    named = normalise_urls(based, "href", "base")
+    named = normalise_urls(found, "href", "base")
     scope = F.when(F.col("normalised").isNotNull(), classify_scope(F.col("normalised"), F.col("origin")))
     return named.select("page_id", "place", F.col("normalised").alias("target_url"), "refusal", scope.alias("scope"), "anchor_text", "is_nofollow")
 
