@@ -150,7 +150,7 @@ def test_lm_base_and_bounds(spark, docs):
 def test_attention_scores_each_piece_once():
     import numpy as np
 
-    model, ids = lm_score.Attention(), np.arange(150) % 40
+    model, ids = lm_score.Attention(), np.arange(150) % 12
     p = lm_score.score_pieces(model, ids, np.full(150, 0.01))
     assert len(p) == 150 and 0.0099 < p[0] < 0.011 < p[60] and (p > 0).all() and (p <= 1).all()
 
