@@ -1,16 +1,26 @@
-"""Toxicity by class-conditional Kneser-Ney bigram models.
+"""Toxicity by class-conditional interpolated Kneser-Ney models of words and of letters.
 
 Two models, of toxic and of ordinary labelled texts, give each text a
 log-likelihood; their difference, normalised by length, is turned into a
 probability by a logistic curve fitted on labelled texts that neither model
-counted. Words the classes rarely show back off to continuation counts that both
-share, so a rare expression favours neither class by accident.
+counted. There is one pair of models over words and one over the bytes of words,
+so that a word never seen is judged by how it is spelled. In each, with D = DISCOUNT,
 
-Words are runs of ASCII letters, digits and characters outside ASCII, lower-cased.
-Words live in hashed slots of fixed number, pairs in a table that the sample
-bounds. Learning reads at most
-SAMPLE_DOCS labelled texts of each class, as many of one as of the other, those
-with the smallest hashes of their id; the held-out rows, languages, sources and ids are never inputs of a score.
+    P(v | u) = (max(n(u, v) - D, 0) + D kinds(u) P1(v)) / n(u),    P1(v) where u is new,
+    P1(v)    = (max(left(v) - D, 0) + D kinds P0(v)) / all left,
+    P0(v)    = (max(left of both(v) - D, 0) + D kinds of both / units) / all left of both.
+
+n counts within the class, left(v) is the number of different u before v in the
+class, and left of both the number of those that both classes show, so that P0 is
+shared and a word of one class alone gets no more from it than a new word. Every
+pair counts, and each line is a distribution.
+
+Words are runs of ASCII letters, digits and characters outside ASCII, lower-cased;
+u is the word before. Of a word's bytes, closed by an end, u is the CONTEXT bytes
+before inside the word. Words and contexts live in hashed slots of fixed number;
+the pairs are those of the sample. Learning reads at most
+SAMPLE_DOCS labelled texts of each class, those with the smallest hashes of their
+id; the held-out rows, languages, sources and ids are never inputs of a score.
 
 Null and empty texts, and texts without words, get the curve's value for a
 difference of zero. Without labelled rows of both classes every score is 0.
@@ -27,45 +37,81 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import PairTable
 from .common import crc_bucket, cut, keyed_text, map_batches
-from .textkernel import ALPHANUMERIC, hash_words, steps
+from .textkernel import ALPHANUMERIC, ASCII_LOWER, hash_words, mix, steps
 
 #: The most labelled texts read of each class; one in CURVE_SHARE of them fits the curve, the rest the models.
 SAMPLE_DOCS, CURVE_SHARE = 6000, 4
-WORD_SLOTS = 1 << 18
-#: Pairs seen less often count only in the back-off weights.
-PAIR_COUNT = 7
-#: A word is telling from this difference of log-likelihoods on.
-TELLING = 2.0
-#: Taken off every count of a word and of a pair, and given to the shared back-off: what few texts say favours neither class.
-WORD_DISCOUNT, PAIR_DISCOUNT = 8.0, 6.0
+#: Slots of words, and as many of byte contexts after them; the bytes that a byte is told by; the end of a word.
+SLOT_BITS, CONTEXT, END = 18, 7, 256
+WORD_SLOTS = 1 << SLOT_BITS
+#: Pairs worked on at once by the driver.
+STEP_PAIRS = 1 << 18
+#: A word tells more from each of these differences of log-likelihoods on; past MOST it tells no more.
+TELLING, MOST = (2.0, 4.0, 6.0), 12.0
+#: Taken off every count of each order and given to the next.
+DISCOUNT = 0.75
 THRESHOLD = 0.7
 
 
 @dataclass
 class Model:
-    """Counts by class (0 ordinary, 1 toxic) of pairs and of word slots, and the curve's weights."""
+    """Logarithms by class (0 ordinary, 1 toxic): of seen pairs, of the weight of a context's back-off, and of units alone; and the curve's weights.
+
+    Units are words, then bytes; contexts are words, then byte contexts.
+    """
 
-    pairs: PairTable
+    keys: np.ndarray
     pair: np.ndarray
-    total: np.ndarray
     backoff: np.ndarray
-    word: np.ndarray
+    single: np.ndarray
     curve: np.ndarray
 
+    def gain(self, before: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """log P(own | before) of the toxic class less that of the ordinary one."""
+        logs = self.log_probability(before, own)
+        return logs[1] - logs[0]
+
+    def log_probability(self, before: np.ndarray, own: np.ndarray) -> np.ndarray:
+        out = self.backoff[:, before] + self.single[:, own]
+        if len(self.keys):
+            key = packed(before, own)
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            seen = self.keys[at] == key
+            out[:, seen] = self.pair[:, at[seen]]
+        return out
+
+
+def packed(before: np.ndarray, own: np.ndarray) -> np.ndarray:
+    return before << (SLOT_BITS + 1) | own
+
 
-def slots(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(slot of the word before, slot of the word, offsets): slot 0 stands before a text's first word."""
+def slots(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(slot of the word before, slot of the word, hash of the word, offsets): slot 0 stands before a text's first word."""
     words, offsets = hash_words(texts, ALPHANUMERIC)
     own = (words & np.uint64(WORD_SLOTS - 1)).astype(np.int64)
     before = np.concatenate([[0], own[:-1]])[: len(own)]
     before[offsets[:-1][np.diff(offsets) > 0]] = 0
-    return before, own, offsets
+    return before, own, words, offsets
+
+
+def spelled(texts: list[bytes], which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context slot, unit, offsets) of the bytes and the end of the words at positions `which` of texts joined."""
+    raw = ASCII_LOWER[np.frombuffer(b" ".join(texts) + b" ", np.uint8)]
+    edge = np.diff(ALPHANUMERIC[raw].view(np.int8), prepend=np.int8(0))
+    starts, ends = np.flatnonzero(edge == 1)[which], np.flatnonzero(edge == -1)[which]
+    offsets = np.concatenate([[0], np.cumsum(ends - starts + 1)])
+    place = np.arange(offsets[-1]) - np.repeat(offsets[:-1], np.diff(offsets))
+    unit = raw[np.repeat(starts, np.diff(offsets)) + place].astype(np.int64)
+    unit[offsets[1:] - 1] = END
+    context = np.zeros(len(unit), np.uint64)
+    for k in range(1, CONTEXT + 1):
+        context[k:] |= np.where(place[k:] >= k, unit[: max(0, len(unit) - k)] + 1, 0).astype(np.uint64) << np.uint64(9 * (k - 1))
+    return (mix(context) & np.uint64(WORD_SLOTS - 1)).astype(np.int64) + WORD_SLOTS, unit + WORD_SLOTS, offsets
 
 
 def count_pairs(labelled: DataFrame) -> DataFrame:
-    """(before, own, ordinary, toxic): in how many texts of (doc_id, text, toxic) each pair of word slots occurs; before is -1 for the word alone.
+    """(pair, ordinary, toxic): in how many texts of (doc_id, text, toxic) a pair of words occurs, and in how many of their different words a byte after its context.
 
     A text counts once however often it repeats a line.
     """
@@ -74,65 +120,78 @@ def count_pairs(labelled: DataFrame) -> DataFrame:
         for batch in batches:
             toxic = np.array(batch.column(2).to_pylist(), np.int64)
             for first, texts in steps(batch):
-                before, own, offsets = slots(texts)
+                before, own, words, offsets = slots(texts)
                 text = np.repeat(np.arange(len(texts)), np.diff(offsets))
-                pairs = np.concatenate([(before + 1) * WORD_SLOTS + own, own])
-                once = np.unique(np.stack([np.concatenate([text, text]), pairs]), axis=1)
-                keys, counts = np.unique(once[1] * 2 + toxic[first + once[0]], return_counts=True)
-                columns = [keys // 2 // WORD_SLOTS - 1, keys // 2 % WORD_SLOTS, np.where(keys & 1, 0, counts), np.where(keys & 1, counts, 0)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["before", "own", "ordinary", "toxic"])
+                # A text's words, each once: the first of its hash within the text.
+                order = np.lexsort((words, text))
+                new = np.ones(len(words), bool)
+                new[1:] = (np.diff(text[order]) != 0) | (words[order][1:] != words[order][:-1])
+                which = order[new]
+                context, unit, ends = spelled(texts, which)
+                pairs = np.unique(text << (2 * SLOT_BITS + 2) | packed(before, own))
+                shown = np.concatenate([pairs & ((1 << (2 * SLOT_BITS + 2)) - 1), packed(context, unit)])
+                kind = toxic[first + np.concatenate([pairs >> (2 * SLOT_BITS + 2), np.repeat(text[which], np.diff(ends))])]
+                keys, counts = np.unique(shown * 2 + kind, return_counts=True)
+                columns = [keys // 2, np.where(keys & 1, 0, counts), np.where(keys & 1, counts, 0)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["pair", "ordinary", "toxic"])
+
+    counted = map_batches(labelled, run, "pair long, ordinary long, toxic long")
+    return counted.groupBy("pair").agg(F.sum("ordinary").cast("int").alias("ordinary"), F.sum("toxic").cast("int").alias("toxic"))
 
-    counted = map_batches(labelled, run, "before long, own long, ordinary long, toxic long")
-    return counted.groupBy("before", "own").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
 
-
-def dense(rows: DataFrame, key: str, columns: list[str], size: int) -> np.ndarray:
-    """Columns as arrays over all slots; at most `size` rows come to the driver."""
-    found = rows.toPandas()
-    out = np.zeros((len(columns), size))
-    out[:, found[key].to_numpy(np.int64)] = found[columns].to_numpy(np.float64).T
-    return out
+def fit_models(labelled: DataFrame) -> Model:
+    """All pairs of the sample come to the driver, 16 bytes each."""
+    counts = cut(count_pairs(labelled)).toArrow()
+    keys = counts["pair"].to_numpy()
+    order = np.argsort(keys).astype(np.int32)
+    return kneser_ney(keys[order], np.stack([counts[c].to_numpy()[order] for c in ("ordinary", "toxic")]))
+
+
+def kneser_ney(keys: np.ndarray, n: np.ndarray) -> Model:
+    """The models of sorted packed pairs with their counts by class."""
+    before, own = (keys >> (SLOT_BITS + 1)).astype(np.int32), (keys & (2 * WORD_SLOTS - 1)).astype(np.int32)
+    size, words = 2 * WORD_SLOTS, np.arange(2 * WORD_SLOTS) < WORD_SLOTS
+    units = np.where(words, WORD_SLOTS, END + 1)
+
+    def lower(left: np.ndarray, shorter: np.ndarray) -> np.ndarray:
+        """Continuation counts, discounted and completed from the shorter order, for words and bytes apart."""
+        out = shorter.copy()
+        for part in (words, ~words):
+            if total := left[part].sum():
+                out[part] = (np.maximum(left[part] - DISCOUNT, 0) + DISCOUNT * (left[part] > 0).sum() * shorter[part]) / total
+        return out
+
+    shared = lower(np.bincount(own[(n > 0).all(axis=0)], minlength=size), 1 / units)
+    single, backoff, pair = np.zeros((2, size), np.float32), np.zeros((2, size), np.float32), np.zeros((2, len(keys)), np.float32)
+    for c in (0, 1):
+        seen = n[c] > 0
+        total, kinds = np.bincount(before, n[c], size), np.bincount(before[seen], minlength=size)
+        alone = lower(np.bincount(own[seen], minlength=size), shared)
+        spare = np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1), 1.0)
+        single[c], backoff[c] = np.log(alone), np.log(spare)
+        for at in range(0, len(keys), STEP_PAIRS):
+            u, v, k = (x[at : at + STEP_PAIRS] for x in (before, own, n[c]))
+            pair[c, at : at + STEP_PAIRS] = np.log(np.maximum(k - DISCOUNT, 0) / np.maximum(total[u], 1) + spare[u] * alone[v])
+    return Model(keys, pair, backoff, single, np.zeros(FEATURES))
 
 
-def fit_models(labelled: DataFrame) -> Model:
-    counts = cut(count_pairs(labelled))
-    pairs = counts.where("before >= 0")
-    taken = [F.sum(F.least(F.col(c), F.lit(PAIR_DISCOUNT))) for c in ("ordinary", "toxic")]
-    sums = [F.sum("ordinary").alias("o"), F.sum("toxic").alias("t"), taken[0].alias("ko"), taken[1].alias("kt")]
-    contexts = dense(pairs.groupBy("before").agg(*sums), "before", ["o", "t", "ko", "kt"], WORD_SLOTS)
-    words = dense(counts.where("before < 0"), "own", ["ordinary", "toxic"], WORD_SLOTS)
-    kept = pairs.where(F.col("ordinary") + F.col("toxic") >= PAIR_COUNT).toPandas()
-    row = np.arange(len(kept), dtype=np.int32)
-    table = PairTable(kept["before"].to_numpy(np.int64), kept["own"].to_numpy(np.int64), row, row)
-    pair = np.concatenate([kept[["ordinary", "toxic"]].to_numpy(np.float32).T, np.zeros((2, 1), np.float32)], axis=1)
-    # The back-off is what both classes share of a word, so a word of few texts gains nothing from the class they are in.
-    shared = words.min(axis=0) + 0.1
-    shared /= shared.sum()
-    sizes = words[:2].sum(axis=1, keepdims=True)
-    spare = np.minimum(words[:2], WORD_DISCOUNT).sum(axis=1, keepdims=True)
-    word = (np.maximum(words[:2] - WORD_DISCOUNT, 0) + spare * shared) / np.maximum(sizes, 1)
-    total = contexts[:2]
-    backoff = np.where(total > 0, contexts[2:] / np.maximum(total, 1), 1.0)
-    return Model(table, pair, total.astype(np.float32), backoff.astype(np.float32), word.astype(np.float32), np.zeros(4))
+#: Columns of features().
+FEATURES = 1 + 2 * (2 + len(TELLING))
 
 
 def features(model: Model, texts: list[bytes]) -> np.ndarray:
-    """A row for each text: 1, the difference of log-likelihoods a word, that a root of words, and the log of what telling words add."""
-    before, own, offsets = slots(texts)
-    n = np.diff(offsets)
-    at = model.pairs.merged[model.pairs.find(before, own)]  # -1, the last column, where there is no such pair
-    pooled = model.pair[:, at].sum(axis=0) / np.maximum(model.total[:, before].sum(axis=0), 1)
-    logs = []
-    for c in (0, 1):
-        seen = np.maximum(model.pair[c][at] - PAIR_DISCOUNT, 0) / np.maximum(model.total[c][before], 1)
-        spare = np.where(pooled > 0, (pooled + model.word[c][own]) / 2, model.word[c][own])
-        logs.append(np.log(seen + model.backoff[c][before] * spare + 1e-12))
-    gain = np.clip(logs[1] - logs[0], -6, 6)
-    sums = np.concatenate([[0], np.cumsum(gain)])
-    telling = np.concatenate([[0], np.cumsum(np.maximum(gain - TELLING, 0))])
-    difference, many = sums[offsets[1:]] - sums[offsets[:-1]], telling[offsets[1:]] - telling[offsets[:-1]]
-    size = np.maximum(n, 1)
-    return np.stack([np.ones(len(texts)), difference / size, difference / np.sqrt(size), np.log1p(many)], axis=1)
+    """A row for each text: 1; and of words, then of their spelling, the difference of log-likelihoods a word, that a root of words, and the log of what telling words add."""
+    before, own, words, offsets = slots(texts)
+    size = np.maximum(np.diff(offsets), 1)
+    _, which, again = np.unique(words, return_index=True, return_inverse=True)
+    context, unit, ends = spelled(texts, which)
+    spelling = np.concatenate([[0], np.cumsum(model.gain(context, unit), dtype=np.float64)])
+    columns = [np.ones(len(texts))]
+    for gain in (model.gain(before, own), (spelling[ends[1:]] - spelling[ends[:-1]])[again]):
+        gain = np.clip(gain, -MOST, MOST)
+        difference, *many = (np.diff(np.concatenate([[0], np.cumsum(part, dtype=np.float64)])[offsets]) for part in (gain, *(np.maximum(gain - least, 0) for least in TELLING)))
+        columns += [difference / size, difference / np.sqrt(size), *np.log1p(many)]
+    return np.stack(columns, axis=1)
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -157,8 +216,7 @@ def train(docs: DataFrame, labels: DataFrame, learn_from=None, sample_docs: int
     sizes = {r["toxic"]: r["count"] for r in own.groupBy("toxic").count().collect()}
     if len(sizes) < 2:
         return None
-    many = min(sample_docs, *sizes.values())
-    picked = [own.where(F.col("toxic") == c).orderBy(order, "doc_id").limit(many) for c in (0, 1)]
+    picked = [own.where(F.col("toxic") == c).orderBy(order, "doc_id").limit(sample_docs) for c in (0, 1)]
     part = (F.shiftrightunsigned(order, 7) % CURVE_SHARE == 0).alias("for_curve")
     # At most 2 * sample_docs rows, so the broadcast is bounded.
     sample = cut(keyed_text(docs).join(F.broadcast(picked[0].unionByName(picked[1]).select("doc_id", "toxic", part)), "doc_id").dropDuplicates(["toxic", "text"]))
@@ -177,7 +235,7 @@ def train(docs: DataFrame, labels: DataFrame, learn_from=None, sample_docs: int
         weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
         model.curve = fit_curve(np.stack(seen["x"]), y, weight)
     else:
-        model.curve = np.array([0.0, 1.0, 1.0, 0.0])
+        model.curve = np.array([0.0, 1.0, 1.0] + [0.0] * (FEATURES - 3))
     return model
 
 

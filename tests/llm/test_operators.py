@@ -119,6 +119,51 @@ def test_toxicity_learns(spark):
     assert sum(p == t for p, t in held) / len(held) > 0.95 and 0 <= got[0].score <= 1 and got[1].predicted == 0
 
 
+def test_toxicity_is_kneser_ney():
+    """Against the formulas over plain dictionaries, for words and bytes; every context's probabilities add up to one."""
+    import numpy as np
+
+    base, d = toxicity.WORD_SLOTS, toxicity.DISCOUNT
+    own = random.Random(3)
+    for shift, units in ((0, base), (base, 257)):
+        n = {(own.randrange(6) + shift, own.randrange(9) + shift): (own.randrange(3), own.randrange(3)) for _ in range(40)}
+        n = {k: v for k, v in n.items() if any(v)}
+        keys = sorted(n, key=lambda k: int(toxicity.packed(np.int64(k[0]), np.int64(k[1]))))
+        model = toxicity.kneser_ney(toxicity.packed(*np.array(keys, np.int64).T), np.array([n[k] for k in keys], np.int32).T)
+
+        def lower(pairs, shorter):
+            left = {v: sum(k[1] == v for k in pairs) for _, v in pairs}
+            return lambda v: (max(left.get(v, 0) - d, 0) + d * len(left) * shorter(v)) / len(pairs)
+
+        shared = lower([k for k in n if all(n[k])], lambda v: 1 / units)
+        everything = np.arange(units) + shift
+        for c in (0, 1):
+            alone = lower([k for k in n if n[k][c]], shared)
+            for u in range(8):
+                of = {v: m[c] for (w, v), m in n.items() if w == u + shift and m[c]}
+                total = sum(of.values())
+                got = np.exp(model.log_probability(np.full(units, u + shift), everything)[c].astype(np.float64))
+                want = [(max(of.get(v, 0) - d, 0) + d * len(of) * alone(v)) / total if total else alone(v) for v in range(shift, shift + 12)]
+                assert np.allclose(got[:12], want, rtol=1e-4) and abs(got.sum() - 1) < 1e-4
+
+
+def test_toxicity_of_few_texts_and_new_compounds(spark):
+    """A word of four toxic texts speaks for that class, and so does a new word that starts as toxic ones do."""
+    import numpy as np
+
+    own = random.Random(8)
+    rows = []
+    for k in range(300):
+        w = [own.choice(VOCABULARY) for _ in range(40)]
+        if k % 3 == 0:
+            w += ["zqx" + own.choice(VOCABULARY) + own.choice(VOCABULARY)]
+        rows.append((k, " ".join(w + ["wuggle"] * (k in (0, 3, 6, 9))), int(k % 3 == 0)))
+    model = toxicity.fit_models(spark.createDataFrame(rows, "doc_id long, text string, toxic int"))
+    plain, rare, new = toxicity.features(model, [b"abc", b"wuggle", b"zqxhahahaheded"])
+    assert rare[1] > 3 > plain[1] and new[1 + 2 + len(toxicity.TELLING)] > 2
+    assert np.isfinite([plain, rare, new]).all()
+
+
 def test_chat_trees(spark):
     rows = [("t", 1, None, "user", "q <|im_end|> \\ x", 0.0), ("t", 2, 1, "assistant", "weak", 0.1), ("t", 3, 1, "assistant", "<|im_start|>good\\|", 0.9), ("t", 4, 3, "us\ner", None, None), (None, 1, None, "assistant", "z", None), ("c", 1, 2, "user", "loop", 0.0), ("c", 2, 1, "user", "loop", 0.0)]
     messages = spark.createDataFrame(rows, "tree string, node long, parent long, role string, text string, score double")
