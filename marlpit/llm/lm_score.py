@@ -16,9 +16,10 @@ of each of its texts, and the partitions' weights are averaged by how many
 windows they saw. Scoring runs windows of WINDOW pieces that overlap by half, in
 masked batches; each piece is scored once.
 
-Counting is a shuffle over all training texts. What is broadcast is bounded: the
-KEPT most frequent of the piece contexts, and the word counts of at most FREQUENT
-words; every other word finds its count by a join.
+Counting is a shuffle over all training texts, and every context keeps its count.
+What is broadcast is bounded: the probabilities of at most KEPT frequent piece
+contexts, and the word counts of at most FREQUENT words; every other word and every
+other context of a text finds its count or probability by a join.
 
 Null and empty texts are an end alone. Texts may be of any length. Repeated rows
 are scored one by one; null ids are not held out. Extra columns are not carried.
@@ -34,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import MEMORY_PIECES, Bpe, PairTable, read_file
+from .bpe import MEMORY_PIECES, Bpe, read_file
 from .common import crc_bucket, cut, keyed_text, map_batches
 from .textkernel import SPACED, hash_words, steps
 
@@ -84,17 +85,17 @@ def word_counts(train: DataFrame) -> DataFrame:
     return map_batches(train.select("text"), run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def piece_counts(train: DataFrame, vocabulary) -> DataFrame:
-    """(context, n): occurrences of (two before, one before, piece) inside words, packed into 48 bits."""
+def piece_counts(texts: DataFrame, vocabulary) -> DataFrame:
+    """(context, n): (two before, one before, piece) inside words of texts (text, trained), packed into 48 bits, and its occurrences in trained ones; zero where only others have it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spell = None
         for batch in batches:
             spell = spell or Speller(Bpe.from_rank_lines(vocabulary.value))
             words: dict[bytes, int] = {}
-            for text in batch.column(0).cast(pa.binary()).to_pylist():
+            for text, trained in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist()):
                 for w in words_of(text):
-                    words[w] = words.get(w, 0) + 1
+                    words[w] = words.get(w, 0) + trained
             if not words:
                 continue
             spelled = spell(list(words))
@@ -104,7 +105,52 @@ def piece_counts(train: DataFrame, vocabulary) -> DataFrame:
             n = np.bincount(which, np.repeat(np.array(list(words.values())), sizes)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n)], ["context", "n"])
 
-    return map_batches(train.select("text"), run, "context long, n long").groupBy("context").agg(F.sum("n").alias("n"))
+    return map_batches(texts.select("text", "trained"), run, "context long, n long").groupBy("context").agg(F.sum("n").alias("n"))
+
+
+def corpus_table(counts: DataFrame, total: int) -> DataFrame:
+    """(context, n, p): the corpus probability of each counted context's piece, from all counts; total is their sum."""
+    context = F.col("context")
+    counts = counts.select("context", "n", context.bitwiseAND(0xFFFFFFFF).alias("pair"), F.shiftright(context, 16).alias("left"))
+    sums = lambda n, name: [F.sum(n).alias(f"{name}_n"), F.count(F.when(F.col(n) > 0, 1)).alias(f"{name}_kinds")]
+    smoothed = lambda n, name, shorter: F.when(
+        F.col(f"{name}_n") > 0, (F.greatest(F.col(n) - DISCOUNT, F.lit(0.0)) + F.lit(DISCOUNT) * F.col(f"{name}_kinds") * shorter) / F.col(f"{name}_n")
+    ).otherwise(shorter)
+    pairs = cut(counts.groupBy("pair").agg(F.sum("n").alias("n")).select("pair", "n", F.shiftright("pair", 16).alias("one"), F.col("pair").bitwiseAND(0xFFFF).alias("piece")))
+    # Of single pieces there are at most PIECES.
+    ones, singles = pairs.groupBy("one").agg(*sums("n", "one")), pairs.groupBy("piece").agg(F.sum("n").alias("single"))
+    single = (F.col("single") + 0.5) / F.lit(total + 0.5 * PIECES)
+    two = pairs.join(F.broadcast(ones), "one").join(F.broadcast(singles), "piece").select("pair", smoothed("n", "one", single).alias("two"))
+    lefts = counts.groupBy("left").agg(*sums("n", "left"))
+    return counts.join(two, "pair").join(lefts, "left").select("context", "n", smoothed("n", "left", F.col("two")).alias("p"))
+
+
+def with_probabilities(texts: DataFrame, table: DataFrame, hot, vocabulary) -> DataFrame:
+    """(row, doc_id, text, trained, known): texts (doc_id, text, trained) with the (context, p) of their contexts that `hot` lacks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spell = None
+        row = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            spell = spell or Speller(Bpe.from_rank_lines(vocabulary.value))
+            for first, part in steps(batch):
+                listed = [words_of(t) for t in part]
+                own = spell([w for ws in listed for w in ws])
+                sizes = np.array([len(p) for p in own], np.int64)
+                ends = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum([len(ws) for ws in listed])])]
+                keys = contexts(np.concatenate(own), sizes) if own else np.zeros(0, np.int64)
+                cold = ~hot.value.find(keys)[1]
+                some = [np.unique(keys[a:b][cold[a:b]]) for a, b in zip(ends[:-1], ends[1:])]
+                offsets = np.concatenate([[0], np.cumsum([len(x) for x in some])])
+                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(some)))
+                columns = [pa.array(np.arange(row, row + len(part)))] + [batch.column(k).slice(first, len(part)) for k in range(3)] + [lists]
+                row += len(part)
+                yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "text", "trained", "cold"])
+
+    listed = cut(map_batches(texts, run, f"row long, doc_id {texts.dtypes[0][1]}, text string, trained boolean, cold array<bigint>"))
+    asked = listed.select("row", F.explode("cold").alias("context"))
+    known = asked.join(table.select("context", "p"), "context").groupBy("row").agg(F.collect_list(F.struct("context", "p")).alias("known"))
+    return cut(listed.drop("cold").join(known, "row", "left"))
 
 
 def contexts(pieces: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -118,47 +164,35 @@ def contexts(pieces: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 class Corpus:
-    """The corpus distribution of a piece after two others, from packed counts."""
-
-    def __init__(self, context: np.ndarray, n: np.ndarray, ends: int):
-        last = context & 0xFFFF
-        self.single = (np.bincount(last, n, PIECES) + 0.5) / (n.sum() + 0.5 * PIECES)
-        self.three = self.table(context >> 16, last, n)
-        self.before, self.before_kinds = self.context_table(context >> 32, (context >> 16) & 0xFFFF, n)
-        pair, which = np.unique(context & 0xFFFFFFFF, return_inverse=True)
-        many = np.bincount(which, n)
-        self.two = self.table(pair >> 16, pair & 0xFFFF, many)
-        self.after, self.after_kinds = np.bincount(pair >> 16, many, PIECES), np.bincount(pair >> 16, minlength=PIECES)
-        # One more word after every text's words is its end; it is a word of one piece.
-        self.end = np.log((ends + 0.5) / (n[last == CLOSE].sum() + ends + 1.0))
-        self.go_on = np.log1p(-np.exp(self.end))
-
-    @staticmethod
-    def table(left: np.ndarray, right: np.ndarray, n: np.ndarray) -> tuple[PairTable, np.ndarray]:
-        """Counts of pairs that are all different; a missing pair finds the last, zero."""
-        row = np.arange(len(n), dtype=np.int32)
-        return PairTable(left, right, row, row), np.append(n, 0).astype(np.float32)
-
-    @classmethod
-    def context_table(cls, left: np.ndarray, right: np.ndarray, n: np.ndarray) -> tuple[tuple[PairTable, np.ndarray], np.ndarray]:
-        key, which = np.unique(left << 16 | right, return_inverse=True)
-        kinds = np.bincount(which, minlength=len(key))
-        return cls.table(key >> 16, key & 0xFFFF, np.bincount(which, n, len(key))), np.append(kinds, 0)
+    """Corpus probabilities of packed contexts, and the logarithms of a text's end and of its going on."""
+
+    def __init__(self, context: np.ndarray, p: np.ndarray, end: float = 0.0, go_on: float = 0.0):
+        order = np.argsort(context)
+        self.context, self.p, self.end, self.go_on = context[order], p[order], end, go_on
+
+    def find(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(positions, which of the keys are there)."""
+        if not len(self.context):
+            return np.zeros(len(key), np.int64), np.zeros(len(key), bool)
+        at = np.minimum(np.searchsorted(self.context, key), len(self.context) - 1)
+        return at, self.context[at] == key
+
+    def look(self, key: np.ndarray, known: Corpus) -> np.ndarray:
+        """Probabilities from here or from what a batch brings; every key is in one of the two."""
+        at, here = self.find(key)
+        out = np.empty(len(key))
+        out[here] = self.p[at[here]]
+        at, there = known.find(key[~here])
+        if not there.all():
+            raise KeyError("a context without a probability")
+        out[~here] = known.p[at]
+        return out
 
     @staticmethod
-    def look(table: tuple[PairTable, np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        return table[1][table[0].merged[table[0].find(left, right)]]
-
-    def __call__(self, key: np.ndarray) -> np.ndarray:
-        two, one, piece = key >> 32, (key >> 16) & 0xFFFF, key & 0xFFFF
-        p = self.single[piece]
-        many = self.after[one]
-        seen = np.maximum(self.look(self.two, one, piece) - DISCOUNT, 0)
-        p = np.where(many > 0, (seen + DISCOUNT * self.after_kinds[one] * p) / np.maximum(many, 1), p)
-        row = self.before[0].merged[self.before[0].find(two, one)]
-        many = self.before[1][row]
-        seen = np.maximum(self.look(self.three, key >> 16, piece) - DISCOUNT, 0)
-        return np.where(many > 0, (seen + DISCOUNT * self.before_kinds[row] * p) / np.maximum(many, 1), p)
+    def of_batch(known: pa.ListArray) -> Corpus:
+        rows = known.flatten()
+        context, first = np.unique(rows.field(0).to_numpy(zero_copy_only=False), return_index=True)
+        return Corpus(context, rows.field(1).to_numpy(zero_copy_only=False)[first])
 
 
 def embedded() -> np.ndarray:
@@ -202,14 +236,14 @@ class Attention:
 
 
 def train_attention(train: DataFrame, vocabulary, corpus) -> Attention:
-    """Weights learned from one window of every training text (doc_id, text), averaged over partitions."""
+    """Weights learned from one window of every training text (doc_id, text, known), averaged over partitions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spell = model = None
         seen = 0
         for batch in batches:
             spell, model = spell or Speller(Bpe.from_rank_lines(vocabulary.value)), model or Attention()
-            chosen = []
+            known, chosen = Corpus.of_batch(batch.column(2)), []
             for text, at in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist()):
                 words = words_of(text)
                 if words:
@@ -223,7 +257,7 @@ def train_attention(train: DataFrame, vocabulary, corpus) -> Attention:
                 k += len(words)
                 pieces = np.concatenate(own)
                 ids.append(pieces[:WINDOW])
-                probability.append(corpus.value(contexts(pieces, np.array([len(p) for p in own])))[:WINDOW])
+                probability.append(corpus.value.look(contexts(pieces, np.array([len(p) for p in own])), known)[:WINDOW])
             for at in range(0, len(ids), BATCH_WINDOWS):
                 part = ids[at : at + BATCH_WINDOWS]
                 block, base, valid = np.full((len(part), WINDOW), START), np.ones((len(part), WINDOW)), np.zeros((len(part), WINDOW))
@@ -234,7 +268,7 @@ def train_attention(train: DataFrame, vocabulary, corpus) -> Attention:
         if model and seen:
             yield pa.RecordBatch.from_arrays([pa.array([model.form.ravel().astype(np.float64).tolist()]), pa.array([model.null]), pa.array([seen])], ["form", "null_score", "seen"])
 
-    windows = train.select("text", F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 30)).alias("at"))
+    windows = train.select("text", F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 30)).alias("at"), "known")
     rows = map_batches(windows, run, "form array<double>, null_score double, seen long").collect()
     if not rows:
         return Attention()
@@ -277,32 +311,40 @@ def score_texts(docs: DataFrame, train_condition, vocabulary_path: str, id_col:
     often = counts.where(F.col("n") >= least).toPandas() if least <= 1000 else counts.limit(0).toPandas()
     order = np.argsort(often["word"].to_numpy(np.int64).view(np.uint64))
     words = spark.sparkContext.broadcast((often["word"].to_numpy(np.int64).view(np.uint64)[order], often["n"].to_numpy(np.int64)[order]))
-    pieces = cut(piece_counts(train, vocabulary))
-    sizes = pieces.groupBy(F.least("n", F.lit(1000)).alias("n")).agg(F.count("*").alias("contexts")).orderBy(F.desc("n")).collect()
-    room, floor = KEPT, 1
-    for row in sizes:
+    marked = texts.withColumn("trained", F.coalesce(train_condition, F.lit(False)))
+    pieces = cut(piece_counts(marked, vocabulary))
+    sums = pieces.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.when(F.col("context").bitwiseAND(0xFFFF) == CLOSE, F.col("n"))), F.lit(0)).alias("words")).first()
+    table = cut(corpus_table(pieces, sums["n"]))
+    # Levels are an eighth of a doubling; the most frequent whole ones that fit are broadcast, so never more than KEPT.
+    level = F.floor(F.log2("n") * 8)
+    levels = table.where("n > 0").groupBy(level.alias("level")).agg(F.count("*").alias("contexts")).orderBy(F.desc("level")).collect()
+    room, lowest = KEPT, None
+    for row in levels:
         room -= row["contexts"]
         if room < 0:
-            floor = row["n"] + 1
             break
-    kept = pieces.where(F.col("n") >= floor).toPandas()
-    corpus = spark.sparkContext.broadcast(Corpus(kept["context"].to_numpy(np.int64), kept["n"].to_numpy(np.float64), ends))
-    trained = train_attention(train, vocabulary, corpus)
+        lowest = row["level"]
+    kept = (table.where("n > 0").where(level >= lowest) if lowest is not None else table.limit(0)).select("context", "p").toPandas()
+    # One more word after every text's words is its end; it is a word of one piece.
+    end = float(np.log((ends + 0.5) / (sums["words"] + ends + 1.0)))
+    corpus = spark.sparkContext.broadcast(Corpus(kept["context"].to_numpy(np.int64), kept["p"].to_numpy(np.float64), end, float(np.log1p(-np.exp(end)))))
+    ready = with_probabilities(marked, table, corpus, vocabulary)
+    trained = train_attention(ready.where("trained"), vocabulary, corpus)
     weights = (trained.form, trained.null)
     scale = tokens + 0.5 * (types + 1)
     end_base = float(np.log10((ends + 0.5) / scale))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spell = model = None
-        row = TaskContext.get().partitionId() << 33
-        known, known_n = words.value
+        often, often_n = words.value
         for batch in batches:
             spell, model = spell or Speller(Bpe.from_rank_lines(vocabulary.value)), model or Attention(*weights)
-            for first, part in steps(batch):
+            known = Corpus.of_batch(batch.column(3))
+            for first, part in steps(batch, 2):
                 hashes, offsets = hash_words(part, SPACED)
-                at = np.minimum(np.searchsorted(known, hashes), max(0, len(known) - 1))
-                found = known[at] == hashes if len(known) else np.zeros(len(hashes), bool)
-                base = np.where(found, np.log10((known_n[at] + 0.5) / scale) if len(known) else 0.0, 0.0)
+                at = np.minimum(np.searchsorted(often, hashes), max(0, len(often) - 1))
+                found = often[at] == hashes if len(often) else np.zeros(len(hashes), bool)
+                base = np.where(found, np.log10((often_n[at] + 0.5) / scale) if len(often) else 0.0, 0.0)
                 sums, hits = np.concatenate([[0], np.cumsum(base)]), np.concatenate([[0], np.cumsum(found)])
                 listed = [words_of(t) for t in part]
                 spelled = spell([w for ws in listed for w in ws])
@@ -313,23 +355,22 @@ def score_texts(docs: DataFrame, train_condition, vocabulary_path: str, id_col:
                         own = spelled[k : k + len(ws)]
                         k += len(ws)
                         ids = np.concatenate(own)
-                        p = corpus.value(contexts(ids, np.array([len(x) for x in own])))
+                        p = corpus.value.look(contexts(ids, np.array([len(x) for x in own])), known)
                         total += np.log(np.maximum(score_pieces(model, ids.astype(np.int64), p), 1e-30)).sum() + len(ws) * corpus.value.go_on
                     scores.append(float(total / np.log(10)))
                 rare = [hashes[a:b][~found[a:b]].view(np.int64) for a, b in zip(offsets[:-1], offsets[1:])]
                 columns = [
-                    pa.array(np.arange(row, row + len(part))),
                     batch.column(0).slice(first, len(part)),
+                    batch.column(1).slice(first, len(part)),
                     pa.array(np.diff(offsets) + 1, pa.int64()),
                     pa.array(hits[offsets[1:]] - hits[offsets[:-1]] + (ends > 0), pa.int64()),
                     pa.array(sums[offsets[1:]] - sums[offsets[:-1]] + end_base),
                     pa.array(scores),
                     pa.array([r.tolist() for r in rare], pa.list_(pa.int64())),
                 ]
-                row += len(part)
                 yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "n_tokens", "n_known", "base_score", "score", "rare"])
 
-    scored = cut(map_batches(texts, run, f"row long, doc_id {kind}, n_tokens long, n_known long, base_score double, score double, rare array<bigint>"))
+    scored = cut(map_batches(ready.select("row", "doc_id", "text", "known"), run, f"row long, doc_id {kind}, n_tokens long, n_known long, base_score double, score double, rare array<bigint>"))
     asked = scored.select("row", F.explode("rare").alias("word"))
     rest = asked.join(counts.where(F.col("n") < least), "word", "left").groupBy("row").agg(F.count("n").alias("more"), F.sum(F.log10((F.coalesce("n", F.lit(0)) + 0.5) / F.lit(float(scale)))).alias("rest"))
     out = scored.drop("rare").join(rest, "row", "left")

@@ -192,6 +192,36 @@ def test_lm_base_and_bounds(spark, docs):
     assert {r.n_tokens for r in got if r.doc_id in (0, 1)} == {1}
 
 
+def test_lm_counts_every_context(spark, docs, monkeypatch):
+    """Scores do not hang on how much is broadcast, and the corpus distribution is that of plain counts."""
+    import numpy as np
+    import public_tokenizers
+    from pyspark.sql import functions as F
+
+    path, scores = public_tokenizers.path("byte_bpe_50k.tiktoken"), []
+    for kept in (1 << 18, 5):
+        monkeypatch.setattr(lm_score, "KEPT", kept)
+        scores.append(sorted((str(r.doc_id), r.n_tokens, round(r.score, 3)) for r in lm_score.score_texts(docs.coalesce(1), lm_score.training_rows(), path).collect()))
+    assert scores[0] == scores[1]
+    vocabulary = spark.sparkContext.broadcast(lm_score.read_file(docs, path))
+    marked = docs.select(F.coalesce("text", F.lit("")).alias("text"), lm_score.training_rows().alias("trained"))
+    counts = {r.context: r.n for r in lm_score.piece_counts(marked, vocabulary).collect()}
+    assert 0 in counts.values()
+    table = lm_score.corpus_table(spark.createDataFrame([*counts.items()], "context long, n long"), sum(counts.values()))
+    got, d = {r.context: r.p for r in table.collect()}, lm_score.DISCOUNT
+    by = [{}, {}, {}]
+    for k, n in counts.items():
+        for size, bits in enumerate((0xFFFF, 0xFFFFFFFF, (1 << 48) - 1)):
+            by[size][k & bits] = by[size].get(k & bits, 0) + n
+    for k in [*counts][::7]:
+        p = (by[0][k & 0xFFFF] + 0.5) / (sum(counts.values()) + 0.5 * lm_score.PIECES)
+        for size, bits in ((1, 0xFFFFFFFF), (2, (1 << 48) - 1)):
+            of = [n for q, n in by[size].items() if q >> 16 == (k & bits) >> 16 and n]
+            p = (max(by[size][k & bits] - d, 0) + d * len(of) * p) / sum(of) if of else p
+        assert np.isclose(got[k], p, rtol=1e-9)
+    assert len(got) == len(counts)
+
+
 def test_attention_scores_each_piece_once():
     import numpy as np
 
