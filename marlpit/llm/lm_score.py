@@ -11,9 +11,9 @@ contexts. So the probability of a piece is
     a_null * corpus(piece | two before) + sum of a_j over earlier j that hold it.
 
 The bilinear form of queries and keys and the null score are trained in numpy by
-gradient descent: every partition of the training texts learns from one window
-of each of its texts, and the partitions' weights are averaged by how many
-windows they saw. Scoring runs windows of WINDOW pieces that overlap by half, in
+gradient descent: every partition of the training texts learns from every window
+of each of its texts, end to end, and the partitions' weights are averaged by how
+many windows they saw. Scoring runs windows of WINDOW pieces that overlap by half, in
 masked batches; each piece is scored once.
 
 Counting is a shuffle over all training texts, and every context keeps its count.
@@ -40,7 +40,7 @@ from .common import crc_bucket, cut, keyed_text, map_batches
 from .textkernel import SPACED, hash_words, steps
 
 #: Pieces of a window and dimensions of an embedded piece; two pieces make a key.
-WINDOW, DIMS = 32, 8
+WINDOW, DIMS = 64, 16
 #: Bounds of what is broadcast.
 KEPT, FREQUENT = 1 << 18, 1 << 17
 #: The piece that closes a word, the one that stands before a word, and the number of pieces.
@@ -236,28 +236,21 @@ class Attention:
 
 
 def train_attention(train: DataFrame, vocabulary, corpus) -> Attention:
-    """Weights learned from one window of every training text (doc_id, text, known), averaged over partitions."""
+    """Weights learned from all windows of every training text (text, known), averaged over partitions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spell = model = None
         seen = 0
         for batch in batches:
             spell, model = spell or Speller(Bpe.from_rank_lines(vocabulary.value)), model or Attention()
-            known, chosen = Corpus.of_batch(batch.column(2)), []
-            for text, at in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist()):
-                words = words_of(text)
-                if words:
-                    start = at % max(1, len(words) - WINDOW // 3)
-                    chosen.append(words[start : start + WINDOW])
-            spelled = spell([w for words in chosen for w in words])
-            k = 0
+            known = Corpus.of_batch(batch.column(1))
             ids, probability = [], []
-            for words in chosen:
-                own = spelled[k : k + len(words)]
-                k += len(words)
-                pieces = np.concatenate(own)
-                ids.append(pieces[:WINDOW])
-                probability.append(corpus.value.look(contexts(pieces, np.array([len(p) for p in own])), known)[:WINDOW])
+            for text in batch.column(0).cast(pa.binary()).to_pylist():
+                if own := spell(words_of(text)):
+                    pieces = np.concatenate(own)
+                    p = corpus.value.look(contexts(pieces, np.array([len(x) for x in own])), known)
+                    ids += [pieces[at : at + WINDOW] for at in range(0, len(pieces), WINDOW)]
+                    probability += [p[at : at + WINDOW] for at in range(0, len(p), WINDOW)]
             for at in range(0, len(ids), BATCH_WINDOWS):
                 part = ids[at : at + BATCH_WINDOWS]
                 block, base, valid = np.full((len(part), WINDOW), START), np.ones((len(part), WINDOW)), np.zeros((len(part), WINDOW))
@@ -268,8 +261,7 @@ def train_attention(train: DataFrame, vocabulary, corpus) -> Attention:
         if model and seen:
             yield pa.RecordBatch.from_arrays([pa.array([model.form.ravel().astype(np.float64).tolist()]), pa.array([model.null]), pa.array([seen])], ["form", "null_score", "seen"])
 
-    windows = train.select("text", F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 30)).alias("at"), "known")
-    rows = map_batches(windows, run, "form array<double>, null_score double, seen long").collect()
+    rows = map_batches(train.select("text", "known"), run, "form array<double>, null_score double, seen long").collect()
     if not rows:
         return Attention()
     weight = np.array([r["seen"] for r in rows], np.float64)

@@ -222,10 +222,42 @@ def test_lm_counts_every_context(spark, docs, monkeypatch):
     assert len(got) == len(counts)
 
 
+def test_attention_learns_from_every_window(spark, monkeypatch):
+    """The windows learned from hold each piece of the training texts once."""
+    import numpy as np
+    import public_tokenizers
+
+    monkeypatch.setattr(lm_score.Attention, "learn", lambda self, ids, corpus, valid: setattr(self, "null", self.null + valid.sum()))
+    own = random.Random(4)
+    rows = [(k, " ".join(own.choice(VOCABULARY) for _ in range(n))) for k, n in enumerate([400, 3, 90])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    vocabulary = spark.sparkContext.broadcast(lm_score.read_file(docs, path))
+    speller = lm_score.Speller(lm_score.Bpe.from_rank_lines(vocabulary.value))
+    keys = [lm_score.contexts(np.concatenate(w), np.array([len(x) for x in w])) for w in (speller(lm_score.words_of(t.encode())) for _, t in rows)]
+    every = np.unique(np.concatenate(keys))
+    corpus = spark.sparkContext.broadcast(lm_score.Corpus(every, np.full(len(every), 0.01)))
+    train = docs.selectExpr("text", "cast(array() as array<struct<context:bigint,p:double>>) as known")
+    assert run_here(lm_score, monkeypatch, train, vocabulary, corpus).null == 10.0 + sum(map(len, keys))
+
+
+def run_here(module, monkeypatch, train, vocabulary, corpus):
+    """train_attention with its mapInArrow function called in this process, where learn() is replaced."""
+    import pyarrow as pa
+    from types import SimpleNamespace
+
+    def here(df, run, schema):
+        found = [r for b in run(iter(df.toArrow().to_batches())) for r in pa.Table.from_batches([b]).to_pylist()]
+        return SimpleNamespace(collect=lambda: found)
+
+    monkeypatch.setattr(module, "map_batches", here)
+    return module.train_attention(train, vocabulary, corpus)
+
+
 def test_attention_scores_each_piece_once():
     import numpy as np
 
-    model, ids = lm_score.Attention(), np.arange(150) % 12
+    model, ids = lm_score.Attention(), np.arange(150) % 40
     p = lm_score.score_pieces(model, ids, np.full(150, 0.01))
     assert len(p) == 150 and 0.0099 < p[0] < 0.011 < p[60] and (p > 0).all() and (p <= 1).all()
 
