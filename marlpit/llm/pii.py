@@ -48,7 +48,7 @@ PATTERNS = {
     "card": r"(?<![\d.])(?:\d{4}[ \-]?){3}\d{4}(?![\d.]\d|\d)",
     "ssn": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
     "ipv4": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)",
-    "phone": r"(?<![\d+])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)[ .\-]?)\d{3,4}[ .\-]?\d{3,4}(?!\d)|(?<![\d+])\+\d{1,3}(?:[ .\-]?\d{2,4}){2,5}(?!\d)",
+    "phone": r"(?<![\d+])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)[ .\-]?)\d{3,4}[ .\-]?\d{3,4}(?!\d)|(?<![\d+])\+\d{1,3}(?:[ .\-]?\d{2,4}){2,5}(?!\d)|(?<![\d+.\-])\d{3}[ .\-]\d{3}[ .\-]\d{4}(?![\d\-]|\.\d)",
     "he": r"\b(?:Mr|Herr|Monsieur|Señor|Sr|Mister)\.? \p{Lu}\p{L}+(?: \p{Lu}\p{L}+)?",
     "she": r"\b(?:Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra)\.? \p{Lu}\p{L}+(?: \p{Lu}\p{L}+)?",
 }
@@ -66,7 +66,7 @@ SYLLABLES = {"latin": "ba da fa ga ka la ma na ra sa ta va be de le me ne re se
 TYPES = list(PATTERNS)
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 # A cheap necessary sign of any of the patterns; most documents fail it.
-SIGN = r"@|[0-9a-fA-F]{32}|[0-9][0-9.() \-]{6}|\b(?:sk|pk|ghp|xoxb|AKIA)|\b(?:M(?:r|rs|s|iss|ister|me|adame|onsieur)|Herr|Frau|Se(?:ñ)or|Sra?)\b"
+SIGN = r"@|[0-9a-fA-F]{32}|\+[0-9]|[0-9][0-9.() \-]{6}|\b[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}|\b(?:sk|pk|ghp|xoxb|AKIA)|\b(?:M(?:r|rs|s|iss|ister|me|adame|onsieur)|Herr|Frau|Se(?:ñ)ora?|Sra?)\b"
 
 
 def kind_of(entity: Column) -> Column:

@@ -103,6 +103,15 @@ def test_surrogates(spark):
     assert len({*phones}) == 2 and "555-012" not in got[4].text
 
 
+def test_every_kind_alone_in_a_text_is_replaced(spark):
+    """One example of every alternative of PATTERNS: each must pass SIGN with nothing else in the text."""
+    titles = ["Mr", "Herr", "Monsieur", "Señor", "Sr", "Mister", "Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra"]
+    alone = [f"{t} Garcia" for t in titles] + ["Señora García", "a@b.com", "0123456789abcdef" * 2, *(f"{k}_abcdefghijklmnop" for k in ("sk", "pk", "ghp", "xoxb", "AKIA"))]
+    alone += ["GB29 NWBK 6016 1331 9268 19", "GB29NWBKABCDEFGH", "4111111111111111", "123-45-6789", "1.1.1.1", "(201) 555-0123", "+1 (201) 555-0123", "+491234", "+49 30 1234", "555-123-4567", "555.123.4567", "555 123 4567"]
+    got = pii.replace_pii(spark.createDataFrame([(k, f"x {t} y") for k, t in enumerate(alone)], "doc_id long, text string")).collect()
+    assert len(got) == len(alone) and [alone[r.doc_id] for r in got if r.n_entities != 1 or alone[r.doc_id] in r.text] == []
+
+
 def test_toxicity_learns(spark):
     bad = ["scumm", "lozer", "idyot"]
     rows, labels = [(0, None), (1, "")], []
