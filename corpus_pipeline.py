@@ -43,7 +43,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents in which no benchmark window occurs."""
     found = decontam.find_windows(whole_rows(docs), table(spark, sf_dir, "benchmark"), id_col="row")
-    return found.where(F.size("item_ids") == 0).select("doc_id.*")
+    return found.where(F.size("hit_spans") == 0).select("doc_id.*")
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

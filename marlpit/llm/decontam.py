@@ -13,8 +13,8 @@ bounded however large the benchmark is; each block is one more pass and no
 document is shuffled.
 
 Null and empty texts and items have no words, no windows and no hits. Texts may
-be of any length. Repeated items each count under their own id (null ids are
-left out); repeated documents give repeated results; extra columns are not
+be of any length. Repeated items each count under their own id; all items
+without an id count as one, a null that digests leave out. Repeated documents give repeated results; extra columns are not
 carried.
 """
 
@@ -51,8 +51,10 @@ def item_windows(items: DataFrame, n: int = WINDOW_WORDS, id_col: str = "item_id
                 ]
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.list_(pa.int64()))], ["item_id", "window"])
 
-    texts = keyed_text(items.where(F.col(id_col).isNotNull()), id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("string"))
-    return map_batches(texts, run, "item_id string, window array<bigint>").groupBy("window").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"))
+    texts = keyed_text(items, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("string"))
+    return map_batches(texts, run, "item_id string, window array<bigint>").groupBy("window").agg(
+        F.concat(F.sort_array(F.collect_set("item_id")), F.when(F.count("item_id") < F.count("*"), F.array(F.lit(None).cast("string"))).otherwise(F.array().cast("array<string>"))).alias("item_ids")
+    )
 
 
 def word_counts(docs: DataFrame, vocabulary: np.ndarray) -> dict[int, int]:
@@ -179,7 +181,7 @@ def search(shipped):
                     batch.column(1).slice(first, len(texts)),
                     pa.array(np.diff(offsets), pa.int64()),
                     pa.array([[{"start": s, "until": e} for s, e in merge_spans(x)] for x in spans], spans_type),
-                    pa.array([sorted(x) for x in found], pa.list_(pa.string())),
+                    pa.array([sorted(x, key=lambda i: (i is None, i or "")) for x in found], pa.list_(pa.string())),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text", "n_words", "hit_spans", "item_ids"])
 
@@ -196,5 +198,5 @@ def contamination(docs: DataFrame, items: DataFrame, n: int = WINDOW_WORDS) -> D
         hit.alias("n_hit"),
         F.size("item_ids").cast("long").alias("n_items"),
         F.sha2(F.array_join("item_ids", ",").cast("binary"), 256).alias("items_sha256"),
-        (F.size("item_ids") > 0).alias("contaminated"),
+        (F.size("hit_spans") > 0).alias("contaminated"),
     )

@@ -92,6 +92,18 @@ def test_windows_match_brute_force(spark, docs, monkeypatch, block):
     assert {tuple(r) for r in decontam.contamination(docs, items).collect()} == want
 
 
+def test_items_without_an_id_contaminate(spark, tmp_path):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(1, "say a b c now"), (2, "clean"), (3, "q r")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, "a b c"), (None, "b c"), (7, "a b c"), (None, "q r")], "item_id long, text string")
+    got = {r.doc_id: (r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontam.contamination(docs, items).collect()}
+    digest = lambda text: hashlib.sha256(text.encode()).hexdigest()
+    assert got == {1: (3, 2, digest("7"), True), 2: (0, 0, digest(""), False), 3: (2, 1, digest(""), True)}
+    items.write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert [r.doc_id for r in corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path)).collect()] == [2]
+
+
 def test_surrogates(spark):
     rows = [(1, "Mr. John Smith met Mrs Mary Smith; a@b.com A@B.com 4111 1111 1111 1111, 10.0.0.1", "k"), (None, "x 10.0.0.1", "k"), (2, None, "k"), (3, "", "k"), (4, "+1 (201) 555-0123 +1 (201) 555-0124", "k")]
     got = {r.doc_id: r for r in pii.replace_pii(spark.createDataFrame(rows, "doc_id long, text string, kind string")).collect()}
