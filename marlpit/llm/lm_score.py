@@ -1,370 +1,506 @@
-"""Scoring texts by a causal self-attention model over subword ids.
+"""Scoring texts by causal self-attention over subword ids.
 
 A text is its lower-cased words, then an end. Words are spelled in byte-level BPE
-pieces, each word closed by a mark. At every position an attention head looks
-back over a window: keys are the two pieces before an earlier position, the query
-the two pieces before this one, and an earlier position's value is the piece that
-stood there. A null key's value is the corpus distribution: piece counts of all
-training texts given the two pieces before inside the word, smoothed by shorter
-contexts. So the probability of a piece is
-
-    a_null * corpus(piece | two before) + sum of a_j over earlier j that hold it.
-
-The bilinear form of queries and keys and the null score are trained in numpy by
-gradient descent: every partition of the training texts learns from every window
-of each of its texts, end to end, and the partitions' weights are averaged by how
-many windows they saw. Scoring runs windows of WINDOW pieces that overlap by half, in
-masked batches; each piece is scored once.
-
-Counting is a shuffle over all training texts, and every context keeps its count.
-What is broadcast is bounded: the probabilities of at most KEPT frequent piece
-contexts, and the word counts of at most FREQUENT words; every other word and every
-other context of a text finds its count or probability by a join.
+pieces. Two attention models, trained in numpy, share the work. One reads a window
+of words, each by its first and its last piece, and gives the next word if it is
+one of the WHOLE most frequent, or else its first piece, or the end. What follows
+the first piece comes from all training words that begin so, by their counts; a
+DISCOUNT off each count goes to the other model, which reads the pieces of a word
+and gives the next piece or the word's close.
+
+Training texts are dealt by a hash of their pieces and ids to shards of about
+SHARD_PIECES, so shards, and with them scores, do not hang on how the input is
+split. The first shard is learned first; every other one goes on from there with
+all windows of all its texts, end to end, and with each of its distinct words; the
+weights are averaged by how much each shard learned. At scoring, windows of WINDOW
+words overlap, and each word is scored once, in masked batches.
+
+Word counts are a shuffle over all training texts, and every word keeps its count:
+those of at most FREQUENT words are broadcast, the others are joined to the texts.
 
 Null and empty texts are an end alone. Texts may be of any length. Repeated rows
-are scored one by one; null ids are not held out. Extra columns are not carried.
+are scored one by one; null ids are not held out, and their rows are dealt by
+where they stand in the input. Extra columns are not carried.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import base64
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import MEMORY_PIECES, Bpe, read_file
+from .attention import BUCKETS, MEMBERS, START, Adam, Attention, initial, keep_memory, picked, windows_of
+from .bpe import read_file
 from .common import crc_bucket, cut, keyed_text, map_batches
-from .textkernel import SPACED, hash_words, steps
-
-#: Pieces of a window and dimensions of an embedded piece; two pieces make a key.
-WINDOW, DIMS = 64, 16
-#: Bounds of what is broadcast.
-KEPT, FREQUENT = 1 << 18, 1 << 17
-#: The piece that closes a word, the one that stands before a word, and the number of pieces.
-CLOSE, START, PIECES = 65534, 65535, 65536
-#: Taken off every count and given to the shorter context's distribution.
+from .textkernel import mix, powers
+
+#: Positions of a window, and how many of them a scoring window adds to the one before.
+WINDOW, STEP = 32, 24
+#: The most words whose counts are broadcast.
+FREQUENT = 1 << 17
+#: The most frequent words, which are given at once and not spelled.
+WHOLE = 480
+#: Taken off the count of every word, for words that were never seen.
 DISCOUNT = 0.75
-RATE, BATCH_WINDOWS = 0.05, 64
-
-
-class Speller:
-    """The pieces of words, closed; remembers words it has spelled."""
-
-    def __init__(self, bpe: Bpe):
-        self.bpe, self.seen = bpe, {}
-
-    def __call__(self, words: list[bytes]) -> list[np.ndarray]:
-        needed = {*words}
-        if len(self.seen) > MEMORY_PIECES:
-            self.seen = {}
-        if new := [*(needed - self.seen.keys())]:
-            for word, ids in zip(new, self.bpe.merge([b" " + w for w in new])):
-                self.seen[word] = np.append(np.frombuffer(ids, "<u4").astype(np.uint16), np.uint16(CLOSE))
-        return [self.seen[w] for w in words]
-
-
+#: Pieces of a shard; windows of a training step; pieces that are worked on at a time.
+SHARD_PIECES, BATCH_WINDOWS, STEP_PIECES = 8_000_000, 256, 2_000_000
+RATE, GO_ON_RATE = 0.006, 0.003
+#: Steps that a shard should have at least, and passes over it that are made for them at most.
+STEPS, PASSES = 200, 10
+#: Rows whose weights one task sums, and that reach the driver.
+MERGED = 16
+#: Letters of a word that are spelled together.
+RUN = 64
 SPACES = bytes(32 if b in range(9, 14) else b for b in range(256))
+PIECE_VALUE = mix(np.arange(1, 65537, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def words_of(text: bytes) -> list[bytes]:
     return [w for w in text.lower().translate(SPACES).split(b" ") if w]
 
 
-def word_counts(train: DataFrame) -> DataFrame:
-    """(word, n): occurrences of each word hash in training texts (text); ends are not counted here."""
+class Speller:
+    """Texts as subword ids; a word's first piece, and no other, begins with the space before it."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.encoding = tiktoken.Encoding("pieces", pat_str=f" ?[^ ]{{1,{RUN}}}", mergeable_ranks=ranks, special_tokens={})
+
+    def __call__(self, texts: list[bytes], opens: np.ndarray) -> Iterator[bytes]:
+        """Each text's ids as little-endian unsigned 16-bit integers; a word is spelled once for all the texts."""
+        listed = [words_of(t) for t in texts]
+        every = [w for ws in listed for w in ws]
+        words = [*dict.fromkeys(every)]
+        pieces = np.array(self.encoding.encode_ordinary(" " + b" ".join(words).decode()) if words else [], np.uint16)
+        first = np.flatnonzero(opens[pieces])
+        size = np.diff(first, append=len(pieces))
+        at = dict(zip(words, range(len(words))))
+        which = np.fromiter(map(at.__getitem__, every), np.int64, len(every))
+        sizes = size[which]
+        ends = np.cumsum(sizes)
+        flat = pieces[np.repeat(first[which] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
+        cuts = np.concatenate([[0], ends])[np.cumsum([0, *map(len, listed)])]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            yield flat[a:b].tobytes()
+
+
+class Vocabulary:
+    """The subword ids of a rank file; one more id, `stop`, ends words and texts."""
+
+    def __init__(self, data: bytes):
+        self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in data.splitlines() if line)}
+        self.stop = max(self.ranks.values()) + 1
+        if self.stop >= 1 << 16:
+            raise ValueError("ids of more than 16 bits")
+        self.opens = np.zeros(self.stop + 1, bool)
+        self.opens[[i for t, i in self.ranks.items() if t[:1] == b" "]] = True
+
+
+class Words:
+    """The words of some texts (ids laid end to end): where they begin and end, how many each text has, and a hash of each."""
+
+    def __init__(self, texts: list[bytes], opens: np.ndarray):
+        self.ids = np.frombuffer(b"".join(texts), "<u2").astype(np.int64)
+        self.first = np.flatnonzero(opens[self.ids])
+        self.size = np.diff(self.first, append=len(self.ids))
+        self.last = self.first + self.size - 1
+        self.offsets = np.searchsorted(self.first, np.cumsum([0, *(len(t) // 2 for t in texts)]))
+        self.hashes = np.zeros(0, np.uint64)
+        if len(self.first):
+            within = np.arange(len(self.ids)) - np.repeat(self.first, self.size)
+            value = PIECE_VALUE[self.ids] * powers(int(self.size.max()))[within]
+            self.hashes = mix(np.add.reduceat(value, self.first) + self.size.astype(np.uint64))
+
+
+def id_steps(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, list[bytes]]]:
+    """(first row, packed ids) of consecutive parts of a batch, of about STEP_PIECES each."""
+    texts, at, size = batch.column(column).to_pylist(), 0, 0
+    for k, text in enumerate(texts):
+        if size and size + len(text) > 2 * STEP_PIECES:
+            yield at, texts[at:k]
+            at, size = k, 0
+        size += len(text)
+    if texts:
+        yield at, texts[at:]
+
+
+def spelled_texts(texts: DataFrame, vocabulary) -> DataFrame:
+    """(row, doc_id, trained, ids) of (doc_id, text, trained), packed as unsigned 16-bit integers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spell, row = None, TaskContext.get().partitionId() << 33
         for batch in batches:
-            for _, texts in steps(batch, 0):
-                words, n = np.unique(hash_words(texts, SPACED)[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n)], ["word", "n"])
+            spell = spell or Speller(vocabulary.value.ranks)
+            ids = [*spell(batch.column(1).cast(pa.binary()).to_pylist(), vocabulary.value.opens)]
+            rows = pa.array(np.arange(row, row + batch.num_rows))
+            row += batch.num_rows
+            yield pa.RecordBatch.from_arrays([rows, batch.column(0), batch.column(2), pa.array(ids, pa.binary())], ["row", "doc_id", "trained", "ids"])
 
-    return map_batches(train.select("text"), run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return map_batches(texts, run, f"row long, doc_id {texts.dtypes[0][1]}, trained boolean, ids binary")
 
 
-def piece_counts(texts: DataFrame, vocabulary) -> DataFrame:
-    """(context, n): (two before, one before, piece) inside words of texts (text, trained), packed into 48 bits, and its occurrences in trained ones; zero where only others have it."""
+#: Kinds of counts: words by their hash, first pieces of words, other pieces.
+WORD, OPENING, INNER = 0, 1, 2
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spell = None
-        for batch in batches:
-            spell = spell or Speller(Bpe.from_rank_lines(vocabulary.value))
-            words: dict[bytes, int] = {}
-            for text, trained in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist()):
-                for w in words_of(text):
-                    words[w] = words.get(w, 0) + trained
-            if not words:
-                continue
-            spelled = spell(list(words))
-            sizes = np.array([len(p) for p in spelled])
-            keys = contexts(np.concatenate(spelled), sizes)
-            found, which = np.unique(keys, return_inverse=True)
-            n = np.bincount(which, np.repeat(np.array(list(words.values())), sizes)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n)], ["context", "n"])
-
-    return map_batches(texts.select("text", "trained"), run, "context long, n long").groupBy("context").agg(F.sum("n").alias("n"))
-
-
-def corpus_table(counts: DataFrame, total: int) -> DataFrame:
-    """(context, n, p): the corpus probability of each counted context's piece, from all counts; total is their sum."""
-    context = F.col("context")
-    counts = counts.select("context", "n", context.bitwiseAND(0xFFFFFFFF).alias("pair"), F.shiftright(context, 16).alias("left"))
-    sums = lambda n, name: [F.sum(n).alias(f"{name}_n"), F.count(F.when(F.col(n) > 0, 1)).alias(f"{name}_kinds")]
-    smoothed = lambda n, name, shorter: F.when(
-        F.col(f"{name}_n") > 0, (F.greatest(F.col(n) - DISCOUNT, F.lit(0.0)) + F.lit(DISCOUNT) * F.col(f"{name}_kinds") * shorter) / F.col(f"{name}_n")
-    ).otherwise(shorter)
-    pairs = cut(counts.groupBy("pair").agg(F.sum("n").alias("n")).select("pair", "n", F.shiftright("pair", 16).alias("one"), F.col("pair").bitwiseAND(0xFFFF).alias("piece")))
-    # Of single pieces there are at most PIECES.
-    ones, singles = pairs.groupBy("one").agg(*sums("n", "one")), pairs.groupBy("piece").agg(F.sum("n").alias("single"))
-    single = (F.col("single") + 0.5) / F.lit(total + 0.5 * PIECES)
-    two = pairs.join(F.broadcast(ones), "one").join(F.broadcast(singles), "piece").select("pair", smoothed("n", "one", single).alias("two"))
-    lefts = counts.groupBy("left").agg(*sums("n", "left"))
-    return counts.join(two, "pair").join(lefts, "left").select("context", "n", smoothed("n", "left", F.col("two")).alias("p"))
-
-
-def with_probabilities(texts: DataFrame, table: DataFrame, hot, vocabulary) -> DataFrame:
-    """(row, doc_id, text, trained, known): texts (doc_id, text, trained) with the (context, p) of their contexts that `hot` lacks."""
+
+def corpus_counts(train: DataFrame, vocabulary) -> DataFrame:
+    """(kind, word, first, n): occurrences in training texts (ids) of each word, which has a first piece, of first pieces and of other pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spell = None
-        row = TaskContext.get().partitionId() << 33
+        opens = vocabulary.value.opens
+        pieces = np.zeros((2, len(opens)), np.int64)
+        rows = lambda kind, what, first, n: pa.RecordBatch.from_arrays([pa.array(np.full(len(n), kind, np.int32)), pa.array(what), pa.array(first.astype(np.int32)), pa.array(n)], ["kind", "word", "first", "n"])
         for batch in batches:
-            spell = spell or Speller(Bpe.from_rank_lines(vocabulary.value))
-            for first, part in steps(batch):
-                listed = [words_of(t) for t in part]
-                own = spell([w for ws in listed for w in ws])
-                sizes = np.array([len(p) for p in own], np.int64)
-                ends = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum([len(ws) for ws in listed])])]
-                keys = contexts(np.concatenate(own), sizes) if own else np.zeros(0, np.int64)
-                cold = ~hot.value.find(keys)[1]
-                some = [np.unique(keys[a:b][cold[a:b]]) for a, b in zip(ends[:-1], ends[1:])]
-                offsets = np.concatenate([[0], np.cumsum([len(x) for x in some])])
-                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(some)))
-                columns = [pa.array(np.arange(row, row + len(part)))] + [batch.column(k).slice(first, len(part)) for k in range(3)] + [lists]
-                row += len(part)
-                yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "text", "trained", "cold"])
-
-    listed = cut(map_batches(texts, run, f"row long, doc_id {texts.dtypes[0][1]}, text string, trained boolean, cold array<bigint>"))
-    asked = listed.select("row", F.explode("cold").alias("context"))
-    known = asked.join(table.select("context", "p"), "context").groupBy("row").agg(F.collect_list(F.struct("context", "p")).alias("known"))
-    return cut(listed.drop("cold").join(known, "row", "left"))
-
-
-def contexts(pieces: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """(two before, one before, piece) of each piece of words laid end to end; START stands before a word."""
-    pieces = pieces.astype(np.int64)
-    ends = np.cumsum(sizes)
-    place = np.arange(len(pieces)) - np.repeat(ends - sizes, sizes)
-    one = np.where(place >= 1, np.concatenate([[START], pieces[:-1]]), START)
-    two = np.where(place >= 2, np.concatenate([[START, START], pieces[:-2]])[: len(pieces)], START)
-    return two << 32 | one << 16 | pieces
-
-
-class Corpus:
-    """Corpus probabilities of packed contexts, and the logarithms of a text's end and of its going on."""
-
-    def __init__(self, context: np.ndarray, p: np.ndarray, end: float = 0.0, go_on: float = 0.0):
-        order = np.argsort(context)
-        self.context, self.p, self.end, self.go_on = context[order], p[order], end, go_on
-
-    def find(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(positions, which of the keys are there)."""
-        if not len(self.context):
-            return np.zeros(len(key), np.int64), np.zeros(len(key), bool)
-        at = np.minimum(np.searchsorted(self.context, key), len(self.context) - 1)
-        return at, self.context[at] == key
-
-    def look(self, key: np.ndarray, known: Corpus) -> np.ndarray:
-        """Probabilities from here or from what a batch brings; every key is in one of the two."""
-        at, here = self.find(key)
-        out = np.empty(len(key))
-        out[here] = self.p[at[here]]
-        at, there = known.find(key[~here])
-        if not there.all():
-            raise KeyError("a context without a probability")
-        out[~here] = known.p[at]
+            for _, texts in id_steps(batch, 0):
+                words = Words(texts, opens)
+                found, at, n = np.unique(words.hashes, return_index=True, return_counts=True)
+                yield rows(WORD, found.view(np.int64), words.ids[words.first[at]], n)
+                opening = np.bincount(words.ids[words.first], minlength=len(opens))
+                pieces += [opening, np.bincount(words.ids, minlength=len(opens)) - opening]
+        for kind, n in ((OPENING, pieces[0]), (INNER, pieces[1])):
+            there = np.flatnonzero(n)
+            yield rows(kind, there, there, n[there])
+
+    return map_batches(train.select("ids"), run, "kind int, word long, first int, n long").groupBy("kind", "word").agg(F.max("first").alias("first"), F.sum("n").alias("n"))
+
+
+class Buckets:
+    """Ids as BUCKETS buckets: all but MEMBERS of them hold one frequent id each, the rest share out the others."""
+
+    def __init__(self, frequency: np.ndarray, given: np.ndarray):
+        """frequency settles which ids stand alone; given: the occurrences that the probability inside a bucket follows."""
+        alone = BUCKETS - MEMBERS
+        order = np.argsort(-frequency, kind="stable")
+        self.of = (alone + np.arange(len(frequency)) % MEMBERS).astype(np.int16)
+        self.of[order[:alone]] = np.arange(alone)
+        whole = np.bincount(self.of, given + 0.5, BUCKETS)
+        self.popularity = whole / whole.sum()
+        self.inside = np.log((given + 0.5) / whole[self.of])
+
+
+class Positions:
+    """Sequences laid end to end (size: of each): two ids a position, the bucket to be given there, and the id's probability inside its bucket. Joint sequences share windows."""
+
+    def __init__(self, size: np.ndarray, one: np.ndarray, two: np.ndarray, goal: np.ndarray, inside: np.ndarray, joint: bool):
+        self.size, self.one, self.two, self.goal, self.inside = size, one, two, goal, inside
+        self.runs = np.array([len(one)]) if joint else size
+        self.group = np.repeat(np.arange(len(size), dtype=np.int32), size)
+
+    def windows(self, index: np.ndarray) -> tuple[np.ndarray, ...]:
+        return picked(self.one, index, START), picked(self.two, index, START), picked(self.group, index, -1), picked(self.goal, index, 0)
+
+    def log_probability(self, model: Attention) -> np.ndarray:
+        """The natural logarithm of the probability of the id at each position, from windows that overlap by WINDOW - STEP."""
+        p, lead = np.zeros(len(self.one)), WINDOW - STEP
+        index, given = windows_of(self.runs, WINDOW, STEP)
+        for k in range(0, len(index), BATCH_WINDOWS):
+            at, own = index[k : k + BATCH_WINDOWS], given[k : k + BATCH_WINDOWS, lead:]
+            one, two, group, goal = self.windows(at)
+            p[at[:, lead:][own]] = model.log_probability(one, two, group, goal[:, lead:], lead)[own]
+        return p + self.inside
+
+    def learn(self, adam: Adam, batch: int) -> int:
+        """A step for every batch of windows, which do not overlap; returns how many windows there were."""
+        index, given = windows_of(self.runs, WINDOW, WINDOW)
+        # Neighbours are alike; steps take windows from everywhere.
+        order = np.argsort(mix(np.arange(len(index), dtype=np.uint64)))
+        for k in range(0, len(index), batch):
+            some = order[k : k + batch]
+            weight = given[some].astype(np.float32)
+            adam.step(*self.windows(index[some]), weight / weight.sum())
+        return len(order)
+
+
+class Memory:
+    """A worker's memory of what words were found to be worth, by hash; it forgets all when it is full."""
+
+    def __init__(self, room: int = 1 << 19):
+        self.room, self.hashes, self.values = room, np.zeros(0, np.uint64), np.zeros(0)
+
+    def find(self, hashes: np.ndarray, work: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+        """Values of distinct ascending hashes; work gives those at the positions it is called with."""
+        at = np.minimum(np.searchsorted(self.hashes, hashes), max(0, len(self.hashes) - 1))
+        known = self.hashes[at] == hashes if len(self.hashes) else np.zeros(len(hashes), bool)
+        out = np.where(known, self.values[at] if len(self.hashes) else 0.0, 0.0)
+        new = np.flatnonzero(~known)
+        out[new] = work(new)
+        if len(self.hashes) + len(new) > self.room:
+            self.hashes, self.values = self.hashes[:0], self.values[:0]
+        both = np.concatenate([self.hashes, hashes[new]])
+        order = np.argsort(both, kind="stable")
+        self.hashes, self.values = both[order], np.concatenate([self.values, out[new]])[order]
         return out
 
-    @staticmethod
-    def of_batch(known: pa.ListArray) -> Corpus:
-        rows = known.flatten()
-        context, first = np.unique(rows.field(0).to_numpy(zero_copy_only=False), return_index=True)
-        return Corpus(context, rows.field(1).to_numpy(zero_copy_only=False)[first])
-
-
-def embedded() -> np.ndarray:
-    """A fixed random vector for every piece."""
-    return (np.random.default_rng(7).standard_normal((PIECES, DIMS)) / np.sqrt(DIMS)).astype(np.float32)
-
-
-class Attention:
-    """One head with a null key. weights: the bilinear form of queries and keys, and the null score."""
-
-    def __init__(self, form: np.ndarray | None = None, null: float = 10.0):
-        self.form = np.eye(2 * DIMS, dtype=np.float32) * 4 if form is None else form.astype(np.float32)
-        self.null, self.vectors = float(null), embedded()
 
-    def windows(self, ids: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(shares of earlier positions, share of the null key, whether they hold the piece, keys) for positions from `first` on."""
-        one = np.concatenate([np.full((len(ids), 1), START), ids[:, :-1]], axis=1)
-        two = np.concatenate([np.full((len(ids), 1), START), one[:, :-1]], axis=1)
-        keys = np.concatenate([self.vectors[one], self.vectors[two]], axis=2)
-        score = (keys[:, first:] @ self.form) @ keys.transpose(0, 2, 1)
-        earlier = (np.arange(ids.shape[1])[None] < np.arange(first, ids.shape[1])[:, None]) & (ids != START)[:, None, :]
-        top = 20.0
-        weight = np.exp(np.minimum(score, top)) * earlier
-        total = weight.sum(axis=2) + np.float32(np.exp(min(self.null, top)))
-        return weight / total[:, :, None], np.exp(min(self.null, top)) / total, ids[:, first:, None] == ids[:, None, :], keys
+class Language:
+    """Both models and their buckets. Words among `whole` (hashes and counts) are given at once, all others by their first piece and what follows it."""
+
+    def __init__(self, opening: np.ndarray, inner: np.ndarray, texts: int, stop: int, whole: np.ndarray, n: np.ndarray):
+        words = opening.sum()
+        order = np.argsort(whole)
+        self.whole, self.stop = whole[order], stop
+        every, given = np.concatenate([opening, n[order]]), inner.copy()
+        every[stop], given[stop] = texts, words
+        self.opening, self.inner = Buckets(every, every), Buckets(opening + given, given)
+        self.models = [Attention(WINDOW, initial(WINDOW, self.opening.popularity)), Attention(WINDOW, initial(WINDOW, self.inner.popularity), WINDOW - STEP)]
+
+    def heads(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
+        """(the id that opens each word: its own or that of its first piece; which words have their own)."""
+        at = np.minimum(np.searchsorted(self.whole, words.hashes), max(0, len(self.whole) - 1))
+        own = self.whole[at] == words.hashes if len(self.whole) else np.zeros(len(at), bool)
+        return np.where(own, self.stop + 1 + at, words.ids[words.first]), own
+
+    def pack(self) -> bytes:
+        return b"".join(v.astype("<f4").tobytes() for m in self.models for v in m.weights.values())
+
+    def unpack(self, data: bytes) -> None:
+        values, at = np.frombuffer(data, "<f4"), 0
+        for m in self.models:
+            for k, v in m.weights.items():
+                m.weights[k] = values[at : at + v.size].reshape(v.shape).copy()
+                at += v.size
+
+    def text_positions(self, words: Words, heads: np.ndarray) -> Positions:
+        """Every word of every text, then the text's end."""
+        many = np.diff(words.offsets)
+        at = np.arange(len(words.first)) + np.repeat(np.arange(len(many)), many)
+        total = len(at) + len(many)
+        one, two = np.full(total + 1, START, np.int16), np.full(total + 1, START, np.int16)
+        goal = np.full(total, self.stop)
+        goal[at] = heads
+        one[at + 1], two[at + 1] = self.opening.of[heads], self.inner.of[words.ids[words.last]]
+        # Nothing stands before a text's first word.
+        begin = np.cumsum(many + 1) - (many + 1)
+        one[begin], two[begin] = START, START
+        return Positions(many + 1, one[:total], two[:total], self.opening.of[goal], self.opening.inside[goal], False)
+
+    def word_positions(self, words: Words, chosen: np.ndarray) -> Positions:
+        """Every piece after the first of the chosen words, then the word's close."""
+        size = words.size[chosen]
+        ends = np.cumsum(size)
+        within = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - size, size)
+        ids = words.ids[np.repeat(words.first[chosen], size) + within]
+        one = self.inner.of[ids]
+        two = np.where(within > 0, np.concatenate([[START], one[:-1]]), START).astype(np.int16) if len(ids) else one
+        goal = np.append(ids[1:], self.stop)[: len(ids)]
+        goal[ends - 1] = self.stop
+        return Positions(size, one, two, self.inner.of[goal], self.inner.inside[goal], True)
+
+    def log_probabilities(self, words: Words, memory: Memory) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(natural logarithms of the probability of each word's opening, of the rest of each word, of each text's end; which words have no rest)."""
+        heads, own = self.heads(words)
+        positions = self.text_positions(words, heads)
+        p = positions.log_probability(self.models[0])
+        ends = np.cumsum(positions.size) - 1
+        rest, spelt = np.zeros(len(heads)), np.flatnonzero(~own)
+        hashes, chosen, which = np.unique(words.hashes[spelt], return_index=True, return_inverse=True)
+        rest[spelt] = memory.find(hashes, lambda new: self.spelled(words, spelt[chosen[new]]))[which]
+        return np.delete(p, ends), rest, p[ends], own
+
+    def spelled(self, words: Words, chosen: np.ndarray) -> np.ndarray:
+        """Natural logarithm of the probability of what follows the first piece of each chosen word."""
+        positions = self.word_positions(words, chosen)
+        p = positions.log_probability(self.models[1])
+        return np.add.reduceat(p, np.cumsum(positions.size) - positions.size) if len(chosen) else p
+
+    def learn(self, words: Words, known: np.ndarray, adams: list[Adam], batch: int) -> tuple[int, np.ndarray]:
+        """A step for every batch of windows of the texts, and of their distinct words that are not known; returns (windows of texts, hashes now known)."""
+        heads, own = self.heads(words)
+        windows = self.text_positions(words, heads).learn(adams[0], batch)
+        spelt = np.flatnonzero(~own)
+        hashes, chosen = np.unique(words.hashes[spelt], return_index=True)
+        new = ~np.isin(hashes, known, assume_unique=True)
+        self.word_positions(words, spelt[chosen[new]]).learn(adams[1], batch)
+        return windows, np.union1d(known, hashes)
+
+
+def learned_shards(train: DataFrame, vocabulary, empty: Language, weights: bytes, rate: float, steps: int, batch: int) -> DataFrame:
+    """(shard, seen, weights) from rows (shard, pass, ids) that are dealt and sorted so: what each shard makes of the weights it is given."""
 
-    def probability(self, ids: np.ndarray, corpus: np.ndarray, first: int) -> np.ndarray:
-        share, none, holds, _ = self.windows(ids, first)
-        return none * corpus + (share * holds).sum(axis=2)
-
-    def learn(self, ids: np.ndarray, corpus: np.ndarray, valid: np.ndarray) -> None:
-        """One step down the mean negative log-likelihood of windows."""
-        share, none, holds, keys = self.windows(ids, 0)
-        p = none * corpus + (share * holds).sum(axis=2) + 1e-12
-        weight = valid / max(1.0, valid.sum())
-        slope = (share - share * holds / p[:, :, None]) * weight[:, :, None]
-        form = np.einsum("bid,bij,bje->de", keys, slope, keys, optimize=True)
-        null = ((none - none * corpus / p) * weight).sum()
-        self.form -= RATE * 100 * np.clip(form, -1, 1).astype(np.float32)
-        self.null -= RATE * 100 * float(np.clip(null, -1, 1))
-
-
-def train_attention(train: DataFrame, vocabulary, corpus) -> Attention:
-    """Weights learned from all windows of every training text (text, known), averaged over partitions."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_memory()
+        language, opens = empty, vocabulary.value.opens
+        shard, seen, known, adams = None, 0, np.zeros(0, np.uint64), []
+
+        def ended() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([float(seen)]), pa.array([language.pack()], pa.binary())], ["shard", "seen", "weights"])
+
+        at = None
+        for rows in batches:
+            of = rows.column(0).to_numpy().astype(np.int64) << 8 | rows.column(1).to_numpy()
+            for first, texts in id_steps(rows, 2):
+                own = of[first : first + len(texts)]
+                for s in np.unique(own):
+                    if at is None or s >> 8 != shard:
+                        if at is not None:
+                            yield ended()
+                        language.unpack(weights)
+                        shard, seen, adams = int(s >> 8), 0, [Adam(m, rate, steps) for m in language.models]
+                    if s != at:
+                        at, known = s, np.zeros(0, np.uint64)
+                    windows, known = language.learn(Words([texts[k] for k in np.flatnonzero(own == s)], opens), known, adams, batch)
+                    seen += windows
+        if shard is not None:
+            yield ended()
+
+    return map_batches(train.select("shard", "pass", "ids"), run, "shard int, seen double, weights binary")
+
+
+def averaged(learned: DataFrame, many: int) -> bytes | None:
+    """The mean of the weights of `many` shards, weighted by seen. Rounds of tasks sum MERGED rows each until MERGED are left."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spell = model = None
-        seen = 0
-        for batch in batches:
-            spell, model = spell or Speller(Bpe.from_rank_lines(vocabulary.value)), model or Attention()
-            known = Corpus.of_batch(batch.column(1))
-            ids, probability = [], []
-            for text in batch.column(0).cast(pa.binary()).to_pylist():
-                if own := spell(words_of(text)):
-                    pieces = np.concatenate(own)
-                    p = corpus.value.look(contexts(pieces, np.array([len(x) for x in own])), known)
-                    ids += [pieces[at : at + WINDOW] for at in range(0, len(pieces), WINDOW)]
-                    probability += [p[at : at + WINDOW] for at in range(0, len(p), WINDOW)]
-            for at in range(0, len(ids), BATCH_WINDOWS):
-                part = ids[at : at + BATCH_WINDOWS]
-                block, base, valid = np.full((len(part), WINDOW), START), np.ones((len(part), WINDOW)), np.zeros((len(part), WINDOW))
-                for r, (x, p) in enumerate(zip(part, probability[at : at + BATCH_WINDOWS])):
-                    block[r, : len(x)], base[r, : len(x)], valid[r, : len(x)] = x, p, 1
-                model.learn(block, base, valid)
-                seen += len(part)
-        if model and seen:
-            yield pa.RecordBatch.from_arrays([pa.array([model.form.ravel().astype(np.float64).tolist()]), pa.array([model.null]), pa.array([seen])], ["form", "null_score", "seen"])
-
-    rows = map_batches(train.select("text", "known"), run, "form array<double>, null_score double, seen long").collect()
+        into, total, seen = None, None, 0.0
+        for rows in batches:
+            for s, n, packed in zip(*(rows.column(k).to_pylist() for k in range(3))):
+                if s // MERGED != into:
+                    if into is not None:
+                        yield row(into, seen, total)
+                    into, total, seen = s // MERGED, None, 0.0
+                mean = np.frombuffer(packed, "<f4").astype(np.float64)
+                total, seen = (0 if total is None else total) + n * mean, seen + n
+        if into is not None:
+            yield row(into, seen, total)
+
+    def row(into: int, seen: float, total: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([into], pa.int32()), pa.array([seen]), pa.array([(total / seen).astype("<f4").tobytes()], pa.binary())], ["shard", "seen", "weights"])
+
+    while many > MERGED:
+        many = -(-many // MERGED)
+        dealt = learned.repartition(many, F.floor(F.col("shard") / MERGED)).sortWithinPartitions("shard")
+        learned = map_batches(dealt, run, "shard int, seen double, weights binary")
+    rows = sorted(learned.collect(), key=lambda r: r["shard"])
     if not rows:
-        return Attention()
-    weight = np.array([r["seen"] for r in rows], np.float64)
-    form = np.average([r["form"] for r in rows], axis=0, weights=weight).reshape(2 * DIMS, 2 * DIMS)
-    return Attention(form, float(np.average([r["null_score"] for r in rows], weights=weight)))
+        return None
+    total = sum(r["seen"] for r in rows)
+    return sum(r["seen"] / total * np.frombuffer(r["weights"], "<f4").astype(np.float64) for r in rows).astype("<f4").tobytes()
+
+
+def train(texts: DataFrame, vocabulary, language: Language, pieces: int, words: int) -> bytes:
+    """The packed weights learned from all windows of texts (row, doc_id, ids)."""
+    shards = max(1, -(-pieces // SHARD_PIECES))
+    windows = max(1.0, words / shards / WINDOW)
+    # A small corpus is learned in small steps, and more than once.
+    batch = int(np.clip(windows / STEPS, 16, BATCH_WINDOWS))
+    passes = int(np.clip(np.ceil(STEPS * batch / windows), 1, PASSES)) if shards == 1 else 1
+    key = F.xxhash64("ids", F.coalesce(F.col("doc_id").cast("string"), F.col("row").cast("string")))
+    dealt = texts.select("ids", key.alias("key"), F.pmod(key, F.lit(shards)).cast("int").alias("shard"))
+    steps = int(passes * windows / batch)
+    # One task: the first shard has about SHARD_PIECES pieces however many there are.
+    first = dealt.where("shard = 0").withColumn("pass", F.explode(F.sequence(F.lit(1), F.lit(passes)))).repartition(1).sortWithinPartitions("pass", "key")
+    weights = averaged(learned_shards(first, vocabulary, language, language.pack(), RATE, steps, batch), 1) or language.pack()
+    if shards == 1:
+        return weights
+    rest = dealt.where("shard > 0").withColumn("pass", F.lit(1)).repartition(shards, "shard").sortWithinPartitions("shard", "key")
+    return averaged(learned_shards(rest, vocabulary, language, weights, GO_ON_RATE, steps, batch), shards) or weights
+
+
+def frequent(words: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes in ascending order, counts) of the most frequent words, FREQUENT at most: whole levels of an eighth of a doubling."""
+    level = F.floor(F.log2("n") * 8)
+    room, lowest = FREQUENT, None
+    for row in words.groupBy(level.alias("level")).agg(F.count("*").alias("many")).orderBy(F.desc("level")).collect():
+        room -= row["many"]
+        if room < 0:
+            break
+        lowest = row["level"]
+    rows = (words.where(level >= lowest) if lowest is not None else words.limit(0)).select("word", "n").toPandas()
+    hashes, n = rows["word"].to_numpy(np.int64).view(np.uint64), rows["n"].to_numpy(np.int64)
+    order = np.argsort(hashes)
+    return hashes[order], n[order]
 
 
-def score_pieces(model: Attention, ids: np.ndarray, corpus: np.ndarray) -> np.ndarray:
-    """The probability of each piece of one sequence, from windows that overlap by half."""
-    half = WINDOW // 2
-    n = len(ids)
-    padded = np.concatenate([np.full(half, START), ids, np.full(-n % half, START)])
-    base = np.concatenate([corpus, np.ones(-n % half)])
-    blocks = np.lib.stride_tricks.sliding_window_view(padded, WINDOW)[::half]
-    out = [model.probability(blocks[k : k + 256], base.reshape(-1, half)[k : k + 256], half) for k in range(0, len(blocks), 256)]
-    return np.concatenate(out).ravel()[:n]
+def begun_so(words: DataFrame, whole: np.ndarray, stop: int) -> tuple[np.ndarray, np.ndarray]:
+    """(occurrences, distinct words) by first piece, of words (word, first, n) that are not whole."""
+    others = words.where(~F.col("word").isin(whole.view(np.int64).tolist())) if len(whole) else words
+    out = np.zeros((2, stop + 1))
+    for r in others.groupBy("first").agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).collect():
+        out[:, r["first"]] = r["n"], r["kinds"]
+    return out[0], out[1]
 
 
 def score_texts(docs: DataFrame, train_condition, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every text; statistics and weights come from the rows under train_condition.
+    """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every text; counts and weights come from the rows under train_condition.
 
     base_score is the smoothed word-unigram log10 probability that the score is to be held against.
     """
     texts = keyed_text(docs, id_col, text_col)
     kind = texts.dtypes[0][1]
-    train = texts.where(train_condition)
-    spark = docs.sparkSession
-    vocabulary = spark.sparkContext.broadcast(read_file(docs, vocabulary_path))
-    counts = cut(word_counts(train))
-    totals = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    ends = train.count()
-    tokens, types = totals["n"] + ends, totals["v"] + (ends > 0)
-    by_count = counts.groupBy(F.least("n", F.lit(1000)).alias("n")).agg(F.count("*").alias("words")).orderBy(F.desc("n")).collect()
-    room, least = FREQUENT, 1001
-    for row in by_count:
-        if row["words"] > room:
-            break
-        room, least = room - row["words"], row["n"]
-    often = counts.where(F.col("n") >= least).toPandas() if least <= 1000 else counts.limit(0).toPandas()
-    order = np.argsort(often["word"].to_numpy(np.int64).view(np.uint64))
-    words = spark.sparkContext.broadcast((often["word"].to_numpy(np.int64).view(np.uint64)[order], often["n"].to_numpy(np.int64)[order]))
-    marked = texts.withColumn("trained", F.coalesce(train_condition, F.lit(False)))
-    pieces = cut(piece_counts(marked, vocabulary))
-    sums = pieces.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.when(F.col("context").bitwiseAND(0xFFFF) == CLOSE, F.col("n"))), F.lit(0)).alias("words")).first()
-    table = cut(corpus_table(pieces, sums["n"]))
-    # Levels are an eighth of a doubling; the most frequent whole ones that fit are broadcast, so never more than KEPT.
-    level = F.floor(F.log2("n") * 8)
-    levels = table.where("n > 0").groupBy(level.alias("level")).agg(F.count("*").alias("contexts")).orderBy(F.desc("level")).collect()
-    room, lowest = KEPT, None
-    for row in levels:
-        room -= row["contexts"]
-        if room < 0:
-            break
-        lowest = row["level"]
-    kept = (table.where("n > 0").where(level >= lowest) if lowest is not None else table.limit(0)).select("context", "p").toPandas()
-    # One more word after every text's words is its end; it is a word of one piece.
-    end = float(np.log((ends + 0.5) / (sums["words"] + ends + 1.0)))
-    corpus = spark.sparkContext.broadcast(Corpus(kept["context"].to_numpy(np.int64), kept["p"].to_numpy(np.float64), end, float(np.log1p(-np.exp(end)))))
-    ready = with_probabilities(marked, table, corpus, vocabulary)
-    trained = train_attention(ready.where("trained"), vocabulary, corpus)
-    weights = (trained.form, trained.null)
+    context = docs.sparkSession.sparkContext
+    vocabulary = context.broadcast(Vocabulary(read_file(docs, vocabulary_path)))
+    stop = vocabulary.value.stop
+    spelled = cut(spelled_texts(texts.withColumn("trained", F.coalesce(train_condition, F.lit(False))), vocabulary))
+    learnt = spelled.where("trained")
+    counts = cut(corpus_counts(learnt, vocabulary))
+    ends = learnt.count()
+    by_kind = {r["kind"]: r for r in counts.groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}
+    n_words, types = (by_kind[WORD]["n"], by_kind[WORD]["v"]) if WORD in by_kind else (0, 0)
+    tokens, types = n_words + ends, types + (ends > 0)
+    # One row for each piece of the vocabulary and kind at most.
+    pieces = np.zeros((3, stop + 1), np.float64)
+    for r in counts.where(F.col("kind") != WORD).collect():
+        pieces[r["kind"], r["word"]] = r["n"]
+    words = counts.where(F.col("kind") == WORD).select("word", "first", "n")
+    often, often_n = frequent(words)
+    whole = np.lexsort((often, -often_n))[:WHOLE]
+    language = Language(pieces[OPENING], pieces[INNER], ends, stop, often[whole], often_n[whole])
+    language.unpack(train(learnt, vocabulary, language, int(pieces.sum()), int(tokens)))
+    begun = begun_so(words, often[whole], stop)
+    shared = context.broadcast((language, often, often_n, begun))
     scale = tokens + 0.5 * (types + 1)
     end_base = float(np.log10((ends + 0.5) / scale))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spell = model = None
-        often, often_n = words.value
+        keep_memory()
+        language, often, often_n, (all_so, kinds_so) = shared.value
+        memory = Memory()
         for batch in batches:
-            spell, model = spell or Speller(Bpe.from_rank_lines(vocabulary.value)), model or Attention(*weights)
-            known = Corpus.of_batch(batch.column(3))
-            for first, part in steps(batch, 2):
-                hashes, offsets = hash_words(part, SPACED)
-                at = np.minimum(np.searchsorted(often, hashes), max(0, len(often) - 1))
-                found = often[at] == hashes if len(often) else np.zeros(len(hashes), bool)
-                base = np.where(found, np.log10((often_n[at] + 0.5) / scale) if len(often) else 0.0, 0.0)
-                sums, hits = np.concatenate([[0], np.cumsum(base)]), np.concatenate([[0], np.cumsum(found)])
-                listed = [words_of(t) for t in part]
-                spelled = spell([w for ws in listed for w in ws])
-                scores, k = [], 0
-                for ws in listed:
-                    total = corpus.value.end
-                    if ws:
-                        own = spelled[k : k + len(ws)]
-                        k += len(ws)
-                        ids = np.concatenate(own)
-                        p = corpus.value.look(contexts(ids, np.array([len(x) for x in own])), known)
-                        total += np.log(np.maximum(score_pieces(model, ids.astype(np.int64), p), 1e-30)).sum() + len(ws) * corpus.value.go_on
-                    scores.append(float(total / np.log(10)))
-                rare = [hashes[a:b][~found[a:b]].view(np.int64) for a, b in zip(offsets[:-1], offsets[1:])]
+            for first, part in id_steps(batch, 2):
+                own = Words(part, vocabulary.value.opens)
+                opening, rest, end, own_id = language.log_probabilities(own, memory)
+                at = np.minimum(np.searchsorted(often, own.hashes), max(0, len(often) - 1))
+                found = often[at] == own.hashes if len(often) else np.zeros(len(at), bool)
+                n = np.where(found, often_n[at] if len(often) else 0, 0)
+                begins = own.ids[own.first]
+                # What is left of the first piece's words for those never seen; all, if none begins so.
+                spare = np.where(kinds_so[begins] > 0, DISCOUNT * kinds_so[begins], 1.0) * np.exp(rest)
+                of_count = np.where(own_id, 0.0, np.where(found, np.log10(np.maximum(n - DISCOUNT, 0) + spare), 0.0))
+                score = opening / np.log(10) + np.where(own_id, 0.0, of_count - np.log10(np.maximum(all_so[begins], 1)))
+                base = np.where(found, np.log10((n + 0.5) / scale), 0.0)
+                sums = [np.concatenate([[0], np.cumsum(x)])[own.offsets] for x in (found, base, score)]
+                rare = np.flatnonzero(~found)
+                listed = pa.ListArray.from_arrays(
+                    pa.array(np.searchsorted(rare, own.offsets), pa.int32()),
+                    pa.StructArray.from_arrays([pa.array(own.hashes[rare].view(np.int64)), pa.array(spare[rare].astype(np.float32))], ["word", "spare"]),
+                )
                 columns = [
                     batch.column(0).slice(first, len(part)),
                     batch.column(1).slice(first, len(part)),
-                    pa.array(np.diff(offsets) + 1, pa.int64()),
-                    pa.array(hits[offsets[1:]] - hits[offsets[:-1]] + (ends > 0), pa.int64()),
-                    pa.array(sums[offsets[1:]] - sums[offsets[:-1]] + end_base),
-                    pa.array(scores),
-                    pa.array([r.tolist() for r in rare], pa.list_(pa.int64())),
+                    pa.array(np.diff(own.offsets) + 1, pa.int64()),
+                    pa.array(np.diff(sums[0]).astype(np.int64) + (ends > 0)),
+                    pa.array(np.diff(sums[1]) + end_base),
+                    pa.array(np.diff(sums[2]) + end / np.log(10)),
+                    listed,
                 ]
                 yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "n_tokens", "n_known", "base_score", "score", "rare"])
 
-    scored = cut(map_batches(ready.select("row", "doc_id", "text", "known"), run, f"row long, doc_id {kind}, n_tokens long, n_known long, base_score double, score double, rare array<bigint>"))
-    asked = scored.select("row", F.explode("rare").alias("word"))
-    rest = asked.join(counts.where(F.col("n") < least), "word", "left").groupBy("row").agg(F.count("n").alias("more"), F.sum(F.log10((F.coalesce("n", F.lit(0)) + 0.5) / F.lit(float(scale)))).alias("rest"))
+    scored = cut(map_batches(spelled.select("row", "doc_id", "ids"), run, f"row long, doc_id {kind}, n_tokens long, n_known long, base_score double, score double, rare array<struct<word:bigint,spare:float>>"))
+    asked = scored.select("row", F.explode("rare").alias("rare")).select("row", "rare.word", "rare.spare")
+    n = F.coalesce("n", F.lit(0))
+    rest = (
+        asked.join(words.drop("first"), "word", "left")
+        .groupBy("row")
+        .agg(
+            F.count("n").alias("more"),
+            F.sum(F.log10((n + 0.5) / F.lit(float(scale)))).alias("rest"),
+            F.sum(F.log10(F.greatest(n - DISCOUNT, F.lit(0.0)) + F.greatest(F.col("spare").cast("double"), F.lit(1e-37)))).alias("rest_score"),
+        )
+    )
     out = scored.drop("rare").join(rest, "row", "left")
     return out.select(
         "doc_id",
@@ -372,7 +508,7 @@ def score_texts(docs: DataFrame, train_condition, vocabulary_path: str, id_col:
         (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"),
         F.lit(tokens).cast("long").alias("train_tokens"),
         (F.col("base_score") + F.coalesce("rest", F.lit(0.0))).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("rest_score", F.lit(0.0))).alias("score"),
     )
 
 

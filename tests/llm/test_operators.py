@@ -7,7 +7,7 @@ import zlib
 
 import pytest
 
-from marlpit.llm import chat, components, decontam, fingerprints, lm_score, minhash, pii, suffix_dedup, toxicity
+from marlpit.llm import chat, components, decontam, fingerprints, minhash, pii, suffix_dedup, toxicity
 
 rng = random.Random(5)
 VOCABULARY = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 6))) for _ in range(300)]
@@ -205,84 +205,6 @@ def test_next_documents_and_fingerprints(docs):
     assert rows[3].fingerprint == rows[4].fingerprint != rows[9].fingerprint
 
 
-def test_lm_base_and_bounds(spark, docs):
-    import public_tokenizers
-
-    got = lm_score.score_texts(docs, lm_score.training_rows(), public_tokenizers.path("byte_bpe_50k.tiktoken")).collect()
-    assert len(got) == docs.count() and all(r.score < 0 and r.base_score < 0 and r.n_known <= r.n_tokens for r in got)
-    assert {r.n_tokens for r in got if r.doc_id in (0, 1)} == {1}
-
-
-def test_lm_counts_every_context(spark, docs, monkeypatch):
-    """Scores do not hang on how much is broadcast, and the corpus distribution is that of plain counts."""
-    import numpy as np
-    import public_tokenizers
-    from pyspark.sql import functions as F
-
-    path, scores = public_tokenizers.path("byte_bpe_50k.tiktoken"), []
-    for kept in (1 << 18, 5):
-        monkeypatch.setattr(lm_score, "KEPT", kept)
-        scores.append(sorted((str(r.doc_id), r.n_tokens, round(r.score, 3)) for r in lm_score.score_texts(docs.coalesce(1), lm_score.training_rows(), path).collect()))
-    assert scores[0] == scores[1]
-    vocabulary = spark.sparkContext.broadcast(lm_score.read_file(docs, path))
-    marked = docs.select(F.coalesce("text", F.lit("")).alias("text"), lm_score.training_rows().alias("trained"))
-    counts = {r.context: r.n for r in lm_score.piece_counts(marked, vocabulary).collect()}
-    assert 0 in counts.values()
-    table = lm_score.corpus_table(spark.createDataFrame([*counts.items()], "context long, n long"), sum(counts.values()))
-    got, d = {r.context: r.p for r in table.collect()}, lm_score.DISCOUNT
-    by = [{}, {}, {}]
-    for k, n in counts.items():
-        for size, bits in enumerate((0xFFFF, 0xFFFFFFFF, (1 << 48) - 1)):
-            by[size][k & bits] = by[size].get(k & bits, 0) + n
-    for k in [*counts][::7]:
-        p = (by[0][k & 0xFFFF] + 0.5) / (sum(counts.values()) + 0.5 * lm_score.PIECES)
-        for size, bits in ((1, 0xFFFFFFFF), (2, (1 << 48) - 1)):
-            of = [n for q, n in by[size].items() if q >> 16 == (k & bits) >> 16 and n]
-            p = (max(by[size][k & bits] - d, 0) + d * len(of) * p) / sum(of) if of else p
-        assert np.isclose(got[k], p, rtol=1e-9)
-    assert len(got) == len(counts)
-
-
-def test_attention_learns_from_every_window(spark, monkeypatch):
-    """The windows learned from hold each piece of the training texts once."""
-    import numpy as np
-    import public_tokenizers
-
-    monkeypatch.setattr(lm_score.Attention, "learn", lambda self, ids, corpus, valid: setattr(self, "null", self.null + valid.sum()))
-    own = random.Random(4)
-    rows = [(k, " ".join(own.choice(VOCABULARY) for _ in range(n))) for k, n in enumerate([400, 3, 90])]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
-    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    vocabulary = spark.sparkContext.broadcast(lm_score.read_file(docs, path))
-    speller = lm_score.Speller(lm_score.Bpe.from_rank_lines(vocabulary.value))
-    keys = [lm_score.contexts(np.concatenate(w), np.array([len(x) for x in w])) for w in (speller(lm_score.words_of(t.encode())) for _, t in rows)]
-    every = np.unique(np.concatenate(keys))
-    corpus = spark.sparkContext.broadcast(lm_score.Corpus(every, np.full(len(every), 0.01)))
-    train = docs.selectExpr("text", "cast(array() as array<struct<context:bigint,p:double>>) as known")
-    assert run_here(lm_score, monkeypatch, train, vocabulary, corpus).null == 10.0 + sum(map(len, keys))
-
-
-def run_here(module, monkeypatch, train, vocabulary, corpus):
-    """train_attention with its mapInArrow function called in this process, where learn() is replaced."""
-    import pyarrow as pa
-    from types import SimpleNamespace
-
-    def here(df, run, schema):
-        found = [r for b in run(iter(df.toArrow().to_batches())) for r in pa.Table.from_batches([b]).to_pylist()]
-        return SimpleNamespace(collect=lambda: found)
-
-    monkeypatch.setattr(module, "map_batches", here)
-    return module.train_attention(train, vocabulary, corpus)
-
-
-def test_attention_scores_each_piece_once():
-    import numpy as np
-
-    model, ids = lm_score.Attention(), np.arange(150) % 40
-    p = lm_score.score_pieces(model, ids, np.full(150, 0.01))
-    assert len(p) == 150 and 0.0099 < p[0] < 0.011 < p[60] and (p > 0).all() and (p <= 1).all()
-
-
 def test_empty_tables(spark, docs):
     none = docs.limit(0)
     items = spark.createDataFrame([], "item_id long, text string")
