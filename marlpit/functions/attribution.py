@@ -20,21 +20,39 @@ PAID = ["cpc", "ppc", "paid", "paidsearch", "paid_search", "cpm", "display"]
 UTM_PLATFORMS = {"google": "google", "bing": "bing", "facebook": "facebook", "meta": "facebook", "instagram": "instagram", "linkedin": "linkedin"}
 
 
+# Why each rule decides; {} stands for the medium or the host.
+RATIONALE = [
+    "Arrived with a Google click identifier (gclid).",
+    "Arrived with a Meta click identifier (fbclid).",
+    "Campaign link marked utm_medium={}.",
+    "Campaign link marked as email.",
+    "Campaign link marked utm_medium={}.",
+    "Referred by {}, with no paid campaign markers.",
+    "Referred by {}.",
+    "Referred by {}.",
+    "Campaign parameters present, but the channel is not identifiable.",
+    "No referrer and no campaign parameters. This may be a direct visit, or a referrer the browser withheld.",
+]
+
+
 def host_platform(host: Column, table: dict[str, str]) -> Column:
-    """The platform of a host or of a subdomain of it, else null."""
-    found = F.lit(None).cast("string")
-    for name, platform in table.items():
-        found = F.coalesce(found, F.when((host == name) | host.endswith("." + name), platform))
-    return found
+    """The platform of a host or of a subdomain of it, else null: its last labels are looked up in a constant map."""
+    known = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+    labels = sorted({name.count(".") + 1 for name in table}, reverse=True)
+    return F.coalesce(*[F.try_element_at(known, F.substring_index(host, ".", -k)) for k in labels])
 
 
 def classify_source(df: DataFrame) -> DataFrame:
-    """C11: source_type, source_platform and confidence of touches with gclid, fbclid, utm_medium, utm_source, utm_campaign and referrer; the first rule that fits decides."""
-    host = bare_host(F.col("referrer"))
-    medium, source = (F.nullif(F.lower(F.trim(c)), F.lit("")) for c in ("utm_medium", "utm_source"))
-    search, social = host_platform(host, SEARCH_HOSTS), host_platform(host, SOCIAL_HOSTS)
-    named = F.coalesce(*[F.when(source == k, v) for k, v in UTM_PLATFORMS.items()], F.lit("unknown"))
+    """C11: source_type, source_platform, confidence and rationale of touches with gclid, fbclid, utm_medium, utm_source, utm_campaign and referrer; the first rule that fits decides.
+
+    Host, medium, source and rule are settled in steps, so that none of them is worked out once for each place that asks for it.
+    """
+    name = lambda c: F.nullif(F.lower(F.trim(c)), F.lit(""))
+    read = df.select(*df.columns, F.inline(F.array(F.struct(bare_host(F.col("referrer")).alias("host "), name("utm_medium").alias("medium "), name("utm_source").alias("source ")))))
+    host, medium, source = F.col("host "), F.col("medium "), F.col("source ")
+    named = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in UTM_PLATFORMS.items() for x in pair]), source), F.lit("unknown"))
     given = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
+    search, social = host_platform(host, SEARCH_HOSTS), host_platform(host, SOCIAL_HOSTS)
     rules = [
         (given("gclid"), F.lit("paid_search"), F.lit("google"), "declared"),
         (given("fbclid"), F.lit("social"), F.lit("facebook"), "declared"),
@@ -45,16 +63,13 @@ def classify_source(df: DataFrame) -> DataFrame:
         (social.isNotNull(), F.lit("social"), social, "derived"),
         (host.isNotNull(), F.lit("referral"), F.lit("unknown"), "derived"),
         (source.isNotNull() | given("utm_campaign"), F.lit("unknown"), named, "derived"),
+        (F.lit(True), F.lit("direct"), F.lit("unknown"), "inferred"),
     ]
-    place = F.coalesce(*[F.when(condition, k) for k, (condition, *_) in enumerate(rules)], F.lit(len(rules)))
-    pick = lambda values, last: F.coalesce(*[F.when(F.col("rule ") == k, v) for k, v in enumerate(values)], F.lit(last))
-    ruled = df.withColumn("rule ", place)
-    return ruled.select(
-        *df.columns,
-        pick([r[1] for r in rules], "direct").alias("source_type"),
-        pick([r[2] for r in rules], "unknown").alias("source_platform"),
-        pick([F.lit(r[3]) for r in rules], "inferred").alias("confidence"),
-    )
+    said = F.when(F.lit(False), F.lit(None).cast("struct<source_type:string,source_platform:string,confidence:string,rationale:string>"))
+    for (condition, kind, platform, confidence), why in zip(rules, RATIONALE):
+        told = F.replace(F.lit(why), F.lit("{}"), medium if "medium" in why else host) if "{}" in why else F.lit(why)
+        said = said.when(condition, F.struct(kind.alias("source_type"), platform.alias("source_platform"), F.lit(confidence).alias("confidence"), told.alias("rationale")))
+    return read.select(*df.columns, F.inline(F.array(said)))
 
 
 def split_landing(df: DataFrame, url: str, limit: int = 255) -> DataFrame:

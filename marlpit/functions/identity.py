@@ -61,9 +61,16 @@ def coerce_fields(values: DataFrame, definitions: DataFrame) -> DataFrame:
     )
 
 
-def request_digest(*columns: str) -> Column:
-    """C20: SHA-256 of the fields in order, nulls kept."""
-    return F.sha2(F.to_json(F.array(*[F.col(c).cast("string") for c in columns])).cast("binary"), 256)
+#: What a request digest covers, in order.
+DIGEST_FIELDS = ["email", "phone", "first_name", "last_name", "source_type", "source_platform", "confidence", "utm_source", "utm_medium", "utm_campaign"]
+
+
+def request_digest(columns: list[str]) -> Column:
+    """C20: SHA-256 of a lead's normalised e-mail and telephone number, trimmed lower-case names (null: empty), provenance and campaign, nulls kept. columns: those that the table has; the others are null."""
+    of = lambda c: F.col(c).cast("string") if c in columns else F.lit(None).cast("string")
+    name = lambda c: F.lower(F.trim(F.coalesce(of(c), F.lit(""))))
+    first = [normalise_email(of("email")), F.nullif(F.trim(of("phone")), F.lit("")), name("first_name"), name("last_name")]
+    return F.sha2(F.to_json(F.array(*first, *[of(c) for c in DIGEST_FIELDS[4:]])).cast("binary"), 256)
 
 
 def subject_hash(scope: str, value: Column) -> Column:
@@ -76,7 +83,7 @@ def abuse_signals(trap: Column, elapsed_ms: Column, min_seconds: Column) -> Colu
 
 
 # Parts of key names whose values are never stored.
-REDACTED_KEYS = ["password", "secret", "token", "cookie", "authorization", "apikey", "api_key", "credential", "session", "hash", "signature", "private"]
+REDACTED_KEYS = ["password", "token", "secret", "credential", "authorization", "cookie", "apikey", "api_key", "privatekey", "private_key", "session", "hash"]
 
 
 @F.pandas_udf(StringType())

@@ -20,8 +20,17 @@ TRACKING = [
 ]
 SESSION = ["phpsessid", "jsessionid", "sessionid", "sid", "cfid", "cftoken", "zenid", "_ga", "_gl"]
 SESSION_PREFIX = "aspsessionid"
-# Query names that carry credentials.
-SENSITIVE = ["token", "password", "passwd", "secret", "apikey", "key", "auth", "signature", "sig", "session", "code"]
+# Query names that carry credentials, use up a link or hold personal data.
+SENSITIVE = [
+    "token", "auth", "authorization", "session", "sessionid", "jsessionid", "phpsessid", "sid", "password", "passwd", "pwd", "secret", "apikey", "signature", "sig",
+    "reset", "invite", "confirm", "unsubscribe",
+    "email", "phone",
+]
+SCHEME = r"(?i)^[a-z][a-z0-9+.\-]*:"
+# An http address as browsers read it: any number of slashes, backslashes included, and the host after the last @ of the authority.
+HTTP = r"(?i)^(https?):[/\\]*(?:([^/\\?#]*)@)?(\[[0-9a-f:.]+\]|[^/\\?#@:\[\]]*)(?::([0-9]*))?(?=[/\\?#]|$)"
+#: What no host holds.
+NOT_IN_HOST = r"[\x00-\x20<>^|%\x7F]"
 
 
 @F.pandas_udf(StringType())
@@ -110,40 +119,57 @@ def classify_scope(url: Column, origin: Column, follow_upgrade: bool = True) ->
     return verdict.when(F.lit(follow_upgrade) & upgrade, "scheme_upgrade").when(related, "other_subdomain").otherwise("external")
 
 
+def http_parts(url: Column) -> dict[str, Column]:
+    """scheme, login, host and port of an absolute http address, all in lower case and the default port empty; null where it is none.
+
+    Hosts outside ASCII stay as they are written, and numbers for IPv4 addresses in odd notations too.
+    """
+    scheme, login, host, port = (F.lower(F.regexp_extract(url, HTTP, k)) for k in range(1, 5))
+    number = F.regexp_replace(port, "^0+(?=[0-9])", "")
+    sound = url.rlike(HTTP) & (host != "") & ~host.rlike(NOT_IN_HOST) & ((number == "") | (F.coalesce(number.try_cast("long"), F.lit(65536)) < 65536))
+    default = ((scheme == "http") & (number == "80")) | ((scheme == "https") & (number == "443"))
+    return {k: F.when(sound, v) for k, v in {"scheme": scheme, "login": login, "host": host, "port": F.when(default, "").otherwise(number)}.items()}
+
+
+def without_breaks(value: Column) -> Column:
+    return F.trim(F.regexp_replace(value, r"[\t\r\n]", ""))
+
+
+def http_address(value: Column) -> Column:
+    """A value as an absolute http address: as it is if it has a scheme, else after https://; null if it is empty, has another scheme or begins with a slash."""
+    raw = without_breaks(value)
+    return F.when((raw == "") | raw.startswith("/"), None).when(raw.rlike(SCHEME), F.when(raw.rlike("(?i)^https?:"), raw)).otherwise(F.concat(F.lit("https://"), raw))
+
+
 def url_policy(url: Column) -> Column:
-    """The first reason against fetching a URL, or null."""
-    raw = F.trim(url)
+    """The first reason against fetching a URL, or null. An http address without a host is unparseable, as it is to a browser."""
+    raw = without_breaks(url)
     scheme = F.lower(F.regexp_extract(raw, r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1))
-    authority = F.regexp_extract(raw, r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)", 1)
-    port = F.regexp_extract(authority, r":(\d+)$", 1)
-    host = F.regexp_replace(F.regexp_replace(authority, "^.*@", ""), r":\d*$", "")
-    names = F.transform(F.split(F.regexp_extract(raw, r"\?([^#]*)", 1), "&"), lambda p: F.lower(F.substring_index(p, "=", 1)))
-    sensitive = F.exists(names, lambda n: F.exists(F.split(n, r"[-_.\[\]]+"), lambda w: w.isin(*SENSITIVE)))
+    parts = http_parts(raw)
+    names = F.transform(F.split(F.regexp_extract(raw, r"^[^?#]*\?([^#]*)", 1), "&"), lambda p: F.lower(F.coalesce(F.try_url_decode(F.substring_index(p, "=", 1)), F.substring_index(p, "=", 1))))
+    sensitive = F.exists(names, lambda n: n.isin(*SENSITIVE) | F.exists(F.split(n, r"[-_.\[\]]+"), lambda w: w.isin(*SENSITIVE)))
     return (
-        F.when(F.length(raw) > MAX_URL, "url_too_long")
+        F.when(F.length(url) > MAX_URL, "url_too_long")
         .when(F.coalesce(scheme, F.lit("")) == "", "unparseable")
         .when(~scheme.isin("http", "https"), "scheme_not_allowed")
-        .when(authority.contains("@"), "credentials_present")
-        .when(host == "", "host_missing")
-        .when(F.length(host) > 253, "host_too_long")
-        .when((port != "") & ~port.isin("80", "443"), "port_not_allowed")
+        .when(parts["host"].isNull(), "unparseable")
+        .when(F.replace(parts["login"], F.lit(":")) != "", "credentials_present")
+        .when(F.length(parts["host"]) > 253, "host_too_long")
+        .when(~parts["port"].isin("", "80", "443"), "port_not_allowed")
         .when(sensitive, "sensitive_query")
     )
 
 
 def bare_host(value: Column) -> Column:
-    """The lower-cased host of an http address or of a bare host, without www.; null for paths and other schemes."""
-    raw = F.trim(F.regexp_replace(value, r"[\t\r\n]", ""))
-    full = F.when(raw.rlike("(?i)^[a-z][a-z0-9+.-]*://"), raw).otherwise(F.concat(F.lit("https://"), raw))
-    host = F.regexp_replace(host_of(full), r"^www\.", "")
-    ok = (raw != "") & ~raw.startswith("/") & full.rlike("(?i)^https?://") & (host != "") & ~host.rlike(r"\s")
-    return F.when(ok, host)
+    """The lower-cased host of an http address or of a bare host, without www.; null for paths, other schemes and host:port without a scheme."""
+    return F.regexp_replace(http_parts(http_address(value))["host"], r"^www\.", "")
 
 
 def normalise_origin(value: Column) -> Column:
-    """Scheme and authority in lower case without a default port; null where there is none."""
-    origin = F.lower(F.regexp_extract(F.trim(value), r"(?i)^(https?://[^/?#@\s]+)", 1))
-    return F.nullif(F.regexp_replace(F.regexp_replace(origin, "^(http://.*):80$", "$1"), "^(https://.*):443$", "$1"), F.lit(""))
+    """Scheme, host and port of an http address or of a bare host (then https), without a default port or login; null where there is none, for 'null' and beyond 255 characters."""
+    parts = http_parts(http_address(value))
+    origin = F.concat(parts["scheme"], F.lit("://"), parts["host"], F.when(parts["port"] == "", "").otherwise(F.concat(F.lit(":"), parts["port"])))
+    return F.when((F.length(F.trim(value)) <= 255) & (F.trim(value) != "null"), origin)
 
 
 def origin_allowed(origin: Column, allowed: Column) -> Column:

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import html
 import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 from urllib.parse import urljoin
 
@@ -14,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.urls import classify_scope, normalise_urls
+from ..sources.tables import shared_table
 
 # Failures that are refusals by policy.
 POLICY_REFUSALS = [
@@ -120,33 +119,72 @@ def link_report(pages: DataFrame, links: DataFrame) -> DataFrame:
     return joined.select("page_id", "links_out", "internal_out", "nofollow_out", "links_in", (F.col("links_in") == 0).alias("is_orphan"))
 
 
+ATTRIBUTE_VALUE = r"(?is)[\s\"'/]{}\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)"
+
+
+def attribute(tag: Column, name: str) -> Column:
+    """The trimmed value of a tag's attribute, '' if it has none; data-name is not name."""
+    return F.trim(F.regexp_replace(F.regexp_extract(tag, ATTRIBUTE_VALUE.format(name), 1), r"^[\"']|[\"']$", ""))
+
+
 def verification_tags(pages: DataFrame, expected: DataFrame, name: str) -> DataFrame:
-    """(site, state): token_absent, token_mismatch or verified, from the meta tags in the head of pages (site, html) against expected (site, token)."""
-    head = F.regexp_replace(F.regexp_extract("html", r"(?is)^(.*?)(?:</head\s*>|<body\b|$)", 1), r"(?is)<!--.*?-->|<(template|svg|math)\b.*?</\1\s*>", "")
-    tags = F.filter(F.regexp_extract_all(head, F.lit(r"(?is)<meta\b[^>]*>"), 0), lambda t: t.rlike(rf"(?i)\bname\s*=\s*[\"']?{re.escape(name)}[\"'\s>]"))
-    tokens = F.transform(tags, lambda t: F.lower(F.regexp_extract(t, r"(?i)\bcontent\s*=\s*[\"']?([0-9a-f]{32})\b", 1)))
-    found = pages.select("site", F.filter(tokens, lambda t: t != "").alias("tokens")).join(expected, "site", "left")
-    state = F.when(F.size("tokens") == 0, "token_absent").when(F.array_contains("tokens", F.lower("token")), "verified").otherwise("token_mismatch")
-    rank = F.max(F.when(state == "verified", 2).when(state == "token_mismatch", 1).otherwise(0))
-    return found.groupBy("site").agg(rank.alias("rank")).select("site", F.element_at(F.array(F.lit("token_absent"), F.lit("token_mismatch"), F.lit("verified")), F.col("rank") + 1).alias("state"))
+    """(site, state): token_absent, token_mismatch or verified, from the meta tags in the head of pages (site, html) against expected (site, token).
+
+    Tags count inside <head> and outside comments, templates and drawings; a token is 32 hexadecimal digits and nothing else.
+    """
+    plain = F.regexp_replace("html", r"(?is)<!--.*?(?:-->|$)|<(template|svg|math|script|style)\b.*?(?:</\1\s*>|$)", "")
+    head = F.regexp_extract(plain, r"(?is)<head(?:\s[^>]*)?>(.*?)(?:</head\s*>|$)", 1)
+    tags = F.filter(F.regexp_extract_all(head, F.lit(r"(?is)<meta(?:\"[^\"]*\"|'[^']*'|[^'\">])*>"), 0), lambda t: F.lower(attribute(t, "name")) == name.lower())
+    tokens = F.filter(F.transform(tags, lambda t: F.lower(attribute(t, "content"))), lambda t: t.rlike("^[0-9a-f]{32}$"))
+    found = pages.select("site", F.coalesce(tokens, F.array().cast("array<string>")).alias("tokens")).join(expected, "site", "left")
+    state = F.when(F.size("tokens") == 0, 0).when(F.array_contains("tokens", F.coalesce(F.lower("token"), F.lit(""))), 2).otherwise(1)
+    names = F.array(F.lit("token_absent"), F.lit("token_mismatch"), F.lit("verified"))
+    return found.groupBy("site").agg(F.max(state).alias("rank")).select("site", F.element_at(names, F.col("rank") + 1).alias("state"))
+
+
+def matches_pattern(path: Column, rule: Column) -> Column:
+    """Whether a path begins with a robots pattern: rule.parts are its literal pieces between stars, rule.whole says that it must end there."""
+    parts, whole = rule["parts"], rule["whole"]
+    first, last = parts[0], F.element_at(parts, -1)
+    # Each piece is found as far left as it may stand; 0 means that one was not.
+    begin = F.when(path.startswith(first), F.length(first) + 1).otherwise(0)
+    inner = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - F.when(whole, 2).otherwise(1), F.lit(0)))
+
+    def step(at: Column, piece: Column) -> Column:
+        found = F.call_function("locate", piece, path, at)
+        return F.when((at == 0) | (found == 0), 0).otherwise(found + F.length(piece))
+
+    end = F.aggregate(inner, begin, step)
+    closed = F.when(F.size(parts) == 1, path == first).otherwise(path.endswith(last) & (F.length(path) - F.length(last) + 1 >= end))
+    return (end > 0) & (~whole | closed)
 
 
 def robots_verdicts(urls: DataFrame, rules: DataFrame, agent: str) -> DataFrame:
-    """(url, allowed, pattern, reason) of urls (origin, url, path) under parsed rules.
+    """(url, allowed, pattern, reason, crawl_delay) of urls (origin, url, path) under parsed rules.
 
-    The groups that name the agent count together, else those of '*'; the longest pattern that matches
-    wins, allow before disallow at equal length; an empty disallow allows.
+    The groups that name the agent count together, else those of '*'; the longest pattern that matches, a closing
+    $ not counted, wins, allow before disallow at equal length; an empty disallow allows. The delay is the longest
+    of those groups. Reasons: no_group_matched, no_rule_matched, empty_disallow, longest_match, allow_wins_tie.
+
+    An origin's rules, which S4 bounds, are one array beside each of its URLs, so a large site is no single task.
     """
     names_us = rules.groupBy("origin").agg(F.max(F.col("agent") == agent.lower()).alias("ours"))
     chosen = rules.join(names_us, "origin").where(F.when(F.col("ours"), F.col("agent") == agent.lower()).otherwise(F.col("agent") == "*"))
-    escaped = F.regexp_replace(F.regexp_replace("pattern", r"\*+", "*"), r"([\\.\[\]{}()+?^|])", r"\\$1")
-    anchored = F.regexp_replace(F.concat(F.lit("^"), F.replace(F.replace(escaped, F.lit("$"), F.lit("\\$")), F.lit("*"), F.lit(".*"))), r"\\\$$", r"\$")
-    live = chosen.where("kind in ('allow', 'disallow') and pattern <> ''").select("origin", "kind", "pattern", anchored.alias("regex")).distinct()
-    hits = urls.join(live, "origin").where(F.rlike(F.col("path"), F.col("regex")))
-    place = F.row_number().over(Window.partitionBy("url").orderBy(F.desc(F.length("pattern")), "kind", "pattern"))
-    best = hits.withColumn("place", place).where("place = 1").select("url", "kind", "pattern")
-    out = urls.select("url").join(best, "url", "left")
-    return out.select("url", F.coalesce(F.col("kind") == "allow", F.lit(True)).alias("allowed"), "pattern", F.when(F.col("kind").isNull(), "no_rule").otherwise("rule").alias("reason"))
+    is_rule = F.col("kind").isin("allow", "disallow") & (F.col("pattern") != "")
+    whole = F.col("pattern").endswith("$")
+    body = F.regexp_replace(F.regexp_replace("pattern", r"\*+", "*"), r"\$$", "")
+    rule = F.struct((-F.length(F.regexp_replace("pattern", r"\$$", ""))).alias("rank"), (F.col("kind") != "allow").alias("refuses"), "pattern", F.split(body, r"\*", -1).alias("parts"), whole.alias("whole"))
+    delay = F.when(F.col("kind") == "crawl-delay", F.col("pattern").try_cast("double"))
+    gathered = chosen.groupBy("origin").agg(
+        F.array_sort(F.collect_set(F.when(is_rule, rule))).alias("rules"),
+        F.max(F.when(delay.between(0, 86_400), delay)).alias("crawl_delay"),
+        F.bool_or((F.col("kind") == "disallow") & (F.col("pattern") == "")).alias("permissive"),
+    )
+    matched = urls.join(gathered, "origin", "left").withColumn("hits ", F.filter("rules", lambda r: matches_pattern(F.col("path"), r)))
+    best = F.get("hits ", F.lit(0))
+    tie = F.exists("hits ", lambda r: (r["rank"] == best["rank"]) & r["refuses"]) & ~best["refuses"]
+    reason = F.when(F.col("rules").isNull(), "no_group_matched").when(best.isNull(), F.when(F.col("permissive"), "empty_disallow").otherwise("no_rule_matched")).when(tie, "allow_wins_tie").otherwise("longest_match")
+    return matched.select("url", F.coalesce(~best["refuses"], F.lit(True)).alias("allowed"), best["pattern"].alias("pattern"), reason.alias("reason"), "crawl_delay")
 
 
 def frontier_counts(frontier: DataFrame) -> DataFrame:
@@ -188,15 +226,6 @@ def decide_enqueue(candidates: DataFrame, page_limit: int, max_depth: int) -> Da
     return marked.withColumn("skip_reason", reason).withColumn("accept", F.col("skip_reason").isNull()).drop("early")
 
 
-def shared_table(df: DataFrame) -> DataFrame:
-    """Write df to the cluster's shared folder and read it back, so that lineage ends there."""
-    spark: SparkSession = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    path = f"{folder}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def build_frontier(seeds: DataFrame, links: DataFrame, max_depth: int, page_limit: int) -> DataFrame:
     """(crawl_id, url, depth, accepted) reached level by level from seeds (crawl_id, url) along links (crawl_id, source_url, target_url).
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.identity import normalise_email
-from ..sources.tables import like_literal
+from ..sources.tables import like_literal, shared_table
 
 
 def contains_search(df: DataFrame, columns: list[str], term: str) -> DataFrame:
@@ -279,12 +279,20 @@ def custom_field_matrix(definitions: DataFrame, values: DataFrame, contacts: Dat
 
 
 def merge_redirects(contacts: DataFrame) -> DataFrame:
-    """(id, survivor) of merged contacts; chains end at the first contact that is not merged. A hop doubles each round; cycles stay unresolved."""
-    hops = contacts.where("merged_into is not null").select("id", F.col("merged_into").alias("survivor"))
-    for _ in range(6):
+    """(id, survivor) of merged contacts; chains end at the first contact that is not merged.
+
+    A hop doubles each round, and each round is written, until none changes: at most as many rounds as the number
+    of merged contacts has binary digits. Contacts that merge in a circle, or into one, have no survivor: null.
+    """
+    merged = contacts.where("merged_into is not null").select("id", F.col("merged_into").alias("survivor"))
+    hops = shared_table(merged)
+    for _ in range(hops.count().bit_length() + 1):
         further = hops.select(F.col("id").alias("survivor"), F.col("survivor").alias("next"))
-        hops = hops.join(further, "survivor", "left").select("id", F.coalesce("next", "survivor").alias("survivor"))
-    return hops
+        hops = shared_table(hops.select("id", "survivor").join(further, "survivor", "left").select("id", F.coalesce("next", "survivor").alias("survivor"), F.col("next").isNotNull().alias("moved")))
+        if hops.where("moved").isEmpty():
+            break
+    circles = merged.select(F.col("id").alias("survivor"), F.lit(True).alias("merged"))
+    return hops.select("id", "survivor").join(circles, "survivor", "left").select("id", F.when(F.col("merged").isNull(), F.col("survivor")).alias("survivor"))
 
 
 def keyset_page(df: DataFrame, sort: str, limit: int, cursor: str | None = None, tie: str = "id", descending: bool = False) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.identity import abuse_signals, normalise_email, request_digest
-from .crawl import shared_table
+from ..sources.tables import shared_table
 from .crm import identity_keys, import_match_count, live_contacts
 
 
@@ -31,7 +31,7 @@ def ingest_leads(leads: DataFrame, receipts: DataFrame, contacts: DataFrame, alw
     its e-mail or telephone number, or else is one itself. Leads that share keys are replayed together,
     which is the only ordered work; contact ids of new contacts are the negated id of their lead.
     """
-    digested = leads.withColumn("digest", request_digest("email", "phone", "first_name"))
+    digested = leads.withColumn("digest", request_digest(leads.columns))
     key = ["workspace_id", "source_system", "external_key"]
     first = F.row_number().over(Window.partitionBy(*key).orderBy("id"))
     known = receipts.select(*key, F.col("digest").alias("old_digest"), F.col("contact_id").alias("old_contact"))

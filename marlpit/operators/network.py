@@ -29,25 +29,34 @@ def classify_addresses(df: DataFrame, ip_col: str) -> DataFrame:
     """Df with range_name: the most specific range of an address, 'public' outside all, 'invalid' if it is none.
 
     The list of ranges is fixed and short, so it is an expression. Version 6 addresses are compared by their
-    32 hexadecimal digits; those that embed a version 4 address are 'embedded-v4'.
+    32 hexadecimal digits. Those that carry a version 4 address, mapped or for NAT64, have its range, and
+    'embedded-ipv4' where it would be public: an address has one notation.
     """
     text = F.lower(F.trim(F.col(ip_col)))
-    octets = F.transform(F.split(text, r"\."), lambda o: o.try_cast("long"))
-    is_v4 = text.rlike(r"^\d{1,3}(\.\d{1,3}){3}$") & F.forall(octets, lambda o: o.between(0, 255))
-    number = F.aggregate(octets, F.lit(0).cast("long"), lambda total, o: total * 256 + F.coalesce(o, F.lit(0)))
-    halves = F.split(text, "::")
+    dotted = F.regexp_extract(text, r"(?:^|:)(\d{1,3}(?:\.\d{1,3}){3})$", 1)
+    octets = F.transform(F.split(dotted, r"\."), lambda o: o.try_cast("long"))
+    four_sound = (dotted != "") & F.forall(octets, lambda o: o.between(0, 255))
+    low = F.aggregate(octets, F.lit(0).cast("long"), lambda total, o: total * 256 + F.coalesce(o, F.lit(0)))
+    # The dotted end of a version 6 address is its last two groups.
+    tail = F.lpad(F.lower(F.hex(low)), 8, "0")
+    six_text = F.when(text.contains(":") & four_sound, F.concat(F.regexp_replace(text, r"[0-9.]+$", ""), F.substring(tail, 1, 4), F.lit(":"), F.substring(tail, 5, 4))).otherwise(text)
+    halves = F.split(six_text, "::")
     groups = lambda part: F.filter(F.split(part, ":"), lambda g: g != "")
     left, right = groups(halves[0]), F.when(F.size(halves) > 1, groups(F.get(halves, F.lit(1)))).otherwise(F.array().cast("array<string>"))
-    gap = F.greatest(F.lit(8) - F.size(left) - F.size(right), F.lit(0))
-    digits = F.array_join(F.transform(F.concat(left, F.array_repeat(F.lit("0"), gap), right), lambda g: F.lpad(g, 4, "0")), "")
-    is_v6 = text.rlike(r"^[0-9a-f:]+$") & text.contains(":") & (F.length(digits) == 32)
+    gap = F.when(F.size(halves) == 2, F.greatest(F.lit(8) - F.size(left) - F.size(right), F.lit(0))).otherwise(0)
+    every = F.concat(left, F.array_repeat(F.lit("0"), gap), right)
+    digits = F.array_join(F.transform(every, lambda g: F.lpad(g, 4, "0")), "")
+    is_v6 = six_text.rlike(r"^[0-9a-f:]+$") & six_text.contains(":") & (F.size(halves) <= 2) & (F.size(every) == 8) & F.forall(every, lambda g: F.length(g) <= 4)
+    settled = df.withColumn("v6 ", F.when(is_v6, digits)).withColumn("v4 ", F.when(text.contains(":"), None).when(four_sound & (dotted == text), low))
+    inside = F.col("v6 ").startswith("0" * 20 + "ffff") | F.col("v6 ").startswith("0064ff9b" + "0" * 8)
+    number = F.when(inside, F.conv(F.substring("v6 ", 25, 8), 16, 10).cast("long")).otherwise(F.col("v4 "))
     four, six = F.lit(None).cast("string"), F.lit(None).cast("string")
     for net, name in sorted(((ipaddress.ip_network(c), n) for c, n in RANGES), key=lambda r: -r[0].prefixlen):
         if net.version == 4:
-            four = F.coalesce(four, F.when(number.between(int(net.network_address), int(net.broadcast_address)), name))
+            four = F.coalesce(four, F.when(F.col("number ").between(int(net.network_address), int(net.broadcast_address)), name))
         else:
-            low, high = f"{int(net.network_address):032x}", f"{int(net.broadcast_address):032x}"
-            six = F.coalesce(six, F.when((digits >= low) & (digits <= high), name))
-    embedded = text.rlike(r"^::(ffff(:0)?:)?\d{1,3}(\.\d{1,3}){3}$") | (digits.startswith("0" * 20 + "ffff") & is_v6)
-    verdict = F.when(is_v4, F.coalesce(four, F.lit("public"))).when(embedded, "embedded-v4").when(is_v6, F.coalesce(six, F.lit("public")))
-    return df.withColumn("range_name", F.coalesce(verdict, F.lit("invalid")))
+            first, last = f"{int(net.network_address):032x}", f"{int(net.broadcast_address):032x}"
+            six = F.coalesce(six, F.when((F.col("v6 ") >= first) & (F.col("v6 ") <= last), name))
+    verdict = F.when(F.col("inside "), F.coalesce(four, F.lit("embedded-ipv4"))).when(F.col("number ").isNotNull(), F.coalesce(four, F.lit("public"))).when(F.col("v6 ").isNotNull(), F.coalesce(six, F.lit("public")))
+    ruled = settled.withColumns({"number ": number, "inside ": inside}).withColumn("range_name", F.coalesce(verdict, F.lit("invalid")))
+    return ruled.drop("v6 ", "v4 ", "number ", "inside ")

@@ -104,19 +104,30 @@ def similar_pairs(sets: DataFrame, percent: int = THRESHOLD_PERCENT) -> DataFram
     return counted.where(F.col("both") * 100 >= F.col("either") * percent).select("workspace_id", "a", "b", F.round(F.col("both") / F.col("either"), 6).alias("similarity"))
 
 
-def duplication_verdicts(outputs: DataFrame, percent: int = THRESHOLD_PERCENT, fold: bool = True) -> DataFrame:
-    """(id, verdict, highest) of every published output: fail if another class is similar or another text has the same set, indeterminate if too short to compare or nothing to compare with, else pass."""
+def duplication_verdicts(outputs: DataFrame, percent: int = THRESHOLD_PERCENT, fold: bool = True, floor_percent: int = 5) -> DataFrame:
+    """(id, verdict, highest, matches) of every published output against the others of its workspace.
+
+    fail if any is similar from `percent` on; indeterminate if the output, or every other, is too short to compare;
+    pass otherwise, also without any other. highest is the greatest similarity, match or not, from floor_percent on (0 below:
+    texts that share a few common words would all be pairs). matches are (class_id, similarity), the most similar first: a class
+    is all outputs of equal sets, its own with similarity 1 if it has others; text_classes has the members.
+    """
     sets = comparable(outputs, fold)
     classes = text_classes(sets).select("workspace_id", "id", "class_id")
     sizes = classes.groupBy("workspace_id", "class_id").agg(F.count("*").alias("copies"))
-    pairs = similar_pairs(sets, percent)
-    ends = pairs.select("workspace_id", F.explode(F.array("a", "b")).alias("class_id"), "similarity").groupBy("workspace_id", "class_id").agg(F.max("similarity").alias("near"))
-    known = classes.join(sizes, ["workspace_id", "class_id"]).join(ends, ["workspace_id", "class_id"], "left")
-    highest = F.when(F.col("copies") > 1, F.lit(1.0)).otherwise(F.col("near"))
-    peers = sets.groupBy("workspace_id").agg(F.count("*").alias("peers"))
-    rows = outputs.where("published").select("workspace_id", "id").join(known.select("id", "workspace_id", highest.alias("highest"), F.lit(True).alias("long")), ["workspace_id", "id"], "left").join(peers, "workspace_id", "left")
-    verdict = F.when(F.col("long").isNull(), "indeterminate").when(F.col("highest").isNotNull(), "fail").when(F.col("peers") < 2, "indeterminate").otherwise("pass")
-    return rows.select("id", verdict.alias("verdict"), F.coalesce("highest", F.lit(0.0)).alias("highest"))
+    pairs = similar_pairs(sets, min(percent, floor_percent))
+    of = lambda own, other: pairs.select("workspace_id", F.col(own).alias("class_id"), F.struct((-F.col("similarity")).alias("rank"), F.col(other).alias("class_id")).alias("near"))
+    ends = of("a", "b").unionByName(of("b", "a"))
+    near = ends.groupBy("workspace_id", "class_id").agg((-F.min("near.rank")).alias("near"), F.array_sort(F.collect_list(F.when(-F.col("near.rank") * 100 >= percent, F.col("near")))).alias("others"))
+    known = classes.join(sizes, ["workspace_id", "class_id"]).join(near, ["workspace_id", "class_id"], "left")
+    own = F.when(F.col("copies") > 1, F.array(F.struct(F.lit(-1.0).alias("rank"), "class_id"))).otherwise(F.array())
+    matches = F.transform(F.concat(own, F.coalesce("others", F.array())), lambda m: F.struct(m["class_id"].alias("class_id"), (-m["rank"]).alias("similarity")))
+    judged = known.select("workspace_id", "id", F.when(F.col("copies") > 1, 1.0).otherwise(F.coalesce("near", F.lit(0.0))).alias("highest"), matches.alias("matches"))
+    published = outputs.where("published").select("workspace_id", "id")
+    others = published.groupBy("workspace_id").agg(F.count("*").alias("published")).join(sets.groupBy("workspace_id").agg(F.count("*").alias("long")), "workspace_id", "left")
+    rows = published.join(judged, ["workspace_id", "id"], "left").join(others, "workspace_id")
+    verdict = F.when(F.col("matches").isNull(), "indeterminate").when(F.size("matches") > 0, "fail").when((F.col("published") > 1) & (F.col("long") < 2), "indeterminate").otherwise("pass")
+    return rows.select("id", verdict.alias("verdict"), F.coalesce("highest", F.lit(0.0)).alias("highest"), F.coalesce("matches", F.array()).alias("matches"))
 
 
 def guardrail_report(verdicts: DataFrame, truncated: bool = False) -> DataFrame:

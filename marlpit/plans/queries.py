@@ -209,16 +209,19 @@ def _(contacts, opportunities):
     return crm.custom_field_matrix(definitions, values, contacts).select("contact_id", "field_id", "value")
 
 
-@query("j16_robots_verdicts", r"""WITH said AS (SELECT page_id, regexp_replace(regexp_replace(url, '^[a-z]+://[^/?#]*', ''), '#.*$', '') AS path FROM pages)
-    SELECT page_id, NOT (path LIKE '/de/%' OR path LIKE '%page=1%' OR (path LIKE '/en/%' AND path NOT LIKE '/en/1%')) AS allowed FROM said""")
+@query("j16_robots_verdicts", r"""WITH said AS (SELECT page_id, regexp_replace(regexp_replace(url, '^[a-z]+://[^/?#]*', ''), '#.*$', '') AS path FROM pages),
+    judged AS (SELECT page_id, path LIKE '/en/1%' AS en1, path LIKE '/en/%' AS en, path LIKE '/de/%' AS de, path LIKE '%page=1%' AS paged, path LIKE '/es/%.html' AS es FROM said)
+    SELECT page_id, CASE WHEN en1 THEN true WHEN es THEN true WHEN paged THEN false WHEN de THEN true WHEN en THEN false ELSE true END AS allowed,
+        CASE WHEN en1 THEN '/en/1' WHEN es THEN '/es/*.html$' WHEN paged THEN '/*page=1' WHEN de THEN '/de/' WHEN en THEN '/en/' END AS pattern,
+        CASE WHEN en1 OR es OR paged THEN 'longest_match' WHEN de THEN 'allow_wins_tie' WHEN en THEN 'longest_match' ELSE 'no_rule_matched' END AS reason, 7.5 AS crawl_delay FROM judged""")
 def _(spark, sf_dir):
     pages = tables.load(spark, sf_dir, "pages")
-    body = "User-agent: *\nDisallow: /de/\nDisallow: /*page=1\n\nUser-agent: other\nUser-agent: *\nDisallow: /en/ # all but some\nAllow: /en/1\nSitemap: https://x.test/s.xml\n"
+    body = "User-agent: *\nAllow: /de/\nDisallow: /de/\nDisallow: /*page=1\nCrawl-delay: 2\n\nUser-agent: other\nUser-agent: *\nDisallow: /en/ # all but some\nAllow: /en/1\nAllow: /es/*.html$\nCrawl-delay: 7.5\nCrawl-delay: soon\nSitemap: https://x.test/s.xml\n"
     origin = F.regexp_extract("url", "^([a-z]+://[^/?#]*)", 1)
     path = F.regexp_replace(F.regexp_replace("url", "^[a-z]+://[^/?#]*", ""), "#.*$", "")
     rules, _ = tables.parse_robots(pages.select(origin.alias("origin"), F.lit(body).alias("body")).distinct())
     verdicts = crawl.robots_verdicts(pages.select(origin.alias("origin"), F.col("page_id").alias("url"), path.alias("path")), rules, "marlpit")
-    return verdicts.select(F.col("url").alias("page_id"), "allowed")
+    return verdicts.withColumnRenamed("url", "page_id")
 
 
 @query("j17_address_ranges", """WITH numbered AS (SELECT event_id, event_id * 2654435761 % 4294967296 AS n FROM events)
@@ -226,11 +229,15 @@ def _(spark, sf_dir):
         WHEN n >> 8 = 12582912 THEN 'ietf-protocol' WHEN n >> 8 = 12582914 THEN 'test-net-1' WHEN n >> 8 = 3325256704 >> 8 THEN 'test-net-2' WHEN n >> 8 = 3405803776 >> 8 THEN 'test-net-3'
         WHEN n >> 8 = 3227017984 >> 8 THEN '6to4-relay' WHEN n = 4294967295 THEN 'broadcast' WHEN n >> 16 = 43518 THEN 'link-local' WHEN n >> 16 = 49320 THEN 'private-c' WHEN n >> 17 = 25353 THEN 'benchmarking'
         WHEN n >> 20 = 2753 THEN 'private-b' WHEN n >> 22 = 401 THEN 'cgnat' WHEN n >> 24 = 127 THEN 'loopback' WHEN n >> 24 = 10 THEN 'private-a' WHEN n >> 24 = 0 THEN 'this-network'
-        WHEN n >> 28 = 14 THEN 'multicast' WHEN n >> 28 = 15 THEN 'reserved' ELSE 'public' END AS range_name FROM numbered) x GROUP BY 1""")
+        WHEN n >> 28 = 14 THEN 'multicast' WHEN n >> 28 = 15 THEN 'reserved' WHEN event_id % 5 < 2 THEN 'embedded-ipv4' ELSE 'public' END AS range_name FROM numbered) x GROUP BY 1""")
 def _(spark, sf_dir):
     n = F.col("event_id") * 2654435761 % 4294967296
     octets = [F.shiftrightunsigned(n, s).bitwiseAND(255).cast("string") for s in (24, 16, 8, 0)]
-    events = tables.load(spark, sf_dir, "events").select(F.concat_ws(".", *octets).alias("ip"))
+    # One in five is written as a mapped address, and one in five for NAT64 with hexadecimal digits.
+    words = [F.lpad(F.lower(F.hex(F.shiftrightunsigned(n, s).bitwiseAND(0xFFFF))), 4, "0") for s in (16, 0)]
+    dotted, k = F.concat_ws(".", *octets), F.col("event_id") % 5
+    ip = F.when(k == 0, F.concat(F.lit("::FFFF:"), dotted)).when(k == 1, F.concat(F.lit("64:ff9b::"), *words[:1], F.lit(":"), words[1])).otherwise(dotted)
+    events = tables.load(spark, sf_dir, "events").select(ip.alias("ip"))
     return network.classify_addresses(events, "ip").groupBy("range_name").agg(F.count("*").alias("n"))
 
 
@@ -586,31 +593,54 @@ def _(spark, sf_dir):
 @query("c5_link_report", None)
 def _(spark, sf_dir):
     pages = pages_with_origin(spark, sf_dir)
-    return crawl.link_report(pages, crawl.extract_links(pages))
+    return crawl.link_report(pages, tables.shared_table(crawl.extract_links(pages)))
 
 
-@query("c7_verification_audit", r"""WITH said AS (SELECT regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS site, contains(split_part(html, '</head>', 1), 'charset="utf-8"') AS has FROM pages)
-    SELECT site, CASE WHEN bool_or(has) THEN 'token_absent' ELSE 'token_absent' END AS state FROM said GROUP BY 1""")
+@query("c7_verification_audit", """SELECT site, CASE WHEN bool_or(page_id % 8 = 0) THEN 'verified' WHEN bool_or(page_id % 8 = 1) THEN 'token_mismatch' ELSE 'token_absent' END AS state FROM (SELECT *, page_id // 3 AS site FROM pages) x GROUP BY 1""")
 def _(spark, sf_dir):
-    pages = tables.load(spark, sf_dir, "pages").select(urls.host_of(F.col("url")).alias("site"), "html")
-    expected = pages.select("site").distinct().withColumn("token", F.md5(F.col("site").cast("binary")))
+    site, k = F.floor(F.col("page_id") / 3), F.col("page_id") % 8
+    right, wrong = F.md5(site.cast("string").cast("binary")), F.md5(F.lit("other").cast("binary"))
+    tag = lambda before, token, after: F.concat(F.lit(before), token, F.lit(after))
+    head = (
+        F.when(k == 0, tag("<META content='", F.upper(right), "' data-x=1 NAME = Site-Verification />")).when(k == 1, tag('<meta name="site-verification" content=" ', wrong, ' ">'))
+        .when(k == 2, tag('<meta data-name="site-verification" content="', right, '">')).when(k == 3, tag('<meta name="site-verification" content="', right, '0">'))
+        .when(k == 4, tag('<!-- <meta name="site-verification" content="', right, '"> -->')).when(k == 5, tag('<template><meta name="site-verification" content="', right, '"></template>')).otherwise(F.lit(""))
+    )
+    stray = F.when(k == 6, tag('<meta name="site-verification" content="', right, '">')).otherwise(F.lit(""))
+    pages = tables.load(spark, sf_dir, "pages").select(site.alias("site"), F.concat(F.lit("<html><head>"), head, F.lit("</head><body>"), stray, F.col("html")).alias("html"))
+    expected = pages.select("site").distinct().withColumn("token", F.md5(F.col("site").cast("string").cast("binary")))
     return crawl.verification_tags(pages, expected, "site-verification")
 
 
-@query("c8_url_policy_mix", r"""SELECT coalesce(reason, 'admitted') AS reason, count(*) AS n FROM (SELECT CASE WHEN page_id % 5 = 0 THEN 'scheme_not_allowed' WHEN page_id % 5 = 1 THEN 'credentials_present' WHEN page_id % 5 = 2 THEN 'port_not_allowed'
-    WHEN page_id % 5 = 3 THEN 'sensitive_query' END AS reason FROM pages) x GROUP BY 1""")
+@query("c8_url_policy_mix", r"""SELECT coalesce(reason, 'admitted') AS reason, count(*) AS n FROM (SELECT CASE page_id % 9 WHEN 0 THEN 'scheme_not_allowed' WHEN 1 THEN 'credentials_present' WHEN 2 THEN 'port_not_allowed'
+    WHEN 3 THEN 'sensitive_query' WHEN 4 THEN 'sensitive_query' WHEN 6 THEN 'unparseable' WHEN 7 THEN 'url_too_long' END AS reason FROM pages) x GROUP BY 1""")
 def _(spark, sf_dir):
     rest = F.regexp_replace("url", r"^[a-z]+://([^/?#]*)", "")
-    host, k = urls.host_of(F.col("url")), F.col("page_id") % 5
-    changed = F.when(k == 0, F.concat(F.lit("ftp://"), host, rest)).when(k == 1, F.concat(F.lit("http://me:pw@"), host, rest)).when(k == 2, F.concat(F.lit("http://"), host, F.lit(":8080"), rest)).when(k == 3, F.concat(F.lit("https://"), host, F.lit("/?user[auth_token]=1"))).otherwise(F.col("url"))
+    host, k = urls.host_of(F.col("url")), F.col("page_id") % 9
+    said = [["ftp://", host, rest], ["http://me:pw@", host, rest], ["http://", host, ":8080", rest], ["https://", host, "/?user[auth_token]=1"], ["https://", host, "/?PHPSESSID=1"], ["https://@", host, ":443/?code=SPRING20&key=colour&design=1#?token"], ["https://", rest], ["https://", host, "/", "x" * 2048]]
+    changed = F.col("url")
+    for n, parts in enumerate(said):
+        bare = F.lit("https://") if n == 6 else F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+        changed = F.when(k == n, bare).otherwise(changed)
     return tables.load(spark, sf_dir, "pages").groupBy(F.coalesce(urls.url_policy(changed), F.lit("admitted")).alias("reason")).agg(F.count("*").alias("n"))
 
 
-@query("c10_origin_mix", "SELECT regexp_extract(lower(url), '^([a-z]+://[^/?#]*)', 1) AS origin, count(*) AS n, max(CASE WHEN url LIKE 'https%' THEN 1 ELSE 0 END) = 1 AS allowed FROM pages GROUP BY 1")
+@query("c9_bare_hosts", r"""SELECT host, count(*) AS n FROM (SELECT CASE page_id % 6 WHEN 3 THEN NULL WHEN 4 THEN NULL WHEN 5 THEN 'real.test' ELSE regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)), '^www[.]', '') END AS host FROM pages) x GROUP BY 1""")
+def _(spark, sf_dir):
+    host, k = urls.host_of(F.col("url")), F.col("page_id") % 6
+    shown = F.when(k == 0, F.concat(host, F.lit("/about"))).when(k == 1, F.concat(F.lit("\tHTTPS:\\"), host)).when(k == 3, F.concat(F.lit("mailto:a@"), host)).when(k == 4, F.concat(host, F.lit(":3000"))).when(k == 5, F.concat(F.lit("https://"), host, F.lit("@WWW.real.test/x"))).otherwise(F.col("url"))
+    return tables.load(spark, sf_dir, "pages").groupBy(urls.bare_host(shown).alias("host")).agg(F.count("*").alias("n"))
+
+
+@query("c10_origin_mix", """SELECT origin, count(*) AS n, coalesce(max(CASE WHEN origin LIKE 'https%' AND origin <> 'https://evil.test' THEN 1 ELSE 0 END), 0) = 1 AS allowed FROM (
+    SELECT CASE page_id % 5 WHEN 0 THEN 'https://evil.test' WHEN 1 THEN 'https://' || host WHEN 2 THEN NULL ELSE said || host END AS origin
+    FROM (SELECT page_id, regexp_extract(lower(url), '^([a-z]+://)', 1) AS said, regexp_extract(lower(url), '^[a-z]+://([^/?#]*)', 1) AS host FROM pages) x) y GROUP BY 1""")
 def _(spark, sf_dir):
-    origin = urls.normalise_origin(F.col("url"))
-    pages = tables.load(spark, sf_dir, "pages").select(origin.alias("origin"), "url")
-    allow = F.array(F.when(F.col("origin").startswith("https"), F.col("origin")).otherwise(F.lit("https://nowhere.test")))
+    host, k = urls.host_of(F.col("url")), F.col("page_id") % 5
+    # A trusted name before the @, a bare host, a value too long, and addresses as they are.
+    shown = F.when(k == 0, F.concat(F.lit("https://"), host, F.lit("@evil.test/"))).when(k == 1, F.concat(host, F.lit("/x"))).when(k == 2, F.concat(F.col("url"), F.lit("y" * 255))).otherwise(F.col("url"))
+    pages = tables.load(spark, sf_dir, "pages").select(urls.normalise_origin(shown).alias("origin"))
+    allow = F.array(F.when(F.col("origin").startswith("https") & (F.col("origin") != "https://evil.test"), F.col("origin")).otherwise(F.lit("https://nowhere.test")))
     return pages.groupBy("origin").agg(F.count("*").alias("n")).withColumn("allowed", urls.origin_allowed(F.col("origin"), allow))
 
 
@@ -655,9 +685,13 @@ def _(spark, sf_dir):
     return identity.coerce_fields(events.withColumn("value", shown), definitions).groupBy("kind", F.coalesce("error", F.lit("ok")).alias("error")).agg(F.count("*").alias("n"))
 
 
-@query("c20_digest_conflicts", """SELECT k, count(*) AS versions FROM (SELECT DISTINCT subject AS k, form, outcome FROM submissions) x GROUP BY 1 HAVING count(*) > 1""", "submissions")
+@query("c20_digest_conflicts", """SELECT k, count(*) AS versions FROM (SELECT DISTINCT subject AS k, id % 3 AS person, form, coalesce(rejection_reason, '-') AS campaign FROM submissions) x GROUP BY 1 HAVING count(*) > 1""", "submissions")
 def _(submissions):
-    digests = submissions.select(F.col("subject").alias("k"), identity.request_digest("form", "outcome").alias("digest")).distinct()
+    # Case and blanks of addresses and names, which vary from row to row, make no other digest; source and campaign do.
+    person, odd = (F.col("id") % 3).cast("string"), F.col("id") % 2 == 0
+    said = lambda a, b: F.concat(F.when(odd, a).otherwise(b), person)
+    leads = submissions.select(F.col("subject").alias("k"), said(F.lit(" Ann@E.test"), F.lit("ann@e.test")).alias("email"), said(F.lit("ANN "), F.lit("ann ")).alias("first_name"), F.when(odd, "").alias("last_name"), F.col("form").alias("source_type"), F.coalesce("rejection_reason", F.lit("-")).alias("utm_campaign"))
+    digests = leads.select("k", identity.request_digest(leads.columns).alias("digest")).distinct()
     return digests.groupBy("k").agg(F.count("*").alias("versions")).where("versions > 1")
 
 
@@ -688,16 +722,38 @@ SETS = r"""
     pairs AS (SELECT m.workspace_id, a, b, round(c / (r.n + s.n - c), 6) AS similarity FROM meets m JOIN reps r ON r.id = a JOIN reps s ON s.id = b WHERE c * 100 >= (r.n + s.n - c) * 30)"""
 
 
-@query("t5_similar_pairs", f"WITH {SETS} SELECT workspace_id, a, b, similarity FROM pairs", "outputs")
+FOLDED = SETS.replace("lower(coalesce(text, ''))", "lower(strip_accents(coalesce(text, '')))")
+
+
+@query("t1_text_of_json", """SELECT id, body || ' ' || lang || ' x' AS said FROM (SELECT id, replace(replace(left(text, 40), chr(10), ' '), '"', '') AS body, workspace_id AS lang FROM outputs) x""", "outputs")
+def _(outputs):
+    # Keys in order, nested arrays inside; numbers and nulls say nothing.
+    said = F.to_json(F.struct(F.lit(None).cast("string").alias("none"), F.array(F.col("workspace_id"), F.lit("x")).alias("tags"), F.replace(F.replace(F.substring("text", 1, 40), F.lit("\n"), F.lit(" ")), F.lit('"'), F.lit("")).alias("body"), F.lit(5).alias("number")))
+    return outputs.select("id", similarity.extract_text(said).alias("said"))
+
+
+@query("t2_folded_words", """SELECT id, array_to_string(list_filter(string_split(regexp_replace(lower(strip_accents(left(text, 200))), '[^\\p{L}\\p{N}]+', ' ', 'g'), ' '), lambda w: w <> ''), ' ') AS words FROM outputs""".replace("\\\\", "\\"), "outputs")
+def _(outputs):
+    return outputs.select("id", F.array_join(similarity.to_words(F.substring("text", 1, 200)), " ").alias("words"))
+
+
+@query("t5_similar_pairs", f"WITH {FOLDED} SELECT workspace_id, a, b, similarity FROM pairs", "outputs")
+def _(outputs):
+    return similarity.similar_pairs(similarity.comparable(outputs))
+
+
+@query("t6_duplication_verdicts", f"""WITH {FOLDED.replace("* 30)", "* 5)")}, near AS (SELECT id, max(similarity) AS s, max(CASE WHEN similarity >= 0.3 THEN 1 ELSE 0 END) AS hit, count(*) FILTER (similarity >= 0.3) AS n FROM (SELECT a AS id, similarity FROM pairs UNION ALL SELECT b, similarity FROM pairs) x GROUP BY 1),
+    judged AS (SELECT c.id, CASE WHEN copies > 1 THEN 1.0 ELSE coalesce(near.s, 0.0) END AS highest, CASE WHEN copies > 1 THEN 1 ELSE 0 END + coalesce(near.n, 0) AS matches FROM classes c LEFT JOIN near ON near.id = c.class_id)
+    SELECT w.id, CASE WHEN j.id IS NULL THEN 'indeterminate' WHEN matches > 0 THEN 'fail' ELSE 'pass' END AS verdict, coalesce(CAST(highest AS DOUBLE), 0.0) AS highest, coalesce(matches, 0) AS matches FROM worded w LEFT JOIN judged j ON j.id = w.id""", "outputs")
 def _(outputs):
-    return similarity.similar_pairs(similarity.comparable(outputs, fold=False))
+    return similarity.duplication_verdicts(outputs).withColumn("matches", F.size("matches").cast("long"))
 
 
-@query("t6_duplication_verdicts", f"""WITH {SETS}, near AS (SELECT id, max(similarity) AS s FROM (SELECT a AS id, similarity FROM pairs UNION ALL SELECT b, similarity FROM pairs) x GROUP BY 1),
-    judged AS (SELECT c.id, CASE WHEN copies > 1 THEN 1.0 ELSE near.s END AS highest FROM classes c LEFT JOIN near ON near.id = c.class_id)
-    SELECT w.id, CASE WHEN j.id IS NULL THEN 'indeterminate' WHEN highest IS NOT NULL THEN 'fail' ELSE 'pass' END AS verdict, coalesce(CAST(highest AS DOUBLE), 0.0) AS highest FROM worded w LEFT JOIN judged j ON j.id = w.id""", "outputs")
+@query("t7_guardrail_report", f"""WITH {FOLDED}, near AS (SELECT DISTINCT id FROM (SELECT a AS id FROM pairs UNION ALL SELECT b FROM pairs) x),
+    judged AS (SELECT c.workspace_id, c.id, copies > 1 OR near.id IS NOT NULL AS hit FROM classes c LEFT JOIN near ON near.id = c.class_id)
+    SELECT CASE WHEN bool_or(coalesce(hit, false)) THEN 'fail' WHEN bool_or(j.id IS NULL) THEN 'indeterminate' ELSE 'pass' END AS verdict, count(*) AS checked FROM worded w LEFT JOIN judged j ON j.id = w.id""", "outputs")
 def _(outputs):
-    return similarity.duplication_verdicts(outputs, fold=False)
+    return similarity.guardrail_report(similarity.duplication_verdicts(outputs))
 
 
 # --- frontier, ingestion, lifecycle, quality
@@ -728,7 +784,7 @@ ORACLE_SQL["g2_frontier"] = ORACLE_SQL["g2_frontier"].replace("WITH", "WITH RECU
 @query("l1_ingest_leads", None, "contacts")
 def _(contacts):
     leads = contacts.where("id % 2 = 0").select("id", "workspace_id", "first_name", "email", "phone", F.lit("web").alias("source_system"), F.concat(F.lit("k"), F.floor(F.col("id") / 6)).alias("external_key"))
-    receipts = contacts.where("id % 30 = 0").select("workspace_id", F.lit("web").alias("source_system"), F.concat(F.lit("k"), F.floor(F.col("id") / 6)).alias("external_key"), identity.request_digest("email", "phone", "first_name").alias("digest"), F.col("id").alias("contact_id"))
+    receipts = contacts.where("id % 30 = 0").select("workspace_id", F.lit("web").alias("source_system"), F.concat(F.lit("k"), F.floor(F.col("id") / 6)).alias("external_key"), identity.request_digest(["email", "phone", "first_name"]).alias("digest"), F.col("id").alias("contact_id"))
     return ingest.ingest_leads(leads, receipts, contacts.where("id % 2 = 1"))
 
 
