@@ -23,7 +23,7 @@ CLASSES, MEMBERS = 31, 32
 BUCKETS = MEMBERS + CLASSES * MEMBERS
 #: The input that stands before the first id of a sequence.
 START = BUCKETS
-WIDTH, HEAD, HIDDEN = 32, 16, 32
+WIDTH, HEAD, HIDDEN = 24, 12, 24
 #: Scores are held within this bound before they are exponentiated.
 BOUND = np.float32(30)
 
@@ -50,8 +50,7 @@ def initial(window: int, popularity: np.ndarray) -> dict[str, np.ndarray]:
         "query": normal(WIDTH, HEAD, scale=WIDTH**-0.5),
         "key": normal(WIDTH, HEAD, scale=WIDTH**-0.5),
         "distance": np.zeros(window, np.float32),
-        "own": normal(WIDTH, HIDDEN, scale=WIDTH**-0.5),
-        "seen": normal(WIDTH, HIDDEN, scale=WIDTH**-0.5),
+        "read": normal(2 * WIDTH, HIDDEN, scale=WIDTH**-0.5),
         "hidden": np.zeros(HIDDEN, np.float32),
         "class": normal(HIDDEN, MEMBERS + CLASSES, scale=0.05),
         "class_bias": np.log(np.concatenate([share[:MEMBERS], inside.sum(axis=1)])).astype(np.float32),
@@ -60,12 +59,10 @@ def initial(window: int, popularity: np.ndarray) -> dict[str, np.ndarray]:
     }
 
 
-def normalised(scores: np.ndarray, mask: list[np.ndarray] | None = None) -> np.ndarray:
-    """Softmax over the last axis, in place; a mask's zeros take no part."""
+def normalised(scores: np.ndarray) -> np.ndarray:
+    """Softmax over the last axis, in place."""
     np.clip(scores, -BOUND, BOUND, out=scores)
     np.exp(scores, out=scores)
-    for part in mask or []:
-        scores *= part
     scores *= np.float32(1) / (scores @ np.ones((scores.shape[-1], 1), np.float32))
     return scores
 
@@ -88,10 +85,10 @@ class Attention:
         self.window, self.weights = window, weights
         back = np.arange(window)[:, None] - np.arange(window)
         self.causal = ((back >= 0) & (back <= (window if reach is None else reach))).astype(np.float32)
-        self.back = np.maximum(back, 0)
+        self.back, self.ones = np.maximum(back, 0), np.ones((window, 1), np.float32)
 
-    def look(self, one: np.ndarray, two: np.ndarray, group: np.ndarray, first: int = 0) -> dict[str, np.ndarray]:
-        """What positions from `first` on make of windows (ids one and two; group: the sequence that each position belongs to, beyond which it sees nothing)."""
+    def look(self, one: np.ndarray, two: np.ndarray, group: np.ndarray | None, first: int = 0) -> dict[str, np.ndarray]:
+        """What positions from `first` on make of windows (ids one and two; group: the sequence that each position belongs to, beyond which it sees nothing; None: one to a window)."""
         w = self.weights
         flat = w["one"].take(one.ravel(), axis=0)
         flat += w["two"].take(two.ravel(), axis=0)
@@ -101,13 +98,19 @@ class Attention:
         key = (flat @ w["key"]).reshape(*one.shape, HEAD)
         share = query @ key.transpose(0, 2, 1)
         share += w["distance"][self.back[first:]]
-        normalised(share, [self.causal[first:], group[:, first:, None] == group[:, None, :]])
-        seen = share @ x
-        hidden = own @ w["own"]
-        hidden += seen.reshape(-1, WIDTH) @ w["seen"]
+        np.clip(share, -BOUND, BOUND, out=share)
+        np.exp(share, out=share)
+        share *= self.causal[first:]
+        # Most windows lie in one sequence.
+        if group is not None and len(mixed := np.flatnonzero((group != group[:, -1:]).any(axis=1))):
+            share[mixed] *= group[mixed, first:, None] == group[mixed, None, :]
+        share *= np.float32(1) / (share @ self.ones)
+        both = np.empty((len(own), 2 * WIDTH), flat.dtype)
+        both[:, :WIDTH], both[:, WIDTH:] = own, (share @ x).reshape(-1, WIDTH)
+        hidden = both @ w["read"]
         hidden += w["hidden"]
         np.maximum(hidden, np.float32(0), out=hidden)
-        return {"x": x, "query": query, "key": key, "share": share, "seen": seen, "hidden": hidden}
+        return {"x": x, "query": query, "key": key, "share": share, "both": both, "hidden": hidden}
 
     def shares(self, hidden: np.ndarray, goal: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, slice, np.ndarray]]]:
         """(shares of the first softmax, which of them each goal has, probability of each goal; class, its positions and the shares of its members), all in ascending order of goals."""
@@ -126,7 +129,7 @@ class Attention:
                 parts.append((c, slice(start, stop), part))
         return top, kind, p, parts
 
-    def log_probability(self, one: np.ndarray, two: np.ndarray, group: np.ndarray, target: np.ndarray, first: int = 0) -> np.ndarray:
+    def log_probability(self, one: np.ndarray, two: np.ndarray, group: np.ndarray | None, target: np.ndarray, first: int = 0) -> np.ndarray:
         """The natural logarithm of the probability of each target, shaped as target, which has the positions from `first` on."""
         goal = target.ravel()
         order = np.argsort(goal.astype(np.int16), kind="stable")
@@ -135,10 +138,10 @@ class Attention:
         out[order] = np.log(np.maximum(self.shares(hidden, goal[order])[2], 1e-30))
         return out.reshape(target.shape)
 
-    def slopes(self, one: np.ndarray, two: np.ndarray, group: np.ndarray, target: np.ndarray, weight: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+    def slopes(self, one: np.ndarray, two: np.ndarray, group: np.ndarray | None, target: np.ndarray, weight: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """(mean loss, its gradient) over windows; weight: of each position, adding up to one."""
         w, f, goal = self.weights, self.look(one, two, group), target.ravel()
-        x, share, seen = f["x"], f["share"], f["seen"].reshape(-1, WIDTH)
+        x, share = f["x"], f["share"]
         flat = x.reshape(-1, WIDTH)
         order = np.argsort(goal.astype(np.int16), kind="stable")
         goal, hidden, weight = goal[order], f["hidden"].take(order, axis=0), weight.ravel()[order].astype(np.float32)
@@ -158,9 +161,9 @@ class Attention:
         back = np.empty_like(order)
         back[order] = rows
         down = down.take(back, axis=0)
-        out |= {"own": flat.T @ down, "seen": seen.T @ down, "hidden": down.sum(axis=0)}
-        dx = (down @ w["own"].T).reshape(x.shape)
-        dseen = (down @ w["seen"].T).reshape(x.shape)
+        out |= {"read": f["both"].T @ down, "hidden": down.sum(axis=0)}
+        dboth = down @ w["read"].T
+        dx, dseen = (np.ascontiguousarray(d).reshape(x.shape) for d in (dboth[:, :WIDTH], dboth[:, WIDTH:]))
         slope = dseen @ x.transpose(0, 2, 1)
         dx += share.transpose(0, 2, 1) @ dseen
         slope -= np.einsum("bij,bij->bi", slope, share)[:, :, None]
@@ -207,9 +210,3 @@ def windows_of(sizes: np.ndarray, window: int, step: int) -> tuple[np.ndarray, n
     nth = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
     index = (np.repeat(ends - sizes, many) + nth * step - (window - step))[:, None] + np.arange(window)
     return index, (index < np.repeat(ends, many)[:, None]) & (np.arange(window) >= window - step)
-
-
-def picked(values: np.ndarray, index: np.ndarray, outside: int) -> np.ndarray:
-    """Values at index, `outside` where there is no such position."""
-    inside = (index >= 0) & (index < len(values))
-    return np.where(inside, values.take(index, mode="clip"), outside)

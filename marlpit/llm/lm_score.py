@@ -11,12 +11,15 @@ and gives the next piece or the word's close.
 Training texts are dealt by a hash of their pieces and ids to shards of about
 SHARD_PIECES, so shards, and with them scores, do not hang on how the input is
 split. The first shard is learned first; every other one goes on from there with
-all windows of all its texts, end to end, and with each of its distinct words; the
-weights are averaged by how much each shard learned. At scoring, windows of WINDOW
-words overlap, and each word is scored once, in masked batches.
+all windows of all its texts, end to end; the weights are averaged by how much
+each shard learned. Distinct words are dealt and learned in the same way, each
+once. At scoring, windows of WINDOW words overlap, and each word is scored once,
+in masked batches.
 
-Word counts are a shuffle over all training texts, and every word keeps its count:
-those of at most FREQUENT words are broadcast, the others are joined to the texts.
+Word counts are a shuffle over all texts. Every word keeps its count, and what
+follows its first piece is worked out once in the whole corpus: words of up to
+PACKED pieces travel as two numbers, longer ones as overlapping runs of them. The
+counts of at most FREQUENT words are broadcast, the others are joined to the texts.
 
 Null and empty texts are an end alone. Texts may be of any length. Repeated rows
 are scored one by one; null ids are not held out, and their rows are dealt by
@@ -27,6 +30,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,21 +39,23 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .attention import BUCKETS, MEMBERS, START, Adam, Attention, initial, keep_memory, picked, windows_of
+from .attention import BUCKETS, MEMBERS, START, Adam, Attention, initial, keep_memory, windows_of
 from .bpe import read_file
 from .common import crc_bucket, cut, keyed_text, map_batches
 from .textkernel import mix, powers
 
 #: Positions of a window, and how many of them a scoring window adds to the one before.
-WINDOW, STEP = 32, 24
+WINDOW, STEP = 24, 18
+#: Pieces of a word that travel with its count.
+PACKED = 8
 #: The most words whose counts are broadcast.
-FREQUENT = 1 << 17
+FREQUENT = 1 << 18
 #: The most frequent words, which are given at once and not spelled.
 WHOLE = 480
 #: Taken off the count of every word, for words that were never seen.
 DISCOUNT = 0.75
 #: Pieces of a shard; windows of a training step; pieces that are worked on at a time.
-SHARD_PIECES, BATCH_WINDOWS, STEP_PIECES = 8_000_000, 256, 2_000_000
+SHARD_PIECES, BATCH_WINDOWS, STEP_PIECES = 16_000_000, 256, 2_000_000
 RATE, GO_ON_RATE = 0.006, 0.003
 #: Steps that a shard should have at least, and passes over it that are made for them at most.
 STEPS, PASSES = 200, 10
@@ -66,24 +72,37 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 class Speller:
-    """Texts as subword ids; a word's first piece, and no other, begins with the space before it."""
+    """Texts as subword ids; a word's first piece, and no other, begins with the space before it. Remembers how words are spelled, and forgets all when it is full."""
 
-    def __init__(self, ranks: dict[bytes, int]):
+    def __init__(self, ranks: dict[bytes, int], room: int = 1 << 19):
         self.encoding = tiktoken.Encoding("pieces", pat_str=f" ?[^ ]{{1,{RUN}}}", mergeable_ranks=ranks, special_tokens={})
+        self.room = room
+        self.forget()
+
+    def forget(self) -> None:
+        self.at: dict[bytes, int] = {}
+        self.pieces, self.first, self.size = np.zeros(0, np.uint16), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def learn(self, words: list[bytes], opens: np.ndarray) -> None:
+        pieces = np.array(self.encoding.encode_ordinary(" " + b" ".join(words).decode()), np.uint16)
+        first = np.flatnonzero(opens[pieces])
+        self.at.update(zip(words, range(len(self.at), len(self.at) + len(words))))
+        self.first, self.size = np.append(self.first, first + len(self.pieces)), np.append(self.size, np.diff(first, append=len(pieces)))
+        self.pieces = np.append(self.pieces, pieces)
 
     def __call__(self, texts: list[bytes], opens: np.ndarray) -> Iterator[bytes]:
-        """Each text's ids as little-endian unsigned 16-bit integers; a word is spelled once for all the texts."""
+        """Each text's ids as little-endian unsigned 16-bit integers."""
         listed = [words_of(t) for t in texts]
-        every = [w for ws in listed for w in ws]
-        words = [*dict.fromkeys(every)]
-        pieces = np.array(self.encoding.encode_ordinary(" " + b" ".join(words).decode()) if words else [], np.uint16)
-        first = np.flatnonzero(opens[pieces])
-        size = np.diff(first, append=len(pieces))
-        at = dict(zip(words, range(len(words))))
-        which = np.fromiter(map(at.__getitem__, every), np.int64, len(every))
-        sizes = size[which]
+        every = [*chain.from_iterable(listed)]
+        if new := [*(set(every) - self.at.keys())]:
+            if len(self.at) + len(new) > self.room:
+                self.forget()
+                new = [*set(every)]
+            self.learn(new, opens)
+        which = np.fromiter(map(self.at.__getitem__, every), np.int64, len(every))
+        sizes = self.size[which]
         ends = np.cumsum(sizes)
-        flat = pieces[np.repeat(first[which] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
+        flat = self.pieces[np.repeat(self.first[which] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
         cuts = np.concatenate([[0], ends])[np.cumsum([0, *map(len, listed)])]
         for a, b in zip(cuts[:-1], cuts[1:]):
             yield flat[a:b].tobytes()
@@ -144,29 +163,68 @@ def spelled_texts(texts: DataFrame, vocabulary) -> DataFrame:
     return map_batches(texts, run, f"row long, doc_id {texts.dtypes[0][1]}, trained boolean, ids binary")
 
 
-#: Kinds of counts: words by their hash, first pieces of words, other pieces.
-WORD, OPENING, INNER = 0, 1, 2
+#: Kinds of counts: words by their hash, first pieces of words, other pieces, and runs of the pieces of long words by a hash.
+WORD, OPENING, INNER, RUN_OF = 0, 1, 2, 3
+COUNTS = "kind int, word long, first int, size int, low long, high long, n long"
+#: Stands where a packed word has no piece.
+NO_PIECE = 0xFFFF
+
 
+def packed_pieces(ids: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first PACKED pieces of words in two 64-bit numbers."""
+    place = np.arange(PACKED)
+    pieces = np.where(place < size[:, None], ids[np.minimum(first[:, None] + place, len(ids) - 1)], NO_PIECE).astype("<u2")
+    both = np.ascontiguousarray(pieces).view("<i8")
+    return both[:, 0], both[:, 1]
 
-def corpus_counts(train: DataFrame, vocabulary) -> DataFrame:
-    """(kind, word, first, n): occurrences in training texts (ids) of each word, which has a first piece, of first pieces and of other pieces."""
+
+def unpacked_pieces(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(pieces laid end to end, how many each word has)."""
+    pieces = np.ascontiguousarray(np.stack([low, high], axis=1)).view("<u2").astype(np.int64)
+    there = pieces != NO_PIECE
+    return pieces[there], there.sum(axis=1)
+
+
+def corpus_counts(texts: DataFrame, vocabulary) -> DataFrame:
+    """COUNTS of texts (trained, ids): n is the occurrences in trained ones, zero where only others have a word.
+
+    low and high are the first PACKED pieces of a word or all of a run; size is the pieces of a word, or of a run (negative: the word goes on).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opens = vocabulary.value.opens
         pieces = np.zeros((2, len(opens)), np.int64)
-        rows = lambda kind, what, first, n: pa.RecordBatch.from_arrays([pa.array(np.full(len(n), kind, np.int32)), pa.array(what), pa.array(first.astype(np.int32)), pa.array(n)], ["kind", "word", "first", "n"])
+
+        def rows(kind: int, word: np.ndarray, first: np.ndarray, size: np.ndarray, packs: tuple[np.ndarray, np.ndarray], n: np.ndarray) -> pa.RecordBatch:
+            columns = [np.full(len(n), kind, np.int32), word, first.astype(np.int32), size.astype(np.int32), *packs, n.astype(np.int64)]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["kind", "word", "first", "size", "low", "high", "n"])
+
         for batch in batches:
-            for _, texts in id_steps(batch, 0):
-                words = Words(texts, opens)
-                found, at, n = np.unique(words.hashes, return_index=True, return_counts=True)
-                yield rows(WORD, found.view(np.int64), words.ids[words.first[at]], n)
-                opening = np.bincount(words.ids[words.first], minlength=len(opens))
-                pieces += [opening, np.bincount(words.ids, minlength=len(opens)) - opening]
+            trained = np.array(batch.column(0).to_pylist(), bool)
+            for start, part in id_steps(batch, 1):
+                words = Words(part, opens)
+                weight = np.repeat(trained[start : start + len(part)], np.diff(words.offsets))
+                found, at, which = np.unique(words.hashes, return_index=True, return_inverse=True)
+                n, first, size = np.bincount(which, weight, len(found)), words.first[at], words.size[at]
+                yield rows(WORD, found.view(np.int64), words.ids[first], size, packed_pieces(words.ids, first, size), n)
+                if (long := np.flatnonzero((size > PACKED) & (n > 0))).size:
+                    # Runs share a piece with the one before; the last ends the word.
+                    many = -(-(size[long] - 1) // (PACKED - 1))
+                    nth = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                    begin = np.repeat(first[long], many) + nth * (PACKED - 1)
+                    left = np.repeat(first[long] + size[long], many) - begin
+                    own = np.minimum(left, PACKED)
+                    named = mix(np.repeat(found[long], many) + nth.astype(np.uint64) + np.uint64(1))
+                    yield rows(RUN_OF, named.view(np.int64), words.ids[begin], np.where(left > PACKED, -own, own), packed_pieces(words.ids, begin, own), np.repeat(n[long], many))
+                opening = np.bincount(words.ids[words.first], weight, len(opens)).astype(np.int64)
+                pieces += [opening, np.bincount(words.ids, np.repeat(weight, words.size), len(opens)).astype(np.int64) - opening]
         for kind, n in ((OPENING, pieces[0]), (INNER, pieces[1])):
             there = np.flatnonzero(n)
-            yield rows(kind, there, there, n[there])
+            nothing = np.zeros(len(there), np.int64)
+            yield rows(kind, there, there, nothing, (nothing, nothing), n[there])
 
-    return map_batches(train.select("ids"), run, "kind int, word long, first int, n long").groupBy("kind", "word").agg(F.max("first").alias("first"), F.sum("n").alias("n"))
+    same = [F.max(c).alias(c) for c in ("first", "size", "low", "high")]
+    return map_batches(texts.select("trained", "ids"), run, COUNTS).groupBy("kind", "word").agg(*same, F.sum("n").alias("n"))
 
 
 class Buckets:
@@ -187,56 +245,36 @@ class Positions:
     """Sequences laid end to end (size: of each): two ids a position, the bucket to be given there, and the id's probability inside its bucket. Joint sequences share windows."""
 
     def __init__(self, size: np.ndarray, one: np.ndarray, two: np.ndarray, goal: np.ndarray, inside: np.ndarray, joint: bool):
-        self.size, self.one, self.two, self.goal, self.inside = size, one, two, goal, inside
+        self.size, self.inside, self.joint, self.many = size, inside, joint, len(one)
+        # A window may begin or end where there is no position.
+        around = lambda values, outside: np.concatenate([np.full(WINDOW, outside, values.dtype), values, np.full(WINDOW, outside, values.dtype)])
+        self.one, self.two, self.goal = around(one, START), around(two, START), around(goal, 0)
         self.runs = np.array([len(one)]) if joint else size
-        self.group = np.repeat(np.arange(len(size), dtype=np.int32), size)
-
-    def windows(self, index: np.ndarray) -> tuple[np.ndarray, ...]:
-        return picked(self.one, index, START), picked(self.two, index, START), picked(self.group, index, -1), picked(self.goal, index, 0)
+        self.group = around(np.repeat(np.arange(len(size), dtype=np.int32), size), -1)
 
     def log_probability(self, model: Attention) -> np.ndarray:
         """The natural logarithm of the probability of the id at each position, from windows that overlap by WINDOW - STEP."""
-        p, lead = np.zeros(len(self.one)), WINDOW - STEP
+        p, lead = np.zeros(self.many + 2 * WINDOW), WINDOW - STEP
         index, given = windows_of(self.runs, WINDOW, STEP)
-        for k in range(0, len(index), BATCH_WINDOWS):
-            at, own = index[k : k + BATCH_WINDOWS], given[k : k + BATCH_WINDOWS, lead:]
-            one, two, group, goal = self.windows(at)
-            p[at[:, lead:][own]] = model.log_probability(one, two, group, goal[:, lead:], lead)[own]
-        return p + self.inside
+        index += WINDOW
+        for k in range(0, len(index), 2 * BATCH_WINDOWS):
+            at, own = index[k : k + 2 * BATCH_WINDOWS], given[k : k + 2 * BATCH_WINDOWS, lead:]
+            p[at[:, lead:][own]] = model.log_probability(self.one[at], self.two[at], self.group[at], self.goal[at[:, lead:]], lead)[own]
+        return p[WINDOW : self.many + WINDOW] + self.inside
 
     def learn(self, adam: Adam, batch: int) -> int:
         """A step for every batch of windows, which do not overlap; returns how many windows there were."""
         index, given = windows_of(self.runs, WINDOW, WINDOW)
+        index += WINDOW
         # Neighbours are alike; steps take windows from everywhere.
         order = np.argsort(mix(np.arange(len(index), dtype=np.uint64)))
         for k in range(0, len(index), batch):
-            some = order[k : k + batch]
-            weight = given[some].astype(np.float32)
-            adam.step(*self.windows(index[some]), weight / weight.sum())
+            at, weight = index[order[k : k + batch]], given[order[k : k + batch]].astype(np.float32)
+            # Where sequences do not share windows, what lies beyond the end comes after it and is seen by none of it.
+            adam.step(self.one[at], self.two[at], self.group[at] if self.joint else None, self.goal[at], weight / weight.sum())
         return len(order)
 
 
-class Memory:
-    """A worker's memory of what words were found to be worth, by hash; it forgets all when it is full."""
-
-    def __init__(self, room: int = 1 << 19):
-        self.room, self.hashes, self.values = room, np.zeros(0, np.uint64), np.zeros(0)
-
-    def find(self, hashes: np.ndarray, work: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
-        """Values of distinct ascending hashes; work gives those at the positions it is called with."""
-        at = np.minimum(np.searchsorted(self.hashes, hashes), max(0, len(self.hashes) - 1))
-        known = self.hashes[at] == hashes if len(self.hashes) else np.zeros(len(hashes), bool)
-        out = np.where(known, self.values[at] if len(self.hashes) else 0.0, 0.0)
-        new = np.flatnonzero(~known)
-        out[new] = work(new)
-        if len(self.hashes) + len(new) > self.room:
-            self.hashes, self.values = self.hashes[:0], self.values[:0]
-        both = np.concatenate([self.hashes, hashes[new]])
-        order = np.argsort(both, kind="stable")
-        self.hashes, self.values = both[order], np.concatenate([self.values, out[new]])[order]
-        return out
-
-
 class Language:
     """Both models and their buckets. Words among `whole` (hashes and counts) are given at once, all others by their first piece and what follows it."""
 
@@ -255,15 +293,14 @@ class Language:
         own = self.whole[at] == words.hashes if len(self.whole) else np.zeros(len(at), bool)
         return np.where(own, self.stop + 1 + at, words.ids[words.first]), own
 
-    def pack(self) -> bytes:
-        return b"".join(v.astype("<f4").tobytes() for m in self.models for v in m.weights.values())
+    def pack(self, which: int) -> bytes:
+        return b"".join(v.astype("<f4").tobytes() for v in self.models[which].weights.values())
 
-    def unpack(self, data: bytes) -> None:
-        values, at = np.frombuffer(data, "<f4"), 0
-        for m in self.models:
-            for k, v in m.weights.items():
-                m.weights[k] = values[at : at + v.size].reshape(v.shape).copy()
-                at += v.size
+    def unpack(self, which: int, data: bytes) -> None:
+        values, at, weights = np.frombuffer(data, "<f4"), 0, self.models[which].weights
+        for k, v in weights.items():
+            weights[k] = values[at : at + v.size].reshape(v.shape).copy()
+            at += v.size
 
     def text_positions(self, words: Words, heads: np.ndarray) -> Positions:
         """Every word of every text, then the text's end."""
@@ -279,76 +316,69 @@ class Language:
         one[begin], two[begin] = START, START
         return Positions(many + 1, one[:total], two[:total], self.opening.of[goal], self.opening.inside[goal], False)
 
-    def word_positions(self, words: Words, chosen: np.ndarray) -> Positions:
-        """Every piece after the first of the chosen words, then the word's close."""
-        size = words.size[chosen]
+    def word_positions(self, ids: np.ndarray, size: np.ndarray, closed: np.ndarray | None = None) -> Positions:
+        """Every piece after the first of words laid end to end, then the word's close (unless it is not closed)."""
         ends = np.cumsum(size)
-        within = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - size, size)
-        ids = words.ids[np.repeat(words.first[chosen], size) + within]
+        within = np.arange(len(ids)) - np.repeat(ends - size, size)
         one = self.inner.of[ids]
         two = np.where(within > 0, np.concatenate([[START], one[:-1]]), START).astype(np.int16) if len(ids) else one
         goal = np.append(ids[1:], self.stop)[: len(ids)]
         goal[ends - 1] = self.stop
+        if closed is not None and not closed.all():
+            kept = np.ones(len(ids), bool)
+            kept[ends[~closed] - 1] = False
+            one, two, goal, size = one[kept], two[kept], goal[kept], size - ~closed
         return Positions(size, one, two, self.inner.of[goal], self.inner.inside[goal], True)
 
-    def log_probabilities(self, words: Words, memory: Memory) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(natural logarithms of the probability of each word's opening, of the rest of each word, of each text's end; which words have no rest)."""
+    def spelled(self, ids: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Natural logarithm of the probability of what follows the first piece of words laid end to end."""
+        p = self.word_positions(ids, size).log_probability(self.models[1])
+        return np.add.reduceat(p, np.cumsum(size) - size) if len(size) else p
+
+    def openings(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(natural logarithms of the probability of each word's opening, of each text's end; which words have no more than that)."""
         heads, own = self.heads(words)
         positions = self.text_positions(words, heads)
         p = positions.log_probability(self.models[0])
         ends = np.cumsum(positions.size) - 1
-        rest, spelt = np.zeros(len(heads)), np.flatnonzero(~own)
-        hashes, chosen, which = np.unique(words.hashes[spelt], return_index=True, return_inverse=True)
-        rest[spelt] = memory.find(hashes, lambda new: self.spelled(words, spelt[chosen[new]]))[which]
-        return np.delete(p, ends), rest, p[ends], own
-
-    def spelled(self, words: Words, chosen: np.ndarray) -> np.ndarray:
-        """Natural logarithm of the probability of what follows the first piece of each chosen word."""
-        positions = self.word_positions(words, chosen)
-        p = positions.log_probability(self.models[1])
-        return np.add.reduceat(p, np.cumsum(positions.size) - positions.size) if len(chosen) else p
-
-    def learn(self, words: Words, known: np.ndarray, adams: list[Adam], batch: int) -> tuple[int, np.ndarray]:
-        """A step for every batch of windows of the texts, and of their distinct words that are not known; returns (windows of texts, hashes now known)."""
-        heads, own = self.heads(words)
-        windows = self.text_positions(words, heads).learn(adams[0], batch)
-        spelt = np.flatnonzero(~own)
-        hashes, chosen = np.unique(words.hashes[spelt], return_index=True)
-        new = ~np.isin(hashes, known, assume_unique=True)
-        self.word_positions(words, spelt[chosen[new]]).learn(adams[1], batch)
-        return windows, np.union1d(known, hashes)
+        return np.delete(p, ends), p[ends], own
 
 
-def learned_shards(train: DataFrame, vocabulary, empty: Language, weights: bytes, rate: float, steps: int, batch: int) -> DataFrame:
-    """(shard, seen, weights) from rows (shard, pass, ids) that are dealt and sorted so: what each shard makes of the weights it is given."""
+def learned_shards(dealt: DataFrame, language: Language, which: int, read: Callable[[Language, pa.RecordBatch], Positions], weights: bytes, rate: float, steps: int, batch: int) -> DataFrame:
+    """(shard, seen, weights) from rows (shard, ...) that are dealt and sorted by shard: what each shard makes of the weights that it is given. read makes positions of rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_memory()
-        language, opens = empty, vocabulary.value.opens
-        shard, seen, known, adams = None, 0, np.zeros(0, np.uint64), []
+        shard = adam = None
+        seen, own = 0, language
 
         def ended() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([float(seen)]), pa.array([language.pack()], pa.binary())], ["shard", "seen", "weights"])
+            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([float(seen)]), pa.array([own.pack(which)], pa.binary())], ["shard", "seen", "weights"])
 
-        at = None
         for rows in batches:
-            of = rows.column(0).to_numpy().astype(np.int64) << 8 | rows.column(1).to_numpy()
-            for first, texts in id_steps(rows, 2):
-                own = of[first : first + len(texts)]
-                for s in np.unique(own):
-                    if at is None or s >> 8 != shard:
-                        if at is not None:
-                            yield ended()
-                        language.unpack(weights)
-                        shard, seen, adams = int(s >> 8), 0, [Adam(m, rate, steps) for m in language.models]
-                    if s != at:
-                        at, known = s, np.zeros(0, np.uint64)
-                    windows, known = language.learn(Words([texts[k] for k in np.flatnonzero(own == s)], opens), known, adams, batch)
-                    seen += windows
+            of = rows.column(0).to_numpy()
+            cuts = np.flatnonzero(np.diff(of, prepend=-1))
+            for first, last in zip(cuts, np.append(cuts[1:], len(of))):
+                if of[first] != shard:
+                    if shard is not None:
+                        yield ended()
+                    own.unpack(which, weights)
+                    shard, seen, adam = int(of[first]), 0, Adam(own.models[which], rate, steps)
+                for part in parts_of(rows.slice(first, last - first)):
+                    seen += read(own, part).learn(adam, batch)
         if shard is not None:
             yield ended()
 
-    return map_batches(train.select("shard", "pass", "ids"), run, "shard int, seen double, weights binary")
+    return map_batches(dealt, run, "shard int, seen double, weights binary")
+
+
+def parts_of(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows whose packed ids, if they have any, are about STEP_PIECES together."""
+    if "ids" not in rows.schema.names:
+        yield rows
+        return
+    for first, texts in id_steps(rows, rows.schema.get_field_index("ids")):
+        yield rows.slice(first, len(texts))
 
 
 def averaged(learned: DataFrame, many: int) -> bytes | None:
@@ -381,45 +411,86 @@ def averaged(learned: DataFrame, many: int) -> bytes | None:
     return sum(r["seen"] / total * np.frombuffer(r["weights"], "<f4").astype(np.float64) for r in rows).astype("<f4").tobytes()
 
 
-def train(texts: DataFrame, vocabulary, language: Language, pieces: int, words: int) -> bytes:
-    """The packed weights learned from all windows of texts (row, doc_id, ids)."""
-    shards = max(1, -(-pieces // SHARD_PIECES))
-    windows = max(1.0, words / shards / WINDOW)
+def train(language: Language, which: int, rows: DataFrame, key, read: Callable[[Language, pa.RecordBatch], Positions], size: int, shard_size: int, positions: int) -> None:
+    """Learn the weights of a model of `language` from all rows, which are dealt by a key; size: of the rows, in units of shard_size; positions: how many they make."""
+    shards = max(1, -(-size // shard_size))
+    windows = max(1.0, positions / shards / WINDOW)
     # A small corpus is learned in small steps, and more than once.
     batch = int(np.clip(windows / STEPS, 16, BATCH_WINDOWS))
     passes = int(np.clip(np.ceil(STEPS * batch / windows), 1, PASSES)) if shards == 1 else 1
+    steps, columns = int(passes * windows / batch), rows.columns
+    dealt = rows.withColumn("key ", key).withColumn("shard", F.pmod("key ", F.lit(shards)).cast("int"))
+    # One task: the first shard has about shard_size however many there are.
+    first = dealt.where("shard = 0").withColumn("pass ", F.explode(F.sequence(F.lit(1), F.lit(passes)))).repartition(1).sortWithinPartitions("pass ", "key ").select("shard", *columns)
+    begun = averaged(learned_shards(first, language, which, read, language.pack(which), RATE, steps, batch), 1) or language.pack(which)
+    if shards > 1:
+        # More partitions than shards, most of them empty: few shards meet in one.
+        rest = dealt.where("shard > 0").repartition(8 * shards, "shard").sortWithinPartitions("shard", "key ").select("shard", *columns)
+        begun = averaged(learned_shards(rest, language, which, read, begun, GO_ON_RATE, steps, batch), shards) or begun
+    language.unpack(which, begun)
+
+
+def train_openings(language: Language, texts: DataFrame, vocabulary, pieces: int, positions: int) -> None:
+    """From every window of texts (row, doc_id, ids)."""
+
+    def read(own: Language, rows: pa.RecordBatch) -> Positions:
+        words = Words(rows.column(1).to_pylist(), vocabulary.value.opens)
+        return own.text_positions(words, own.heads(words)[0])
+
     key = F.xxhash64("ids", F.coalesce(F.col("doc_id").cast("string"), F.col("row").cast("string")))
-    dealt = texts.select("ids", key.alias("key"), F.pmod(key, F.lit(shards)).cast("int").alias("shard"))
-    steps = int(passes * windows / batch)
-    # One task: the first shard has about SHARD_PIECES pieces however many there are.
-    first = dealt.where("shard = 0").withColumn("pass", F.explode(F.sequence(F.lit(1), F.lit(passes)))).repartition(1).sortWithinPartitions("pass", "key")
-    weights = averaged(learned_shards(first, vocabulary, language, language.pack(), RATE, steps, batch), 1) or language.pack()
-    if shards == 1:
-        return weights
-    rest = dealt.where("shard > 0").withColumn("pass", F.lit(1)).repartition(shards, "shard").sortWithinPartitions("shard", "key")
-    return averaged(learned_shards(rest, vocabulary, language, weights, GO_ON_RATE, steps, batch), shards) or weights
-
-
-def frequent(words: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes in ascending order, counts) of the most frequent words, FREQUENT at most: whole levels of an eighth of a doubling."""
-    level = F.floor(F.log2("n") * 8)
+    train(language, 0, texts.select("row", "doc_id", "ids"), key, lambda own, rows: read(own, rows.select([0, 3])), pieces, SHARD_PIECES, positions)
+
+
+def train_spelling(language: Language, counts: DataFrame) -> None:
+    """From every trained word of counts that is not whole, once, however often it occurs."""
+
+    def read(own: Language, rows: pa.RecordBatch) -> Positions:
+        ids, size = unpacked_pieces(rows.column(1).to_numpy(), rows.column(2).to_numpy())
+        return own.word_positions(ids, size, rows.column(3).to_numpy() > 0)
+
+    words = counts.where(F.col("n") > 0).where(F.col("kind").isin(WORD, RUN_OF) & (F.col("kind").eqNullSafe(RUN_OF) | (F.col("size") <= PACKED)))
+    words = not_whole(words, language.whole).select("word", "low", "high", "size")
+    positions = words.agg(F.coalesce(F.sum(F.abs("size")), F.lit(0))).first()[0]
+    train(language, 1, words, F.xxhash64("word"), lambda own, rows: read(own, rows.select([0, 2, 3, 4])), positions, SHARD_PIECES // 4, positions)
+
+
+def not_whole(words: DataFrame, whole: np.ndarray) -> DataFrame:
+    return words.where(~F.col("word").isin(whole.view(np.int64).tolist())) if len(whole) else words
+
+
+def spelled_words(counts: DataFrame, language: Language) -> DataFrame:
+    """(word, first, n, rest) of all words: rest is the natural logarithm of what follows the first piece, 0 for whole words and for those of more than PACKED pieces."""
+    shared = counts.sparkSession.sparkContext.broadcast(language)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_memory()
+        own = shared.value
+        for rows in batches:
+            word, size = rows.column(0).to_numpy(), rows.column(3).to_numpy()
+            rest = np.zeros(len(word), np.float32)
+            asked = np.flatnonzero((size <= PACKED) & ~np.isin(word, own.whole.view(np.int64)))
+            rest[asked] = own.spelled(*unpacked_pieces(rows.column(4).to_numpy()[asked], rows.column(5).to_numpy()[asked]))
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), rows.column(2), pa.array(rest)], ["word", "first", "n", "rest"])
+
+    return map_batches(counts.where(F.col("kind") == WORD).select("word", "first", "n", "size", "low", "high"), run, "word long, first int, n long, rest float")
+
+
+def frequent(words: DataFrame) -> DataFrame:
+    """The most frequent of words (word, n, ...), FREQUENT at most: whole levels of an eighth of a doubling."""
+    level, words = F.floor(F.log2("n") * 8), words.where("n > 0")
     room, lowest = FREQUENT, None
     for row in words.groupBy(level.alias("level")).agg(F.count("*").alias("many")).orderBy(F.desc("level")).collect():
         room -= row["many"]
         if room < 0:
             break
         lowest = row["level"]
-    rows = (words.where(level >= lowest) if lowest is not None else words.limit(0)).select("word", "n").toPandas()
-    hashes, n = rows["word"].to_numpy(np.int64).view(np.uint64), rows["n"].to_numpy(np.int64)
-    order = np.argsort(hashes)
-    return hashes[order], n[order]
+    return words.where(level >= lowest) if lowest is not None else words.limit(0)
 
 
 def begun_so(words: DataFrame, whole: np.ndarray, stop: int) -> tuple[np.ndarray, np.ndarray]:
-    """(occurrences, distinct words) by first piece, of words (word, first, n) that are not whole."""
-    others = words.where(~F.col("word").isin(whole.view(np.int64).tolist())) if len(whole) else words
+    """(occurrences, distinct words) by first piece, of trained words (word, first, n) that are not whole."""
     out = np.zeros((2, stop + 1))
-    for r in others.groupBy("first").agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).collect():
+    for r in not_whole(words.where("n > 0"), whole).groupBy("first").agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).collect():
         out[:, r["first"]] = r["n"], r["kinds"]
     return out[0], out[1]
 
@@ -436,47 +507,50 @@ def score_texts(docs: DataFrame, train_condition, vocabulary_path: str, id_col:
     stop = vocabulary.value.stop
     spelled = cut(spelled_texts(texts.withColumn("trained", F.coalesce(train_condition, F.lit(False))), vocabulary))
     learnt = spelled.where("trained")
-    counts = cut(corpus_counts(learnt, vocabulary))
+    counts = cut(corpus_counts(spelled, vocabulary))
     ends = learnt.count()
-    by_kind = {r["kind"]: r for r in counts.groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}
-    n_words, types = (by_kind[WORD]["n"], by_kind[WORD]["v"]) if WORD in by_kind else (0, 0)
+    is_word = F.col("kind") == WORD
+    n_words, types = counts.where(is_word & (F.col("n") > 0)).agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     tokens, types = n_words + ends, types + (ends > 0)
     # One row for each piece of the vocabulary and kind at most.
     pieces = np.zeros((3, stop + 1), np.float64)
-    for r in counts.where(F.col("kind") != WORD).collect():
+    for r in counts.where(F.col("kind").isin(OPENING, INNER)).select("kind", "word", "n").collect():
         pieces[r["kind"], r["word"]] = r["n"]
-    words = counts.where(F.col("kind") == WORD).select("word", "first", "n")
-    often, often_n = frequent(words)
-    whole = np.lexsort((often, -often_n))[:WHOLE]
-    language = Language(pieces[OPENING], pieces[INNER], ends, stop, often[whole], often_n[whole])
-    language.unpack(train(learnt, vocabulary, language, int(pieces.sum()), int(tokens)))
-    begun = begun_so(words, often[whole], stop)
-    shared = context.broadcast((language, often, often_n, begun))
+    top = frequent(counts.where(is_word)).orderBy(F.desc("n"), "word").limit(WHOLE).select("word", "n").toPandas()
+    language = Language(pieces[OPENING], pieces[INNER], ends, stop, top["word"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64))
+    train_openings(language, learnt, vocabulary, int(pieces.sum()), int(tokens))
+    train_spelling(language, counts)
+    words = cut(spelled_words(counts, language))
+    hot = frequent(words).select("word", "n", "rest").toPandas().sort_values("word", key=lambda w: w.to_numpy(np.int64).view(np.uint64))
+    begun = begun_so(words, language.whole, stop)
+    shared = context.broadcast((language, hot["word"].to_numpy(np.int64).view(np.uint64), hot["n"].to_numpy(np.int64), hot["rest"].to_numpy(np.float64), begun))
     scale = tokens + 0.5 * (types + 1)
     end_base = float(np.log10((ends + 0.5) / scale))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_memory()
-        language, often, often_n, (all_so, kinds_so) = shared.value
-        memory = Memory()
+        language, often, often_n, often_rest, (all_so, kinds_so) = shared.value
         for batch in batches:
             for first, part in id_steps(batch, 2):
                 own = Words(part, vocabulary.value.opens)
-                opening, rest, end, own_id = language.log_probabilities(own, memory)
+                opening, end, own_id = language.openings(own)
                 at = np.minimum(np.searchsorted(often, own.hashes), max(0, len(often) - 1))
                 found = often[at] == own.hashes if len(often) else np.zeros(len(at), bool)
-                n = np.where(found, often_n[at] if len(often) else 0, 0)
+                n, rest = (np.where(found, known[at] if len(often) else 0, 0) for known in (often_n, often_rest))
+                long = np.flatnonzero((own.size > PACKED) & ~own_id)
+                pieces = own.ids[np.repeat(own.first[long] - (np.cumsum(own.size[long]) - own.size[long]), own.size[long]) + np.arange(own.size[long].sum())]
+                rest[long] = language.spelled(pieces, own.size[long])
                 begins = own.ids[own.first]
                 # What is left of the first piece's words for those never seen; all, if none begins so.
-                spare = np.where(kinds_so[begins] > 0, DISCOUNT * kinds_so[begins], 1.0) * np.exp(rest)
-                of_count = np.where(own_id, 0.0, np.where(found, np.log10(np.maximum(n - DISCOUNT, 0) + spare), 0.0))
-                score = opening / np.log(10) + np.where(own_id, 0.0, of_count - np.log10(np.maximum(all_so[begins], 1)))
+                spare = np.where(kinds_so[begins] > 0, DISCOUNT * kinds_so[begins], 1.0)
+                of_count = np.where(own_id | ~found, 0.0, np.log10(np.maximum(n - DISCOUNT, 0) + spare * np.exp(rest)))
+                score = opening / np.log(10) + of_count - np.where(own_id, 0.0, np.log10(np.maximum(all_so[begins], 1)))
                 base = np.where(found, np.log10((n + 0.5) / scale), 0.0)
                 sums = [np.concatenate([[0], np.cumsum(x)])[own.offsets] for x in (found, base, score)]
                 rare = np.flatnonzero(~found)
                 listed = pa.ListArray.from_arrays(
                     pa.array(np.searchsorted(rare, own.offsets), pa.int32()),
-                    pa.StructArray.from_arrays([pa.array(own.hashes[rare].view(np.int64)), pa.array(spare[rare].astype(np.float32))], ["word", "spare"]),
+                    pa.StructArray.from_arrays([pa.array(own.hashes[rare].view(np.int64)), pa.array(spare[rare].astype(np.float32)), pa.array(rest[rare].astype(np.float32))], ["word", "spare", "rest"]),
                 )
                 columns = [
                     batch.column(0).slice(first, len(part)),
@@ -489,26 +563,27 @@ def score_texts(docs: DataFrame, train_condition, vocabulary_path: str, id_col:
                 ]
                 yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "n_tokens", "n_known", "base_score", "score", "rare"])
 
-    scored = cut(map_batches(spelled.select("row", "doc_id", "ids"), run, f"row long, doc_id {kind}, n_tokens long, n_known long, base_score double, score double, rare array<struct<word:bigint,spare:float>>"))
-    asked = scored.select("row", F.explode("rare").alias("rare")).select("row", "rare.word", "rare.spare")
-    n = F.coalesce("n", F.lit(0))
-    rest = (
-        asked.join(words.drop("first"), "word", "left")
+    scored = cut(map_batches(spelled.select("row", "doc_id", "ids"), run, f"row long, doc_id {kind}, n_tokens long, n_known long, base_score double, score double, rare array<struct<word:bigint,spare:float,rest:float>>"))
+    asked = scored.select("row", F.explode("rare").alias("rare")).select("row", "rare.word", "rare.spare", F.col("rare.rest").alias("long_rest"))
+    # Every word is in the table; rest is 0 there for long words, long_rest for all others.
+    spare = F.col("spare").cast("double") * F.exp(F.col("rest").cast("double") + F.col("long_rest"))
+    known = (
+        asked.join(words.select("word", "n", "rest"), "word")
         .groupBy("row")
         .agg(
-            F.count("n").alias("more"),
-            F.sum(F.log10((n + 0.5) / F.lit(float(scale)))).alias("rest"),
-            F.sum(F.log10(F.greatest(n - DISCOUNT, F.lit(0.0)) + F.greatest(F.col("spare").cast("double"), F.lit(1e-37)))).alias("rest_score"),
+            F.count_if(F.col("n") > 0).alias("more"),
+            F.sum(F.log10((F.col("n") + 0.5) / F.lit(float(scale)))).alias("more_base"),
+            F.sum(F.log10(F.greatest(F.col("n") - DISCOUNT, F.lit(0.0)) + F.greatest(spare, F.lit(1e-300)))).alias("more_score"),
         )
     )
-    out = scored.drop("rare").join(rest, "row", "left")
+    out = scored.drop("rare").join(known, "row", "left")
     return out.select(
         "doc_id",
         "n_tokens",
         (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"),
         F.lit(tokens).cast("long").alias("train_tokens"),
-        (F.col("base_score") + F.coalesce("rest", F.lit(0.0))).alias("base_score"),
-        (F.col("score") + F.coalesce("rest_score", F.lit(0.0))).alias("score"),
+        (F.col("base_score") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"),
+        (F.col("score") + F.coalesce("more_score", F.lit(0.0))).alias("score"),
     )
 
 

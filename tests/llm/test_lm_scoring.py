@@ -117,20 +117,27 @@ def test_windows_give_each_position_once():
         assert sorted(index[given]) == [*range(n + 9)] and (np.argwhere(given)[:, 1] >= window - step).all()
 
 
-def test_every_position_is_learned_from(monkeypatch):
+def test_every_position_is_learned_from(spark, monkeypatch):
     """All words and ends of all texts are targets once, and so are all pieces of all words that are not whole."""
     vocabulary = lm_score.Vocabulary(open(PATH, "rb").read())
-    texts = ["kalomi turka senlo the the", "", "tur", "mi " * 100]
+    texts = ["kalomi turka senlo the the", "", "tur", "mi " * 100, "q7" * 40]
     ids = [*lm_score.Speller(vocabulary.ranks)([t.encode() for t in texts], vocabulary.opens)]
     own = lm_score.Words(ids, vocabulary.opens)
-    assert len(own.first) == 106 and [*np.diff(own.offsets)] == [5, 0, 1, 100]
-    language = lm_score.Language(np.ones(vocabulary.stop + 1), np.ones(vocabulary.stop + 1), 4, vocabulary.stop, own.hashes[3:4], np.array([2]))
+    assert len(own.first) == 107 and [*np.diff(own.offsets)] == [5, 0, 1, 100, 1]
+    language = lm_score.Language(np.ones(vocabulary.stop + 1), np.ones(vocabulary.stop + 1), 5, vocabulary.stop, own.hashes[3:4], np.array([2]))
     seen = [[], []]
     for k, model in enumerate(language.models):
         monkeypatch.setattr(model, "slopes", lambda one, two, group, goal, weight, into=seen[k]: (into.extend(goal[weight > 0]), (0.0, {}))[1])
-    lm_score.Language.learn(language, own, np.zeros(0, np.uint64), [Adam(m, 0.01, 1) for m in language.models], 2)
-    assert len(seen[0]) == 110 and seen[0].count(int(language.opening.of[vocabulary.stop])) == 4
-    distinct = {w: len(p) for w, p in ((w, spelled(vocabulary, w)) for w in {*" ".join(texts).split()} - {"the"})}
+    language.text_positions(own, language.heads(own)[0]).learn(Adam(language.models[0], 0.01, 1), 2)
+    assert len(seen[0]) == 112 and seen[0].count(int(language.opening.of[vocabulary.stop])) == 5
+
+    shared = spark.sparkContext.broadcast(vocabulary)
+    rows = spark.createDataFrame([(True, bytearray(x)) for x in ids] + [(False, bytearray(ids[0]))], "trained boolean, ids binary").coalesce(1)
+    counts = [r for r in lm_score.corpus_counts(rows, shared).collect() if r.n and (r.kind == lm_score.RUN_OF or r.kind == lm_score.WORD and r.size <= lm_score.PACKED and np.uint64(r.word % 2**64) not in language.whole)]
+    pieces, size = lm_score.unpacked_pieces(*(np.array([r[c] for r in counts]) for c in ("low", "high")))
+    language.word_positions(pieces, size, np.array([r.size > 0 for r in counts])).learn(Adam(language.models[1], 0.01, 1), 2)
+    distinct = {w: len(spelled(vocabulary, w)) for w in {*" ".join(texts).split()} - {"the"}}
+    assert max(distinct.values()) > 3 * lm_score.PACKED
     assert len(seen[1]) == sum(distinct.values()) and seen[1].count(int(language.inner.of[vocabulary.stop])) == len(distinct)
 
 
