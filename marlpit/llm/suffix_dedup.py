@@ -5,16 +5,22 @@ else, in the same text or another; all is judged on the input.
 
 Which strings can meet is settled first. Every LENGTH-byte window names one of
 its GRAM-byte substrings, the leftmost of least hash, so equal windows name equal
-substrings (anchors) at equal places. Only anchors that occur twice go on, each
-with the bytes around it that such windows can cover. Shards are runs of whole
-anchors; a shard's distinct surroundings form one string whose suffix array is
-built by induced sorting, and permuted common prefixes of LENGTH or more mark the
-windows that occur twice at the same distance from the same anchor.
-
-Exact copies are one text with a count: if it is long enough, all of it goes. An
-anchor with more than HOT occurrences would not fit a shard; its windows are
-counted one by one instead, hashed to 128 bits, in a grouped aggregation that
-meets no group in one place.
+substrings (anchors) at equal places. An anchor that occurs once drops out.
+Occurrences with the same surroundings, all that such windows can cover, are
+repeated as a whole: that settles the inside of long passages. Where an anchor has
+several surroundings, one occurrence of each goes on.
+
+Its windows lie at most LENGTH - GRAM bytes before the anchor. They are taken in
+ranges of WIDTH places. All windows of a range share a core around the anchor, so
+only occurrences with the same core can meet, and the core becomes one symbol
+between the few bytes before and after it. Shards are runs of whole groups of a
+core: their strings form one text whose suffix array is built by induced sorting,
+and permuted common prefixes of WIDTH symbols mark the windows that occur twice.
+
+Exact copies are one text with a count: if it is long enough, all of it goes. A
+batch sends an anchor with the same surroundings once however often it has it,
+and a group of more than `hot` members counts its windows one by one in a grouped
+aggregation, so no group has to meet in one place.
 
 Null and empty texts remove nothing. Texts may be of any length; memory follows
 the longest. Repeated rows are copies of each other. Extra columns are not
@@ -28,33 +34,42 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, keyed_text, map_batches
 from .suffix_array import common_prefixes, suffix_array
-from .textkernel import BYTE_VALUE, mix, steps
+from .textkernel import BYTE_VALUE, mix, powers, steps
 
-LENGTH, GRAM = 200, 96
-#: Occurrences of an anchor that a shard takes; bytes of surroundings in one suffix array.
-HOT, SHARD_BYTES = 12_000, 2 << 20
+LENGTH, GRAM = 200, 48
+#: Places of a window before its anchor that are looked at together.
+WIDTH = 17
+#: Members of a group that a shard takes; members of a shard.
+HOT, SHARD = 50_000, 20_000
 POSITION_BITS = 30
+#: Kinds of places: repeated as a whole; the only occurrence with its surroundings; the first of several with the same.
+WHOLE, ALONE, SHOWN, TEXT = 0, 1, 2, 3
+INVERSE = np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
+_INVERSE_POWERS = np.ones(1, np.uint64)
 
 
-def gram_hashes(raw: np.ndarray, size: int, seed: int = 1) -> np.ndarray:
-    """A 64-bit hash of every substring of `size` bytes, composed of hashes of powers of two."""
-    level, width = mix(BYTE_VALUE[raw] ^ np.uint64(seed)), 1
-    total, done = None, 0
-    while True:
-        if size & width:
-            part = level[done : done + len(raw) - size + 1]
-            total = part.copy() if total is None else mix(total * np.uint64(0x9FB21C651E98DF25) + part)
-            done += width
-        width *= 2
-        if width > size:
-            return total if total is not None else np.zeros(0, np.uint64)
-        half = width // 2
-        level = mix(level[:-half] * np.uint64(0xC2B2AE3D27D4EB4F) + level[half:]) if len(level) > half else level[:0]
+def inverse_powers(n: int) -> np.ndarray:
+    global _INVERSE_POWERS
+    while len(_INVERSE_POWERS) < n:
+        _INVERSE_POWERS = np.concatenate([_INVERSE_POWERS, _INVERSE_POWERS * _INVERSE_POWERS[-1] * INVERSE])
+    return _INVERSE_POWERS
+
+
+class Hasher:
+    """64-bit hashes of any substrings of some bytes, from sums of byte values times powers."""
+
+    def __init__(self, raw: np.ndarray):
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(BYTE_VALUE[raw] * powers(len(raw))[: len(raw)], dtype=np.uint64)])
+        self.inverse = inverse_powers(len(raw) + 1)
+
+    def of(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        return mix((self.sums[stop] - self.sums[start]) * self.inverse[start] + (stop - start).astype(np.uint64))
 
 
 def sliding_min(values: np.ndarray, size: int) -> np.ndarray:
@@ -66,193 +81,348 @@ def sliding_min(values: np.ndarray, size: int) -> np.ndarray:
     return np.minimum(level[: len(level) - rest], level[rest:]) if rest else level
 
 
-def anchors(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, position, hash) of the substrings that the windows of each text name."""
-    none = np.zeros(0, np.int64)
+def anchors(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, position, hash, hash of the surroundings) of the substrings that the windows of each text name."""
+    none, nothing = np.zeros(0, np.int64), np.zeros(0, np.uint64)
     raw = np.frombuffer(b"".join(texts), np.uint8)
     if len(raw) < length:
-        return none, none, none
+        return none, none, nothing, nothing
     ends = np.cumsum([len(t) for t in texts])
-    hashes = gram_hashes(raw, GRAM)
-    keyed = (hashes >> np.uint64(POSITION_BITS) << np.uint64(POSITION_BITS)) | np.arange(len(hashes), dtype=np.uint64)
+    begins = ends - [len(t) for t in texts]
+    hasher, every = Hasher(raw), np.arange(len(raw) - GRAM + 1)
+    hashes = hasher.of(every, every + GRAM)
+    keyed = (hashes >> np.uint64(POSITION_BITS) << np.uint64(POSITION_BITS)) | every.astype(np.uint64)
     named = sliding_min(keyed, length - GRAM + 1) & np.uint64((1 << POSITION_BITS) - 1)
-    start = np.arange(len(named))
-    text = np.searchsorted(ends, start, side="right")
-    at = np.unique(named[start + length <= ends[text]].astype(np.int64))
+    whole = np.zeros(len(named) + 1, np.int64)
+    # Windows that lie inside one text begin before its last `length` bytes.
+    long = ends - begins >= length
+    np.add.at(whole, begins[long], 1)
+    np.add.at(whole, ends[long] - length + 1, -1)
+    at = named[np.cumsum(whole[:-1]) > 0].astype(np.int64)
+    at = at[np.flatnonzero(np.diff(at, prepend=-1))]
     text = np.searchsorted(ends, at, side="right")
-    return text, at - np.concatenate([[0], ends])[text], hashes[at].view(np.int64)
+    start, stop = np.maximum(begins[text], at - (length - GRAM)), np.minimum(ends[text], at + length)
+    return text, at - begins[text], hashes[at], mix(hasher.of(start, stop) + (at - start).astype(np.uint64))
 
 
-def text_keys(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, text): a text's identity is half its SHA-256."""
-    texts = keyed_text(docs)
-    return texts.select("doc_id", F.unhex(F.substring(F.sha2(F.col("text").cast("binary"), 256), 1, 32)).alias("key"), "text")
-
+def find_places(texts: DataFrame, length: int) -> DataFrame:
+    """(kind, row, at, anchor, key) of texts (key, text): TEXT rows tie a row to its key, all others are places that are repeated or may be in part."""
 
-def find_anchors(texts: DataFrame, length: int) -> DataFrame:
-    """(anchor, key, at, twice) of texts (key, text); twice: the anchor is in this text more than once."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 33
+        names = ["deal", "anchor", "around", "kind", "row", "at", "key"]
         for batch in batches:
             for first, parts in steps(batch):
-                text, at, anchor = anchors(parts, length)
-                pair = np.stack([text, anchor])
-                _, which, many = np.unique(pair, axis=1, return_inverse=True, return_counts=True)
-                keys = batch.column(0).take(pa.array(first + text))
-                yield pa.RecordBatch.from_arrays([pa.array(anchor), keys, pa.array(at.astype(np.int32)), pa.array(many[which.ravel()] > 1)], ["anchor", "key", "at", "twice"])
-
-    return map_batches(texts.select("key", "text"), run, "anchor long, key binary, at int, twice boolean")
-
-
-def surroundings(named: DataFrame, length: int) -> DataFrame:
-    """(anchor, key, at, lead, around): the bytes around each anchor of (key, text, places) that is not hot."""
-    reach = length - GRAM
+                rows = np.arange(row, row + len(parts))
+                row += len(parts)
+                text, at, anchor, around = anchors(parts, length)
+                _, one, which, many = np.unique(np.stack([anchor, around]), axis=1, return_index=True, return_inverse=True, return_counts=True)
+                which = which.ravel()
+                # Of several with the same surroundings the first stands for all, and all are repeated.
+                again = many[which] > 1
+                sent = np.zeros(len(at), bool)
+                sent[one] = True
+                kind = np.where(again & sent, SHOWN, ALONE)[sent].astype(np.int8)
+                # Between two that are near each other all is repeated: the first and the last of every GRAM bytes will do.
+                twins = np.flatnonzero(again)
+                bucket = text[twins] << 32 | at[twins] // GRAM
+                edge = np.diff(bucket, prepend=-1) != 0
+                again = np.zeros(len(at), bool)
+                again[twins[edge | np.append(edge[1:], True)[: len(edge)]]] = True
+                deal = [anchor[sent], mix(anchor[again] + rows[text[again]].astype(np.uint64)), mix(rows.astype(np.uint64))]
+                none = [np.zeros(int(again.sum()), np.uint64), np.zeros(len(parts), np.uint64)]
+                columns = [
+                    np.concatenate(deal).view(np.int64),
+                    np.concatenate([anchor[sent], *none]).view(np.int64),
+                    np.concatenate([around[sent], *none]).view(np.int64),
+                    np.concatenate([kind, np.full(int(again.sum()), WHOLE, np.int8), np.full(len(parts), TEXT, np.int8)]),
+                    np.concatenate([rows[text[sent]], rows[text[again]], rows]),
+                    np.concatenate([at[sent], at[again], np.zeros(len(parts), np.int64)]).astype(np.int32),
+                ]
+                keys = pa.concat_arrays([pa.nulls(len(columns[0]) - len(parts), pa.binary()), batch.column(0).slice(first, len(parts)).cast(pa.binary())])
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), keys], names)
+
+    schema = "deal long, anchor long, around long, kind byte, row long, at int, key binary"
+    dealt = map_batches(texts.select("key", "text"), find, schema).repartition("deal").sortWithinPartitions("anchor", "around", "row", "at")
+    return cut(map_batches(dealt.select("anchor", "around", "kind", "row", "at", "key"), judged, "kind byte, row long, at int, anchor long, key binary"))
+
+
+def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Places in the order of anchor and surroundings, a class being those that have both in common. The last class of a batch waits for the next batch."""
+    held, before = None, None
+
+    def judge(rows: list[np.ndarray], after: int | None) -> pa.RecordBatch:
+        """Whole classes; before and after are the anchors next to them."""
+        anchor, around, kind, row, at = rows
+        new_anchor = np.diff(anchor, prepend=anchor[:1] - 1) != 0
+        new_class = new_anchor | (np.diff(around, prepend=around[:1]) != 0)
+        new_class[:1] = new_anchor[:1] = True
+        of_class, of_anchor = np.cumsum(new_class) - 1, np.cumsum(new_anchor) - 1
+        again = (np.bincount(of_class) > 1) | (np.bincount(of_class, kind == SHOWN) > 0)
+        several = np.bincount(of_anchor[new_class]) > 1
+        several[0] |= before == anchor[0]
+        several[-1] |= after == anchor[-1]
+        # A place that stands for others of its batch was sent as repeated already.
+        whole, shown = again[of_class] & (kind != SHOWN), new_class & several[of_anchor]
+        kinds = np.concatenate([np.full(int(whole.sum()), WHOLE), np.where(again[of_class], SHOWN, ALONE)[shown]]).astype(np.int8)
+        return places(kinds, *(np.concatenate([x[whole], x[shown]]) for x in (row, at, anchor)), None)
+
+    def places(kind: np.ndarray, row: np.ndarray, at: np.ndarray, anchor: np.ndarray, key: pa.Array | None) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*map(pa.array, (kind, row, at, anchor)), pa.nulls(len(kind), pa.binary()) if key is None else key], ["kind", "row", "at", "anchor", "key"])
+
+    for batch in batches:
+        columns = [batch.column(k).to_numpy() for k in range(5)]
+        settled = (columns[2] == WHOLE) | (columns[2] == TEXT)
+        if settled.any():
+            kind, row, at, anchor = (columns[k][settled] for k in (2, 3, 4, 0))
+            yield places(kind, row, at, anchor, batch.column(5).filter(pa.array(settled)).cast(pa.binary()))
+        columns = [x[~settled] for x in columns]
+        if not len(columns[0]):
+            continue
+        if held is not None:
+            columns = [np.concatenate([h, x]) for h, x in zip(held, columns)]
+        anchor, around = columns[:2]
+        first = np.flatnonzero((anchor != anchor[-1]) | (around != around[-1]))
+        cut_at = int(first[-1]) + 1 if len(first) else 0
+        if cut_at:
+            yield judge([x[:cut_at] for x in columns], anchor[-1])
+            before = anchor[cut_at - 1]
+        held = [x[cut_at:] for x in columns]
+        if len(held[0]) > 2:
+            # All of one class: those but the first are repeated, and the first stands for all.
+            known = held[2] != SHOWN
+            yield places(np.full(int(known.sum()), WHOLE, np.int8), *(x[known] for x in (held[3], held[4], held[0])), None)
+            held = [x[:1] for x in held]
+            held[2] = np.array([SHOWN], np.int8)
+    if held is not None:
+        yield judge(held, None)
+
+
+def named_texts(texts: DataFrame, found: DataFrame) -> DataFrame:
+    """(key, text, places array<struct<kind, at, anchor>>) of the texts that have any, once for each key. Of exact copies only the places that others are compared with count."""
+    rows = found.where(F.col("kind") == TEXT).select("row", "key")
+    copies = rows.groupBy("key").agg(F.count("*").alias("copies"))
+    one = rows.join(copies, "key").select("row", "key", (F.col("copies") > 1).alias("copied"))
+    place = F.struct(F.when(F.col("copied"), SHOWN).otherwise(F.col("kind")).cast("byte").alias("kind"), "at", "anchor")
+    asked = found.where(F.col("kind") != TEXT).drop("key").join(one, "row").where((F.col("kind") != WHOLE) | ~F.col("copied"))
+    by_key = asked.groupBy("key").agg(F.collect_set(place).alias("places"))
+    return cut(texts.select("key", "text").dropDuplicates(["key"]).join(by_key, "key"))
+
+
+MEMBERS = "deal long, anchor long, core long, around long, key binary, at int, reach int, low int, left int, alone boolean, extra binary"
+
+
+def range_members(named: DataFrame, length: int) -> DataFrame:
+    """MEMBERS of every range of windows that each compared place can have.
+
+    core is a hash of the bytes that all windows of the range share, around of all that they cover; extra holds
+    what is covered before the core (left bytes) and after it. low is the first place of a window before the anchor, reach the last.
+    """
+    lows = np.arange(0, length - GRAM + 1, WIDTH)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(batch.num_rows):
-                places = [p for p in batch.column(2)[k].as_py() if not p["hot"]]
-                if not places:
+            for first, parts in steps(batch):
+                ends = np.cumsum([len(t) for t in parts])
+                listed = batch.column(2).slice(first, len(parts))
+                offsets = listed.offsets.to_numpy()
+                kind, at, anchor = (listed.values.field(k).to_numpy()[offsets[0] : offsets[-1]] for k in range(3))
+                text = np.repeat(np.arange(len(parts)), np.diff(offsets))
+                asked = np.flatnonzero(kind != WHOLE)
+                if not asked.size:
                     continue
-                key, text = batch.column(0)[k].as_py(), batch.column(1)[k].as_py().encode()
-                ats = [p["at"] for p in places]
-                columns = [
-                    pa.array([p["anchor"] for p in places], pa.int64()),
-                    pa.array([key] * len(places), pa.binary()),
-                    pa.array(ats, pa.int32()),
-                    pa.array([min(a, reach) for a in ats], pa.int32()),
-                    pa.array([text[max(0, a - reach) : a + length] for a in ats], pa.binary()),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, ["anchor", "key", "at", "lead", "around"])
-
-    return map_batches(named, run, "anchor long, key binary, at int, lead int, around binary")
+                text, place, alone, anchor = text[asked], at[asked].astype(np.int64), kind[asked] == ALONE, anchor[asked]
+                begins = ends[text] - np.array([len(t) for t in parts])[text]
+                raw = np.frombuffer(b"".join(parts), np.uint8)
+                hasher, here, after = Hasher(raw), begins + place, ends[text] - begins - place
+                for low in lows.tolist():
+                    high = min(low + WIDTH - 1, length - GRAM)
+                    least, most = np.maximum(low, length - after), np.minimum(high, place)
+                    ok = np.flatnonzero((most >= low) & (least <= high) & (least <= most))
+                    a, lo, hi = here[ok], least[ok], most[ok]
+                    core = mix(hasher.of(a - low, a + length - high) + np.uint64(low))
+                    start, stop = a - hi, a + length - lo
+                    around = mix(hasher.of(start, stop) + (hi - low).astype(np.uint64))
+                    left, right = hi - low, high - lo
+                    size = left + right
+                    upto = np.cumsum(size)
+                    inner = np.arange(upto[-1] if len(upto) else 0) - np.repeat(upto - size, size)
+                    from_left = inner < np.repeat(left, size)
+                    bytes_at = np.where(from_left, np.repeat(start, size) + inner, np.repeat(a + length - high - left, size) + inner)
+                    extra = pa.Array.from_buffers(pa.binary(), len(ok), [None, pa.py_buffer(np.concatenate([[0], upto]).astype(np.int32).tobytes()), pa.py_buffer(raw[bytes_at].tobytes())])
+                    deal = mix(anchor[ok].view(np.uint64) ^ core)
+                    numbers = [deal.view(np.int64), anchor[ok], core.view(np.int64), around.view(np.int64)]
+                    small = [place[ok].astype(np.int32), hi.astype(np.int32), np.full(len(ok), low, np.int32), left.astype(np.int32)]
+                    keys = batch.column(0).slice(first, len(parts)).take(pa.array(text[ok])).cast(pa.binary())
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, numbers), keys, *map(pa.array, small), pa.array(alone[ok]), extra], [c.split()[0] for c in MEMBERS.split(", ")])
+
+    return map_batches(named, run, MEMBERS)
 
 
 class Shard:
-    """Whole anchors with their distinct surroundings, up to about SHARD_BYTES."""
-
-    def __init__(self, length: int):
-        self.length, self.anchor, self.size = length, None, 0
-        self.around: list[bytes] = []
-        self.group: list[int] = []
-        self.lead: list[int] = []
-        self.where: list[list[tuple[bytes, int]]] = []
-
-    def add(self, anchor: int, key: bytes, at: int, lead: int, around: bytes) -> None:
-        if anchor == self.anchor and self.around[-1] == around and self.lead[-1] == lead:
-            self.where[-1].append((key, at))
-            return
-        self.group.append(self.group[-1] + (anchor != self.anchor) if self.group else 0)
-        self.anchor = anchor
-        self.around.append(around)
-        self.lead.append(lead)
-        self.where.append([(key, at)])
-        self.size += len(around) + 1
+    """Members in the order of their groups (anchor and core); equal members, which have the same around, count as repeated."""
+
+    def __init__(self, rows: pa.RecordBatch, length: int):
+        self.rows, self.length = rows, length
+        anchor, core, around = (rows.column(k).to_numpy() for k in (1, 2, 3))
+        new = lambda *xs: np.any([np.diff(x, prepend=x[:1]) != 0 for x in xs], axis=0) | (np.arange(len(anchor)) == 0)
+        self.group = np.cumsum(new(anchor, core)) - 1
+        fresh = new(anchor, core, around)
+        self.of_class = np.cumsum(fresh) - 1
+        self.first = np.flatnonzero(fresh)
+        self.alone = rows.column(9).to_numpy(zero_copy_only=False)
+        extra = rows.column(10).to_pylist()
+        self.extra = np.frombuffer(b"".join(extra), np.uint8)
+        self.offsets = np.concatenate([[0], np.cumsum([len(x) for x in extra])]).astype(np.int64)
+
+    def compared(self) -> np.ndarray:
+        """One member of each class in the groups that have several classes, one of which is alone."""
+        group = self.group[self.first]
+        many = np.bincount(group) > 1
+        return self.first[many[group]]
 
     def spans(self) -> pa.RecordBatch:
-        """(key, start, stop) of all that is repeated."""
-        group = np.array(self.group, np.int64)
-        compared = np.flatnonzero(np.bincount(group)[group] > 1)
-        repeated = self.repeated_windows(compared) if compared.size else {}
-        keys, starts, stops = [], [], []
-        for k, around in enumerate(self.around):
-            if len(self.where[k]) > 1:
-                covered = [(0, len(around))] if len(around) >= self.length else []
-            else:
-                covered = self.cover(repeated[k]) if k in repeated else []
-            for key, at in self.where[k] if covered else ():
-                for start, stop in covered:
-                    keys.append(key)
-                    starts.append(at - self.lead[k] + start)
-                    stops.append(at - self.lead[k] + stop)
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(starts, pa.int32()), pa.array(stops, pa.int32())], ["key", "start", "stop"])
-
-    def cover(self, windows: np.ndarray) -> list[tuple[int, int]]:
-        cuts = np.flatnonzero(np.diff(windows) > self.length)
-        firsts, lasts = np.concatenate([[0], cuts + 1]), np.concatenate([cuts, [len(windows) - 1]])
-        return [(int(windows[a]), int(windows[b]) + self.length) for a, b in zip(firsts, lasts)]
-
-    def repeated_windows(self, chosen: np.ndarray) -> dict[int, np.ndarray]:
-        """Window starts, by piece, that another piece of the anchor has at the same distance from it."""
-        pieces = [self.around[k] for k in chosen]
-        text = np.frombuffer(b"\0".join(pieces) + b"\0", np.uint8)
-        sizes = np.array([len(p) + 1 for p in pieces])
-        piece = np.repeat(np.arange(len(pieces)), sizes)
-        begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        within = np.arange(len(text)) - begin[piece]
-        left = sizes[piece] - 1 - within
-        order = suffix_array(text.astype(np.int64))
-        prefix = common_prefixes(text, order, left)
-        run = np.cumsum(prefix < self.length)
-        long_enough = left[order] >= self.length
-        order, run = order[long_enough], run[long_enough]
-        lead, group = np.array(self.lead)[chosen], np.array(self.group)[chosen]
-        owner = piece[order]
-        place = within[order] - lead[owner] + self.length
-        same = np.stack([run, group[owner], place])
-        _, which, many = np.unique(same, axis=1, return_inverse=True, return_counts=True)
-        twice = np.flatnonzero(many[which.ravel()] > 1)
-        owner, start = owner[twice], within[order[twice]]
-        sort = np.lexsort((start, owner))
-        owner, start = owner[sort], start[sort]
-        cuts = np.flatnonzero(np.diff(owner)) + 1
-        return {int(chosen[o[0]]): s for o, s in zip(np.split(owner, cuts), np.split(start, cuts))} if len(owner) else {}
-
-
-def shard_spans(around: DataFrame, length: int, shard_bytes: int) -> DataFrame:
-    """(key, start, stop) from the suffix array of each shard."""
+        """(key, start, stop) of what is repeated of members that are alone."""
+        at, high, low, left = (self.rows.column(k).to_numpy() for k in (5, 6, 7, 8))
+        right = np.diff(self.offsets) - left
+        width = np.minimum(low + WIDTH - 1, self.length - GRAM) - low
+        # A class of several members is repeated as a whole.
+        least, most = np.full(len(at), -1), np.full(len(at), -1)
+        twice = np.bincount(self.of_class)[self.of_class] > 1
+        least[twice], most[twice] = (low + width - right)[twice], high[twice]
+        chosen = self.compared()
+        for w in np.unique(width[chosen]):
+            own = chosen[width[chosen] == w]
+            member, nearest, furthest = self.repeated(own, int(w), left)
+            fresh = ~twice[member]
+            least[member[fresh]], most[member[fresh]] = nearest[fresh], furthest[fresh]
+        hit = np.flatnonzero((most >= 0) & self.alone)
+        start, stop = at[hit] - most[hit], at[hit] - least[hit] + self.length
+        return pa.RecordBatch.from_arrays([self.rows.column(4).take(pa.array(hit)), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32))], ["key", "start", "stop"])
+
+    def repeated(self, chosen: np.ndarray, width: int, left: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(member, nearest and furthest place before the anchor) of the windows that another member has, from one suffix array of all chosen."""
+        begin, size, before = self.offsets[chosen], np.diff(self.offsets)[chosen], left[chosen].astype(np.int64)
+        # 0 ends a member, bytes come after it, then a symbol for each core.
+        names = np.cumsum(np.diff(self.group[chosen], prepend=-1) != 0) + 256
+        whole = size + 2
+        ends = np.cumsum(whole)
+        within = np.arange(ends[-1]) - np.repeat(ends - whole, whole)
+        member = np.repeat(np.arange(len(chosen)), whole)
+        core = within == before[member]
+        closing = within == whole[member] - 1
+        text = np.zeros(ends[-1], np.int64)
+        text[core] = names
+        source = np.flatnonzero(~core & ~closing)
+        text[source] = self.extra[begin[member[source]] + within[source] - (within[source] > before[member[source]])].astype(np.int64) + 1
+        order = suffix_array(text)
+        remaining = whole[member] - 1 - within
+        prefix = common_prefixes(text, order, remaining)
+        run = np.cumsum(prefix < width + 1)
+        fits = (remaining[order] > width) & (within[order] <= before[member[order]])
+        found, run = order[fits], run[fits]
+        many = np.bincount(run)[run] > 1
+        found = found[many]
+        owner, place = member[found], before[member[found]] - within[found]
+        sort = np.lexsort((place, owner))
+        owner, place = owner[sort], place[sort]
+        edge = np.flatnonzero(np.diff(owner, prepend=-1))
+        last = np.append(edge[1:], len(owner)) - 1
+        low = self.rows.column(7).to_numpy()[chosen[owner[edge]]] if len(edge) else np.zeros(0, np.int64)
+        return chosen[owner[edge]] if len(edge) else np.zeros(0, np.int64), low + (place[edge] if len(edge) else 0), low + (place[last] if len(edge) else 0)
+
+    def windows(self) -> pa.RecordBatch:
+        """(anchor, core, window, key, at, place, alone): every window of every member by a hash of what it has besides the core."""
+        low, high, left = (self.rows.column(k).to_numpy().astype(np.int64) for k in (7, 6, 8))
+        hasher, right = Hasher(self.extra), np.diff(self.offsets) - left
+        width = np.minimum(low + WIDTH - 1, self.length - GRAM) - low
+        out: list[list[np.ndarray]] = [[], [], []]
+        for k in range(WIDTH):
+            # A window of place low + k has k bytes before the core and width - k after it.
+            ok = np.flatnonzero((k <= left) & (width - k <= right) & (k <= width))
+            middle = self.offsets[ok] + left[ok]
+            out[0].append(ok)
+            out[1].append(mix(hasher.of(middle - k, middle) + mix(hasher.of(middle, middle + width[ok] - k) + np.uint64(k))))
+            out[2].append(low[ok] + k)
+        ok, window, place = map(np.concatenate, out)
+        taken = [self.rows.column(k).take(pa.array(ok)) for k in (1, 2, 4, 5, 9)]
+        return pa.RecordBatch.from_arrays([taken[0], taken[1], pa.array(window.view(np.int64)), taken[2], taken[3], pa.array(place.astype(np.int32)), taken[4]], ["anchor", "core", "window", "key", "at", "place", "alone"])
+
+
+FOUND = "key binary, start int, stop int, anchor long, core long, window long, at int, place int, alone boolean"
+
+
+def shard_spans(members: DataFrame, length: int, hot: int, shard: int) -> DataFrame:
+    """(key, start, stop) of repeated parts: from the suffix array of each shard, and by counting the windows of groups of more than `hot` members."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard = Shard(length)
-        for batch in batches:
-            for row in zip(*(batch.column(k).to_pylist() for k in range(5))):
-                if shard.size >= shard_bytes and row[0] != shard.anchor:
-                    yield shard.spans()
-                    shard = Shard(length)
-                shard.add(*row)
-        if shard.size:
-            yield shard.spans()
-
-    sharded = around.repartition("anchor").sortWithinPartitions("anchor", "lead", "around")
-    return map_batches(sharded, run, "key binary, start int, stop int")
-
+        held: list[pa.RecordBatch] = []
+        size, overfull = 0, None
 
-def hot_spans(named: DataFrame, length: int) -> DataFrame:
-    """(key, start, stop) of the repeated windows of hot anchors, from grouped counts of hashed windows."""
-    reach = length - GRAM
+        def rows_of(found: pa.RecordBatch) -> pa.RecordBatch:
+            own = {n: found.column(k) for k, n in enumerate(found.schema.names)}
+            schema = pa.schema([("key", pa.binary()), ("start", pa.int32()), ("stop", pa.int32()), ("anchor", pa.int64()), ("core", pa.int64()), ("window", pa.int64()), ("at", pa.int32()), ("place", pa.int32()), ("alone", pa.bool_())])
+            return pa.RecordBatch.from_arrays([own[f.name].cast(f.type) if f.name in own else pa.nulls(found.num_rows, f.type) for f in schema], schema=schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(batch.num_rows):
-                places = [p for p in batch.column(2)[k].as_py() if p["hot"]]
-                if not places:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            size += batch.num_rows
+            if size < shard:
+                continue
+            rows = pa.concat_batches(held)
+            anchor, core = rows.column(1).to_numpy(), rows.column(2).to_numpy()
+            if overfull is not None:
+                own = (anchor == overfull[0]) & (core == overfull[1])
+                upto = int(own.sum())
+                if upto:
+                    yield rows_of(Shard(rows.slice(0, upto), length).windows())
+                    rows, anchor, core = rows.slice(upto), anchor[upto:], core[upto:]
+                if not rows.num_rows:
+                    held, size = [], 0
                     continue
-                raw = np.frombuffer(batch.column(1)[k].as_py().encode(), np.uint8)
-                one, two = gram_hashes(raw, length, 2).view(np.int64), gram_hashes(raw, length, 3).view(np.int64)
-                at = np.array([p["at"] for p in places])
-                start = (at[:, None] - np.arange(reach + 1)).ravel()
-                ok = np.flatnonzero((start >= 0) & (start + length <= len(raw)))
-                start, place = start[ok], ok // (reach + 1)
-                anchor = np.array([p["anchor"] for p in places])[place]
-                key = pa.array([batch.column(0)[k].as_py()] * len(start), pa.binary())
-                columns = [pa.array(anchor), pa.array((at[place] - start).astype(np.int32)), pa.array(one[start]), pa.array(two[start]), key, pa.array(start.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(columns, ["anchor", "lead", "one", "two", "key", "start"])
-
-    windows = map_batches(named, run, "anchor long, lead int, one long, two long, key binary, start int")
-    same = ["anchor", "lead", "one", "two"]
+                overfull = None
+            others = np.flatnonzero((anchor != anchor[-1]) | (core != core[-1]))
+            cut_at = int(others[-1]) + 1 if len(others) else 0
+            if cut_at:
+                yield rows_of(Shard(rows.slice(0, cut_at), length).spans())
+                rows = rows.slice(cut_at)
+            if rows.num_rows > hot:
+                overfull = (anchor[-1], core[-1])
+                yield rows_of(Shard(rows, length).windows())
+                rows = rows.slice(rows.num_rows)
+            held, size = ([rows], rows.num_rows) if rows.num_rows else ([], 0)
+        if held:
+            rows = pa.concat_batches(held)
+            if overfull is not None:
+                own = (rows.column(1).to_numpy() == overfull[0]) & (rows.column(2).to_numpy() == overfull[1])
+                upto = int(own.sum())
+                if upto:
+                    yield rows_of(Shard(rows.slice(0, upto), length).windows())
+                rows = rows.slice(upto)
+            if rows.num_rows:
+                yield rows_of(Shard(rows, length).spans())
+
+    dealt = members.repartition("deal").sortWithinPartitions("anchor", "core", "around")
+    found = cut(map_batches(dealt, run, FOUND))
+    same = ["anchor", "core", "window"]
+    windows = found.where("place is not null")
     many = windows.groupBy(*same).agg(F.count("*").alias("many")).where("many > 1").drop("many")
-    return windows.join(many, same, "left_semi").select("key", "start", (F.col("start") + length).cast("int").alias("stop"))
+    counted = windows.where("alone").join(many, same, "left_semi").select("key", (F.col("at") - F.col("place")).alias("start"), (F.col("at") - F.col("place") + length).alias("stop"))
+    return found.where("place is null").select("key", "start", "stop").unionByName(counted)
 
 
-def remove_spans(texts: DataFrame) -> DataFrame:
-    """(key, n_removed, n_spans, kept) of (key, text, spans)."""
+def remove_spans(texts: DataFrame, length: int) -> DataFrame:
+    """(key, n_removed, n_spans, kept) of (key, text, places, spans); spans may be null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             removed, many, kept = [], [], []
-            for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            for text, places, spans in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3))):
                 raw, at, parts, runs, last = text.encode(), 0, [], 0, -1
-                for start, stop in sorted((s["start"], s["stop"]) for s in spans):
+                whole = [(max(0, p["at"] - (length - GRAM)), min(len(raw), p["at"] + length)) for p in places if p["kind"] == WHOLE]
+                for start, stop in sorted(whole + [(s["start"], s["stop"]) for s in spans or []]):
                     runs += start > last
                     if start > at:
                         parts.append(raw[at:start])
@@ -266,33 +436,29 @@ def remove_spans(texts: DataFrame) -> DataFrame:
     return map_batches(texts, run, "key binary, n_removed long, n_spans long, kept binary")
 
 
-def repeated_parts(docs: DataFrame, length: int = LENGTH, hot: int = HOT, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, DataFrame]:
+def text_keys(docs: DataFrame) -> DataFrame:
+    """(doc_id, key, text): a text's identity is half its SHA-256."""
+    texts = keyed_text(docs)
+    return texts.select("doc_id", F.unhex(F.substring(F.sha2(F.col("text").cast("binary"), 256), 1, 32)).alias("key"), "text")
+
+
+def repeated_parts(docs: DataFrame, length: int = LENGTH, hot: int = HOT, shard: int = SHARD) -> tuple[DataFrame, DataFrame]:
     """(texts (doc_id, key, text), parts (key, n_removed, n_spans, kept)): parts holds the texts that lose bytes and are not exact copies."""
     texts = text_keys(docs)
-    # Both readers of the anchors take all their columns, so that they share one exchange.
-    found = find_anchors(texts, length).repartition("anchor")
-    again = (
-        found.groupBy("anchor")
-        .agg(F.min("key").alias("low"), F.max("key").alias("high"), F.max("twice").alias("twice"), F.max("at").alias("top"), F.count("*").alias("many"))
-        .where("(low < high or twice) and top >= 0")
-        .select("anchor", (F.col("many") > hot).alias("hot"))
-    )
-    places = found.join(again, "anchor").select("key", "anchor", "at", "twice", "hot").distinct()
-    by_text = places.groupBy("key").agg(F.collect_list(F.struct("anchor", "at", "hot", "twice")).alias("places"))
-    named = cut(texts.select("key", "text").join(by_text, "key").dropDuplicates(["key"]))
-    spans = shard_spans(surroundings(named, length), length, shard_bytes).unionByName(hot_spans(named, length))
-    gathered = spans.distinct().groupBy("key").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    return texts, remove_spans(named.select("key", "text").join(gathered, "key"))
+    named = named_texts(texts, find_places(texts, length))
+    spans = shard_spans(range_members(named, length), length, hot, shard)
+    gathered = spans.groupBy("key").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    return texts, remove_spans(named.join(gathered, "key", "left"), length)
 
 
-def removal_report(docs: DataFrame, length: int = LENGTH, hot: int = HOT, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def removal_report(docs: DataFrame, length: int = LENGTH, hot: int = HOT, shard: int = SHARD) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every document."""
-    texts, parts = repeated_parts(docs, length, hot, shard_bytes)
+    texts, parts = repeated_parts(docs, length, hot, shard)
     lost = parts.select("key", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
     size = F.octet_length("text").cast("long")
     copies = texts.groupBy("key").agg(F.count("*").alias("copies"))
-    judged = copies.where("copies > 1").join(lost, "key", "full")
-    rows = texts.select("doc_id", "key", size.alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("whole")).join(judged, "key", "left")
+    judged_keys = copies.where("copies > 1").join(lost, "key", "full")
+    rows = texts.select("doc_id", "key", size.alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("whole")).join(judged_keys, "key", "left")
     gone = F.coalesce(F.col("copies") > 1, F.lit(False)) & (F.col("n_bytes") >= length)
     return rows.select(
         "doc_id",

@@ -52,22 +52,44 @@ def test_components(spark):
     assert got == {**{k: 1 for k in range(2, 41)}, 100: 50}
 
 
-@pytest.mark.parametrize("hot", [12_000, 1])
-def test_repeats_match_brute_force(docs, hot):
-    rows = [(r.doc_id, (r.text or "").encode()) for r in docs.collect()]
+def repeats(rows):
     starts = {}
     for _, b in rows:
         for s in range(len(b) - 199):
             starts[b[s : s + 200]] = starts.get(b[s : s + 200], 0) + 1
-    want = []
     for i, b in rows:
-        gone = [False] * len(b)
+        gone = bytearray(len(b))
         for s in range(len(b) - 199):
             if starts[b[s : s + 200]] > 1:
-                gone[s : s + 200] = [True] * 200
+                gone[s : s + 200] = b"\1" * 200
         spans = sum(g and not (k and gone[k - 1]) for k, g in enumerate(gone))
-        want.append((i, len(b), sum(gone), spans, hashlib.sha256(bytes(x for x, g in zip(b, gone) if not g)).hexdigest()))
-    assert sorted(tuple(r) for r in suffix_dedup.removal_report(docs, hot=hot, shard_bytes=5000).collect()) == sorted(want)
+        yield i, len(b), sum(gone), spans, hashlib.sha256(bytes(x for x, g in zip(b, gone) if not g)).hexdigest()
+
+
+@pytest.mark.parametrize("hot", [50_000, 1])
+def test_repeats_match_brute_force(docs, hot):
+    rows = [(r.doc_id, (r.text or "").encode()) for r in docs.collect()]
+    assert sorted(tuple(r) for r in suffix_dedup.removal_report(docs, hot=hot, shard=50).collect()) == sorted(repeats(rows))
+
+
+@pytest.mark.parametrize("hot", [50_000, 30])
+def test_repeats_of_passages(spark, hot):
+    """Passages of about the length with other neighbours, a common one in every third text, edits, periods and runs."""
+    own = random.Random(11)
+    said = lambda n: "".join(own.choice("abcdefgh ") for _ in range(n))
+    common, passages = said(230), [said(own.randint(195, 420)) for _ in range(8)]
+    texts = []
+    for k in range(150):
+        parts = [said(own.randint(0, 300)), common if k % 3 == 0 else "", said(own.randint(0, 20)), own.choice(passages), said(own.randint(0, 150))]
+        text = "".join(parts)
+        if k % 7 == 0 and text:
+            at = own.randrange(len(text))
+            text = text[:at] + "É" + text[at + 1 :]
+        texts.append(text)
+    texts += ["ab" * 900 + "x", "z" * 20_000, "q" + "z" * 300, "z" * 199, texts[5], texts[5], None]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").repartition(3)
+    want = sorted(repeats([(k, (t or "").encode()) for k, t in enumerate(texts)]))
+    assert sorted(tuple(r) for r in suffix_dedup.removal_report(docs, hot=hot, shard=40).collect()) == want
 
 
 @pytest.mark.parametrize("block", [200_000, 7])
