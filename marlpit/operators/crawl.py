@@ -26,6 +26,11 @@ def retrieved(pages: DataFrame) -> DataFrame:
     return pages.where(F.col("outcome").isin("fetched", "unchanged"))
 
 
+def crawlable_sites(sites: DataFrame) -> DataFrame:
+    """F8: sites that are verified and active."""
+    return sites.where("verification_state = 'verified' and status = 'active'")
+
+
 def orphan_pages(pages: DataFrame, links: DataFrame) -> DataFrame:
     """Retrieved pages that no other page links to internally, with the population of their crawl."""
     own = retrieved(pages)
@@ -192,9 +197,12 @@ def frontier_counts(frontier: DataFrame) -> DataFrame:
     return frontier.groupBy("crawl_id").agg(F.count("*").alias("n_rows"), F.count_if(F.col("state").isin("queued", "fetching", "fetched")).alias("fetchable"), F.count_if(F.col("state") == "queued").alias("queued"))
 
 
-def crawl_totals(pages: DataFrame) -> DataFrame:
-    """Fetched and other pages of each crawl, by depth."""
-    return pages.groupBy("crawl_id", "depth").agg(F.count_if(F.col("outcome").isin("fetched", "unchanged")).alias("fetched"), F.count_if(~F.col("outcome").isin("fetched", "unchanged")).alias("other"))
+def crawl_totals(observations: DataFrame) -> DataFrame:
+    """Fetched and failed pages, bytes read and sitemap URLs of each crawl, of observations (crawl_id, outcome, bytes, source)."""
+    return observations.groupBy("crawl_id").agg(
+        F.count_if(F.col("outcome").isin("fetched", "unchanged")).alias("fetched"), F.count_if(F.col("outcome").isin("failed", "blocked", "client_error", "server_error")).alias("failed"),
+        F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), F.count_if(F.col("source") == "sitemap").alias("sitemap_urls"),
+    )
 
 
 def site_page_history(observations: DataFrame) -> DataFrame:
@@ -213,36 +221,65 @@ def next_batch(frontier: DataFrame, n: int) -> DataFrame:
     return frontier.where("state = 'queued'").withColumn("place", place).where(F.col("place") <= n).drop("place")
 
 
+#: Rows of a frontier for each page that may be fetched, and the least and the most of them.
+ROWS_PER_PAGE, LEAST_ROWS, MOST_ROWS = 10, 500, 20_000
+
+
+def row_ceiling(page_limit: int) -> int:
+    return min(max(ROWS_PER_PAGE * page_limit, LEAST_ROWS), MOST_ROWS)
+
+
+def numbered(rows: DataFrame, keys: list[str], order: list[str], buckets: str) -> DataFrame:
+    """rows with n, their place within keys in the order of `buckets`, then of the rest of `order`.
+
+    Rows are counted by bucket first, and those counts, few, are summed; so only a bucket's rows meet, never all of a key.
+    """
+    sizes = rows.groupBy(*keys, buckets).agg(F.count("*").alias("size "))
+    before = F.coalesce(F.sum("size ").over(Window.partitionBy(*keys).orderBy(buckets).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inner = F.row_number().over(Window.partitionBy(*keys, buckets).orderBy(*order))
+    return rows.withColumn("inner ", inner).join(sizes.select(*keys, buckets, before.alias("before ")), [*keys, buckets]).withColumn("n", F.col("inner ") + F.col("before ")).drop("inner ", "before ")
+
+
 def decide_enqueue(candidates: DataFrame, page_limit: int, max_depth: int) -> DataFrame:
-    """G1: candidates (crawl_id, url, refusal, scope, allowed, depth, place) with accept and skip_reason, decided in order; the page limit falls on the later ones."""
+    """G1: candidates (crawl_id, url, refusal, scope, allowed, depth, place) with accept, skip_reason and recorded, decided in order.
+
+    The page limit falls on the later of those that pass, and rows beyond the ceiling are not recorded, in the order of depth, place and URL.
+    """
     early = (
         F.when(F.col("refusal") == "too_long", "url_too_long").when(F.col("refusal").isNotNull(), "unsupported_scheme")
         .when(F.col("scope") == "external", "external").when(F.col("scope") == "other_subdomain", "other_subdomain")
         .when(F.col("depth") > max_depth, "depth_limit").when(~F.col("allowed"), "robots_disallowed")
     )
-    marked = candidates.withColumn("early", early)
-    order = Window.partitionBy("crawl_id", F.col("early").isNull()).orderBy("depth", "place", "url")
-    reason = F.when(F.col("early").isNotNull(), F.col("early")).when(F.row_number().over(order) > page_limit, "page_limit")
-    return marked.withColumn("skip_reason", reason).withColumn("accept", F.col("skip_reason").isNull()).drop("early")
+    marked = candidates.withColumn("early", early).withColumn("passes ", F.col("early").isNull())
+    passed = numbered(marked, ["crawl_id", "passes "], ["place", "url"], "depth").withColumnRenamed("n", "nth ")
+    every = numbered(passed, ["crawl_id"], ["place", "url"], "depth")
+    reason = F.when(F.col("early").isNotNull(), F.col("early")).when(F.col("nth ") > page_limit, "page_limit")
+    out = every.withColumn("skip_reason", reason).withColumn("accept", F.col("skip_reason").isNull()).withColumn("recorded", F.col("n") <= row_ceiling(page_limit))
+    return out.drop("early", "passes ", "nth ", "n")
 
 
-def build_frontier(seeds: DataFrame, links: DataFrame, max_depth: int, page_limit: int) -> DataFrame:
-    """(crawl_id, url, depth, accepted) reached level by level from seeds (crawl_id, url) along links (crawl_id, source_url, target_url).
+def build_frontier(seeds: DataFrame, links: DataFrame, max_depth: int, page_limit: int, sitemap: DataFrame | None = None) -> DataFrame:
+    """(crawl_id, url, depth, source, accepted) reached level by level from seeds (crawl_id, url), then the sitemap's URLs at the same depth, along links (crawl_id, source_url, target_url).
 
-    A URL keeps its first depth; past the page limit URLs stay in the frontier unaccepted and are not
-    followed. Order within a level is by URL.
+    A URL keeps its first depth and source; past the page limit URLs stay in the frontier unaccepted and are not
+    followed. Within a level seeds come first, then the sitemap, then links, each by URL.
     """
-    level = seeds.select("crawl_id", "url").distinct().withColumn("depth", F.lit(0))
+    start = seeds.select("crawl_id", "url", F.lit(0).alias("rank"))
+    if sitemap is not None:
+        start = start.unionByName(sitemap.select("crawl_id", "url", F.lit(1).alias("rank")))
+    level = start.groupBy("crawl_id", "url").agg(F.min("rank").alias("rank"))
     seen, used = None, None
     for depth in range(max_depth + 1):
-        counted = level if used is None else level.join(used, "crawl_id", "left")
+        spread = level.withColumn("bucket ", F.concat_ws("|", F.col("rank").cast("string"), F.substring("url", 1, 24)))
+        placed = numbered(spread, ["crawl_id"], ["url"], "bucket ").drop("bucket ")
+        counted = placed if used is None else placed.join(used, "crawl_id", "left")
         before = F.lit(0) if used is None else F.coalesce("used", F.lit(0))
-        place = F.row_number().over(Window.partitionBy("crawl_id").orderBy("url"))
-        level = shared_table(counted.select("crawl_id", "url", F.lit(depth).alias("depth"), (place + before <= page_limit).alias("accepted")))
+        source = F.element_at(F.array(F.lit("seed"), F.lit("sitemap"), F.lit("link")), F.col("rank") + 1)
+        level = shared_table(counted.select("crawl_id", "url", F.lit(depth).alias("depth"), source.alias("source"), (F.col("n") + before <= page_limit).alias("accepted")))
         seen = level if seen is None else seen.unionByName(level)
         used = shared_table(seen.groupBy("crawl_id").agg(F.count_if("accepted").alias("used")))
         found = level.where("accepted").join(links, (F.col("url") == F.col("source_url")) & (level["crawl_id"] == links["crawl_id"])).select(level["crawl_id"], F.col("target_url").alias("url")).distinct()
-        level = found.join(seen.select("crawl_id", "url"), ["crawl_id", "url"], "left_anti")
+        level = found.join(seen.select("crawl_id", "url"), ["crawl_id", "url"], "left_anti").withColumn("rank", F.lit(2))
         if level.isEmpty():
             break
     return seen
@@ -253,9 +290,15 @@ def termination(cancelled: Column, fetched: Column, page_limit: Column, skipped_
     return F.when(cancelled, "cancelled").when(fetched >= page_limit, "budget_exhausted").when(skipped_for_depth > 0, "depth_exhausted").otherwise("frontier_empty")
 
 
-def enqueue_summary(decisions: DataFrame) -> DataFrame:
-    """Queued and skipped candidates of each crawl, and whether depth stopped any."""
-    return decisions.groupBy("crawl_id").agg(F.count_if("accept").alias("queued"), F.count_if(~F.col("accept")).alias("skipped"), F.coalesce(F.bool_or(F.col("skip_reason") == "depth_limit"), F.lit(False)).alias("skipped_for_depth"))
+def enqueue_summary(decisions: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """Candidates of each crawl that are queued, skipped, duplicates of known URLs (crawl_id, url), or not recorded, and whether depth stopped any."""
+    marked = decisions.withColumn("known ", F.lit(False)) if known is None else decisions.join(known.select("crawl_id", "url", F.lit(True).alias("known ")).distinct(), ["crawl_id", "url"], "left").withColumn("known ", F.coalesce("known ", F.lit(False)))
+    new = ~F.col("known ")
+    return marked.groupBy("crawl_id").agg(
+        F.count_if(new & F.col("recorded") & F.col("accept")).alias("queued"), F.count_if(new & F.col("recorded") & ~F.col("accept")).alias("skipped"),
+        F.count_if("known ").alias("duplicates"), F.count_if(new & ~F.col("recorded")).alias("unrecorded"),
+        F.coalesce(F.bool_or(new & F.col("skip_reason").eqNullSafe("depth_limit")), F.lit(False)).alias("skipped_for_depth"),
+    )
 
 
 def reap_stale(crawls: DataFrame, frontier: DataFrame, now: str) -> tuple[DataFrame, DataFrame]:
@@ -271,3 +314,12 @@ def close_rows(frontier: DataFrame, condition: Column, reason: str) -> DataFrame
     """Open rows under a condition skipped for a reason."""
     hit = condition & F.col("state").isin("queued", "fetching")
     return frontier.withColumn("skip_reason", F.when(hit, reason).otherwise(F.col("skip_reason"))).withColumn("state", F.when(hit, "skipped").otherwise(F.col("state")))
+
+
+def finish_runs(crawls: DataFrame, frontier: DataFrame, observations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(crawls, frontier) after a run: what is still open is skipped as cancelled, and each crawl has its totals (A16) and how many rows were skipped."""
+    closed = close_rows(frontier, F.lit(True), "cancelled")
+    skipped = closed.groupBy("crawl_id").agg(F.count_if(F.col("state") == "skipped").alias("skipped"))
+    counters = ["fetched", "failed", "bytes", "sitemap_urls", "skipped"]
+    written = crawls.drop(*counters).join(crawl_totals(observations), "crawl_id", "left").join(skipped, "crawl_id", "left")
+    return written.na.fill(0, counters), closed

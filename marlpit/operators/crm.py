@@ -8,7 +8,7 @@ import json
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.identity import normalise_email
+from ..functions.identity import normalise_email, tag_slug
 from ..sources.tables import like_literal, shared_table
 
 
@@ -56,6 +56,21 @@ def contact_view(contacts: DataFrame) -> DataFrame:
     return contacts.select("id", "workspace_id", F.concat_ws(" ", F.trim("first_name"), F.concat(F.lit("("), F.col("company"), F.lit(")"))).alias("display_name"))
 
 
+def task_view(tasks: DataFrame, now: str) -> DataFrame:
+    """tasks as they are listed: state, priority, due day and whether it has passed."""
+    return tasks.select("id", "contact_id", "opportunity_id", "status", "priority", F.to_date("due_at").cast("string").alias("due_on"), is_overdue(now).alias("is_overdue"))
+
+
+def opportunity_view(opportunities: DataFrame) -> DataFrame:
+    """deals with their value in whole units and whether they are closed."""
+    return opportunities.select("id", "contact_id", "stage", "status", "value_minor", F.floor(F.col("value_minor") / 100).alias("value"), (F.col("status") != "open").alias("is_closed"))
+
+
+def tag_view(tags: DataFrame) -> DataFrame:
+    """tags with the slug they are told apart by."""
+    return tags.select("tag_id", F.trim("name").alias("name"), tag_slug(F.col("name")).alias("slug"))
+
+
 def first_touch(touches: DataFrame) -> DataFrame:
     """The earliest touch of each contact, ties to the smaller id."""
     return flag_first_touch(touches).where("is_first_touch").drop("is_first_touch")
@@ -101,6 +116,14 @@ def pipeline_summary(opportunities: DataFrame) -> DataFrame:
     return opportunities.groupBy("workspace_id").agg(F.count_if(is_open).alias("open_deals"), F.coalesce(F.sum(F.when(is_open, F.col("value_minor"))), F.lit(0)).alias("open_value_minor"), F.count("*").alias("deals"))
 
 
+def pipeline_stage_rows(opportunities: DataFrame, stages: DataFrame) -> DataFrame:
+    """A3: (workspace_id, stage, category, deals, value_minor, open_deals, open_value_minor): every stage (workspace_id, stage, category), zeros kept; the last two are summed over the workspace's stages of the open category."""
+    rows = stages.join(stage_totals(opportunities), ["workspace_id", "stage"], "left").na.fill(0, ["deals", "value_minor"])
+    whole, is_open = Window.partitionBy("workspace_id"), F.col("category") == "open"
+    summed = lambda c: F.coalesce(F.sum(F.when(is_open, F.col(c))).over(whole), F.lit(0))
+    return rows.select("workspace_id", "stage", "category", "deals", "value_minor", summed("deals").alias("open_deals"), summed("value_minor").alias("open_value_minor"))
+
+
 def open_value_by_source(opportunities: DataFrame, first: DataFrame) -> DataFrame:
     """A4: open value by the source of the contact's first touch; without one, 'Not recorded'."""
     open_deals = opportunities.where("status = 'open'").select("contact_id", "value_minor")
@@ -108,22 +131,42 @@ def open_value_by_source(opportunities: DataFrame, first: DataFrame) -> DataFram
     return joined.groupBy(F.coalesce("source_type", F.lit("Not recorded")).alias("source")).agg(F.count("*").alias("deals"), F.sum("value_minor").alias("value_minor"))
 
 
-def growth_snapshot(contacts: DataFrame, opportunities: DataFrame, tasks: DataFrame, now: str) -> DataFrame:
-    """A5: live contacts, open deals and value, open and overdue tasks of each workspace, zeros kept."""
+def growth_snapshot(contacts: DataFrame, opportunities: DataFrame, tasks: DataFrame, touches: DataFrame, now: str, days: int = 30) -> DataFrame:
+    """A5: new contacts (created_at) and qualified leads (captured_at of touches with qualified_at) of the last days, open deals and value, open and overdue tasks of each workspace, zeros kept."""
+    since = F.lit(now).cast("timestamp") - F.expr(f"make_dt_interval({days})")
     homes = contacts.select(F.col("id").alias("contact_id"), "workspace_id")
-    people = live_contacts(contacts).groupBy("workspace_id").agg(F.count("*").alias("live_contacts"))
+    people = contacts.groupBy("workspace_id").agg(F.count_if(F.col("created_at") >= since).alias("new_contacts"))
+    leads = touches.where(F.col("qualified_at").isNotNull() & (F.col("captured_at") >= since)).groupBy("contact_id").agg(F.count("*").alias("qualified_leads"))
+    leads = leads.join(homes, "contact_id").groupBy("workspace_id").agg(F.sum("qualified_leads").alias("qualified_leads"))
     deals = pipeline_summary(opportunities).drop("deals")
     work = tasks.groupBy("contact_id").agg(F.count_if(F.col("status") == "open").alias("open_tasks"), F.count_if(is_overdue(now)).alias("overdue_tasks"))
     work = work.join(homes, "contact_id").groupBy("workspace_id").agg(F.sum("open_tasks").alias("open_tasks"), F.sum("overdue_tasks").alias("overdue_tasks"))
-    every = contacts.select("workspace_id").distinct()
-    out = every.join(people, "workspace_id", "left").join(deals, "workspace_id", "left").join(work, "workspace_id", "left")
+    out = people.join(leads, "workspace_id", "left").join(deals, "workspace_id", "left").join(work, "workspace_id", "left")
     return out.na.fill(0)
 
 
-def metric_rows(snapshot: DataFrame) -> DataFrame:
-    """A snapshot as (workspace_id, metric, value)."""
-    metrics = [c for c in snapshot.columns if c != "workspace_id"]
-    return snapshot.select("workspace_id", *[F.col(m).cast("long") for m in metrics]).unpivot(["workspace_id"], metrics, "metric", "value")
+# Key, column of the snapshot, label, unit and polarity of each metric.
+METRICS = [
+    ("new_contacts", "new_contacts", "New contacts", "count", "higher_is_better"),
+    ("qualified_leads", "qualified_leads", "Qualified leads", "count", "higher_is_better"),
+    ("open_deals", "open_deals", "Open opportunities", "count", "higher_is_better"),
+    ("pipeline_value", "open_value_minor", "Open pipeline value", "currency", "higher_is_better"),
+    ("open_tasks", "open_tasks", "Open tasks", "count", "lower_is_better"),
+]
+
+
+def metric_rows(snapshot: DataFrame, fixtures: DataFrame | None = None) -> DataFrame:
+    """A snapshot as (workspace_id, metric, label, value, formatted, unit, polarity, provenance, overall).
+
+    fixtures are further rows (workspace_id, metric, label, value, unit, polarity) that are not measured; overall is 'live' only where every metric of the workspace is.
+    """
+    rows = F.array(*[F.struct(F.lit(k).alias("metric"), F.lit(label).alias("label"), F.col(c).cast("long").alias("value"), F.lit(unit).alias("unit"), F.lit(better).alias("polarity"), F.lit("live").alias("provenance")) for k, c, label, unit, better in METRICS])
+    out = snapshot.select("workspace_id", F.inline(rows))
+    if fixtures is not None:
+        out = out.unionByName(fixtures.withColumn("provenance", F.lit("fixture")).select(out.columns))
+    live = F.bool_and(F.col("provenance") == "live").over(Window.partitionBy("workspace_id"))
+    shown = F.when(F.col("unit") == "currency", F.concat(F.lit("$"), F.format_number(F.round(F.col("value") / 100), 0))).otherwise(F.col("value").cast("string"))
+    return out.withColumn("formatted", shown).withColumn("overall", F.when(live, "live").otherwise("fixture"))
 
 
 def open_opp_counts(opportunities: DataFrame) -> DataFrame:
@@ -136,32 +179,42 @@ def last_activity(activities: DataFrame) -> DataFrame:
     return activities.groupBy("contact_id").agg(F.max("occurred_at").alias("last_activity"))
 
 
-def contact_list(contacts: DataFrame, first: DataFrame, opportunities: DataFrame, activities: DataFrame) -> DataFrame:
-    """Contacts with their first source, open deals and last activity."""
+def named(df: DataFrame, key: str, name: str) -> DataFrame:
+    """(key, name) of a table (id, name), to be joined."""
+    return df.select(F.col("id").alias(key), F.col("name").alias(name))
+
+
+def contact_list(contacts: DataFrame, first: DataFrame, opportunities: DataFrame, activities: DataFrame, companies: DataFrame, users: DataFrame) -> DataFrame:
+    """Contacts (with company_id and owner_id) with the names of company and owner, their first source, open deals and last activity."""
     source = first.select(F.col("contact_id").alias("id"), F.col("source_type").alias("first_source"))
     deals = open_opp_counts(opportunities).withColumnRenamed("contact_id", "id")
     seen = last_activity(activities).withColumnRenamed("contact_id", "id")
-    out = contacts.where("not is_deleted").select("id", "workspace_id", "first_name").join(source, "id", "left").join(deals, "id", "left").join(seen, "id", "left")
+    out = contacts.where("not is_deleted").select("id", "workspace_id", "first_name", "company_id", "owner_id")
+    out = out.join(named(companies, "company_id", "company_name"), "company_id", "left").join(named(users, "owner_id", "owner_name"), "owner_id", "left")
+    out = out.join(source, "id", "left").join(deals, "id", "left").join(seen, "id", "left").drop("company_id", "owner_id")
     return out.withColumn("open_deals", F.coalesce("open_deals", F.lit(0)))
 
 
-def opportunities_enriched(opportunities: DataFrame, contacts: DataFrame) -> DataFrame:
-    """Deals with the contact's name and company."""
-    people = contacts.select(F.col("id").alias("contact_id"), F.col("first_name").alias("contact_name"), "company")
-    return opportunities.join(people, "contact_id")
+def opportunities_enriched(opportunities: DataFrame, contacts: DataFrame, stages: DataFrame, companies: DataFrame, users: DataFrame, touches: DataFrame) -> DataFrame:
+    """Deals (contact_id, stage, company_id, owner_id, touch_id) with contact and stage (stage, stage_name, category), and company, owner and acquisition where they have one."""
+    people = contacts.select(F.col("id").alias("contact_id"), F.col("first_name").alias("contact_name"))
+    source = touches.select(F.col("id").alias("touch_id"), F.col("source_type").alias("acquisition_source"), F.col("captured_at").alias("acquired_at"))
+    out = opportunities.join(people, "contact_id").join(stages.select("stage", "stage_name", "category"), "stage")
+    return out.join(named(companies, "company_id", "company_name"), "company_id", "left").join(named(users, "owner_id", "owner_name"), "owner_id", "left").join(source, "touch_id", "left")
 
 
-def task_list(tasks: DataFrame, contacts: DataFrame, opportunities: DataFrame) -> DataFrame:
-    """Tasks with contact and deal, kept where either is missing."""
+def task_list(tasks: DataFrame, contacts: DataFrame, opportunities: DataFrame, users: DataFrame) -> DataFrame:
+    """Tasks with assignee, contact and deal, kept where any is missing."""
     people = contacts.select(F.col("id").alias("contact_id"), F.col("first_name").alias("contact_name"))
     deals = opportunities.select(F.col("id").alias("opportunity_id"), F.col("stage").alias("deal_stage"))
-    return tasks.join(people, "contact_id", "left").join(deals, "opportunity_id", "left")
+    return tasks.join(people, "contact_id", "left").join(deals, "opportunity_id", "left").join(named(users, "assignee_id", "assignee_name"), "assignee_id", "left")
 
 
-def activity_feed(activities: DataFrame, contacts: DataFrame, n: int) -> DataFrame:
-    """The newest n activities of each contact with the contact's name."""
-    top = newest(activities, "occurred_at", n, "contact_id")
-    return top.join(contacts.select(F.col("id").alias("contact_id"), F.col("first_name").alias("contact_name")), "contact_id", "left")
+def activity_feed(activities: DataFrame, contacts: DataFrame, users: DataFrame, n: int, by: str = "contact_id") -> DataFrame:
+    """The newest n activities of each contact, deal or workspace (by) with the contact's and the actor's name."""
+    top = newest(activities.where(F.col(by).isNotNull()), "occurred_at", n, by)
+    people = contacts.select(F.col("id").alias("contact_id"), F.col("first_name").alias("contact_name"))
+    return top.join(people, "contact_id", "left").join(named(users, "actor_id", "actor_name"), "actor_id", "left")
 
 
 def newest(df: DataFrame, ts: str, n: int, by: str | None = None, tie: str = "id") -> DataFrame:
@@ -172,9 +225,11 @@ def newest(df: DataFrame, ts: str, n: int, by: str | None = None, tie: str = "id
     return df.withColumn("place ", place).where(F.col("place ") <= n).drop("place ")
 
 
-def lead_funnel(submissions: DataFrame) -> DataFrame:
-    """Captured and rejected submissions by day."""
-    return submissions.groupBy(F.to_date("ts").cast("string").alias("day")).agg(F.count_if(F.col("outcome") == "accepted").alias("captured"), F.count_if(F.col("outcome") == "rejected").alias("rejected"))
+def lead_funnel(submissions: DataFrame, now: str, days: int = 30) -> DataFrame:
+    """Captured and rejected submissions of the last days, by form; forms without any in that time are left out."""
+    at = F.lit(now).cast("timestamp")
+    recent = submissions.where((F.col("ts") >= at - F.expr(f"make_dt_interval({days})")) & (F.col("ts") <= at))
+    return recent.groupBy("form").agg(F.count_if(F.col("outcome") == "accepted").alias("captured"), F.count_if(F.col("outcome") == "rejected").alias("rejected"))
 
 
 def form_summary(submissions: DataFrame, forms: DataFrame) -> DataFrame:
@@ -213,10 +268,10 @@ def published_forms(forms: DataFrame, versions: DataFrame) -> DataFrame:
     return forms.where("not archived").join(versions.where("is_published"), "form_id")
 
 
-def submission_receipts(submissions: DataFrame, contacts: DataFrame, n: int) -> DataFrame:
-    """The newest n submissions of each form with the contact's name."""
+def submission_receipts(submissions: DataFrame, contacts: DataFrame, versions: DataFrame, n: int) -> DataFrame:
+    """The newest n submissions of each form with the contact's name and the form version (version_id, version) they were made with."""
     people = contacts.select(F.col("id").alias("subject"), F.col("first_name").alias("contact_name"))
-    return newest(submissions, "ts", n, "form").join(people, "subject", "left")
+    return newest(submissions, "ts", n, "form").join(people, "subject", "left").join(versions.select("version_id", F.col("version").alias("form_version")), "version_id", "left")
 
 
 def identity_keys(contacts: DataFrame) -> DataFrame:
@@ -322,12 +377,12 @@ def recent_corpus(outputs: DataFrame, n: int) -> DataFrame:
 
 
 def count_traces(tables: dict[str, tuple[DataFrame, list[str]]], term: str) -> DataFrame:
-    """How many rows of each table mention a term."""
+    """How many rows of each table mention a term, JSON text included, and of all tables together (table_name 'all')."""
     parts = [df.agg(F.count_if(like_literal(columns, term)).alias("n")).withColumn("table_name", F.lit(name)) for name, (df, columns) in tables.items()]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
+    return out.select("n", F.explode(F.array("table_name", F.lit("all"))).alias("table_name")).groupBy("table_name").agg(F.sum("n").alias("n"))
 
 
 def merge_preview_counts(requests: DataFrame, children: dict[str, DataFrame]) -> DataFrame:
@@ -336,3 +391,30 @@ def merge_preview_counts(requests: DataFrame, children: dict[str, DataFrame]) ->
     for name, df in children.items():
         out = out.join(df.groupBy(F.col("contact_id").alias("duplicate")).agg(F.count("*").alias(name)), "duplicate", "left").na.fill(0, [name])
     return out
+
+
+def rows_reached(rows: DataFrame, wanted: DataFrame, opportunities: DataFrame, touches: DataFrame | None = None) -> DataFrame:
+    """(gone, id): rows of contacts to be erased, wanted (gone): their own, those of their deals and, if touches are given, of their touches; each once for a contact."""
+    own = rows.select("id", F.col("contact_id").alias("gone"))
+    deals = opportunities.select(F.col("id").alias("opportunity_id"), F.col("contact_id").alias("gone"))
+    reached = own.unionByName(rows.select("id", "opportunity_id").join(deals, "opportunity_id").select("id", "gone"))
+    if touches is not None:
+        of_touch = touches.select(F.col("id").alias("touch_id"), F.col("contact_id").alias("gone"))
+        reached = reached.unionByName(rows.select("id", "touch_id").join(of_touch, "touch_id").select("id", "gone"))
+    return reached.join(wanted, "gone", "left_semi").distinct()
+
+
+def erasure_preview_counts(requests: DataFrame, touches: DataFrame, opportunities: DataFrame, tasks: DataFrame, activities: DataFrame, fields: DataFrame, tags: DataFrame) -> DataFrame:
+    """Rows that erasing each contact of requests (id) would change or delete, a column for each table; tasks and activities also through the contact's deals and touches."""
+    wanted = requests.select(F.col("id").alias("gone")).distinct()
+    of = lambda df: df.select(F.col("contact_id").alias("gone"))
+    reached = {"touches": of(touches), "opportunities": of(opportunities), "tasks": rows_reached(tasks, wanted, opportunities), "activities": rows_reached(activities, wanted, opportunities, touches), "fields": of(fields), "tags": of(tags)}
+    out = wanted
+    for name, rows in reached.items():
+        out = out.join(rows.groupBy("gone").agg(F.count("*").alias(name)), "gone", "left").na.fill(0, [name])
+    return out.withColumnRenamed("gone", "id")
+
+
+def removed_options(old: Column, new: Column) -> Column:
+    """U4: select options that a new list lacks; a change is sound only if there are none."""
+    return F.array_except(old, F.coalesce(new, F.array().cast("array<string>")))

@@ -78,6 +78,27 @@ def _(contacts):
     return crm.contact_view(contacts)
 
 
+@query("f6_task_view", "SELECT id, contact_id, opportunity_id, status, priority, CAST(CAST(due_at AS DATE) AS VARCHAR) AS due_on, coalesce(status = 'open' AND due_at < TIMESTAMP '1998-01-01', false) AS is_overdue FROM tasks", "tasks")
+def _(tasks):
+    return crm.task_view(tasks, "1998-01-01 00:00:00")
+
+
+@query("f6_opportunity_view", "SELECT id, contact_id, stage, status, value_minor, value_minor // 100 AS value, status <> 'open' AS is_closed FROM opportunities", "opportunities")
+def _(opportunities):
+    return crm.opportunity_view(opportunities)
+
+
+@query("f6_tag_view", "SELECT DISTINCT stage AS tag_id, stage AS name, lower(stage) AS slug FROM opportunities", "opportunities")
+def _(opportunities):
+    return crm.tag_view(opportunities.select(F.col("stage").alias("tag_id"), F.concat(F.lit(" "), F.col("stage")).alias("name")).distinct())
+
+
+@query("f8_crawlable_sites", "SELECT s_suppkey AS site_id FROM supplier WHERE s_suppkey % 3 = 0 AND s_acctbal >= 0")
+def _(spark, sf_dir):
+    sites = tables.load(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("site_id"), F.when(F.col("s_suppkey") % 3 == 0, "verified").when(F.col("s_suppkey") % 3 == 1, "pending").alias("verification_state"), F.when(F.col("s_acctbal") >= 0, "active").otherwise("archived").alias("status"))
+    return crawl.crawlable_sites(sites).select("site_id")
+
+
 @query("f7_retrieved_pages", "SELECT page_id FROM graph_pages WHERE outcome IN ('fetched', 'unchanged')", "graph_pages")
 def _(pages):
     return crawl.retrieved(pages).select("page_id")
@@ -108,36 +129,83 @@ def _(pages, links):
     return crawl.orphan_findings(pages, links, known)
 
 
-@query("j3_opportunities_enriched", "SELECT o.id, o.stage, o.value_minor, c.first_name AS contact_name, c.company FROM opportunities o JOIN contacts c ON c.id = o.contact_id", "contacts", "opportunities")
-def _(contacts, opportunities):
-    return crm.opportunities_enriched(opportunities, contacts).select("id", "stage", "value_minor", "contact_name", "company")
+PEOPLE = """
+    users AS (SELECT s_suppkey AS id, s_name AS name FROM supplier WHERE s_suppkey % 7 <> 0), companies AS (SELECT n_nationkey AS id, n_name AS name FROM nation WHERE n_nationkey <> 3)"""
+
+
+def people(any_table: DataFrame, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(companies, users) as (id, name), each without some that other rows name."""
+    spark = any_table.sparkSession
+    users = tables.load(spark, sf_dir, "supplier").where("s_suppkey % 7 <> 0").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
+    return tables.load(spark, sf_dir, "nation").where("n_nationkey <> 3").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name")), users
 
 
-@query("j4_contact_list", f"""WITH {CLASSIFIED}, firsts AS (SELECT contact_id, source_type FROM (SELECT *, row_number() OVER (PARTITION BY contact_id ORDER BY captured_at, id) AS n FROM classified) x WHERE n = 1),
+def person(column: str):
+    return F.col(column) % 20
+
+
+@query("j3_opportunities_enriched", with_views(f"""WITH {PEOPLE} SELECT o.id, c.first_name AS contact_name, upper(o.stage) AS stage_name, CASE WHEN o.stage < '4' THEN 'open' ELSE 'closed' END AS category, k.name AS company_name, u.name AS owner_name, t.utm_source AS acquisition_source
+    FROM opportunities o JOIN contacts c ON c.id = o.contact_id LEFT JOIN companies k ON k.id = o.workspace_id LEFT JOIN users u ON u.id = o.id % 20 LEFT JOIN touches t ON t.id = o.id % 5000 WHERE o.stage <> '5-LOW'""", "contacts", "opportunities", "touches"))
+def _(spark, sf_dir):
+    contacts, opportunities, touches = views(spark, sf_dir, "contacts", "opportunities", "touches")
+    companies, users = people(contacts, sf_dir)
+    stages = opportunities.where("stage <> '5-LOW'").select("stage", F.upper("stage").alias("stage_name"), F.when(F.col("stage") < "4", "open").otherwise("closed").alias("category")).distinct()
+    deals = opportunities.select("id", "contact_id", "stage", F.col("workspace_id").alias("company_id"), person("id").alias("owner_id"), (F.col("id") % 5000).alias("touch_id"))
+    out = crm.opportunities_enriched(deals, contacts, stages, companies, users, touches.withColumnRenamed("utm_source", "source_type"))
+    return out.select("id", "contact_name", "stage_name", "category", "company_name", "owner_name", "acquisition_source")
+
+
+@query("j4_contact_list", with_views(f"""WITH {CLASSIFIED}, {PEOPLE}, firsts AS (SELECT contact_id, source_type FROM (SELECT *, row_number() OVER (PARTITION BY contact_id ORDER BY captured_at, id) AS n FROM classified) x WHERE n = 1),
     deals AS (SELECT contact_id, count(*) AS open_deals FROM opportunities WHERE status = 'open' GROUP BY 1), seen AS (SELECT contact_id, max(captured_at) AS last_activity FROM touches GROUP BY 1)
-    SELECT c.id, c.workspace_id, c.first_name, f.source_type AS first_source, coalesce(d.open_deals, 0) AS open_deals, s.last_activity
-    FROM contacts c LEFT JOIN firsts f ON f.contact_id = c.id LEFT JOIN deals d ON d.contact_id = c.id LEFT JOIN seen s ON s.contact_id = c.id WHERE NOT is_deleted""", "contacts", "opportunities", "touches")
-def _(contacts, opportunities, touches):
-    first = crm.first_touch(attribution.classify_source(touches))
-    return crm.contact_list(contacts, first, opportunities, touches.withColumnRenamed("captured_at", "occurred_at"))
+    SELECT c.id, c.workspace_id, c.first_name, k.name AS company_name, u.name AS owner_name, f.source_type AS first_source, coalesce(d.open_deals, 0) AS open_deals, s.last_activity
+    FROM contacts c LEFT JOIN firsts f ON f.contact_id = c.id LEFT JOIN deals d ON d.contact_id = c.id LEFT JOIN seen s ON s.contact_id = c.id LEFT JOIN companies k ON k.id = c.workspace_id LEFT JOIN users u ON u.id = c.id % 20 WHERE NOT is_deleted""", "contacts", "opportunities", "touches"))
+def _(spark, sf_dir):
+    contacts, opportunities, touches = views(spark, sf_dir, "contacts", "opportunities", "touches")
+    # The first touch is picked before it is classified.
+    first = attribution.classify_source(crm.first_touch(touches))
+    listed = contacts.withColumns({"company_id": F.col("workspace_id"), "owner_id": person("id")})
+    return crm.contact_list(listed, first, opportunities, touches.withColumnRenamed("captured_at", "occurred_at"), *people(contacts, sf_dir))
 
 
-@query("j5_task_list", """SELECT t.id, t.status, c.first_name AS contact_name, o.stage AS deal_stage FROM tasks t
-    LEFT JOIN contacts c ON c.id = t.contact_id LEFT JOIN opportunities o ON o.id = t.opportunity_id""", "contacts", "opportunities", "tasks")
-def _(contacts, opportunities, tasks):
-    return crm.task_list(tasks, contacts, opportunities).select("id", "status", "contact_name", "deal_stage")
+@query("j5_task_list", with_views(f"""WITH {PEOPLE} SELECT t.id, t.status, c.first_name AS contact_name, o.stage AS deal_stage, u.name AS assignee_name FROM tasks t
+    LEFT JOIN contacts c ON c.id = t.contact_id LEFT JOIN opportunities o ON o.id = t.opportunity_id LEFT JOIN users u ON u.id = t.id % 20""", "contacts", "opportunities", "tasks"))
+def _(spark, sf_dir):
+    contacts, opportunities, work = views(spark, sf_dir, "contacts", "opportunities", "tasks")
+    return crm.task_list(work.withColumn("assignee_id", person("id")), contacts, opportunities, people(contacts, sf_dir)[1]).select("id", "status", "contact_name", "deal_stage", "assignee_name")
 
 
-@query("j6_activity_feed", """SELECT a.id, a.contact_id, c.first_name AS contact_name FROM (
-    SELECT *, row_number() OVER (PARTITION BY contact_id ORDER BY captured_at DESC, id DESC) AS n FROM touches) a LEFT JOIN contacts c ON c.id = a.contact_id WHERE n <= 3""", "contacts", "touches")
-def _(contacts, touches):
-    return crm.activity_feed(touches.withColumnRenamed("captured_at", "occurred_at"), contacts, 3).select("id", "contact_id", "contact_name")
+FEED = """SELECT a.id, a.{by}, c.first_name AS contact_name, u.name AS actor_name FROM (
+    SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY captured_at DESC, id DESC) AS n FROM (SELECT *, CASE WHEN id % 3 = 0 THEN id % 50 END AS opportunity_id, id % 11 AS workspace_id FROM touches) y WHERE {by} IS NOT NULL) a
+    LEFT JOIN contacts c ON c.id = a.contact_id LEFT JOIN users u ON u.id = a.id % 20 WHERE n <= {n}"""
+
+
+def feed(spark: SparkSession, sf_dir: str, by: str, n: int) -> DataFrame:
+    contacts, touches = views(spark, sf_dir, "contacts", "touches")
+    activities = touches.select("id", "contact_id", F.col("captured_at").alias("occurred_at"), person("id").alias("actor_id"), F.when(F.col("id") % 3 == 0, F.col("id") % 50).alias("opportunity_id"), (F.col("id") % 11).alias("workspace_id"))
+    return crm.activity_feed(activities, contacts, people(contacts, sf_dir)[1], n, by).select("id", by, "contact_name", "actor_name")
+
+
+@query("j6_activity_feed", with_views(f"WITH {PEOPLE} {FEED.format(by='contact_id', n=3)}", "contacts", "touches"))
+def _(spark, sf_dir):
+    return feed(spark, sf_dir, "contact_id", 3)
 
 
-@query("j7_submission_receipts", """SELECT s.id, s.form, c.first_name AS contact_name FROM (
+@query("j6_deal_feed", with_views(f"WITH {PEOPLE} {FEED.format(by='opportunity_id', n=5)}", "contacts", "touches"))
+def _(spark, sf_dir):
+    return feed(spark, sf_dir, "opportunity_id", 5)
+
+
+@query("j6_workspace_feed", with_views(f"WITH {PEOPLE} {FEED.format(by='workspace_id', n=25)}", "contacts", "touches"))
+def _(spark, sf_dir):
+    return feed(spark, sf_dir, "workspace_id", 25)
+
+
+@query("j7_submission_receipts", """SELECT s.id, s.form, c.first_name AS contact_name, CASE WHEN s.id % 9 < 7 THEN s.id % 9 + 1 END AS form_version FROM (
     SELECT *, row_number() OVER (PARTITION BY form ORDER BY ts DESC, id DESC) AS n FROM submissions) s LEFT JOIN contacts c ON c.id = s.subject WHERE n <= 20""", "contacts", "submissions")
 def _(contacts, submissions):
-    return crm.submission_receipts(submissions, contacts, 20).select("id", "form", "contact_name")
+    versioned = submissions.withColumn("version_id", F.col("id") % 9)
+    versions = versioned.where("version_id < 7").select("version_id", (F.col("version_id") + 1).alias("version")).distinct()
+    return crm.submission_receipts(versioned, contacts, versions, 20).select("id", "form", "contact_name", "form_version")
 
 
 FORMS = "forms AS (SELECT DISTINCT form AS form_id, form = 'error' AS archived FROM submissions), versions AS (SELECT DISTINCT form AS form_id, CAST(id % 4 AS INTEGER) AS version, id % 4 = 2 AND form <> 'view' AS is_published FROM submissions)"
@@ -287,18 +355,20 @@ def _(opportunities):
     return crm.stage_totals(opportunities)
 
 
-@query("a2_pipeline_board", """WITH stages AS (SELECT w.n_nationkey AS workspace_id, s.stage, s.position FROM nation w, (SELECT DISTINCT o_orderpriority AS stage, CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS position FROM orders) s)
+@query("a2_pipeline_board", """WITH stages AS (SELECT DISTINCT workspace_id, stage, CAST(substr(stage, 1, 1) AS INTEGER) AS position FROM opportunities)
     SELECT s.workspace_id, s.stage, s.position, coalesce(count(o.id), 0) AS deals, CAST(coalesce(sum(o.value_minor), 0) AS BIGINT) AS value_minor
-    FROM stages s LEFT JOIN opportunities o ON o.workspace_id = s.workspace_id AND o.stage = s.stage AND o.status <> 'lost' GROUP BY 1, 2, 3""")
-def _(spark, sf_dir):
-    (opportunities,) = views(spark, sf_dir, "opportunities")
-    stages = tables.load(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("stage")).distinct().agg(F.collect_set("stage").alias("stages"))
-    nations = tables.load(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("workspace_id"), F.lit(1).alias("one"))
-    every = nations.join(stages.withColumn("one", F.lit(1)), "one").select("workspace_id", F.explode("stages").alias("stage"))
-    return crm.pipeline_board(every.withColumn("position", F.substring("stage", 1, 1).cast("int")), opportunities.where("status <> 'lost'"))
+    FROM stages s LEFT JOIN opportunities o ON o.workspace_id = s.workspace_id AND o.stage = s.stage AND o.status <> 'lost' AND o.value_minor > 20000000 GROUP BY 1, 2, 3""", "opportunities")
+def _(opportunities):
+    stages = opportunities.select("workspace_id", "stage", F.substring("stage", 1, 1).cast("int").alias("position")).distinct()
+    return crm.pipeline_board(stages, opportunities.where("status <> 'lost' and value_minor > 20000000"))
 
 
-ORACLE_SQL["a2_pipeline_board"] = with_views(ORACLE_SQL["a2_pipeline_board"], "opportunities")
+@query("a3_pipeline_stages", """WITH stages AS (SELECT DISTINCT workspace_id, stage, CASE WHEN stage < '4' THEN 'open' ELSE 'closed' END AS category FROM opportunities),
+    counted AS (SELECT s.workspace_id, s.stage, category, count(o.id) AS deals, CAST(coalesce(sum(value_minor), 0) AS BIGINT) AS value_minor FROM stages s LEFT JOIN opportunities o ON o.workspace_id = s.workspace_id AND o.stage = s.stage AND o.value_minor > 20000000 GROUP BY 1, 2, 3)
+    SELECT *, CAST(coalesce(sum(deals) FILTER (category = 'open') OVER (PARTITION BY workspace_id), 0) AS BIGINT) AS open_deals, CAST(coalesce(sum(value_minor) FILTER (category = 'open') OVER (PARTITION BY workspace_id), 0) AS BIGINT) AS open_value_minor FROM counted""", "opportunities")
+def _(opportunities):
+    stages = opportunities.select("workspace_id", "stage", F.when(F.col("stage") < "4", "open").otherwise("closed").alias("category")).distinct()
+    return crm.pipeline_stage_rows(opportunities.where("value_minor > 20000000"), stages)
 
 
 @query("a3_pipeline_summary", """SELECT workspace_id, count(*) FILTER (status = 'open') AS open_deals, CAST(coalesce(sum(value_minor) FILTER (status = 'open'), 0) AS BIGINT) AS open_value_minor, count(*) AS deals
@@ -313,26 +383,41 @@ FIRSTS = f"{CLASSIFIED}, firsts AS (SELECT contact_id, source_type FROM (SELECT
 @query("a4_open_value_by_source", f"""WITH {FIRSTS} SELECT coalesce(f.source_type, 'Not recorded') AS source, count(*) AS deals, CAST(sum(value_minor) AS BIGINT) AS value_minor
     FROM opportunities o LEFT JOIN firsts f ON f.contact_id = o.contact_id WHERE status = 'open' GROUP BY 1""", "opportunities", "touches")
 def _(opportunities, touches):
-    return crm.open_value_by_source(opportunities, crm.first_touch(attribution.classify_source(touches)))
+    return crm.open_value_by_source(opportunities, attribution.classify_source(crm.first_touch(touches)))
 
 
-SNAPSHOT = f"""
-    people AS (SELECT workspace_id, count(*) FILTER ({LIVE}) AS live_contacts FROM contacts GROUP BY 1),
+SNAPSHOT = """
+    people AS (SELECT workspace_id, count(*) FILTER (id % 90 <= 30) AS new_contacts FROM contacts GROUP BY 1),
+    leads AS (SELECT workspace_id, count(*) AS qualified_leads FROM touches t JOIN contacts c ON c.id = t.contact_id WHERE t.id % 4 = 1 AND t.id % 50 <= 30 GROUP BY 1),
     deals AS (SELECT workspace_id, count(*) AS open_deals, CAST(sum(value_minor) AS BIGINT) AS open_value_minor FROM opportunities WHERE status = 'open' GROUP BY 1),
     work AS (SELECT workspace_id, count(*) FILTER (status = 'open') AS open_tasks, count(*) FILTER (status = 'open' AND due_at < TIMESTAMP '1998-01-01 00:00:00') AS overdue_tasks
         FROM tasks t JOIN contacts c ON c.id = t.contact_id GROUP BY 1),
-    snapshot AS (SELECT workspace_id, live_contacts, coalesce(open_deals, 0) AS open_deals, coalesce(open_value_minor, 0) AS open_value_minor, coalesce(open_tasks, 0) AS open_tasks, coalesce(overdue_tasks, 0) AS overdue_tasks
-        FROM people LEFT JOIN deals USING (workspace_id) LEFT JOIN work USING (workspace_id))"""
+    snapshot AS (SELECT workspace_id, new_contacts, coalesce(qualified_leads, 0) AS qualified_leads, coalesce(open_deals, 0) AS open_deals, coalesce(open_value_minor, 0) AS open_value_minor, coalesce(open_tasks, 0) AS open_tasks, coalesce(overdue_tasks, 0) AS overdue_tasks
+        FROM people LEFT JOIN leads USING (workspace_id) LEFT JOIN deals USING (workspace_id) LEFT JOIN work USING (workspace_id))"""
 
 
-@query("a5_growth_snapshot", f"WITH {SNAPSHOT} SELECT * FROM snapshot", "contacts", "opportunities", "tasks")
-def _(contacts, opportunities, tasks):
-    return crm.growth_snapshot(contacts, opportunities, tasks, "1998-01-01 00:00:00")
+def snapshot(contacts: DataFrame, opportunities: DataFrame, work: DataFrame, touches: DataFrame) -> DataFrame:
+    """The dashboard of 1998-01-01; contacts were made up to 89 days before it, touches captured up to 49."""
+    ago = lambda n: F.lit("1998-01-01").cast("timestamp") - F.make_dt_interval(n.cast("int"))
+    made = contacts.withColumn("created_at", ago(F.col("id") % 90))
+    seen = touches.select("contact_id", ago(F.col("id") % 50).alias("captured_at"), F.when(F.col("id") % 4 == 1, F.lit("1998-01-01").cast("timestamp")).alias("qualified_at"))
+    return crm.growth_snapshot(made, opportunities, work, seen, "1998-01-01 00:00:00")
 
 
-@query("a6_metric_rows", f"WITH {SNAPSHOT} SELECT workspace_id, name AS metric, value FROM (UNPIVOT snapshot ON live_contacts, open_deals, open_value_minor, open_tasks, overdue_tasks INTO NAME name VALUE value)", "contacts", "opportunities", "tasks")
-def _(contacts, opportunities, tasks):
-    return crm.metric_rows(crm.growth_snapshot(contacts, opportunities, tasks, "1998-01-01 00:00:00"))
+@query("a5_growth_snapshot", f"WITH {SNAPSHOT} SELECT * FROM snapshot", "contacts", "opportunities", "tasks", "touches")
+def _(contacts, opportunities, work, touches):
+    return snapshot(contacts, opportunities, work, touches)
+
+
+@query("a6_metric_rows", f"""WITH {SNAPSHOT}, long AS (SELECT workspace_id, name, value FROM (UNPIVOT snapshot ON new_contacts, qualified_leads, open_deals, open_value_minor, open_tasks INTO NAME name VALUE value)),
+    told AS (SELECT l.workspace_id, m.metric, m.label, l.value, m.unit, m.polarity, 'live' AS provenance FROM long l JOIN (VALUES ('new_contacts', 'new_contacts', 'New contacts', 'count', 'higher_is_better'), ('qualified_leads', 'qualified_leads', 'Qualified leads', 'count', 'higher_is_better'),
+        ('open_deals', 'open_deals', 'Open opportunities', 'count', 'higher_is_better'), ('open_value_minor', 'pipeline_value', 'Open pipeline value', 'currency', 'higher_is_better'), ('open_tasks', 'open_tasks', 'Open tasks', 'count', 'lower_is_better')) m(name, metric, label, unit, polarity) ON m.name = l.name
+        UNION ALL SELECT workspace_id, 'calls', 'Calls', open_tasks * 2, 'count', 'higher_is_better', 'fixture' FROM snapshot WHERE workspace_id % 2 = 0)
+    SELECT *, CASE WHEN unit = 'currency' THEN '$' || format('{{:,}}', CAST(round(value / 100.0) AS BIGINT)) ELSE CAST(value AS VARCHAR) END AS formatted, CASE WHEN workspace_id % 2 = 0 THEN 'fixture' ELSE 'live' END AS overall FROM told""", "contacts", "opportunities", "tasks", "touches")
+def _(contacts, opportunities, work, touches):
+    now = snapshot(contacts, opportunities, work, touches)
+    fixtures = now.where("workspace_id % 2 = 0").select("workspace_id", F.lit("calls").alias("metric"), F.lit("Calls").alias("label"), (F.col("open_tasks") * 2).alias("value"), F.lit("count").alias("unit"), F.lit("higher_is_better").alias("polarity"))
+    return crm.metric_rows(now, fixtures)
 
 
 @query("a7_open_opp_counts", "SELECT contact_id, count(*) AS open_deals FROM opportunities WHERE status = 'open' GROUP BY 1", "opportunities")
@@ -345,9 +430,9 @@ def _(touches):
     return crm.last_activity(touches.withColumnRenamed("captured_at", "occurred_at"))
 
 
-@query("a9_lead_funnel", "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) FILTER (outcome = 'accepted') AS captured, count(*) FILTER (outcome = 'rejected') AS rejected FROM submissions GROUP BY 1", "submissions")
+@query("a9_lead_funnel", f"SELECT form, count(*) FILTER (outcome = 'accepted') AS captured, count(*) FILTER (outcome = 'rejected') AS rejected FROM submissions WHERE ts >= TIMESTAMP '{NOW}' - INTERVAL 7 DAY AND ts <= TIMESTAMP '{NOW}' GROUP BY 1", "submissions")
 def _(submissions):
-    return crm.lead_funnel(submissions)
+    return crm.lead_funnel(submissions, NOW, 7)
 
 
 @query("a10_form_summary", """WITH f AS (SELECT DISTINCT form FROM submissions UNION SELECT 'unused') SELECT f.form, count(s.id) AS submissions, count(s.id) FILTER (outcome = 'accepted') AS leads, max(ts) AS last_submission
@@ -374,10 +459,10 @@ def _(opportunities):
     return crm.counts_kept_zero(tags, opportunities.select(F.col("stage").alias("tag"), "contact_id").distinct(), "tag", "uses")
 
 
-@query("a14_site_form_counts", "SELECT site, count(*) AS forms FROM (SELECT DISTINCT subject % 50 AS site, form FROM submissions) x GROUP BY 1", "submissions")
+@query("a14_site_form_counts", "WITH sites AS (SELECT DISTINCT subject % 50 AS site FROM submissions), f AS (SELECT DISTINCT subject % 50 AS site, form FROM submissions WHERE subject % 50 % 7 <> 0 AND form <> 'view') SELECT s.site, count(form) AS forms FROM sites s LEFT JOIN f ON f.site = s.site GROUP BY 1", "submissions")
 def _(submissions):
-    forms = submissions.select((F.col("subject") % 50).alias("site"), "form").distinct()
-    return crm.counts_kept_zero(forms.select("site").distinct(), forms, "site", "forms")
+    sited = submissions.select((F.col("subject") % 50).alias("site"), "form").distinct()
+    return crm.counts_kept_zero(sited.select("site").distinct(), sited.where("site % 7 <> 0 and form <> 'view'"), "site", "forms")
 
 
 STATE = "CASE outcome WHEN 'redirected' THEN 'queued' WHEN 'unchanged' THEN 'skipped' ELSE 'fetched' END"
@@ -388,9 +473,26 @@ def _(pages):
     return crawl.frontier_counts(pages.withColumn("state", F.expr(STATE)))
 
 
-@query("a16_crawl_totals", "SELECT crawl_id, depth, count(*) FILTER (outcome IN ('fetched', 'unchanged')) AS fetched, count(*) FILTER (outcome NOT IN ('fetched', 'unchanged')) AS other FROM graph_pages GROUP BY 1, 2", "graph_pages")
+OBSERVED = "observed AS (SELECT page_id % 9 AS crawl_id, CASE WHEN page_id % 13 = 0 THEN 'server_error' WHEN page_id % 17 = 0 THEN 'blocked' ELSE outcome END AS outcome, page_id * 10 AS bytes, CASE WHEN page_id % 4 = 0 THEN 'sitemap' ELSE 'link' END AS source FROM graph_pages)"
+
+
+def observed(pages: DataFrame) -> DataFrame:
+    outcome = F.when(F.col("page_id") % 13 == 0, "server_error").when(F.col("page_id") % 17 == 0, "blocked").otherwise(F.col("outcome"))
+    return pages.select((F.col("page_id") % 9).alias("crawl_id"), "url", outcome.alias("outcome"), (F.col("page_id") * 10).alias("bytes"), F.when(F.col("page_id") % 4 == 0, "sitemap").otherwise("link").alias("source"))
+
+
+@query("a16_crawl_totals", f"WITH {OBSERVED} SELECT crawl_id, count(*) FILTER (outcome IN ('fetched', 'unchanged')) AS fetched, count(*) FILTER (outcome IN ('server_error', 'blocked')) AS failed, CAST(sum(bytes) AS BIGINT) AS bytes, count(*) FILTER (source = 'sitemap') AS sitemap_urls FROM observed GROUP BY 1", "graph_pages")
+def _(pages):
+    return crawl.crawl_totals(observed(pages))
+
+
+@query("g6_finish_runs", f"WITH {OBSERVED} SELECT crawl_id, count(*) FILTER (outcome IN ('fetched', 'unchanged')) AS fetched, count(*) FILTER (outcome IN ('server_error', 'blocked')) AS failed, CAST(sum(bytes) AS BIGINT) AS bytes, count(*) FILTER (source = 'sitemap') AS sitemap_urls, count(*) FILTER (outcome IN ('redirected', 'unchanged')) AS skipped FROM observed GROUP BY 1", "graph_pages")
 def _(pages):
-    return crawl.crawl_totals(pages)
+    seen = observed(pages)
+    frontier = seen.select("crawl_id", "url", F.when(F.col("outcome") == "redirected", "queued").when(F.col("outcome") == "unchanged", "fetching").otherwise("fetched").alias("state"), F.lit(None).cast("string").alias("skip_reason"))
+    runs, closed = crawl.finish_runs(seen.select("crawl_id").distinct(), frontier, seen)
+    # Both results are asked for: rows that stay open would not be counted.
+    return runs.join(closed.where("skip_reason = 'cancelled'").select("crawl_id").distinct(), "crawl_id")
 
 
 @query("a17_site_page_history", "SELECT event_type AS site, CAST(user_id AS VARCHAR) AS url, min(ts) AS first_seen, max(ts) AS last_seen FROM events GROUP BY 1, 2")
@@ -412,10 +514,31 @@ def _(contacts, touches, opportunities):
     return crm.merge_preview_counts(requests, {"touches": touches, "deals": opportunities})
 
 
-@query("a20_trace_counts", """SELECT 'contacts' AS table_name, count(*) AS n FROM contacts WHERE contains(lower(coalesce(email, '')), 'user12') OR contains(lower(first_name), 'user12')
-    UNION ALL SELECT 'touches', count(*) FROM touches WHERE contains(coalesce(gclid, ''), 'user12') OR contains(lower(coalesce(referrer, '')), 'user12')""", "contacts", "touches")
-def _(contacts, touches):
-    return crm.count_traces({"contacts": (contacts, ["email", "first_name"]), "touches": (touches, ["gclid", "referrer"])}, "User12")
+@query("a19_erasure_preview", """WITH r AS (SELECT id FROM contacts WHERE id % 20 = 1),
+    acts AS (SELECT id, CASE WHEN id % 2 = 0 THEN contact_id END AS contact_id, CASE WHEN id % 3 = 0 THEN id % 4000 END AS opportunity_id, CASE WHEN id % 5 = 0 THEN id END AS touch_id FROM touches),
+    reached_t AS (SELECT DISTINCT id, gone FROM (SELECT id, contact_id AS gone FROM tasks UNION ALL SELECT t.id, o.contact_id FROM tasks t JOIN opportunities o ON o.id = t.opportunity_id) x),
+    reached_a AS (SELECT DISTINCT id, gone FROM (SELECT id, contact_id AS gone FROM acts UNION ALL SELECT a.id, o.contact_id FROM acts a JOIN opportunities o ON o.id = a.opportunity_id UNION ALL SELECT a.id, t.contact_id FROM acts a JOIN touches t ON t.id = a.touch_id) x)
+    SELECT r.id, (SELECT count(*) FROM touches WHERE contact_id = r.id) AS touches, (SELECT count(*) FROM opportunities WHERE contact_id = r.id) AS opportunities, (SELECT count(*) FROM reached_t WHERE gone = r.id) AS tasks, (SELECT count(*) FROM reached_a WHERE gone = r.id) AS activities,
+        (SELECT count(DISTINCT stage) FROM opportunities WHERE contact_id = r.id) AS fields, (SELECT count(DISTINCT status) FROM opportunities WHERE contact_id = r.id) AS tags FROM r""", "contacts", "touches", "opportunities", "tasks")
+def _(contacts, touches, opportunities, work):
+    fields, tags = opportunities.select("contact_id", "stage").distinct(), opportunities.select("contact_id", "status").distinct()
+    return crm.erasure_preview_counts(contacts.where("id % 20 = 1").select("id"), touches, opportunities, work, activities_of(touches), fields, tags)
+
+
+def activities_of(touches: DataFrame) -> DataFrame:
+    """A timeline whose rows name a contact, a deal or a touch, or several of them."""
+    return touches.select("id", F.when(F.col("id") % 2 == 0, F.col("contact_id")).alias("contact_id"), F.when(F.col("id") % 3 == 0, F.col("id") % 4000).alias("opportunity_id"), F.when(F.col("id") % 5 == 0, F.col("id")).alias("touch_id"), F.concat(F.lit("Seen "), F.coalesce("utm_source", F.lit("-"))).alias("summary"), F.col("gclid").alias("detail"))
+
+
+@query("a20_trace_counts", """WITH counts AS (SELECT 'contacts' AS table_name, count(*) AS n FROM contacts WHERE contains(lower(coalesce(email, '')), 'user12') OR contains(lower(first_name), 'user12')
+    UNION ALL SELECT 'touches', count(*) FROM touches WHERE contains(coalesce(gclid, ''), 'user12') OR contains(lower(coalesce(referrer, '')), 'user12')
+    UNION ALL SELECT 'opportunities', count(*) FROM opportunities WHERE id % 1000 = 12 UNION ALL SELECT 'tasks', count(*) FROM tasks WHERE id % 1000 = 12 UNION ALL SELECT 'activities', count(*) FROM touches WHERE id % 1000 = 12
+    UNION ALL SELECT 'submissions', count(*) FROM submissions WHERE contains(CAST(subject AS VARCHAR), '12'))
+    SELECT * FROM counts UNION ALL SELECT 'all', CAST(sum(n) AS BIGINT) FROM counts""", "contacts", "touches", "opportunities", "tasks", "submissions")
+def _(contacts, touches, opportunities, work, submissions):
+    said = lambda df: df.withColumn("title", F.concat(F.lit("For USER"), (F.col("id") % 1000).cast("string"), F.lit("x"))).where("id % 1000 < 100 or id % 1000 >= 130")
+    json = submissions.withColumn("payload", F.to_json(F.struct(F.concat(F.lit("user"), "subject").alias("name"), "form"))).withColumn("payload", F.regexp_replace("payload", "user([0-9]*12[0-9]*)", "user12"))
+    return crm.count_traces({"contacts": (contacts, ["email", "first_name"]), "touches": (touches, ["gclid", "referrer"]), "opportunities": (said(opportunities), ["title"]), "tasks": (said(work), ["title"]), "activities": (said(touches), ["title"]), "submissions": (json, ["payload"])}, "User12")
 
 
 @query("a21_task_load", "SELECT priority, count(*) FILTER (status = 'open') AS open_tasks, count(*) FILTER (status = 'open' AND due_at < TIMESTAMP '1998-01-01 00:00:00') AS overdue_tasks FROM tasks GROUP BY 1", "tasks")
@@ -526,11 +649,12 @@ def _(pages, links):
     return crawl.new_candidates(candidates, pages.where("depth < 5"))
 
 
-@query("u4_removed_options", """WITH old AS (SELECT DISTINCT workspace_id, stage FROM opportunities), new AS (SELECT DISTINCT workspace_id, stage FROM opportunities WHERE value_minor > 40000000)
-    SELECT workspace_id, count(*) AS removed FROM old WHERE (workspace_id, stage) NOT IN (SELECT workspace_id, stage FROM new) GROUP BY 1""", "opportunities")
+@query("u4_removed_options", """WITH old AS (SELECT DISTINCT workspace_id, stage FROM opportunities), new AS (SELECT DISTINCT workspace_id, stage FROM opportunities WHERE workspace_id % 4 <> 3 AND stage > CAST(1 + workspace_id % 3 AS VARCHAR))
+    SELECT workspace_id, string_agg(stage, ',' ORDER BY stage) AS removed FROM old WHERE (workspace_id, stage) NOT IN (SELECT workspace_id, stage FROM new) GROUP BY 1""", "opportunities")
 def _(opportunities):
-    old = opportunities.groupBy("workspace_id").agg(F.collect_set("stage").alias("old"), F.collect_set(F.when(F.col("value_minor") > 40000000, F.col("stage"))).alias("new"))
-    return old.select("workspace_id", F.size(F.array_except("old", "new")).cast("long").alias("removed")).where("removed > 0")
+    kept = (F.col("workspace_id") % 4 != 3) & (F.col("stage") > (F.col("workspace_id") % 3 + 1).cast("string"))
+    offered = opportunities.groupBy("workspace_id").agg(F.collect_set("stage").alias("old"), F.collect_set(F.when(kept, F.col("stage"))).alias("new"))
+    return offered.select("workspace_id", F.array_join(F.array_sort(crm.removed_options(F.col("old"), F.col("new"))), ",").alias("removed")).where("removed <> ''")
 
 
 @query("s6_insert_ignore", "SELECT url, page_id FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY page_id) AS n FROM (SELECT target_url AS url, source_page_id AS page_id FROM graph_links) y) x WHERE n = 1 AND url NOT IN (SELECT url FROM graph_pages WHERE page_id % 2 = 0)", "graph_pages", "graph_links")
@@ -759,23 +883,71 @@ def _(outputs):
 # --- frontier, ingestion, lifecycle, quality
 
 
-@query("g1_enqueue_decisions", """WITH asked AS (SELECT *, CASE WHEN source_page_id % 11 = 0 THEN 'too_long' END AS refusal, CASE scope WHEN 'external' THEN 'external' ELSE 'in_scope' END AS kind, source_page_id % 6 AS depth, target_url NOT LIKE '%7' AS allowed
+ASKED = """asked AS (SELECT *, CASE WHEN source_page_id % 11 = 0 THEN 'too_long' END AS refusal, CASE scope WHEN 'external' THEN 'external' ELSE 'in_scope' END AS kind, source_page_id % 6 AS depth, target_url NOT LIKE '%7' AS allowed, source_page_id % 2 AS crawl
         FROM (SELECT target_url, scope, min(source_page_id) AS source_page_id FROM graph_links GROUP BY 1, 2) y),
-    early AS (SELECT *, CASE WHEN refusal = 'too_long' THEN 'url_too_long' WHEN kind = 'external' THEN 'external' WHEN depth > 4 THEN 'depth_limit' WHEN NOT allowed THEN 'robots_disallowed' END AS reason FROM asked)
-    SELECT target_url AS url, depth, CASE WHEN reason IS NOT NULL THEN reason WHEN row_number() OVER (PARTITION BY reason IS NULL ORDER BY depth, source_page_id, target_url) > 100 THEN 'page_limit' END AS skip_reason FROM early""", "graph_links")
-def _(links):
-    asked = links.groupBy("crawl_id", F.col("target_url").alias("url"), F.col("scope").alias("raw")).agg(F.min("source_page_id").alias("place"))
-    candidates = asked.select("crawl_id", "url", F.when(F.col("place") % 11 == 0, "too_long").alias("refusal"), F.when(F.col("raw") == "external", "external").otherwise("in_scope").alias("scope"), (~F.col("url").endswith("7")).alias("allowed"), (F.col("place") % 6).alias("depth"), "place")
-    return crawl.decide_enqueue(candidates, 100, 4).select("url", "depth", "skip_reason")
+    early AS (SELECT *, CASE WHEN refusal = 'too_long' THEN 'url_too_long' WHEN kind = 'external' THEN 'external' WHEN depth > 4 THEN 'depth_limit' WHEN NOT allowed THEN 'robots_disallowed' END AS reason FROM asked),
+    decided AS (SELECT crawl AS crawl_id, target_url AS url, depth, CASE WHEN reason IS NOT NULL THEN reason WHEN row_number() OVER (PARTITION BY crawl, reason IS NULL ORDER BY depth, source_page_id, target_url) > 30 THEN 'page_limit' END AS skip_reason,
+        row_number() OVER (PARTITION BY crawl ORDER BY depth, source_page_id, target_url) <= 500 AS recorded FROM early)"""
+
 
+def decisions(links: DataFrame) -> DataFrame:
+    asked = links.groupBy(F.col("target_url").alias("url"), F.col("scope").alias("raw")).agg(F.min("source_page_id").alias("place"))
+    candidates = asked.select((F.col("place") % 2).alias("crawl_id"), "url", F.when(F.col("place") % 11 == 0, "too_long").alias("refusal"), F.when(F.col("raw") == "external", "external").otherwise("in_scope").alias("scope"), (~F.col("url").endswith("7")).alias("allowed"), (F.col("place") % 6).alias("depth"), "place")
+    return crawl.decide_enqueue(candidates, 30, 4)
 
-@query("g2_frontier", """WITH RECURSIVE edges AS (SELECT DISTINCT 'https://site.test/p/' || source_page_id AS s, target_url AS t FROM graph_links WHERE scope = 'internal'),
-    reach AS (SELECT 'https://site.test/p/' || p AS url, 0 AS depth FROM (VALUES (1), (2), (3), (4), (5), (6), (7), (8)) v(p) UNION SELECT t, depth + 1 FROM reach JOIN edges ON s = url WHERE depth < 3)
-    SELECT url, min(depth) AS depth FROM reach GROUP BY 1""".replace("WITH RECURSIVE", "WITH"), "graph_links")
+
+@query("g1_enqueue_decisions", f"WITH {ASKED} SELECT crawl_id, url, depth, skip_reason, recorded FROM decided", "graph_links")
 def _(links):
+    return decisions(links).select("crawl_id", "url", "depth", "skip_reason", "recorded")
+
+
+@query("g3_termination", """SELECT page_id, CASE WHEN page_id % 7 = 0 THEN 'cancelled' WHEN page_id % 50 >= 25 THEN 'budget_exhausted' WHEN depth > 5 THEN 'depth_exhausted' ELSE 'frontier_empty' END AS reason FROM graph_pages""", "graph_pages")
+def _(pages):
+    return pages.select("page_id", crawl.termination(F.col("page_id") % 7 == 0, F.col("page_id") % 50, F.lit(25), F.greatest(F.col("depth") - 5, F.lit(0))).alias("reason"))
+
+
+@query("g4_enqueue_summary", f"""WITH {ASKED}, known AS (SELECT *, url IN (SELECT url FROM graph_pages WHERE page_id % 5 = 0) AS known FROM decided)
+    SELECT crawl_id, count(*) FILTER (NOT known AND recorded AND skip_reason IS NULL) AS queued, count(*) FILTER (NOT known AND recorded AND skip_reason IS NOT NULL) AS skipped, count(*) FILTER (known) AS duplicates, count(*) FILTER (NOT known AND NOT recorded) AS unrecorded,
+        coalesce(bool_or(NOT known AND coalesce(skip_reason = 'depth_limit', false)), false) AS skipped_for_depth FROM known GROUP BY 1""", "graph_pages", "graph_links")
+def _(pages, links):
+    known = pages.where("page_id % 5 = 0").select("url", F.explode(F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))).alias("crawl_id"))
+    return crawl.enqueue_summary(decisions(links), known)
+
+
+@query("g5_reap_stale", """WITH runs AS (SELECT page_id AS crawl_id, CASE WHEN page_id % 3 = 0 THEN 'finished' ELSE 'running' END AS status, TIMESTAMP '2024-01-20' - INTERVAL (page_id % 200) MINUTE AS started_at, page_id % 100 AS page_limit FROM graph_pages)
+    SELECT crawl_id, CASE WHEN dead THEN 'failed' ELSE status END AS status, CASE WHEN dead THEN 'skipped' ELSE 'queued' END AS state FROM (SELECT *, status = 'running' AND started_at + INTERVAL (page_limit * 30 + 1800) SECOND <= TIMESTAMP '2024-01-20' AS dead FROM runs) x""", "graph_pages")
+def _(pages):
+    started = F.lit("2024-01-20").cast("timestamp") - F.make_dt_interval(F.lit(0), F.lit(0), (F.col("page_id") % 200).cast("int"))
+    runs = pages.select(F.col("page_id").alias("crawl_id"), F.when(F.col("page_id") % 3 == 0, "finished").otherwise("running").alias("status"), started.alias("started_at"), (F.col("page_id") % 100).cast("int").alias("page_limit"), F.lit(None).cast("string").alias("failure"))
+    frontier = pages.select(F.col("page_id").alias("crawl_id"), "url", F.lit("queued").alias("state"), F.lit(None).cast("string").alias("skip_reason"))
+    closed, rows = crawl.reap_stale(runs, frontier, NOW)
+    return closed.select("crawl_id", "status").join(rows.select("crawl_id", "state"), "crawl_id")
+
+
+FRONTIER = """edges AS (SELECT DISTINCT 'https://site.test/p/' || source_page_id AS s, target_url AS t FROM graph_links WHERE scope = 'internal'),
+    seeds AS (SELECT 'https://site.test/p/' || p AS url FROM (VALUES (1), (2), (3), (4), (5), (6), (7), (8)) v(p)), mapped AS (SELECT url FROM graph_pages WHERE page_id % 97 = 4)"""
+
+
+def frontier(pages: DataFrame, links: DataFrame, limit: int) -> DataFrame:
     seeds = links.sparkSession.range(1, 9).select(F.lit(1).alias("crawl_id"), F.concat(F.lit("https://site.test/p/"), F.col("id")).alias("url"))
     edges = links.where("scope = 'internal'").select("crawl_id", F.concat(F.lit("https://site.test/p/"), F.col("source_page_id")).alias("source_url"), "target_url").distinct()
-    return crawl.build_frontier(seeds, edges, 3, 10**9).select("url", "depth")
+    return crawl.build_frontier(seeds, edges, 3, limit, pages.where("page_id % 97 = 4").select("crawl_id", "url"))
+
+
+@query("g2_frontier", f"""WITH RECURSIVE {FRONTIER}, reach AS (SELECT url, 0 AS depth FROM seeds UNION SELECT url, 0 FROM mapped UNION SELECT t, depth + 1 FROM reach JOIN edges ON s = url WHERE depth < 3)
+    SELECT r.url, min(depth) AS depth, CASE WHEN any_value(s.url) IS NOT NULL THEN 'seed' WHEN any_value(m.url) IS NOT NULL THEN 'sitemap' ELSE 'link' END AS source FROM reach r LEFT JOIN seeds s ON s.url = r.url LEFT JOIN mapped m ON m.url = r.url GROUP BY 1""".replace("WITH RECURSIVE", "WITH"), "graph_pages", "graph_links")
+def _(pages, links):
+    return frontier(pages, links, 10**9).select("url", "depth", "source")
+
+
+@query("g2_limited_frontier", f"""WITH {FRONTIER}, zero AS (SELECT url, min(r) AS r FROM (SELECT url, 0 AS r FROM seeds UNION ALL SELECT url, 1 FROM mapped) x GROUP BY 1),
+    taken AS (SELECT url, row_number() OVER (ORDER BY r, url) <= 20 AS accepted FROM zero), one AS (SELECT DISTINCT t AS url FROM edges JOIN taken ON s = url AND accepted WHERE t NOT IN (SELECT url FROM zero)),
+    next AS (SELECT url, row_number() OVER (ORDER BY url) + (SELECT count(*) FROM taken WHERE accepted) <= 20 AS accepted FROM one),
+    two AS (SELECT DISTINCT t AS url FROM edges JOIN next ON s = url AND accepted WHERE t NOT IN (SELECT url FROM zero) AND t NOT IN (SELECT url FROM one)),
+    more AS (SELECT url, row_number() OVER (ORDER BY url) + (SELECT count(*) FROM taken WHERE accepted) + (SELECT count(*) FROM next WHERE accepted) <= 20 AS accepted FROM two)
+    SELECT url, 0 AS depth, accepted FROM taken UNION ALL SELECT url, 1, accepted FROM next UNION ALL SELECT url, 2, accepted FROM more""", "graph_pages", "graph_links")
+def _(pages, links):
+    return frontier(pages, links, 20).where("depth < 3").select("url", "depth", "accepted")
 
 
 ORACLE_SQL["g2_frontier"] = ORACLE_SQL["g2_frontier"].replace("WITH", "WITH RECURSIVE", 1)
@@ -840,9 +1012,9 @@ def _(pages):
     return quality.check_rows(pages, {"depth_out_of_range": F.col("depth").between(0, 7), "redirect_at_depth": ~((F.col("outcome") == "redirected") & (F.col("depth") >= 3))})
 
 
-@query("q3_duplicate_keys", "SELECT crawl_id, source_page_id, target_url, count(*) AS n FROM graph_links GROUP BY 1, 2, 3 HAVING count(*) > 1", "graph_links")
+@query("q3_duplicate_keys", "SELECT crawl_id, target_url, count(*) AS n FROM graph_links GROUP BY 1, 2 HAVING count(*) > 1", "graph_links")
 def _(links):
-    return quality.check_unique(links, ["crawl_id", "source_page_id", "target_url"])
+    return quality.check_unique(links, ["crawl_id", "target_url"])
 
 
 @query("q4_tenant_refs", "SELECT k.workspace_id, c.workspace_id AS parent_workspace, count(*) AS n FROM (SELECT id, contact_id, CASE WHEN id % 8 = 0 THEN 0 ELSE workspace_id END AS workspace_id FROM opportunities) k JOIN contacts c ON c.id = k.contact_id WHERE k.workspace_id <> c.workspace_id GROUP BY 1, 2", "contacts", "opportunities")
