@@ -6,9 +6,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.attribution import classify_source
 from ..functions.identity import abuse_signals, normalise_email, request_digest
+from ..functions.urls import normalise_origin, origin_allowed
 from ..sources.tables import shared_table
-from .crm import identity_keys, import_match_count, live_contacts
+from .crm import entry_stage, identity_keys, import_match_count, live_contacts, rows_reached
+from .limits import TIERS, rate_limit_verdicts
 
 
 def least_neighbours(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -70,26 +73,102 @@ def replay(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["id", "outcome", "contact_id", "digest"])
 
 
+def ingest_batch(leads: DataFrame, receipts: DataFrame, contacts: DataFrame, stages: DataFrame | None = None, always_create: bool = False) -> dict[str, DataFrame]:
+    """L1: outcomes of leads (see ingest_leads) with the new rows of every table.
+
+    Leads may carry provenance columns, captured_at, and for a deal opportunity_title, value_minor and pipeline_id. Taken leads
+    make a touch, a receipt and, with a title, a deal at the entry stage of their pipeline (stages: pipeline_id, stage_id, position,
+    category, archived); created ones make a contact. New rows have the id of their lead, contacts its negative.
+    """
+    outcomes = shared_table(ingest_leads(leads, receipts, contacts, always_create))
+    taken = leads.join(outcomes.where(F.col("outcome").isin("created", "matched")).select("id", "outcome", "contact_id", "digest"), "id")
+    has = lambda c: F.col(c) if c in leads.columns else F.lit(None).cast("string")
+    people = ["first_name", "last_name", "email", "phone", "company_name"]
+    source = ["source_type", "source_platform", "confidence", "utm_source", "utm_medium", "utm_campaign", "gclid", "fbclid", "referrer", "landing_path", "captured_at"]
+    new_contacts = taken.where("outcome = 'created'").select(F.col("contact_id").alias("id"), "workspace_id", *[has(c).alias(c) for c in people])
+    touches = taken.select("id", "workspace_id", "contact_id", *[has(c).alias(c) for c in source])
+    written = taken.select("workspace_id", "source_system", "external_key", "digest", "contact_id", F.col("id").alias("touch_id"), F.when(has("opportunity_title").isNotNull(), F.col("id")).alias("opportunity_id"))
+    asked = taken.where(has("opportunity_title").isNotNull()).select("id", "workspace_id", "contact_id", F.col("id").alias("touch_id"), has("opportunity_title").alias("title"), has("value_minor").cast("long").alias("value_minor"), has("pipeline_id").alias("pipeline_id"), F.lit("open").alias("status"))
+    deals = asked.withColumn("stage_id", F.lit(None).cast("string")) if stages is None else asked.join(entry_stage(stages).select("pipeline_id", "stage_id"), "pipeline_id", "left")
+    said = lambda rows, kind, detail, place: rows.select((F.col("id").cast("string") if place else F.abs("id").cast("string")).alias("lead"), "contact_id", F.lit(kind).alias("kind"), detail.alias("detail"))
+    nothing = F.lit(None).cast("string")
+    changes = said(new_contacts.withColumn("contact_id", F.col("id")), "contact_created", nothing, False)
+    changes = changes.unionByName(said(touches, "touch_captured", F.col("source_type"), True)).unionByName(said(deals, "deal_created", F.col("title"), True))
+    activities = derive_activities(changes.select(F.concat_ws(":", "kind", "lead").alias("id"), "contact_id", "kind", "detail"))
+    return {"outcomes": outcomes, "contacts": new_contacts, "touches": touches, "opportunities": deals, "receipts": written, "activities": activities}
+
+
 def submission_gate(submissions: DataFrame) -> DataFrame:
-    """L3: submissions with rejection_reason, the first of: not accepting, origin, rate, honeypot or too fast, missing required, no identity."""
+    """L3: submissions with rejection_reason, the first of: not accepting, origin, rate, honeypot or too fast, challenge, missing values, no identity."""
     signal = abuse_signals(F.col("trap"), F.col("elapsed_ms"), F.col("min_seconds"))
     reason = (
-        F.when(~F.col("accepting"), "not_accepting").when(~F.col("origin_ok"), "origin_not_allowed").when(F.col("rate_rejected"), "rate_limited")
-        .when(signal.isNotNull(), signal).when(F.col("missing_required") > 0, "missing_required")
+        F.when(~F.col("accepting"), "form_not_accepting").when(~F.col("origin_ok"), "origin_not_allowed").when(F.col("rate_rejected"), "rate_limited")
+        .when(signal.isNotNull(), signal).when(~F.col("challenge_ok"), "challenge_failed").when(F.col("missing_required") > 0, "validation_failed")
         .when(normalise_email(F.col("email")).isNull() & F.nullif(F.trim("phone"), F.lit("")).isNull(), "identity_missing")
     )
     return submissions.withColumn("rejection_reason", reason)
 
 
 def map_form_values(submissions: DataFrame, fields: DataFrame) -> DataFrame:
-    """L4: (id, email, phone, first_name, notes) of submissions (id, form_id, values map) by fields (form_id, key, label, target, position, max_length, kind, options)."""
-    value = F.substr(F.trim(F.col("values")[F.col("key")]), F.lit(1), F.col("max_length"))
-    shown = F.when(F.col("kind") == "checkbox", F.when(F.lower(value).isin("true", "on", "yes"), "Yes")).when((F.col("kind") == "select") & ~F.array_contains("options", value), None).otherwise(F.nullif(value, F.lit("")))
-    each = submissions.join(fields, "form_id").select("id", "target", "position", "label", shown.alias("value")).where("value is not null")
-    of = lambda t: F.max(F.when(F.col("target") == t, F.col("value"))).alias(t)
-    note = F.when(F.col("target") == "notes", F.struct("position", F.concat_ws(": ", "label", "value").alias("text")))
-    notes = F.substring(F.array_join(F.array_sort(F.collect_list(note))["text"], " · "), 1, 255)
-    return each.groupBy("id").agg(of("email"), of("phone"), of("first_name"), notes.alias("notes"))
+    """L4: (id, first_name, last_name, email, phone, company_name, note, custom, missing) of submissions (id, form_id, values map) by fields (form_id, key, label, target, position, max_length, kind, required, options).
+
+    Values are trimmed and cut; a checked box is 'Yes'; a required field without a value, and a choice that is not offered, are missing. Targets 'custom:x' make
+    the map custom; notes become 'label: value' in order, 255 characters at most.
+    """
+    raw = F.substr(F.trim(F.coalesce(F.col("values")[F.col("key")], F.lit(""))), F.lit(1), F.col("max_length"))
+    shown = F.when(F.col("kind") == "checkbox", F.when(F.lower(raw).isin("true", "on", "yes"), "Yes").otherwise("")).otherwise(raw)
+    each = submissions.join(fields, "form_id").select("id", "key", "target", "position", "label", "required", "kind", "options", shown.alias("value"))
+    odd = (F.col("kind") == "select") & (F.col("value") != "") & ~F.coalesce(F.array_contains("options", F.col("value")), F.lit(True))
+    absent = (F.col("required") & (F.col("value") == "")) | odd
+    marked = each.withColumn("missing ", absent).withColumn("given ", F.when(~absent & (F.col("value") != ""), F.col("value")))
+    # Of two fields with one target the later one counts.
+    of = lambda t: F.max(F.when((F.col("target") == t) & F.col("given ").isNotNull(), F.struct("position", F.col("given ").alias("value"))))["value"].alias(t)
+    note = F.when((F.col("target") == "note") & F.col("given ").isNotNull(), F.struct("position", F.concat_ws(": ", "label", "given ").alias("text")))
+    custom = F.when(F.col("target").startswith("custom:") & F.col("given ").isNotNull(), F.struct(F.substr("target", F.lit(8)).alias("key"), F.col("given ").alias("value")))
+    return marked.groupBy("id").agg(
+        *[of(t) for t in ("first_name", "last_name", "email", "phone", "company_name")],
+        F.nullif(F.substring(F.array_join(F.array_sort(F.collect_list(note))["text"], " · "), 1, 255), F.lit("")).alias("note"),
+        F.map_from_entries(F.array_sort(F.collect_list(custom))).alias("custom"),
+        F.array_sort(F.collect_list(F.when(F.col("missing "), F.col("key")))).alias("missing"),
+    )
+
+
+def deal_title(template: Column, contact: Column, form: Column, company: Column) -> Column:
+    """L4: a deal's title from its template, 200 characters at most; without a name 'Website visitor', without anything 'Website enquiry'."""
+    named = F.replace(template, F.lit("{contact}"), F.coalesce(F.nullif(contact, F.lit("")), F.lit("Website visitor")))
+    filled = F.replace(F.replace(named, F.lit("{form}"), form), F.lit("{company}"), F.coalesce(company, F.lit("")))
+    return F.coalesce(F.nullif(F.substring(F.trim(filled), 1, 200), F.lit("")), F.lit("Website enquiry"))
+
+
+def process_submissions(submissions: DataFrame, forms: DataFrame, fields: DataFrame, receipts: DataFrame, contacts: DataFrame, app_url: str, tiers: list | None = None) -> dict[str, DataFrame]:
+    """L3: public submissions (id, form_id, submission_id, origin, ip, ts, trap, elapsed_ms, challenge_ok, values, and the context columns of C11) run through every gate, mapped and ingested.
+
+    forms: (form_id, workspace_id, name, status, allowed_origins, honeypot, min_seconds, title_template or null for no deal, pipeline_id, value_minor). Besides what
+    ingest_batch returns, 'submissions' has a row for every submission: outcome (created, matched, duplicate or rejected), rejection_reason and contact_id.
+    A key that comes back with other content is rejected as validation_failed.
+    """
+    known = submissions.join(forms, "form_id").withColumn("accepting", F.col("status") == "active")
+    own = normalise_origin(F.lit(app_url)).eqNullSafe(normalise_origin(F.col("origin")))
+    known = known.withColumn("origin_ok", own | origin_allowed(F.col("origin"), F.col("allowed_origins")))
+    # Only what has come this far counts against the limits.
+    hits = known.where("accepting and origin_ok").select("id", F.col("ip").alias("subject"), F.col("form_id").alias("form"), "ts")
+    limited = rate_limit_verdicts(hits, tiers=tiers or TIERS).where("rejected_by is not null").select("id", F.lit(True).alias("rate_rejected"))
+    mapped = map_form_values(known.select("id", "form_id", "values"), fields)
+    full = known.drop("values").join(limited, "id", "left").join(mapped, "id", "left").na.fill(False, ["rate_rejected"])
+    full = full.withColumn("trap", F.when(F.col("honeypot"), F.col("trap"))).withColumn("missing_required", F.coalesce(F.size("missing"), F.lit(0)))
+    judged = shared_table(classify_source(submission_gate(full)))
+    name = F.concat_ws(" ", F.nullif("first_name", F.lit("")), F.nullif("last_name", F.lit("")))
+    leads = judged.where("rejection_reason is null").select(
+        "id", "workspace_id", F.lit("public_form").alias("source_system"), F.concat_ws(":", "form_id", "submission_id").alias("external_key"),
+        F.coalesce("first_name", F.lit("Website enquiry")).alias("first_name"), "last_name", "email", "phone", "company_name",
+        "source_type", "source_platform", "confidence", "utm_source", "utm_medium", "utm_campaign", "gclid", "fbclid", "referrer", F.col("ts").alias("captured_at"),
+        F.when(F.col("title_template").isNotNull(), deal_title(F.col("title_template"), name, F.col("name"), F.col("company_name"))).alias("opportunity_title"), "pipeline_id", "value_minor",
+    )
+    out = ingest_batch(leads, receipts, contacts)
+    done = judged.select("id", "form_id", "rejection_reason").join(out["outcomes"].select("id", F.col("outcome").alias("taken"), "contact_id"), "id", "left")
+    refused = F.col("rejection_reason").isNotNull() | (F.col("taken") == "conflict")
+    out["submissions"] = done.select("id", "form_id", F.when(refused, "rejected").otherwise(F.col("taken")).alias("outcome"), F.coalesce("rejection_reason", F.when(F.col("taken") == "conflict", "validation_failed")).alias("rejection_reason"), "contact_id")
+    return out
 
 
 def prepare_import(rows: DataFrame, mapping: dict[str, str]) -> tuple[DataFrame, DataFrame]:
@@ -120,6 +199,15 @@ def validate_import(rows: DataFrame, mapping: dict[str, str], contacts: DataFram
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
+def run_import(rows: DataFrame, mapping: dict[str, str], receipts: DataFrame, contacts: DataFrame, workspace: int, batch: str) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """(status (batch, imported, matched, failed, status), new rows) of an import: sound rows are ingested under the key import:<batch>:<row>, so a repeated run adds nothing; a row with issues, or a conflict, has failed."""
+    valid, issues = prepare_import(rows, mapping)
+    leads = valid.withColumnRenamed("row_number", "id").withColumn("workspace_id", F.lit(workspace)).withColumn("source_system", F.lit("import")).withColumn("external_key", F.concat_ws(":", F.lit("import"), F.lit(batch), F.col("id").cast("string")))
+    made = ingest_batch(leads, receipts, contacts)
+    outcomes = made["outcomes"].select(F.lit(batch).alias("batch"), "outcome").unionByName(issues.select("row_number").distinct().select(F.lit(batch).alias("batch"), F.lit("failed").alias("outcome")))
+    return import_status(outcomes), made
+
+
 def import_status(outcomes: DataFrame) -> DataFrame:
     """Imported, matched and failed rows of each batch and its status."""
     counted = outcomes.groupBy("batch").agg(F.count_if(F.col("outcome") == "created").alias("imported"), F.count_if(F.col("outcome").isin("matched", "duplicate")).alias("matched"), F.count_if(F.col("outcome").isin("failed", "conflict")).alias("failed"))
@@ -156,26 +244,77 @@ def apply_merges(contacts: DataFrame, children: dict[str, tuple[DataFrame, list[
     return after, out
 
 
-def apply_erasures(contacts: DataFrame, touches: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(contacts, touches, log (id, touches)) after erasing requests (id): names become 'Erased contact', identifiers and click ids null, channels stay."""
+def merge_blockers(requests: DataFrame, contacts: DataFrame) -> DataFrame:
+    """(survivor, duplicate, blocker) of requests that cannot be carried out: the contact itself, an unknown contact, another workspace, or one that is archived, merged or erased."""
+    of = lambda side: contacts.select(F.col("id").alias(side), F.struct("workspace_id", "is_deleted", "is_merged", "is_erased").alias(f"{side} row"))
+    joined = requests.join(of("survivor"), "survivor", "left").join(of("duplicate"), "duplicate", "left")
+    a, b = F.col("survivor row"), F.col("duplicate row")
+    either = lambda c: F.coalesce(a[c], F.lit(False)) | F.coalesce(b[c], F.lit(False))
+    found = F.array_compact(
+        F.array(
+            F.when(F.col("survivor") == F.col("duplicate"), "same_contact"), F.when(a.isNull() | b.isNull(), "not_found"), F.when(a["workspace_id"] != b["workspace_id"], "other_workspace"),
+            F.when(either("is_erased"), "erased"), F.when(either("is_merged"), "merged"), F.when(F.coalesce(a["is_deleted"], F.lit(False)), "survivor_archived"),
+        )
+    )
+    return joined.select("survivor", "duplicate", F.explode(found).alias("blocker"))
+
+
+def apply_erasures(tables: dict[str, DataFrame], requests: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
+    """(tables, log) after erasing requests (id); contacts that are unknown, erased or merged already are left out.
+
+    tables: contacts, and any of touches, opportunities, tasks, activities, fields, tags. Names become 'Erased contact', identifiers and click ids null; a touch
+    keeps its channel; deals, tasks and activities lose their words, the last two also where only the contact's deal, or for activities its touch, is named; field
+    values and tags go. The log has a row for each contact with how many rows of each table it touched.
+    """
+    contacts = tables["contacts"]
     wanted = requests.select(F.col("id").alias("gone")).distinct().join(contacts.where("not is_erased and not is_merged").select(F.col("id").alias("gone")), "gone", "left_semi")
+    wanted = shared_table(wanted)
+    out, log = {}, wanted
+    opportunities, touches = tables.get("opportunities"), tables.get("touches")
+    words = {
+        "touches": dict.fromkeys(["gclid", "fbclid", "referrer", "channel_detail", "metadata"]), "opportunities": {"title": "Erased opportunity"},
+        "tasks": {"title": "Erased task", "description": None}, "activities": {"summary": "Details erased", "detail": None, "metadata": None},
+    }
     marked = contacts.join(wanted, F.col("id") == F.col("gone"), "left")
     hit = F.col("gone").isNotNull()
-    after = marked.withColumns({"first_name": F.when(hit, "Erased contact").otherwise(F.col("first_name")), "email": F.when(~hit, F.col("email")), "phone": F.when(~hit, F.col("phone")), "is_erased": F.col("is_erased") | hit}).select(contacts.columns)
-    traced = touches.join(wanted, F.col("contact_id") == F.col("gone"), "left")
-    clean = traced.withColumns({c: F.when(~hit, F.col(c)) for c in ("gclid", "fbclid", "referrer")}).select(touches.columns)
-    log = traced.where(hit).groupBy(F.col("gone").alias("id")).agg(F.count("*").alias("touches"))
-    return after, clean, wanted.withColumnRenamed("gone", "id").join(log, "id", "left").na.fill(0, ["touches"])
+    erased = {"first_name": "Erased contact" if "last_name" not in contacts.columns else "Erased", "last_name": "contact", "email": None, "phone": None}
+    out["contacts"] = marked.withColumns({c: F.when(hit, F.lit(v)).otherwise(F.col(c)) for c, v in erased.items() if c in contacts.columns} | {"is_erased": F.col("is_erased") | hit}).select(contacts.columns)
+    for name, df in tables.items():
+        if name == "contacts":
+            continue
+        if name in ("tasks", "activities") and opportunities is not None:
+            reached = rows_reached(df, wanted, opportunities, touches if name == "activities" and "touch_id" in df.columns else None)
+        elif name in ("fields", "tags"):
+            reached = df.select(F.col("contact_id").alias("gone")).join(wanted, "gone", "left_semi")
+            out[name] = df.join(wanted, F.col("contact_id") == F.col("gone"), "left_anti")
+        else:
+            reached = df.select("id", F.col("contact_id").alias("gone")).join(wanted, "gone", "left_semi")
+        if name in words:
+            changed = df.join(reached.select("id", F.lit(True).alias("hit ")).distinct(), "id", "left")
+            out[name] = changed.withColumns({c: F.when(F.col("hit ").isNull(), F.col(c)).otherwise(F.lit(v)) for c, v in words[name].items() if c in df.columns}).select(df.columns)
+        log = log.join(reached.groupBy("gone").agg(F.count("*").alias(name)), "gone", "left").na.fill(0, [name])
+    return out, log.withColumnRenamed("gone", "id")
+
+
+def retention_rules(now: str) -> dict[str, Column]:
+    """What has expired: sessions past their idle or absolute end, reset tokens that have ended or were used more than their own lifetime ago, rate windows that began over 24 hours ago."""
+    at = F.lit(now).cast("timestamp")
+    lifetime = F.col("expires_at") - F.col("created_at")
+    return {
+        "sessions": (F.col("idle_expires_at") <= at) | (F.col("absolute_expires_at") <= at),
+        "reset_tokens": (F.col("expires_at") <= at) | F.coalesce(F.col("used_at") + lifetime < at, F.lit(False)),
+        "rate_windows": F.col("window_start") < at - F.expr("interval 24 hours"),
+    }
 
 
 def apply_retention(df: DataFrame, expired: Column) -> tuple[DataFrame, DataFrame]:
-    """(kept rows, count of dropped rows); a condition that is null keeps its row."""
+    """(kept rows, count of dropped rows) under one of retention_rules; a condition that is null keeps its row."""
     gone = F.coalesce(expired, F.lit(False))
     return df.where(~gone), df.agg(F.count_if(gone).alias("dropped"))
 
 
 def derive_activities(changes: DataFrame) -> DataFrame:
     """A timeline row (id, contact_id, type, summary) for every change (id, contact_id, kind, detail)."""
-    kinds = {"contact_created": "Contact created", "stage_changed": "Moved to ", "won": "Deal won", "lost": "Deal lost", "merged": "Merged", "touch_captured": "Captured from "}
+    kinds = {"contact_created": "Contact created", "stage_changed": "Moved to ", "won": "Deal won", "lost": "Deal lost", "merged": "Merged", "touch_captured": "Captured from ", "deal_created": "Deal opened: "}
     summary = F.coalesce(*[F.when(F.col("kind") == k, F.concat(F.lit(v), F.when(F.lit(v).endswith(" "), F.coalesce("detail", F.lit("unknown"))).otherwise(""))) for k, v in kinds.items()], F.col("kind"))
     return changes.select("id", "contact_id", F.col("kind").alias("type"), summary.alias("summary"))

@@ -44,6 +44,40 @@ def archive_blockers(contacts: DataFrame, opportunities: DataFrame) -> DataFrame
     return contacts.join(opportunities.where("status = 'open'").select(F.col("contact_id").alias("id")), "id", "left_semi")
 
 
+def stage_blockers(stages: DataFrame, opportunities: DataFrame) -> DataFrame:
+    """Stages (workspace_id, stage) that still hold deals, with how many."""
+    held = opportunities.groupBy("workspace_id", "stage").agg(F.count("*").alias("deals"))
+    return stages.join(held, ["workspace_id", "stage"])
+
+
+def contact_rules() -> dict[str, Column]:
+    """Q2: contacts (id, merged_at, merged_into)."""
+    return {"merge_incomplete": F.col("merged_at").isNull() == F.col("merged_into").isNull(), "merged_into_itself": F.col("merged_into") != F.col("id")}
+
+
+def field_value_rules() -> dict[str, Column]:
+    """Q2: exactly one typed value."""
+    given = sum(F.col(c).isNotNull().cast("int") for c in ("value_text", "value_number", "value_boolean", "value_date"))
+    return {"not_one_value": given == 1}
+
+
+def submission_rules() -> dict[str, Column]:
+    """Q2: a rejected submission names no records, any other names a contact and a touch."""
+    none, both = F.col("contact_id").isNull() & F.col("touch_id").isNull(), F.col("contact_id").isNotNull() & F.col("touch_id").isNotNull()
+    return {"outcome_contradicts_records": F.when(F.col("outcome") == "rejected", none).otherwise(both)}
+
+
+def site_rules() -> dict[str, Column]:
+    """Q2: an origin is scheme, host and port; a public key is 32 hexadecimal digits."""
+    return {"origin_is_none": F.col("origin").rlike(r"^https?://[a-z0-9.-]+(:[0-9]{1,5})?$"), "key_is_weak": F.col("public_key").rlike("^[0-9a-f]{32}$")}
+
+
+def finding_rules() -> dict[str, Column]:
+    """Q2: evidence is a JSON object with something in it, of 4096 bytes at most."""
+    keys = F.json_object_keys("evidence")
+    return {"evidence_is_no_object": F.coalesce(F.size(keys) > 0, F.lit(False)), "evidence_too_long": F.octet_length("evidence") <= 4096}
+
+
 def publish_violations(fields: DataFrame) -> DataFrame:
     """(form_id, violation) of form versions by their fields (form_id, key, target)."""
     grouped = fields.groupBy("form_id").agg(

@@ -778,6 +778,43 @@ def _(spark, sf_dir):
     return attribution.split_landing(tables.load(spark, sf_dir, "pages"), "url").groupBy("landing_path", "landing_utm_source").agg(F.count("*").alias("n"))
 
 
+@query("c6_media_types", "SELECT media_type, count(*) AS n FROM (SELECT CASE event_id % 4 WHEN 0 THEN 'text/html' WHEN 1 THEN 'application/json' WHEN 2 THEN NULL END AS media_type FROM events) x GROUP BY 1")
+def _(spark, sf_dir):
+    header = F.when(F.col("event_id") % 4 == 0, "Text/HTML; charset=utf-8").when(F.col("event_id") % 4 == 1, " application/json ").when(F.col("event_id") % 4 == 2, " ;x=1")
+    return tables.load(spark, sf_dir, "events").groupBy(crawl.media_type(header).alias("media_type")).agg(F.count("*").alias("n"))
+
+
+@query("c13_sanitised_contexts", r"""SELECT event_id, CASE WHEN event_id % 2 = 0 THEN '/a b' ELSE '/p' END AS landing_path, CASE WHEN event_id % 3 = 0 THEN 'https://x.test' END AS referrer_origin, CASE WHEN event_id % 4 <> 1 THEN 's_' || event_id END AS session_id,
+    CASE WHEN event_id % 5 = 0 THEN NULL WHEN event_id % 5 = 1 THEN 0 WHEN event_id % 5 = 2 THEN 86400000 ELSE event_id % 1000 END AS elapsed_ms FROM events""")
+def _(spark, sf_dir):
+    k = F.col("event_id")
+    said = tables.load(spark, sf_dir, "events").select("event_id", F.when(k % 2 == 0, "/a\tb?q=1").otherwise("/p#top").alias("landing_path"), F.when(k % 3 == 0, "https://x.test/path?q").when(k % 3 == 1, "nothing").alias("referrer_origin"), F.when(k % 4 == 1, "no spaces here").otherwise(F.concat(F.lit("s_"), k)).alias("session_id"), F.when(k % 5 == 0, None).when(k % 5 == 1, -5).when(k % 5 == 2, 10**9).otherwise(k % 1000).cast("long").alias("elapsed_ms"))
+    return attribution.sanitise_context(said)
+
+
+@query("s3_sitemap_entries", "SELECT page_id, count(*) AS entries FROM (SELECT page_id FROM pages WHERE page_id % 3 <> 0 UNION ALL SELECT page_id FROM pages WHERE page_id % 3 = 1) x GROUP BY 1")
+def _(spark, sf_dir):
+    loc = F.concat(F.lit("<url><loc>https://x.test/"), F.col("page_id"), F.lit("</loc></url>"))
+    body = F.when(F.col("page_id") % 3 == 0, "<html/>").otherwise(F.concat(F.lit("<urlset>"), loc, F.when(F.col("page_id") % 3 == 1, loc).otherwise("<url><loc>mailto:x</loc></url>"), F.lit("</urlset>")))
+    entries, _, _ = tables.parse_sitemaps(tables.load(spark, sf_dir, "pages").select(F.col("page_id").alias("url"), body.alias("body")))
+    return entries.groupBy(F.col("url").alias("page_id")).agg(F.count("*").alias("entries"))
+
+
+@query("s5_json_props", "SELECT event_id, TRY_CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+def _(spark, sf_dir):
+    return tables.json_col(tables.load(spark, sf_dir, "events"), "props", "k long").select("event_id", "props.k")
+
+
+@query("s9_sitemap_walks", """WITH RECURSIVE children AS (SELECT page_id AS url, page_id * 2 AS child FROM pages UNION ALL SELECT page_id, page_id * 2 + 1 FROM pages),
+    walk AS (SELECT page_id AS start, page_id AS url, 0 AS depth FROM pages WHERE page_id BETWEEN 1 AND 40 UNION SELECT start, child, depth + 1 FROM walk JOIN children USING (url) WHERE depth < 4),
+    seen AS (SELECT start, url, min(depth) AS depth FROM walk GROUP BY 1, 2)
+    SELECT start, least(count(*) FILTER (depth <= 3), 12) AS documents, max(depth) FILTER (depth <= 3) AS depth, CASE WHEN count(*) FILTER (depth <= 3) > 12 THEN 'document_limit' WHEN bool_or(depth > 3) THEN 'depth_limit' ELSE 'exhausted' END AS stopped_by FROM seen GROUP BY 1""")
+def _(spark, sf_dir):
+    pages = tables.load(spark, sf_dir, "pages")
+    children = pages.select(F.col("page_id").alias("url"), F.explode(F.array(F.col("page_id") * 2, F.col("page_id") * 2 + 1)).alias("child"))
+    return tables.walk_report(children, pages.where("page_id between 1 and 40").select(F.col("page_id").alias("start"), F.col("page_id").alias("url")), 3, 12)
+
+
 @query("c14_provenance_violations", f"""WITH {CLASSIFIED} SELECT violation, count(*) AS n FROM (
     SELECT 'query_without_declaration' AS violation FROM classified WHERE id % 4 = 0 AND confidence <> 'declared' UNION ALL SELECT 'click_id_on_organic' FROM classified WHERE id % 7 = 0 AND id % 14 = 0) x GROUP BY 1""", "touches")
 def _(touches):
@@ -960,12 +997,31 @@ def _(contacts):
     return ingest.ingest_leads(leads, receipts, contacts.where("id % 2 = 1"))
 
 
-@query("l5_apply_merges", f"""WITH r AS (SELECT a.id + 1 AS dup, a.id AS surv FROM contacts a JOIN contacts b ON b.id = a.id + 1 WHERE a.id % 10 = 2 AND NOT (a.is_deleted OR a.is_merged OR a.is_erased OR b.is_deleted OR b.is_merged OR b.is_erased))
-    SELECT coalesce(surv, contact_id) AS contact_id, count(*) AS deals FROM opportunities LEFT JOIN r ON dup = contact_id GROUP BY 1""", "contacts", "opportunities")
-def _(contacts, opportunities):
+@query("l5_apply_merges", """WITH r AS (SELECT a.id + 1 AS dup, a.id AS surv FROM contacts a JOIN contacts b ON b.id = a.id + 1 WHERE a.id % 10 = 2 AND NOT (a.is_deleted OR a.is_merged OR a.is_erased OR b.is_deleted OR b.is_merged OR b.is_erased)),
+    fields AS (SELECT DISTINCT contact_id, stage FROM opportunities)
+    SELECT 'deals' AS child, coalesce(surv, contact_id) AS contact_id, count(*) AS n FROM opportunities LEFT JOIN r ON dup = contact_id GROUP BY 2
+    UNION ALL SELECT 'touches', coalesce(surv, contact_id), count(*) FROM touches LEFT JOIN r ON dup = contact_id GROUP BY 2 UNION ALL SELECT 'tasks', coalesce(surv, contact_id), count(*) FROM tasks LEFT JOIN r ON dup = contact_id GROUP BY 2
+    UNION ALL SELECT 'activities', coalesce(surv, contact_id), count(*) FROM (SELECT CASE WHEN id % 2 = 0 THEN contact_id END AS contact_id FROM touches) a LEFT JOIN r ON dup = contact_id WHERE contact_id IS NOT NULL GROUP BY 2
+    UNION ALL SELECT 'fields', coalesce(surv, contact_id), count(DISTINCT stage) FROM fields LEFT JOIN r ON dup = contact_id GROUP BY 2 UNION ALL SELECT 'tags', coalesce(surv, contact_id), count(DISTINCT status) FROM opportunities LEFT JOIN r ON dup = contact_id GROUP BY 2""", "contacts", "touches", "opportunities", "tasks")
+def _(contacts, touches, opportunities, work):
     requests = contacts.where("id % 10 = 2").select(F.col("id").alias("survivor"), (F.col("id") + 1).alias("duplicate"))
-    _, moved = ingest.apply_merges(contacts, {"deals": (opportunities, [])}, requests)
-    return moved["deals"].groupBy("contact_id").agg(F.count("*").alias("deals"))
+    fields, tags = opportunities.select("contact_id", "stage").distinct(), opportunities.select("contact_id", "status").distinct()
+    children = {"deals": (opportunities, []), "touches": (touches, []), "tasks": (work, []), "activities": (activities_of(touches).where("contact_id is not null"), []), "fields": (fields, ["stage"]), "tags": (tags, ["status"])}
+    _, moved = ingest.apply_merges(contacts, children, requests)
+    out = None
+    for name, df in moved.items():
+        part = df.groupBy("contact_id").agg(F.count("*").alias("n")).withColumn("child", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("l5_merge_blockers", """WITH r AS (SELECT id AS survivor, CASE WHEN id % 5 = 0 THEN id ELSE id * 7 % 1600 END AS duplicate FROM contacts),
+    j AS (SELECT r.*, a.id AS a, b.id AS b, a.workspace_id AS wa, b.workspace_id AS wb, a.is_deleted AS d, coalesce(a.is_erased, false) OR coalesce(b.is_erased, false) AS e, coalesce(a.is_merged, false) OR coalesce(b.is_merged, false) AS m FROM r LEFT JOIN contacts a ON a.id = survivor LEFT JOIN contacts b ON b.id = duplicate)
+    SELECT blocker, count(*) AS n FROM (SELECT 'same_contact' AS blocker FROM j WHERE survivor = duplicate UNION ALL SELECT 'not_found' FROM j WHERE a IS NULL OR b IS NULL UNION ALL SELECT 'other_workspace' FROM j WHERE wa <> wb
+        UNION ALL SELECT 'erased' FROM j WHERE e UNION ALL SELECT 'merged' FROM j WHERE m UNION ALL SELECT 'survivor_archived' FROM j WHERE d) x GROUP BY 1""", "contacts")
+def _(contacts):
+    requests = contacts.select(F.col("id").alias("survivor"), F.when(F.col("id") % 5 == 0, F.col("id")).otherwise(F.col("id") * 7 % 1600).alias("duplicate"))
+    return ingest.merge_blockers(requests, contacts).groupBy("blocker").agg(F.count("*").alias("n"))
 
 
 @query("l6_merge_field_diff", """SELECT kind, field, count(*) AS n FROM (
@@ -977,9 +1033,34 @@ def _(contacts):
     return ingest.merge_field_diff(pairs, contacts, ["email", "phone"]).groupBy("kind", "field").agg(F.count("*").alias("n"))
 
 
-@query("l7_apply_erasures", """SELECT c.id, count(t.id) AS touches FROM contacts c LEFT JOIN touches t ON t.contact_id = c.id WHERE c.id % 9 = 0 AND NOT is_erased AND NOT is_merged GROUP BY 1""", "contacts", "touches")
-def _(contacts, touches):
-    return ingest.apply_erasures(contacts, touches, contacts.where("id % 9 = 0").select("id"))[2]
+@query("l7_apply_erasures", """WITH gone AS (SELECT id FROM contacts WHERE id % 9 = 0 AND NOT is_erased AND NOT is_merged),
+    acts AS (SELECT id, CASE WHEN id % 2 = 0 THEN contact_id END AS contact_id, CASE WHEN id % 3 = 0 THEN id % 4000 END AS opportunity_id, CASE WHEN id % 5 = 0 THEN id END AS touch_id FROM touches),
+    reached_t AS (SELECT DISTINCT id, gone FROM (SELECT id, contact_id AS gone FROM tasks UNION ALL SELECT t.id, o.contact_id FROM tasks t JOIN opportunities o ON o.id = t.opportunity_id) x),
+    reached_a AS (SELECT DISTINCT id, gone FROM (SELECT id, contact_id AS gone FROM acts UNION ALL SELECT a.id, o.contact_id FROM acts a JOIN opportunities o ON o.id = a.opportunity_id UNION ALL SELECT a.id, t.contact_id FROM acts a JOIN touches t ON t.id = a.touch_id) x),
+    u AS (SELECT contact_id, count(*) AS n FROM touches GROUP BY 1), o AS (SELECT contact_id, count(*) AS n, count(DISTINCT stage) AS fields, count(DISTINCT status) AS tags FROM opportunities GROUP BY 1), t AS (SELECT gone, count(*) AS n FROM reached_t GROUP BY 1), a AS (SELECT gone, count(*) AS n FROM reached_a GROUP BY 1)
+    SELECT g.id, coalesce(u.n, 0) AS touches, coalesce(o.n, 0) AS opportunities, coalesce(t.n, 0) AS tasks, coalesce(a.n, 0) AS activities, coalesce(o.fields, 0) AS fields, coalesce(o.tags, 0) AS tags FROM gone g LEFT JOIN u ON u.contact_id = g.id LEFT JOIN o ON o.contact_id = g.id LEFT JOIN t ON t.gone = g.id LEFT JOIN a ON a.gone = g.id""", "contacts", "touches", "opportunities", "tasks")
+def _(contacts, touches, opportunities, work):
+    return erased(contacts, touches, opportunities, work)[1]
+
+
+def erased(contacts: DataFrame, touches: DataFrame, opportunities: DataFrame, work: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
+    titled = lambda df, kind: df.withColumn("title", F.concat(F.lit(f"{kind} for "), F.col("contact_id")))
+    tables_of = {"contacts": contacts, "touches": touches, "opportunities": titled(opportunities, "Deal"), "tasks": titled(work, "Call"), "activities": activities_of(touches)}
+    tables_of |= {"fields": opportunities.select("contact_id", "stage").distinct(), "tags": opportunities.select("contact_id", "status").distinct()}
+    return ingest.apply_erasures(tables_of, contacts.where("id % 9 = 0").select("id"))
+
+
+@query("l7_erased_words", """WITH gone AS (SELECT id FROM contacts WHERE id % 9 = 0 AND NOT is_erased AND NOT is_merged), deals AS (SELECT id FROM opportunities WHERE contact_id IN (SELECT id FROM gone)),
+    acts AS (SELECT id, CASE WHEN id % 2 = 0 THEN contact_id END AS contact_id, CASE WHEN id % 3 = 0 THEN id % 4000 END AS opportunity_id, CASE WHEN id % 5 = 0 THEN id END AS touch_id, contact_id AS owner FROM touches)
+    SELECT 'tasks' AS child, count(*) FILTER (contact_id IN (SELECT id FROM gone) OR opportunity_id IN (SELECT id FROM deals)) AS erased, count(*) AS n FROM tasks
+    UNION ALL SELECT 'activities', count(*) FILTER (coalesce(contact_id IN (SELECT id FROM gone), false) OR coalesce(opportunity_id IN (SELECT id FROM deals), false) OR (touch_id IS NOT NULL AND owner IN (SELECT id FROM gone))), count(*) FROM acts
+    UNION ALL SELECT 'opportunities', count(*) FILTER (id IN (SELECT id FROM deals)), count(*) FROM opportunities
+    UNION ALL SELECT 'fields', 0, count(DISTINCT (contact_id, stage)) FROM opportunities WHERE contact_id NOT IN (SELECT id FROM gone)""", "contacts", "touches", "opportunities", "tasks")
+def _(contacts, touches, opportunities, work):
+    after, _ = erased(contacts, touches, opportunities, work)
+    count = lambda name, column, word: after[name].agg(F.count_if(F.col(column) == word).alias("erased"), F.count("*").alias("n")).withColumn("child", F.lit(name))
+    out = count("tasks", "title", "Erased task").unionByName(count("activities", "summary", "Details erased"))
+    return out.unionByName(count("opportunities", "title", "Erased opportunity")).unionByName(count("fields", "stage", "Erased"))
 
 
 @query("l8_immutability_violations", "SELECT field, count(*) AS n FROM (SELECT '(row)' AS field FROM touches WHERE id % 19 = 0 UNION ALL SELECT 'gclid' FROM touches WHERE id % 19 <> 0 AND id % 5 = 0 AND gclid IS NOT NULL) x GROUP BY 1", "touches")
@@ -988,10 +1069,24 @@ def _(touches):
     return quality.immutability_violations(touches, after, "id", ["captured_at", "gclid"]).groupBy("field").agg(F.count("*").alias("n"))
 
 
-@query("l9_retention", f"SELECT count(*) AS kept FROM submissions WHERE ts >= TIMESTAMP '{NOW}'", "submissions")
+@query("l9_retention", f"""WITH aged AS (SELECT id, ts, id % 100 AS h, id % 7 AS d FROM submissions)
+    SELECT 'sessions' AS rule, count(*) FILTER (NOT (ts + INTERVAL (h) HOUR <= TIMESTAMP '{NOW}' OR ts + INTERVAL (d) DAY <= TIMESTAMP '{NOW}')) AS kept, count(*) FILTER (ts + INTERVAL (h) HOUR <= TIMESTAMP '{NOW}' OR ts + INTERVAL (d) DAY <= TIMESTAMP '{NOW}') AS dropped FROM aged
+    UNION ALL SELECT 'reset_tokens', count(*) FILTER (NOT x), count(*) FILTER (x) FROM (SELECT ts + INTERVAL 10 DAY <= TIMESTAMP '{NOW}' OR coalesce(CASE WHEN d < 3 THEN ts + INTERVAL (h) HOUR END + INTERVAL 10 DAY < TIMESTAMP '{NOW}', false) AS x FROM aged) y
+    UNION ALL SELECT 'rate_windows', count(*) FILTER (ts >= TIMESTAMP '{NOW}' - INTERVAL 24 HOUR), count(*) FILTER (ts < TIMESTAMP '{NOW}' - INTERVAL 24 HOUR) FROM aged""", "submissions")
 def _(submissions):
-    kept, _ = ingest.apply_retention(submissions, F.col("ts") < F.lit(NOW).cast("timestamp"))
-    return kept.agg(F.count("*").alias("kept"))
+    ts, h, d = F.col("ts"), (F.col("id") % 100).cast("int"), (F.col("id") % 7).cast("int")
+    hours, zero = F.make_dt_interval(F.lit(0), h), F.lit(0)
+    rows = {
+        "sessions": submissions.select((ts + hours).alias("idle_expires_at"), (ts + F.make_dt_interval(d)).alias("absolute_expires_at")),
+        "reset_tokens": submissions.select(ts.alias("created_at"), (ts + F.expr("interval 10 days")).alias("expires_at"), F.when(d < 3, ts + hours).alias("used_at")),
+        "rate_windows": submissions.select(ts.alias("window_start")),
+    }
+    out, rules = None, ingest.retention_rules(NOW)
+    for name, df in rows.items():
+        kept, dropped = ingest.apply_retention(df, rules[name])
+        part = kept.agg(F.count("*").alias("kept")).withColumn("rule", F.lit(name)).join(dropped.withColumn("rule", F.lit(name)), "rule")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query("l10_import_status", """SELECT batch, count(*) FILTER (o = 'created') AS imported, count(*) FILTER (o = 'matched') AS matched, count(*) FILTER (o = 'failed') AS failed,
@@ -1002,16 +1097,138 @@ def _(submissions):
     return ingest.import_status(submissions.select(F.col("subject").alias("batch"), outcome.alias("outcome")))
 
 
+IMPORTED = """imported AS (SELECT id AS row_number, CASE WHEN id % 9 = 0 THEN '' ELSE first_name END AS name, CASE WHEN id % 8 = 1 THEN 'no address' ELSE coalesce(trim(email), '') END AS mail, coalesce(phone, '') AS phone FROM contacts),
+    issues AS (SELECT row_number, 'first_name_missing' AS rule FROM imported WHERE name = '' UNION ALL SELECT row_number, 'identity_missing' FROM imported WHERE mail = '' AND phone = '' UNION ALL SELECT row_number, 'email_invalid' FROM imported WHERE mail = 'no address')"""
+
+
+def imported(contacts: DataFrame) -> DataFrame:
+    """A file of contacts with some rows that lack what they need."""
+    k = F.col("id")
+    return contacts.select(k.alias("row_number"), F.when(k % 9 == 0, "").otherwise(F.col("first_name")).alias("Name"), F.when(k % 8 == 1, "no address").otherwise(F.coalesce(F.trim("email"), F.lit(""))).alias("E-mail"), F.coalesce("phone", F.lit("")).alias("Tel"), F.lit("x").alias("Colour"))
+
+
+MAPPING = {"Name": "first_name", "E-mail": "email", "Tel": "phone", "Colour": "ignore"}
+
+
+@query("c19_import_issues", f"WITH {IMPORTED} SELECT rule, count(*) AS n FROM issues GROUP BY 1", "contacts")
+def _(contacts):
+    return ingest.prepare_import(imported(contacts), MAPPING)[1].groupBy("rule").agg(F.count("*").alias("n"))
+
+
+@query("l10_run_import", f"""WITH {IMPORTED}, valid AS (SELECT * FROM imported WHERE row_number NOT IN (SELECT row_number FROM issues)) SELECT 'b1' AS batch, count(*) AS valid, (SELECT count(DISTINCT row_number) FROM issues) AS failed, 'partial' AS status FROM valid""", "contacts")
+def _(contacts):
+    status, _ = ingest.run_import(imported(contacts), MAPPING, no_receipts(contacts), contacts.where("id % 50 = 0"), 0, "b1")
+    return status.select("batch", (F.col("imported") + F.col("matched")).alias("valid"), "failed", "status")
+
+
+def no_receipts(any_table: DataFrame) -> DataFrame:
+    return any_table.sparkSession.createDataFrame([], "workspace_id long, source_system string, external_key string, digest string, contact_id long")
+
+
+@query("l11_validate_import", f"""WITH {IMPORTED}, valid AS (SELECT * FROM imported WHERE row_number NOT IN (SELECT row_number FROM issues)),
+    keys AS (SELECT DISTINCT k FROM (SELECT lower(mail) AS k FROM valid WHERE mail <> '' UNION ALL SELECT phone FROM valid WHERE phone <> '') x),
+    known AS (SELECT lower(trim(email)) AS k FROM contacts WHERE {LIVE} AND email IS NOT NULL UNION SELECT phone FROM contacts WHERE {LIVE} AND phone IS NOT NULL)
+    SELECT 'total' AS what, count(*) AS n FROM imported UNION ALL SELECT 'valid', count(*) FROM valid UNION ALL SELECT 'issues', count(*) FROM issues UNION ALL SELECT 'matches', count(*) FROM keys WHERE k IN (SELECT k FROM known)""", "contacts")
+def _(contacts):
+    return ingest.validate_import(imported(contacts), MAPPING, contacts)
+
+
+@query("l12_timeline", "SELECT type, summary, count(*) AS n FROM (SELECT CASE form WHEN 'click' THEN 'contact_created' WHEN 'view' THEN 'stage_changed' WHEN 'purchase' THEN 'won' WHEN 'signup' THEN 'touch_captured' ELSE 'merged' END AS type, CASE form WHEN 'click' THEN 'Contact created' WHEN 'view' THEN 'Moved to ' || (subject % 3) WHEN 'purchase' THEN 'Deal won' WHEN 'signup' THEN 'Captured from ' || CASE WHEN id % 2 = 0 THEN 'email' ELSE 'unknown' END ELSE 'Merged' END AS summary FROM submissions) x GROUP BY 1, 2", "submissions")
+def _(submissions):
+    kind = F.element_at(F.create_map(*[F.lit(x) for x in ("click", "contact_created", "view", "stage_changed", "purchase", "won", "signup", "touch_captured", "error", "merged")]), F.col("form"))
+    detail = F.when(F.col("form") == "view", (F.col("subject") % 3).cast("string")).when((F.col("form") == "signup") & (F.col("id") % 2 == 0), "email")
+    changes = submissions.select("id", F.col("subject").alias("contact_id"), kind.alias("kind"), detail.alias("detail"))
+    return ingest.derive_activities(changes).groupBy("type", "summary").agg(F.count("*").alias("n"))
+
+
 @query("l13_archive_blockers", "SELECT id FROM contacts WHERE id IN (SELECT contact_id FROM opportunities WHERE status = 'open')", "contacts", "opportunities")
 def _(contacts, opportunities):
     return quality.archive_blockers(contacts, opportunities).select("id")
 
 
+@query("l13_stage_blockers", "SELECT workspace_id, stage, count(*) AS deals FROM opportunities WHERE stage IN ('5-LOW', '2-HIGH') GROUP BY 1, 2", "opportunities")
+def _(opportunities):
+    stages = opportunities.where("stage in ('5-LOW', '2-HIGH')").select("workspace_id", "stage").distinct()
+    return quality.stage_blockers(stages.unionByName(stages.withColumn("stage", F.lit("unused")).distinct()), opportunities)
+
+
+@query("l14_publish_violations", """WITH fields AS (SELECT subject AS form_id, CASE id % 4 WHEN 0 THEN 'email' WHEN 1 THEN 'first_name' WHEN 2 THEN 'phone' END AS target, form AS key FROM submissions WHERE id % 11 < 4),
+    g AS (SELECT form_id, coalesce(bool_or(target IN ('email', 'phone')), false) AS r, coalesce(bool_or(target = 'first_name'), false) AS f, count(*) AS n, count(DISTINCT key) AS k, count(target) AS m, count(DISTINCT target) AS t FROM fields GROUP BY 1)
+    SELECT form_id, v AS violation FROM (SELECT form_id, 'no_identity' AS v FROM g WHERE NOT r UNION ALL SELECT form_id, 'no_first_name' FROM g WHERE NOT f UNION ALL SELECT form_id, 'target_mapped_twice' FROM g WHERE m > t UNION ALL SELECT form_id, 'key_repeats' FROM g WHERE n > k) x""", "submissions")
+def _(submissions):
+    target = F.when(F.col("id") % 4 == 0, "email").when(F.col("id") % 4 == 1, "first_name").when(F.col("id") % 4 == 2, "phone")
+    return quality.publish_violations(submissions.where("id % 11 < 4").select(F.col("subject").alias("form_id"), target.alias("target"), F.col("form").alias("key")))
+
+
+FIELDS = [
+    ("name", "Name", "first_name", 0, 20, "text", True, None), ("mail", "E-mail", "email", 1, 60, "text", False, None), ("size", "Size", "custom:size", 2, 10, "select", False, ["S", "M"]),
+    ("agree", "Agreed", "note", 3, 10, "checkbox", False, None), ("words", "Words", "note", 4, 8, "text", False, None), ("skip", "Skip", "none", 5, 8, "text", False, None),
+]
+ASKED_FIELDS = "key string, label string, target string, position int, max_length int, kind string, required boolean, options array<string>"
+
+
+def posted(submissions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Submissions with the values of a form that every form_id has, and its fields."""
+    spark, k = submissions.sparkSession, F.col("id")
+    values = F.create_map(F.lit("name"), F.when(k % 6 == 0, " ").otherwise(F.concat(F.lit(" Visitor "), k)), F.lit("mail"), F.when(k % 5 == 0, "").otherwise(F.concat(F.lit("v"), k % 300, F.lit("@x.test"))), F.lit("size"), F.when(k % 7 == 0, "XL").when(k % 7 == 1, "M").otherwise(""), F.lit("agree"), F.when(k % 2 == 0, "on").otherwise("off"), F.lit("words"), F.lit(" Hello there"))
+    fields = submissions.select(F.col("form").alias("form_id")).distinct().join(F.broadcast(spark.createDataFrame(FIELDS, ASKED_FIELDS)))
+    return submissions.select("id", F.col("form").alias("form_id"), values.alias("values"), "ts", "subject"), fields
+
+
+@query("l4_form_values", """SELECT id, CASE WHEN id % 6 <> 0 THEN left('Visitor ' || id, 20) END AS first_name, CASE WHEN id % 5 <> 0 THEN 'v' || (id % 300) || '@x.test' END AS email, CASE WHEN id % 2 = 0 THEN 'Agreed: Yes · ' ELSE '' END || 'Words: Hello th' AS note, CASE WHEN id % 7 = 1 THEN 'M' END AS size,
+    array_to_string(list_filter([CASE WHEN id % 6 = 0 THEN 'name' END, CASE WHEN id % 7 = 0 THEN 'size' END], lambda x: x IS NOT NULL), ',') AS missing FROM submissions""", "submissions")
+def _(submissions):
+    out = ingest.map_form_values(*posted(submissions))
+    return out.select("id", "first_name", "email", "note", F.try_element_at("custom", F.lit("size")).alias("size"), F.array_join("missing", ",").alias("missing"))
+
+
+@query("l3_submission_outcomes", """WITH gates AS (SELECT id, CASE WHEN form = 'error' THEN 'form_not_accepting' WHEN id % 17 = 0 THEN 'origin_not_allowed' WHEN id % 13 = 0 THEN 'honeypot' WHEN id % 10 < 2 THEN 'too_fast' WHEN id % 19 = 0 THEN 'challenge_failed' WHEN id % 6 = 0 OR id % 7 = 0 THEN 'validation_failed' WHEN id % 5 = 0 THEN 'identity_missing' END AS reason FROM submissions)
+    SELECT coalesce(reason, 'accepted') AS verdict, count(*) AS n FROM gates GROUP BY 1""", "submissions")
+def _(submissions):
+    rows, fields = posted(submissions)
+    k, nothing = F.col("id"), F.lit(None).cast("string")
+    asked = rows.withColumns({"submission_id": k.cast("string"), "origin": F.when(k % 17 == 0, "https://site.test@evil.test").otherwise("https://SITE.test/page"), "ip": F.col("subject"), "trap": F.when(k % 13 == 0, "x"), "elapsed_ms": k % 10 * 1000, "challenge_ok": k % 19 != 0, "gclid": nothing, "fbclid": nothing, "utm_medium": nothing, "utm_source": F.lit("newsletter"), "utm_campaign": nothing, "referrer": nothing})
+    forms = rows.select("form_id").distinct().select("form_id", F.lit(1).alias("workspace_id"), F.col("form_id").alias("name"), F.when(F.col("form_id") == "error", "closed").otherwise("active").alias("status"), F.array(F.lit("https://site.test")).alias("allowed_origins"), F.lit(True).alias("honeypot"), F.lit(2).alias("min_seconds"), F.lit("{contact} at {form}").alias("title_template"), F.lit("p").alias("pipeline_id"), F.lit(100).alias("value_minor"))
+    nobody = submissions.sparkSession.createDataFrame([], "id long, workspace_id long, email string, phone string, is_deleted boolean, is_merged boolean, is_erased boolean")
+    done = ingest.process_submissions(asked, forms, fields, no_receipts(submissions), nobody, "https://app.test", [("ip", ["subject"], 10**6)])
+    return done["submissions"].groupBy(F.coalesce("rejection_reason", F.lit("accepted")).alias("verdict")).agg(F.count("*").alias("n"))
+
+
+@query("l1_new_rows", """WITH picked AS (SELECT *, id // 6 AS k FROM contacts WHERE id % 2 = 0), firsts AS (SELECT min(id) AS id FROM picked GROUP BY workspace_id, k)
+    SELECT 'touches' AS name, count(*) AS n FROM firsts UNION ALL SELECT 'receipts', count(*) FROM firsts UNION ALL SELECT 'opportunities', count(*) FROM firsts WHERE id % 3 = 0""", "contacts")
+def _(contacts):
+    leads = contacts.where("id % 2 = 0").select("id", "workspace_id", "first_name", "email", "phone", F.lit("web").alias("source_system"), F.concat(F.lit("k"), F.floor(F.col("id") / 6)).alias("external_key"), F.lit("email").alias("source_type"), F.when(F.col("id") % 3 == 0, "A deal").alias("opportunity_title"), F.lit("p").alias("pipeline_id"))
+    made = ingest.ingest_batch(leads, no_receipts(contacts), contacts.where("id % 2 = 1"))
+    out = None
+    for name in ("touches", "receipts", "opportunities"):
+        part = made[name].agg(F.count("*").alias("n")).withColumn("name", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query("q1_row_violations", """SELECT rule, count(*) AS n FROM (SELECT 'depth_out_of_range' AS rule FROM graph_pages WHERE depth > 7 UNION ALL SELECT 'redirect_at_depth' FROM graph_pages WHERE outcome = 'redirected' AND depth >= 3) x GROUP BY 1""", "graph_pages")
 def _(pages):
     return quality.check_rows(pages, {"depth_out_of_range": F.col("depth").between(0, 7), "redirect_at_depth": ~((F.col("outcome") == "redirected") & (F.col("depth") >= 3))})
 
 
+@query("q2_constraint_violations", """SELECT rule, count(*) AS n FROM (SELECT 'merge_incomplete' AS rule FROM contacts WHERE (id % 6 = 0) <> (merged_into IS NOT NULL) UNION ALL SELECT 'merged_into_itself' FROM contacts WHERE merged_into IS NOT NULL AND id % 2 = 0
+    UNION ALL SELECT 'not_one_value' FROM submissions WHERE (id % 2 = 0)::INT + (id % 3 = 0)::INT <> 1 UNION ALL SELECT 'outcome_contradicts_records' FROM submissions WHERE CASE WHEN outcome = 'rejected' THEN id % 4 = 0 ELSE id % 7 = 0 END
+    UNION ALL SELECT 'origin_is_none' FROM submissions WHERE id % 3 = 0 UNION ALL SELECT 'key_is_weak' FROM submissions WHERE id % 5 = 0 UNION ALL SELECT 'evidence_is_no_object' FROM submissions WHERE id % 4 IN (0, 1) UNION ALL SELECT 'evidence_too_long' FROM submissions WHERE id % 4 = 3) x GROUP BY 1""", "contacts", "submissions")
+def _(contacts, submissions):
+    k = F.col("id")
+    merged = contacts.select("id", F.when(k % 6 == 0, F.lit(NOW)).alias("merged_at"), F.when(F.col("merged_into").isNotNull() & (k % 2 == 0), k).otherwise(F.col("merged_into")).alias("merged_into"))
+    values = submissions.select(F.when(k % 2 == 0, "x").alias("value_text"), F.when(k % 3 == 0, 1.0).alias("value_number"), F.lit(None).cast("boolean").alias("value_boolean"), F.lit(None).cast("date").alias("value_date"))
+    receipts = submissions.select("outcome", F.when(F.when(F.col("outcome") == "rejected", k % 4 == 0).otherwise(k % 7 != 0), k).alias("contact_id"), F.when(F.when(F.col("outcome") == "rejected", k % 4 == 0).otherwise(F.lit(True)), k).alias("touch_id"))
+    sites = submissions.select(F.when(k % 3 == 0, "https://a.test/path").otherwise("http://a.test:8080").alias("origin"), F.when(k % 5 == 0, F.lit("secret")).otherwise(F.md5(k.cast("string").cast("binary"))).alias("public_key"))
+    findings = submissions.select(F.when(k % 4 == 0, "{}").when(k % 4 == 1, "[1]").when(k % 4 == 2, '{"links":0}').otherwise(F.concat(F.lit('{"x":"'), F.repeat(F.lit("y"), 4100), F.lit('"}'))).alias("evidence"))
+    checks = [(merged, quality.contact_rules()), (values, quality.field_value_rules()), (receipts, quality.submission_rules()), (sites, quality.site_rules()), (findings, quality.finding_rules())]
+    out = None
+    for df, rules in checks:
+        part = quality.check_rows(df, rules)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query("q3_duplicate_keys", "SELECT crawl_id, target_url, count(*) AS n FROM graph_links GROUP BY 1, 2 HAVING count(*) > 1", "graph_links")
 def _(links):
     return quality.check_unique(links, ["crawl_id", "target_url"])

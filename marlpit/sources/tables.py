@@ -130,6 +130,14 @@ def walk_sitemaps(children: DataFrame, starts: DataFrame, max_depth: int = 3, ma
     return seen.withColumn("place", place).where(F.col("place") <= max_docs).drop("place")
 
 
+def walk_report(children: DataFrame, starts: DataFrame, max_depth: int = 3, max_docs: int = 50) -> DataFrame:
+    """(start, documents, depth, stopped_by) of the walks from starts: document_limit, depth_limit or exhausted."""
+    beyond = walk_sitemaps(children, starts, max_depth + 1, 2**31 - 1)
+    counted = beyond.groupBy("start").agg(F.count_if(F.col("depth") <= max_depth).alias("found"), F.max(F.when(F.col("depth") <= max_depth, F.col("depth"))).alias("depth"), F.bool_or(F.col("depth") > max_depth).alias("deeper"))
+    stopped = F.when(F.col("found") > max_docs, "document_limit").when(F.col("deeper"), "depth_limit").otherwise("exhausted")
+    return counted.select("start", F.least("found", F.lit(max_docs)).alias("documents"), "depth", stopped.alias("stopped_by"))
+
+
 def like_literal(columns: list[str], term: str) -> Column:
     """a case-insensitive search for a literal term in any of the columns."""
     found = F.lit(False)

@@ -8,9 +8,10 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..operators.limits import sliding_log
+from ..sources.tables import insert_ignore
 
 LATE = "1 hour"
 
@@ -41,6 +42,22 @@ def new_submissions(submissions: DataFrame) -> DataFrame:
     return submissions.withWatermark("ts", LATE).dropDuplicatesWithinWatermark(["external_key"])
 
 
+def ingest_stream(submissions: DataFrame, receipts_path: str, checkpoint: str, schema: str = "external_key string, id long") -> StreamingQuery:
+    """Submissions (external_key, id, ...) written once for each key: a batch drops what the receipts table has, and appends the rest to it.
+
+    A batch that is run again after a failure finds its own receipts, so it adds nothing.
+    """
+
+    def settle(batch: DataFrame, number: int) -> None:
+        known = batch.sparkSession.read.schema(schema).option("recursiveFileLookup", True).parquet(receipts_path)
+        # A batch writes to a folder of its own, over what a failed attempt may have left.
+        others = known.where(~F.col("_metadata.file_path").contains(f"/batch-{number}/"))
+        insert_ignore(others.select("external_key"), batch.select("external_key", "id"), ["external_key"], ["id"]).write.mode("overwrite").parquet(f"{receipts_path}/batch-{number}")
+
+    submissions.sparkSession.createDataFrame([], schema).write.mode("append").parquet(f"{receipts_path}/none")
+    return new_submissions(submissions).writeStream.foreachBatch(settle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 class Burst(StatefulProcessor):
     """The times of a key's allowed hits."""
 
