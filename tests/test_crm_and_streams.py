@@ -1,4 +1,5 @@
 import datetime
+import random
 
 from pyspark.sql import functions as F
 
@@ -35,19 +36,124 @@ def test_burst_log_skips_rejected():
     assert [v[0] for v in limits.sliding_log([0, 1, 2, 10.5, 11.5], 2, 10)] == [True, True, False, True, True]
 
 
-def test_short_drafts_are_indeterminate(spark):
+def test_leads_in_order_match_a_plain_replay(spark):
+    """Random leads of few keys against the rules read one lead at a time."""
+    own = random.Random(6)
+    pick = lambda *xs: own.choice(xs)
+    leads = [(k, 1, "w", f"k{own.randrange(60)}", pick(None, " A@x.y", "a@x.y", "b@x.y", "c@x.y"), pick(None, "1", "2", "3"), pick("Ann", "ann ", "Bob")) for k in range(1, 91)]
+    stored = {"b@x.y": 500, "3": 501}
+    contacts = spark.createDataFrame([(500, 1, "b@x.y", None, False, False, False), (501, 1, None, "3", False, False, False)], "id long, workspace_id int, email string, phone string, is_deleted boolean, is_merged boolean, is_erased boolean")
+    want, seen, owner = {}, {}, {}
+    for k, _, _, key, mail, phone, name in leads:
+        keys = [x for x in ((mail or "").strip().lower(), phone) if x]
+        digest = (tuple(keys), mail is None, name.strip().lower())
+        if key in seen:
+            want[k] = ("duplicate", seen[key][1]) if seen[key][0] == digest else ("conflict", None)
+            continue
+        old = [stored[x] for x in keys if x in stored] + [owner[x] for x in keys if x in owner and owner[x] > 0]
+        new = [owner[x] for x in keys if x in owner and owner[x] < 0]
+        contact = min(old) if old else max(new) if new else None
+        want[k] = ("created", -k) if contact is None else ("matched", contact)
+        for x in keys:
+            owner.setdefault(x, want[k][1])
+        seen[key] = (digest, want[k][1])
+    receipts = spark.createDataFrame([], "workspace_id int, source_system string, external_key string, digest string, contact_id long")
+    made = ingest.ingest_batch(spark.createDataFrame(leads, LEAD), receipts, contacts)
+    got = {r.id: (r.outcome, r.contact_id) for r in made["outcomes"].collect()}
+    assert got == want
+    again = ingest.ingest_batch(spark.createDataFrame(leads, LEAD), made["receipts"].select(*receipts.columns), contacts)
+    assert {o for (o,) in again["outcomes"].select("outcome").distinct().collect()} <= {"duplicate", "conflict"} and again["touches"].count() == 0
+    assert ingest.ingest_batch(spark.createDataFrame(leads[:5], LEAD), receipts, contacts, always_create=True)["contacts"].count() == len({x[3] for x in leads[:5]})
+
+
+def test_duplication_verdicts(spark):
     words = " ".join(f"w{k}" for k in range(60))
-    rows = [(1, "w", True, words), (2, "w", True, words.replace("w7 ", "zz ")), (3, "w", True, "too short"), (4, "w", True, " ".join(f"v{k}" for k in range(60))), (5, "x", True, words)]
+    half = " ".join([f"w{k}" for k in range(12)] + [f"u{k}" for k in range(48)])
+    rows = [(1, "w", True, words), (2, "w", True, words.replace("w7 ", "zz ")), (3, "w", True, "too short"), (4, "w", True, half), (5, "x", True, words), (6, "y", True, words), (7, "y", True, "short"), (8, "w", False, words), (9, "w", True, words.upper().replace("W1 ", "Ẃ1 "))]
     df = spark.createDataFrame(rows, "id long, workspace_id string, published boolean, text string")
-    assert {r.id: r.verdict for r in similarity.duplication_verdicts(df).collect()} == {1: "fail", 2: "fail", 3: "indeterminate", 4: "pass", 5: "indeterminate"}
+    got = {r.id: r for r in similarity.duplication_verdicts(df).collect()}
+    assert {k: r.verdict for k, r in got.items()} == {1: "fail", 2: "fail", 3: "indeterminate", 4: "pass", 5: "pass", 6: "indeterminate", 7: "indeterminate", 9: "fail"}
+    # Accents and case fold, so 9 is 1; 4 shares 10 of 106 runs with it.
+    assert got[1].highest == got[9].highest == 1.0 and abs(got[4].highest - 10 / 106) < 1e-6 and got[5].highest == 0
+    assert [m.class_id for m in got[1].matches] == [1, 2] and got[4].matches == []
+
+
+def test_merge_chains(spark):
+    rows = [(k, k - 1) for k in range(1, 200)] + [(0, None), (300, 301), (301, 300), (302, 300), (400, 400)]
+    df = spark.createDataFrame(rows, "id long, merged_into long")
+    got = {r.id: r.survivor for r in crm.merge_redirects(df).collect()}
+    assert got == {**{k: 0 for k in range(1, 200)}, 300: None, 301: None, 302: None, 400: None}
+
+
+def test_digest_ignores_case_and_blanks(spark):
+    rows = [("a@x.y", "1", " Ann", None, "web"), (" A@X.Y", "1", "ann", "", "web"), ("a@x.y", "1", "ann", None, "other"), (None, "1", "ann", None, "web"), ("", "1", "ann", None, "web")]
+    df = spark.createDataFrame(rows, "email string, phone string, first_name string, last_name string, source_type string")
+    got = [r.d for r in df.select(identity.request_digest(df.columns).alias("d")).collect()]
+    assert got[0] == got[1] and got[3] == got[4] and len({*got}) == 3
 
 
 def test_erasure_leaves_no_trace(spark):
     contacts = spark.createDataFrame([(1, "Ann", "ann@x.y", "1", False, False, False), (2, "Bob", "b@x.y", "2", False, False, False)], "id long, first_name string, email string, phone string, is_deleted boolean, is_merged boolean, is_erased boolean")
-    touches = spark.createDataFrame([(1, 1, "g", None, "https://ann.test")], "id long, contact_id long, gclid string, fbclid string, referrer string")
-    after, clean, log = ingest.apply_erasures(contacts, touches, spark.createDataFrame([(1,)], "id long"))
-    traces = crm.count_traces({"contacts": (after, ["first_name", "email"]), "touches": (clean, ["referrer"])}, "ann")
-    assert traces.agg(F.sum("n")).first()[0] == 0 and [tuple(r) for r in log.collect()] == [(1, 1)]
+    touches = spark.createDataFrame([(1, 1, "g", None, "https://ann.test", "email")], "id long, contact_id long, gclid string, fbclid string, referrer string, utm_medium string")
+    deals = spark.createDataFrame([(1, 1, "Deal of Ann"), (2, 2, "Deal of Bob")], "id long, contact_id long, title string")
+    work = spark.createDataFrame([(1, 1, None, "Call Ann", "d"), (2, 2, 1, "Ask about Ann", "d"), (3, 2, 2, "Call Bob", "d")], "id long, contact_id long, opportunity_id long, title string, description string")
+    acts = spark.createDataFrame([(1, None, None, 1, "Ann came", "x"), (2, None, 1, None, "Deal of Ann", "x"), (3, 2, None, None, "Bob", "x")], "id long, contact_id long, opportunity_id long, touch_id long, summary string, detail string")
+    fields = spark.createDataFrame([(1, "Ann's"), (2, "y")], "contact_id long, value string")
+    after, log = ingest.apply_erasures({"contacts": contacts, "touches": touches, "opportunities": deals, "tasks": work, "activities": acts, "fields": fields, "tags": fields}, spark.createDataFrame([(1,), (9,)], "id long"))
+    columns = {"contacts": ["first_name", "email"], "touches": ["referrer"], "opportunities": ["title"], "tasks": ["title"], "activities": ["summary"], "fields": ["value"], "tags": ["value"]}
+    traces = {r.table_name: r.n for r in crm.count_traces({k: (after[k], c) for k, c in columns.items()}, "ann").collect()}
+    assert set(traces.values()) == {0} and len(traces) == 8
+    assert [tuple(r) for r in log.collect()] == [(1, 1, 1, 2, 2, 1, 1)] and after["touches"].first().utm_medium == "email"
+    assert {r.title for r in after["tasks"].collect()} == {"Erased task", "Call Bob"} and after["contacts"].where("id = 2").first().email == "b@x.y"
+    assert ingest.apply_erasures({"contacts": after["contacts"], "touches": touches}, spark.createDataFrame([(1,)], "id long"))[1].count() == 0
+
+
+def test_imports_run_once(spark):
+    rows = spark.createDataFrame([(1, "Ann", "a@x.y"), (2, "", "b@x.y"), (3, "Cy", "nonsense"), (4, "Di", "A@x.y")], "row_number long, Name string, Mail string")
+    contacts = spark.createDataFrame([], "id long, workspace_id long, email string, phone string, is_deleted boolean, is_merged boolean, is_erased boolean")
+    receipts = spark.createDataFrame([], "workspace_id long, source_system string, external_key string, digest string, contact_id long")
+    status, made = ingest.run_import(rows, {"Name": "first_name", "Mail": "email", "Other": "ignore"}, receipts, contacts, 1, "b")
+    assert tuple(status.first()) == ("b", 1, 1, 2, "partial")
+    again, _ = ingest.run_import(rows, {"Name": "first_name", "Mail": "email"}, made["receipts"].select(*receipts.columns), contacts, 1, "b")
+    assert tuple(again.first())[1:3] == (0, 2)
+
+
+def test_titles_of_deals(spark):
+    rows = [("{contact} via {form} ({company})", "Ann", "Form", "Co"), ("{contact}", "", "F", None), ("  ", "a", "f", "c"), ("x" * 300, "a", "f", "c")]
+    df = spark.createDataFrame(rows, "t string, c string, f string, k string")
+    assert [r.d for r in df.select(ingest.deal_title(F.col("t"), F.col("c"), F.col("f"), F.col("k")).alias("d")).collect()] == ["Ann via Form (Co)", "Website visitor", "Website enquiry", "x" * 200]
+
+
+def test_ordered_limits_match_a_plain_replay(spark):
+    own = random.Random(1)
+    start = datetime.datetime(2024, 1, 1)
+    hits = [(k, own.randrange(3), own.choice("ab"), start + datetime.timedelta(seconds=own.randrange(200))) for k in range(200)]
+    df = spark.createDataFrame(hits, "id long, subject long, form string, ts timestamp")
+
+    def replay(key, most, width):
+        logs, out = {}, {}
+        for k, subject, form, ts in sorted(hits, key=lambda h: (h[3], h[0])):
+            log = [t for t in logs.get(key(subject, form), []) if t > ts - datetime.timedelta(seconds=width)]
+            out[k] = len(log) < most
+            logs[key(subject, form)] = log + [ts] * out[k]
+        return out
+
+    assert {r.id: r.allowed for r in limits.burst_verdicts(df, 2, 10.0).collect()} == replay(lambda s, f: (s, f), 2, 10)
+    assert {r.id: r.allowed for r in limits.attempt_limits(df, 3, 20.0).collect()} == replay(lambda s, f: s, 3, 20)
+
+
+def test_stage_moves_match_a_plain_replay(spark):
+    own = random.Random(2)
+    stages, terminal = ["a", "b", "won"], {"won": "deal_won"}
+    moves = [(d, m, own.choice(stages), own.choice([None, "a", "b"]), m) for d in range(5) for m in range(12)]
+    deals = spark.createDataFrame([(d, "a") for d in range(5)], "deal long, stage string")
+    df = spark.createDataFrame(moves, "deal long, move_id long, to_stage string, expected_stage string, ts long")
+    want, at = {}, dict.fromkeys(range(5), "a")
+    for d, m, to, expected, _ in moves:
+        result = "rejected" if expected and expected != at[d] else "no_op" if to == at[d] else terminal.get(to, "stage_changed")
+        at[d] = to if result not in ("rejected", "no_op") else at[d]
+        want[d, m] = (result, at[d], at[d] in terminal)
+    assert {(r.deal, r.move_id): (r.result, r.stage, r.closed) for r in limits.apply_stage_moves(deals, df, terminal).collect()} == want
 
 
 def run_stream(spark, df, schema, fn, tmp_path, name, mode="append"):
@@ -68,3 +174,26 @@ def test_streams(spark, tmp_path):
     assert {r.id: r.is_first_touch for r in out.collect()} == {0: True, 1: False, 2: False, 3: False}
     moves = hits.select("id", F.col("subject").alias("deal"), F.col("id").cast("string").alias("stage"), "ts")
     assert [r.stage for r in run_stream(spark, moves, moves.schema, jobs.current_stage, tmp_path, "stages", "update").collect()] == ["3"]
+
+
+def test_submission_stream_writes_each_key_once(spark, tmp_path):
+    rows = [(f"k{k % 5}", k, datetime.datetime(2024, 1, 1, 10)) for k in range(12)]
+    schema = "external_key string, id long, ts timestamp"
+    source, receipts = str(tmp_path / "in"), str(tmp_path / "receipts")
+    for part in (rows[:7], rows[3:]):
+        spark.createDataFrame(part, schema).write.mode("append").parquet(source)
+        jobs.ingest_stream(spark.readStream.schema(schema).parquet(source), receipts, str(tmp_path / "one")).awaitTermination()
+    # A stream that starts anew finds the receipts of the old one.
+    jobs.ingest_stream(spark.readStream.schema(schema).parquet(source), receipts, str(tmp_path / "two")).awaitTermination()
+    got = spark.read.option("recursiveFileLookup", True).parquet(receipts)
+    assert sorted(r.external_key for r in got.collect()) == [f"k{k}" for k in range(5)]
+
+
+def test_window_streams(spark, tmp_path):
+    t = datetime.datetime(2024, 1, 1, 10)
+    rows = [(k, k % 2, "accepted" if k % 3 else "rejected", "e", 1, t + datetime.timedelta(minutes=30 * k)) for k in range(6)]
+    df = spark.createDataFrame(rows, "id long, subject long, outcome string, name string, workspace_id long, ts timestamp")
+    for name, fn, want in (("hits", jobs.window_hits, 6), ("funnel", jobs.funnel, 6), ("events", jobs.event_counts, 6)):
+        out = run_stream(spark, df, df.schema, fn, tmp_path, name, "complete")
+        total = out.agg(F.sum("hits" if name == "hits" else "n")).first()[0] if name != "funnel" else out.agg(F.sum(F.col("captured") + F.col("rejected"))).first()[0]
+        assert total == want

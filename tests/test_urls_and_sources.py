@@ -66,11 +66,69 @@ def test_sitemaps(spark):
 
 
 def test_addresses(spark):
-    want = {"10.1.2.3": "private-a", "255.255.255.255": "broadcast", "8.8.8.8": "public", "::1": "loopback", "fe80::1": "link-local", "2606:4700::1": "public", "::ffff:10.0.0.1": "embedded-v4", "999.1.1.1": "invalid"}
+    want = {
+        "10.1.2.3": "private-a", "255.255.255.255": "broadcast", "8.8.8.8": "public", "169.254.169.254": "link-local", "::1": "loopback", "::": "unspecified", "fe80::1": "link-local", "2606:4700::1": "public",
+        "::ffff:10.0.0.1": "private-a", "::ffff:7f00:1": "loopback", "::FFFF:8.8.8.8": "embedded-ipv4", "64:ff9b::a00:1": "private-a", "64:ff9b::8.8.8.8": "embedded-ipv4", "64:ff9b:1::a00:1": "public",
+        "999.1.1.1": "invalid", "1.2.3": "invalid", "1::2::3": "invalid", "example.com": "invalid", "": "invalid", "12345::1": "invalid",
+    }
     df = network.classify_addresses(spark.createDataFrame([(k,) for k in want], "ip string"), "ip")
     assert {r.ip: r.range_name for r in df.collect()} == want
 
 
+def test_hosts_and_origins(spark):
+    rows = [
+        ("https://abc.test/x?y", "abc.test", "https://abc.test"), ("HTTPS://WWW.Abc.Test", "abc.test", "https://www.abc.test"), ("https:/\\evil.test", "evil.test", "https://evil.test"), ("\thttps://e.test", "e.test", "https://e.test"),
+        ("http://abc.test:80/", "abc.test", "http://abc.test"), ("https://abc.test:8443", "abc.test", "https://abc.test:8443"), ("abc.test/contact", "abc.test", "https://abc.test"),
+        ("https://allowed.test@evil.test/", "evil.test", "https://evil.test"), ("https://evil.test@abc.test", "abc.test", "https://abc.test"), ("https://a@b@c.test", "c.test", "https://c.test"),
+        ("file:///etc/passwd", None, None), ("mailto:a@b.test", None, None), ("javascript:alert(1)", None, None), ("localhost:3000", None, None), ("abc.test:8080", None, None), ("/contact", None, None), ("//cdn.test", None, None),
+        ("", None, None), (None, None, None), ("https://", None, None), ("https://a b.test", None, None), ("https://x.test:99999", None, None), ("https://x.test/" + "a" * 250, "x.test", None),
+    ]
+    df = spark.createDataFrame([(k, r[0]) for k, r in enumerate(rows)], "k int, u string")
+    got = {r.k: (r.h, r.o) for r in df.select("k", urls.bare_host(F.col("u")).alias("h"), urls.normalise_origin(F.col("u")).alias("o")).collect()}
+    assert [got[k] for k in range(len(rows))] == [r[1:] for r in rows]
+    checks = [("https://abc.test", ["https://abc.test"], True), ("https://allowed.test@evil.test", ["https://allowed.test"], False), ("https://evil-abc.test", ["abc.test"], False), ("https://www.abc.test", ["abc.test"], False), ("null", [], True), ("null", ["null"], False)]
+    df = spark.createDataFrame([(k, o, a) for k, (o, a, _) in enumerate(checks)], "k int, o string, a array<string>")
+    assert [r.ok for r in df.select("k", urls.origin_allowed(F.col("o"), F.col("a")).alias("ok")).orderBy("k").collect()] == [c[2] for c in checks]
+
+
+def test_policy(spark):
+    want = {
+        "https://a.test/?code=SPRING20&state=VIC&key=colour&id=1&design=2&tokenizer=3": None, "https://a.test:443/": None, "http://a.test:80/": None, "https://a.test/#?token=1": None, "https://@a.test/": None,
+        "https://a.test/?access_token=1": "sensitive_query", "https://a.test/?PHPSESSID=1": "sensitive_query", "https://a.test/?x-amz-sig=1": "sensitive_query", "https://a.test/?email=a": "sensitive_query", "https://a.test/?a=1&reset=1": "sensitive_query",
+        "https://a.test/?user%5Btoken%5D=1": "sensitive_query", "https://a.test/?unsubscribe": "sensitive_query", "https://u:p@a.test/": "credentials_present", "https://evil.test@10.0.0.1/": "credentials_present", "https://a.test:8443/": "port_not_allowed",
+        "ftp://a.test/": "scheme_not_allowed", "file:///etc/passwd": "scheme_not_allowed", "not a url": "unparseable", "https://": "unparseable", "https://" + "a" * 254 + "/": "host_too_long", "https://a.test/" + "a" * 2048: "url_too_long",
+    }
+    df = spark.createDataFrame([(u,) for u in want], "u string")
+    assert {r.u: r.p for r in df.select("u", urls.url_policy(F.col("u")).alias("p")).collect()} == want
+
+
+def test_robots_details(spark):
+    bodies = {
+        "tie": "User-agent: *\nAllow: /ab\nDisallow: /ab$\nCrawl-delay: 2\nUser-agent: *\nCrawl-delay: 9\nCrawl-delay: banana",
+        "named": "User-agent: US\nUser-agent: them\nDisallow: /a*b*c\nDisallow: /*.pdf$\nCrawl-delay: 90000\n\nUser-agent: *\nDisallow: /",
+        "empty": "User-agent: *\nDisallow:\n",
+    }
+    rules, _ = tables.parse_robots(spark.createDataFrame([*bodies.items()], "origin string, body string"))
+    asked = [("tie", "/ab"), ("tie", "/abc"), ("named", "/axbyc"), ("named", "/acb"), ("named", "/x.pdf"), ("named", "/x.pdfs"), ("empty", "/x"), ("none", "/x")]
+    pages = spark.createDataFrame([(o, k, p) for k, (o, p) in enumerate(asked)], "origin string, url int, path string")
+    got = {r.url: (r.allowed, r.reason, r.crawl_delay) for r in crawl.robots_verdicts(pages, rules, "us").collect()}
+    assert [got[k] for k in range(len(asked))] == [
+        (True, "allow_wins_tie", 9.0), (True, "longest_match", 9.0), (False, "longest_match", None), (True, "no_rule_matched", None), (False, "longest_match", None), (True, "no_rule_matched", None), (True, "empty_disallow", None), (True, "no_group_matched", None),
+    ]
+
+
+def test_link_report_matches_a_plain_count(spark):
+    """Links in and out of small pages against dictionaries."""
+    import re
+
+    own = {1: ["/p/2", "/p/3", "https://x.test/"], 2: ["/p/2", "/p/1#top"], 3: ["/p/1", "/p/1", "mailto:a@b.c"], 4: []}
+    rows = [(k, f"https://e.test/p/{k}", "".join(f"<a {'rel=nofollow ' if n == 0 else ''}href='{h}'>t</a>" for n, h in enumerate(hrefs)), "https://e.test") for k, hrefs in own.items()]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, origin string")
+    got = {r.page_id: (r.links_out, r.internal_out, r.nofollow_out, r.links_in, r.is_orphan) for r in crawl.link_report(pages, crawl.extract_links(pages)).collect()}
+    into = {k: sum(bool(re.fullmatch(f"/p/{k}(#.*)?", h)) for source, hrefs in own.items() if source != k for h in hrefs) for k in own}
+    assert got == {k: (len(h), sum(x.startswith("/") for x in h), int(bool(h)), into[k], into[k] == 0) for k, h in own.items()}
+
+
 def test_contacts_csv(spark, tmp_path):
     path = tmp_path / "c.csv"
     path.write_text('Name, Mail \n"A, B",a@b.c\n\nOnly\n')
