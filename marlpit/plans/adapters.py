@@ -7,6 +7,9 @@ grow with the table.
 
 from __future__ import annotations
 
+import re
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import load
@@ -62,11 +65,18 @@ VIEWS: dict[str, str] = {
 }
 
 
+TABLES = ("customer", "orders", "events", "lineitem", "part", "documents")
+
+
 def views(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
-    """The named model tables over one directory of driver tables."""
-    for name in ("customer", "orders", "events", "lineitem", "part", "documents"):
-        load(spark, sf_dir, name).createOrReplaceTempView(name)
-    return [spark.sql(VIEWS[name]) for name in names]
+    """The named model tables over one directory of driver tables; the session's own views stay as they are."""
+    own = f"marlpit_{uuid.uuid4().hex}_"
+    for name in TABLES:
+        load(spark, sf_dir, name).createOrReplaceTempView(own + name)
+    out = [spark.sql(re.sub(rf"\b(FROM|JOIN) ({'|'.join(TABLES)})\b", rf"\1 {own}\2", VIEWS[name])) for name in names]
+    for name in TABLES:
+        spark.catalog.dropTempView(own + name)
+    return out
 
 
 def with_views(sql: str, *names: str) -> str:
