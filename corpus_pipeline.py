@@ -1,10 +1,9 @@
 """The training-data pipeline: each stage reads what the one before it wrote.
 
 toxicity -> near duplicates -> decontamination -> personal data -> token ids.
-Stages that filter carry whole rows through the operator, so rows with null or
-repeated ids are judged one by one; only the near-duplicate stage goes by
-doc_id, keeps one row of each group, and keeps rows without an id. Null texts
-count as empty. All stages but the last return the columns of documents.
+Every row is a document: rows with null or repeated ids are judged one by one,
+and of rows that are alike the near-duplicate stage keeps one. Null texts count
+as empty. All stages but the last return the columns of documents.
 """
 
 from __future__ import annotations
@@ -15,7 +14,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlpit.llm import bpe, decontam, minhash, pii, toxicity
+from marlpit.llm import bpe, decontam, minhash, pii, queries, toxicity
 from marlpit.llm.common import cut, table
 
 #: Percent of shared shingles from which documents are near duplicates.
@@ -33,11 +32,26 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.score(whole_rows(docs), model, "row").where("predicted = 0").select("doc_id.*")
 
 
+#: A column that no table of documents has.
+OWN_ID = "own id "
+
+
+def with_own_ids(docs: DataFrame) -> DataFrame:
+    """docs with an id of its own, OWN_ID, for every row: doc_id, or a number past all of them where that is null or repeats."""
+    shared = docs.groupBy("doc_id").agg(F.count("*").alias("rows ")).where("`rows ` > 1 or doc_id is null").select("doc_id", F.lit(True).alias("shared "))
+    if shared.isEmpty():
+        return docs.withColumn(OWN_ID, F.col("doc_id"))
+    most = docs.agg(F.coalesce(F.max("doc_id"), F.lit(0)).cast("long")).first()[0]
+    marked = docs.join(shared.where("doc_id is not null"), "doc_id", "left").withColumn("shared ", F.coalesce("shared ", F.col("doc_id").isNull()))
+    # Written, so that a row keeps its number.
+    return cut(marked.withColumn(OWN_ID, F.when(F.col("shared "), F.monotonically_increasing_id() + F.lit(most + 1)).otherwise(F.col("doc_id"))).drop("shared "))
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the smallest id of each group of near duplicates."""
-    kept = minhash.near_duplicates(docs, NEAR_PERCENT).where("kept").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null")).select(docs.columns)
+    """Keep one row of each group of near duplicates, that with the smallest id; rows whose id is null or repeats are documents of their own."""
+    numbered = with_own_ids(docs)
+    kept = minhash.near_duplicates(numbered, NEAR_PERCENT, id_col=OWN_ID).where("kept").select(F.col("doc_id").alias(OWN_ID))
+    return numbered.join(kept, OWN_ID, "left_semi").select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +62,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Write surrogates over personal data; n_chars follows the new text."""
-    clean = pii.replace_pii(docs).select(docs.columns)
+    clean = pii.replace_pii(docs, queries.SAMPLE_KEY).select(docs.columns)
     return clean.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else clean
 
 
@@ -74,7 +88,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("byte_bpe", to_token_ids),
 ]
 
-#: Trained scores, groups and merges are beyond SQL; tests hold each stage against a plain version.
+#: Trained scores, groups and merges are beyond SQL; tests/llm/test_pipeline.py holds the stages against plain versions.
 ORACLE_SQL = None
 
 

@@ -22,9 +22,11 @@ and equal ones equal, in any document. Entities are compared as canonical values
 (e-mails and hexadecimal in lower case, numbers without separators), and every
 spelling of one value is written in that spelling's own format.
 
-The entity table is joined back in salted pieces, so an entity in a third of all
-documents is spread over SALTS tasks; a document without entities is never
-shuffled. Null texts stay null, empty ones empty. Texts may be of any length.
+An entity in very many documents is joined back in SALTS pieces; a document
+without entities is never shuffled. Only names after a title are found. After
+MOST_ATTEMPTS draws names and numbers grow longer, so there are always enough of
+them. Null texts stay null, empty ones empty. Texts may be of any length. Rows
+without an id are told apart by their texts.
 Repeated rows give repeated results. Other columns keep their place.
 """
 
@@ -35,9 +37,9 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-#: Pieces that one entity's occurrences are spread over.
-SALTS = 16
-#: Draws before an entity's surrogate takes its own digest as a tail.
+#: An entity with more than one in HOT_SHARE of all places, and more than LEAST_HOT, is spread over SALTS pieces.
+HOT_SHARE, LEAST_HOT, SALTS = 2000, 1000, 256
+#: Draws after which surrogates grow longer.
 MOST_ATTEMPTS = 12
 
 # What each type looks like. Order decides where two could start together.
@@ -131,25 +133,25 @@ def draw(kind: Column, value: Column, key: str, attempt: Column) -> Column:
     card = F.when(valid, F.concat(body, check.cast("string"))).otherwise(swapped)
     iban = F.concat(F.substring(value, 1, 2), F.substr(swapped, F.lit(3)))
     phone = F.when(value.startswith("+"), F.concat(F.lit("+"), F.substr(value, F.lit(2), F.lit(1)), F.substr(swapped, F.lit(3)))).otherwise(swapped)
-    name = F.lit(None).cast("string")
-    last, full = F.element_at(F.split(value, " "), -1), value.contains(" ")
-    # The family name is drawn from the family name alone, so that bearers with and without a given name agree.
-    turn = F.when(full, F.floor(attempt / F.lit(8))).otherwise(attempt).cast("string")
-    shared = F.sha2(F.concat_ws("\u0000", F.lit(key), F.lit("family"), last, turn).cast("binary"), 256)
+    name = family = F.lit(None).cast("string")
     for (gender, script), names in GIVEN.items():
-        parts = [_pick(SYLLABLES[script], _number(shared, s, 4)) for s in (8, 12, 16, 20)]
-        family = F.initcap(F.concat(*parts))
-        own = F.when(full, F.concat_ws(" ", _pick(names, _number(digest, 1)), family)).otherwise(family)
-        of_script = value.rlike(r"^\p{IsCyrillic}") if script == "cyrillic" else value.rlike(r"^\p{IsGreek}") if script == "greek" else F.lit(True)
-        name = F.coalesce(name, F.when((kind == gender) & of_script & (F.lit(script != "latin") | ~value.rlike(r"^[\p{IsCyrillic}\p{IsGreek}]")), own))
+        of_script = value.rlike(r"^\p{IsCyrillic}") if script == "cyrillic" else value.rlike(r"^\p{IsGreek}") if script == "greek" else ~value.rlike(r"^[\p{IsCyrillic}\p{IsGreek}]")
+        spoken = lambda starts: F.concat(*[_pick(SYLLABLES[script], _number(digest, s, 4)) for s in starts])  # noqa: E731,B023
+        # Past MOST_ATTEMPTS draws names grow, so there are always enough of them.
+        given = F.concat(_pick(names, _number(digest, 1)), F.when(attempt >= MOST_ATTEMPTS, spoken((24, 28, 32, 36))).otherwise(""))
+        of_family = F.initcap(F.concat(spoken((8, 12, 16, 20)), F.when(attempt >= MOST_ATTEMPTS, spoken((24, 28, 32, 36))).otherwise("")))
+        name = F.coalesce(name, F.when((kind == gender) & of_script, given))
+        family = F.coalesce(family, F.when((kind == "family") & of_script, of_family))
+    longer = F.when(attempt >= MOST_ATTEMPTS, F.translate(F.substring(digest, 40, 6), "abcdef", "012345")).otherwise("")
     return (
         F.when(kind == "email", email)
         .when(kind == "ipv4", F.when(attempt < 3, octets).otherwise(far))
-        .when(kind == "card", card)
-        .when(kind == "iban", iban)
-        .when(kind == "phone", phone)
+        .when(kind == "card", F.concat(card, longer))
+        .when(kind == "iban", F.concat(iban, longer))
+        .when(kind == "phone", F.concat(phone, longer))
         .when(kind.isin("he", "she"), name)
-        .otherwise(swapped)
+        .when(kind == "family", family)
+        .otherwise(F.concat(swapped, longer))
     )
 
 
@@ -161,48 +163,72 @@ def in_format(kind: Column, entity: Column, surrogate: Column) -> Column:
         F.transform(marks, lambda c, k: F.when(c.rlike(r"[ .()\-]"), c).otherwise(F.substr(surrogate, F.aggregate(F.slice(used, F.lit(1), k + F.lit(1)), F.lit(0), lambda a, b: a + b), F.lit(1)))), ""
     )
     return (
-        F.when(kind.isin("iban", "card", "ssn", "phone"), spread)
+        F.when(kind.isin("iban", "card", "ssn", "phone"), F.concat(spread, F.substr(surrogate, F.aggregate(used, F.lit(1), lambda a, b: a + b), F.length(surrogate))))
         .when(kind.isin("he", "she"), F.concat(F.regexp_extract(entity, TITLE, 0), surrogate))
         .when((kind == "secret") & (entity == F.upper(entity)), F.upper(surrogate))
         .otherwise(surrogate)
     )
 
 
-def surrogates(entities: DataFrame, key: str) -> DataFrame:
-    """(kind, value, surrogate) for distinct (kind, value): no two alike within a type, none an original value of it."""
+def settled(asked: DataFrame, key: str) -> DataFrame:
+    """(kind, value, surrogate) of distinct (kind, value, scope): no two alike within a kind and scope, none an original value of its kind. Those that clash draw again until none does."""
     kind, value = F.col("kind"), F.col("value")
-    settled = None
-    drawn = cut(entities.select("kind", "value", F.lit(0).alias("attempt"), draw(kind, value, key, F.lit(0)).alias("surrogate")))
-    originals = entities.select("kind", F.col("value").alias("surrogate"))
+    # A given name is drawn for a whole name, and must not be the one that stands there.
+    own = F.when(kind.isin("he", "she"), F.substring_index(value, " ", 1)).otherwise(F.lit(None).cast("string"))
+    originals = asked.where(~kind.isin("he", "she")).select("kind", value.alias("surrogate"))
+    drawn = cut(asked.select("kind", "value", "scope", F.lit(0).alias("attempt"), draw(kind, value, key, F.lit(0)).alias("surrogate")))
     while True:
         taken = drawn.join(originals, ["kind", "surrogate"], "left_semi").select("kind", "value", F.lit(True).alias("taken"))
-        first = F.row_number().over(Window.partitionBy("kind", "surrogate").orderBy("attempt", "value"))
-        ranked = cut(drawn.withColumn("place", first).join(taken, ["kind", "value"], "left"))
-        clash = ranked.where("(place > 1 or taken)")
-        if clash.isEmpty():
+        shared = F.when(kind.isin("he", "she"), F.lit("given")).otherwise(kind)
+        first = F.row_number().over(Window.partitionBy(shared, "scope", "surrogate").orderBy("attempt", "kind", "value"))
+        ranked = drawn.withColumn("place", first).join(taken, ["kind", "value"], "left")
+        clashes = (F.col("place") > 1) | F.coalesce(F.col("taken"), F.lit(False)) | F.coalesce(F.col("surrogate") == own, F.lit(False))
+        ranked = cut(ranked.select("kind", "value", "scope", "attempt", "surrogate", clashes.alias("clashes")))
+        if ranked.where("clashes").isEmpty():
             return ranked.select("kind", "value", "surrogate")
-        again = F.when((F.col("place") > 1) | F.col("taken"), F.col("attempt") + 1).otherwise(F.col("attempt"))
-        changed = (F.col("place") > 1) | F.coalesce(F.col("taken"), F.lit(False))
-        settled = ranked.select("kind", "value", again.alias("attempt"), F.col("surrogate").alias("old"), changed.alias("changed"))
-        drawn = cut(settled.select("kind", "value", "attempt", F.when(F.col("changed"), draw(kind, value, key, F.col("attempt"))).otherwise(F.col("old")).alias("surrogate")))
+        again = F.col("attempt") + 1
+        drawn = cut(ranked.select("kind", "value", "scope", F.when(F.col("clashes"), again).otherwise(F.col("attempt")).alias("attempt"), F.when(F.col("clashes"), draw(kind, value, key, again)).otherwise(F.col("surrogate")).alias("surrogate")))
+
+
+def surrogates(entities: DataFrame, key: str) -> DataFrame:
+    """(kind, value, surrogate) for distinct (kind, value): no two alike within a type, none an original value of it.
+
+    A family name has one surrogate wherever it stands, alone or after a given name, for either gender; within a family every given name has its own.
+    """
+    is_name, value = F.col("kind").isin("he", "she"), F.col("value")
+    last = F.element_at(F.split(value, " "), -1)
+    people = entities.where(is_name).select("kind", "value", last.alias("last"))
+    families = people.select(F.lit("family").alias("kind"), F.col("last").alias("value"), F.lit("").alias("scope")).distinct()
+    full = people.where(value.contains(" ")).select("kind", "value", F.col("last").alias("scope"))
+    done = settled(entities.where(~is_name).select("kind", "value", F.lit("").alias("scope")).unionByName(families).unionByName(full), key)
+    of_family = done.where("kind = 'family'").select(value.alias("last"), F.col("surrogate").alias("family"))
+    named = people.join(of_family, "last").join(done.select("kind", "value", F.col("surrogate").alias("given")), ["kind", "value"], "left")
+    names = named.select("kind", "value", F.concat_ws(" ", F.when(value.contains(" "), F.col("given")), "family").alias("surrogate"))
+    return done.where(~F.col("kind").isin("he", "she", "family")).unionByName(names)
 
 
 def find_entities(text: Column) -> Column:
     return F.when(text.rlike(SIGN), F.regexp_extract_all(text, F.lit(ANY), 0))
 
 
-def replace_pii(docs: DataFrame, key: str = "surrogates", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with text_col rewritten and n_entities, the number of replaced places, as the last column."""
-    text, ident = F.col(text_col), F.coalesce(F.col(id_col).cast("string"), F.lit("null "))
+def replace_pii(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with text_col rewritten and n_entities, the number of replaced places, as the last column. key: the secret that surrogates are drawn with."""
+    text = F.col(text_col)
+    # Rows without an id are told apart by their texts.
+    ident = F.coalesce(F.concat(F.lit("id "), F.col(id_col).cast("string")), F.concat(F.lit("text "), F.sha2(text.cast("binary"), 256)))
     found = docs.withColumn("entities ", find_entities(text))
     some = F.coalesce(F.size("entities "), F.lit(0)) > 0
-    salt = F.pmod(F.xxhash64(ident), F.lit(SALTS))
-    seen = found.where(some).select(ident.alias("id "), salt.alias("salt"), F.explode(F.array_distinct("entities ")).alias("entity")).distinct()
+    seen = found.where(some).select(ident.alias("id "), F.explode(F.array_distinct("entities ")).alias("entity")).distinct()
     typed = cut(seen.withColumn("kind", kind_of(F.col("entity"))).withColumn("value", canonical(F.col("kind"), F.col("entity"))))
-    table = surrogates(typed.groupBy("salt", "kind", "value").agg(F.lit(1).alias("one")).groupBy("kind", "value").agg(F.lit(1).alias("one")).drop("one"), key)
-    salted = table.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    counts = cut(typed.groupBy("kind", "value").agg(F.count("*").alias("many")))
+    table = surrogates(counts.select("kind", "value"), key)
+    # At most HOT_SHARE entities have so large a share of all places, so they may be broadcast.
+    least = max(LEAST_HOT, typed.count() // HOT_SHARE)
+    hot = counts.where(F.col("many") > least).select("kind", "value", F.lit(SALTS).alias("salts"))
+    salted = table.join(F.broadcast(hot), ["kind", "value"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+    dealt = typed.join(F.broadcast(hot), ["kind", "value"], "left").withColumn("salt", F.pmod(F.hash("id "), F.coalesce("salts", F.lit(1)))).drop("salts")
     written = in_format(F.col("kind"), F.col("entity"), F.col("surrogate"))
-    pairs = typed.withColumn("salt", F.col("salt").cast("long")).join(salted, ["kind", "value", "salt"]).select("id ", F.struct("entity", written.alias("written")).alias("pair"))
+    pairs = dealt.join(salted, ["kind", "value", "salt"]).select("id ", F.struct("entity", written.alias("written")).alias("pair"))
     maps = pairs.groupBy("id ").agg(F.map_from_entries(F.collect_list("pair")).alias("map "))
     rewritten = found.where(some).join(maps, ident == F.col("id "))
     # A text is what lies between its entities, and the entities, in turn.

@@ -38,8 +38,12 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+#: A key for the driver's synthetic documents; real ones need a secret of their own.
+SAMPLE_KEY = "surrogates of the synthetic documents"
+
+
 def op6_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.replace_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pii.replace_pii(table(spark, sf_dir, "documents").select("doc_id", "text"), SAMPLE_KEY)
 
 
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +54,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.train(docs, labels, toxicity.not_held_out())
     scored = toxicity.score(docs, model)
-    return scored.select("doc_id", (crc_bucket("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
+    return scored.select("doc_id", F.coalesce(crc_bucket("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"

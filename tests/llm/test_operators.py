@@ -128,7 +128,7 @@ def test_items_without_an_id_contaminate(spark, tmp_path):
 
 def test_surrogates(spark):
     rows = [(1, "Mr. John Smith met Mrs Mary Smith; a@b.com A@B.com 4111 1111 1111 1111, 10.0.0.1", "k"), (None, "x 10.0.0.1", "k"), (2, None, "k"), (3, "", "k"), (4, "+1 (201) 555-0123 +1 (201) 555-0124", "k")]
-    got = {r.doc_id: r for r in pii.replace_pii(spark.createDataFrame(rows, "doc_id long, text string, kind string")).collect()}
+    got = {r.doc_id: r for r in pii.replace_pii(spark.createDataFrame(rows, "doc_id long, text string, kind string"), "key").collect()}
     assert len(got) == 5 and got[2].text is None and got[3].text == ""
     text = got[1].text
     names = re.match(r"Mr\. (\w+) (\w+) met Mrs (\w+) (\w+); (\S+) (\S+) (\d{4} \d{4} \d{4} \d{4}), (\S+)$", text)
@@ -137,12 +137,33 @@ def test_surrogates(spark):
     assert len({*phones}) == 2 and "555-012" not in got[4].text
 
 
+def test_surrogates_keep_people_apart_and_together(spark):
+    """Many names of few families: one family name has one surrogate, whole names are as many as before, and no original is left."""
+    own = random.Random(3)
+    families = ["".join(own.choice("bcdfg") + own.choice("aeiou") for _ in range(3)).capitalize() + "x" for _ in range(60)]
+    given = [f"G{c}{d}n" for c in "aeiou" for d in "bcdfghkl"]
+    people = [(own.choice(["Mr.", "Mrs"]), own.choice(given), own.choice(families)) for _ in range(600)]
+    rows = [(k, f"{t} {g} {f} and {t} {f}. Tel +49123{k % 10}") for k, (t, g, f) in enumerate(people)]
+    got = {r.doc_id: r.text for r in pii.replace_pii(spark.createDataFrame(rows, "doc_id long, text string"), "key").collect()}
+    of_family, of_name, of_number = {}, {}, {}
+    for k, (t, g, f) in enumerate(people):
+        m = re.fullmatch(rf"{re.escape(t)} (\w+) (\w+) and {re.escape(t)} (\w+)\. Tel (\+\d+)", got[k])
+        assert m[2] == m[3] and m[1] != g
+        of_family.setdefault(f, set()).add(m[2])
+        of_name.setdefault((t, g, f), set()).add((m[1], m[2]))
+        of_number.setdefault(k % 10, set()).add(m[4])
+    for found in (of_family, of_name, of_number):
+        values = [next(iter(v)) for v in found.values()]
+        assert all(len(v) == 1 for v in found.values()) and len({*values}) == len(values)
+    assert not {next(iter(v)) for v in of_family.values()} & {*families}
+
+
 def test_every_kind_alone_in_a_text_is_replaced(spark):
     """One example of every alternative of PATTERNS: each must pass SIGN with nothing else in the text."""
     titles = ["Mr", "Herr", "Monsieur", "Señor", "Sr", "Mister", "Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra"]
     alone = [f"{t} Garcia" for t in titles] + ["Señora García", "a@b.com", "0123456789abcdef" * 2, *(f"{k}_abcdefghijklmnop" for k in ("sk", "pk", "ghp", "xoxb", "AKIA"))]
     alone += ["GB29 NWBK 6016 1331 9268 19", "GB29NWBKABCDEFGH", "4111111111111111", "123-45-6789", "1.1.1.1", "(201) 555-0123", "+1 (201) 555-0123", "+491234", "+49 30 1234", "555-123-4567", "555.123.4567", "555 123 4567"]
-    got = pii.replace_pii(spark.createDataFrame([(k, f"x {t} y") for k, t in enumerate(alone)], "doc_id long, text string")).collect()
+    got = pii.replace_pii(spark.createDataFrame([(k, f"x {t} y") for k, t in enumerate(alone)], "doc_id long, text string"), "key").collect()
     assert len(got) == len(alone) and [alone[r.doc_id] for r in got if r.n_entities != 1 or alone[r.doc_id] in r.text] == []
 
 
@@ -232,4 +253,4 @@ def test_empty_tables(spark, docs):
     items = spark.createDataFrame([], "item_id long, text string")
     assert minhash.near_duplicates(none).count() == 0 and suffix_dedup.removal_report(none).count() == 0
     assert decontam.contamination(docs, items).where("contaminated").count() == 0
-    assert pii.replace_pii(none).count() == 0 and fingerprints.edit_report(none).count() == 0
+    assert pii.replace_pii(none, "key").count() == 0 and fingerprints.edit_report(none).count() == 0
