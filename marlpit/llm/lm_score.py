@@ -118,6 +118,12 @@ class Vocabulary:
             raise ValueError("ids of more than 16 bits")
         self.opens = np.zeros(self.stop + 1, bool)
         self.opens[[i for t, i in self.ranks.items() if t[:1] == b" "]] = True
+        self.own_speller: Speller | None = None
+
+    def speller(self) -> Speller:
+        """One for each worker process, which keeps what it has learned from task to task."""
+        self.own_speller = self.own_speller or Speller(self.ranks)
+        return self.own_speller
 
 
 class Words:
@@ -152,9 +158,8 @@ def spelled_texts(texts: DataFrame, vocabulary) -> DataFrame:
     """(row, doc_id, trained, ids) of (doc_id, text, trained), packed as unsigned 16-bit integers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spell, row = None, TaskContext.get().partitionId() << 33
+        spell, row = vocabulary.value.speller(), TaskContext.get().partitionId() << 33
         for batch in batches:
-            spell = spell or Speller(vocabulary.value.ranks)
             ids = [*spell(batch.column(1).cast(pa.binary()).to_pylist(), vocabulary.value.opens)]
             rows = pa.array(np.arange(row, row + batch.num_rows))
             row += batch.num_rows
@@ -165,7 +170,7 @@ def spelled_texts(texts: DataFrame, vocabulary) -> DataFrame:
 
 #: Kinds of counts: words by their hash, first pieces of words, other pieces, and runs of the pieces of long words by a hash.
 WORD, OPENING, INNER, RUN_OF = 0, 1, 2, 3
-COUNTS = "kind int, word long, first int, size int, low long, high long, n long"
+COUNTS = "kind int, word long, size int, low long, high long, n long"
 #: Stands where a packed word has no piece.
 NO_PIECE = 0xFFFF
 
@@ -195,9 +200,9 @@ def corpus_counts(texts: DataFrame, vocabulary) -> DataFrame:
         opens = vocabulary.value.opens
         pieces = np.zeros((2, len(opens)), np.int64)
 
-        def rows(kind: int, word: np.ndarray, first: np.ndarray, size: np.ndarray, packs: tuple[np.ndarray, np.ndarray], n: np.ndarray) -> pa.RecordBatch:
-            columns = [np.full(len(n), kind, np.int32), word, first.astype(np.int32), size.astype(np.int32), *packs, n.astype(np.int64)]
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["kind", "word", "first", "size", "low", "high", "n"])
+        def rows(kind: int, word: np.ndarray, size: np.ndarray, packs: tuple[np.ndarray, np.ndarray], n: np.ndarray) -> pa.RecordBatch:
+            columns = [np.full(len(n), kind, np.int32), word, size.astype(np.int32), *packs, n.astype(np.int64)]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["kind", "word", "size", "low", "high", "n"])
 
         for batch in batches:
             trained = np.array(batch.column(0).to_pylist(), bool)
@@ -206,7 +211,7 @@ def corpus_counts(texts: DataFrame, vocabulary) -> DataFrame:
                 weight = np.repeat(trained[start : start + len(part)], np.diff(words.offsets))
                 found, at, which = np.unique(words.hashes, return_index=True, return_inverse=True)
                 n, first, size = np.bincount(which, weight, len(found)), words.first[at], words.size[at]
-                yield rows(WORD, found.view(np.int64), words.ids[first], size, packed_pieces(words.ids, first, size), n)
+                yield rows(WORD, found.view(np.int64), size, packed_pieces(words.ids, first, size), n)
                 if (long := np.flatnonzero((size > PACKED) & (n > 0))).size:
                     # Runs share a piece with the one before; the last ends the word.
                     many = -(-(size[long] - 1) // (PACKED - 1))
@@ -215,15 +220,15 @@ def corpus_counts(texts: DataFrame, vocabulary) -> DataFrame:
                     left = np.repeat(first[long] + size[long], many) - begin
                     own = np.minimum(left, PACKED)
                     named = mix(np.repeat(found[long], many) + nth.astype(np.uint64) + np.uint64(1))
-                    yield rows(RUN_OF, named.view(np.int64), words.ids[begin], np.where(left > PACKED, -own, own), packed_pieces(words.ids, begin, own), np.repeat(n[long], many))
+                    yield rows(RUN_OF, named.view(np.int64), np.where(left > PACKED, -own, own), packed_pieces(words.ids, begin, own), np.repeat(n[long], many))
                 opening = np.bincount(words.ids[words.first], weight, len(opens)).astype(np.int64)
                 pieces += [opening, np.bincount(words.ids, np.repeat(weight, words.size), len(opens)).astype(np.int64) - opening]
         for kind, n in ((OPENING, pieces[0]), (INNER, pieces[1])):
             there = np.flatnonzero(n)
             nothing = np.zeros(len(there), np.int64)
-            yield rows(kind, there, there, nothing, (nothing, nothing), n[there])
+            yield rows(kind, there, nothing, (nothing, nothing), n[there])
 
-    same = [F.max(c).alias(c) for c in ("first", "size", "low", "high")]
+    same = [F.max(c).alias(c) for c in ("size", "low", "high")]
     return map_batches(texts.select("trained", "ids"), run, COUNTS).groupBy("kind", "word").agg(*same, F.sum("n").alias("n"))
 
 
@@ -241,6 +246,33 @@ class Buckets:
         self.inside = np.log((given + 0.5) / whole[self.of])
 
 
+class Table:
+    """Places of distinct 64-bit hashes in their own order, by open addressing."""
+
+    def __init__(self, hashes: np.ndarray):
+        bits = max(4, int(np.ceil(np.log2(max(1, len(hashes)) * 3))))
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.hashes, self.place = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32)
+        slot, rest = (hashes >> self.shift).astype(np.int64), np.arange(len(hashes))
+        while rest.size:
+            at = slot[rest]
+            free = self.place[at] < 0
+            self.hashes[at[free]], self.place[at[free]] = hashes[rest[free]], rest[free]
+            rest = rest[self.place[at] != rest]
+            slot[rest] = (slot[rest] + 1) & self.mask
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The place of each hash, -1 where it is not there."""
+        slot = (hashes >> self.shift).astype(np.int64)
+        place = self.place[slot]
+        other = np.flatnonzero((place >= 0) & (self.hashes[slot] != hashes))
+        while other.size:
+            slot[other] = (slot[other] + 1) & self.mask
+            place[other] = self.place[slot[other]]
+            other = other[(place[other] >= 0) & (self.hashes[slot[other]] != hashes[other])]
+        return place
+
+
 class Positions:
     """Sequences laid end to end (size: of each): two ids a position, the bucket to be given there, and the id's probability inside its bucket. Joint sequences share windows."""
 
@@ -282,6 +314,7 @@ class Language:
         words = opening.sum()
         order = np.argsort(whole)
         self.whole, self.stop = whole[order], stop
+        self.place = Table(self.whole)
         every, given = np.concatenate([opening, n[order]]), inner.copy()
         every[stop], given[stop] = texts, words
         self.opening, self.inner = Buckets(every, every), Buckets(opening + given, given)
@@ -289,9 +322,8 @@ class Language:
 
     def heads(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
         """(the id that opens each word: its own or that of its first piece; which words have their own)."""
-        at = np.minimum(np.searchsorted(self.whole, words.hashes), max(0, len(self.whole) - 1))
-        own = self.whole[at] == words.hashes if len(self.whole) else np.zeros(len(at), bool)
-        return np.where(own, self.stop + 1 + at, words.ids[words.first]), own
+        at = self.place.find(words.hashes)
+        return np.where(at >= 0, self.stop + 1 + at, words.ids[words.first]), at >= 0
 
     def pack(self, which: int) -> bytes:
         return b"".join(v.astype("<f4").tobytes() for v in self.models[which].weights.values())
@@ -459,20 +491,20 @@ def not_whole(words: DataFrame, whole: np.ndarray) -> DataFrame:
 
 
 def spelled_words(counts: DataFrame, language: Language) -> DataFrame:
-    """(word, first, n, rest) of all words: rest is the natural logarithm of what follows the first piece, 0 for whole words and for those of more than PACKED pieces."""
+    """(word, first, n, rest) of all words: the first piece, and the natural logarithm of what follows it, 0 for whole words and for those of more than PACKED pieces."""
     shared = counts.sparkSession.sparkContext.broadcast(language)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_memory()
         own = shared.value
         for rows in batches:
-            word, size = rows.column(0).to_numpy(), rows.column(3).to_numpy()
+            word, size, low, high = (rows.column(k).to_numpy() for k in (0, 2, 3, 4))
             rest = np.zeros(len(word), np.float32)
             asked = np.flatnonzero((size <= PACKED) & ~np.isin(word, own.whole.view(np.int64)))
-            rest[asked] = own.spelled(*unpacked_pieces(rows.column(4).to_numpy()[asked], rows.column(5).to_numpy()[asked]))
-            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), rows.column(2), pa.array(rest)], ["word", "first", "n", "rest"])
+            rest[asked] = own.spelled(*unpacked_pieces(low[asked], high[asked]))
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array((low & NO_PIECE).astype(np.int32)), rows.column(1), pa.array(rest)], ["word", "first", "n", "rest"])
 
-    return map_batches(counts.where(F.col("kind") == WORD).select("word", "first", "n", "size", "low", "high"), run, "word long, first int, n long, rest float")
+    return map_batches(counts.where(F.col("kind") == WORD).select("word", "n", "size", "low", "high"), run, "word long, first int, n long, rest float")
 
 
 def frequent(words: DataFrame) -> DataFrame:
@@ -521,9 +553,9 @@ def score_texts(docs: DataFrame, train_condition, vocabulary_path: str, id_col:
     train_openings(language, learnt, vocabulary, int(pieces.sum()), int(tokens))
     train_spelling(language, counts)
     words = cut(spelled_words(counts, language))
-    hot = frequent(words).select("word", "n", "rest").toPandas().sort_values("word", key=lambda w: w.to_numpy(np.int64).view(np.uint64))
+    hot = frequent(words).select("word", "n", "rest").toPandas()
     begun = begun_so(words, language.whole, stop)
-    shared = context.broadcast((language, hot["word"].to_numpy(np.int64).view(np.uint64), hot["n"].to_numpy(np.int64), hot["rest"].to_numpy(np.float64), begun))
+    shared = context.broadcast((language, Table(hot["word"].to_numpy(np.int64).view(np.uint64)), hot["n"].to_numpy(np.int64), hot["rest"].to_numpy(np.float64), begun))
     scale = tokens + 0.5 * (types + 1)
     end_base = float(np.log10((ends + 0.5) / scale))
 
@@ -534,9 +566,9 @@ def score_texts(docs: DataFrame, train_condition, vocabulary_path: str, id_col:
             for first, part in id_steps(batch, 2):
                 own = Words(part, vocabulary.value.opens)
                 opening, end, own_id = language.openings(own)
-                at = np.minimum(np.searchsorted(often, own.hashes), max(0, len(often) - 1))
-                found = often[at] == own.hashes if len(often) else np.zeros(len(at), bool)
-                n, rest = (np.where(found, known[at] if len(often) else 0, 0) for known in (often_n, often_rest))
+                at = often.find(own.hashes)
+                found = at >= 0
+                n, rest = (np.where(found, known[at] if len(known) else 0, 0) for known in (often_n, often_rest))
                 long = np.flatnonzero((own.size > PACKED) & ~own_id)
                 pieces = own.ids[np.repeat(own.first[long] - (np.cumsum(own.size[long]) - own.size[long]), own.size[long]) + np.arange(own.size[long].sum())]
                 rest[long] = language.spelled(pieces, own.size[long])

@@ -72,6 +72,14 @@ def test_no_training_rows_and_no_rows(spark, docs):
     assert lm_score.score_texts(docs.limit(0), lm_score.training_rows(), PATH).count() == 0
 
 
+def test_table_of_hashes():
+    own = np.random.default_rng(3)
+    hashes = np.unique(np.concatenate([own.integers(0, 2**63, 500).astype(np.uint64), np.arange(1, 60, dtype=np.uint64)]))
+    table = lm_score.Table(hashes)
+    asked = np.concatenate([hashes[::-1], np.array([2**62 + 1, 61, 0], np.uint64)])
+    assert table.find(asked).tolist() == [*range(len(hashes))][::-1] + [-1, -1, -1] and lm_score.Table(hashes[:0]).find(asked).max() == -1
+
+
 def windows(own, many=5, width=8):
     one, two, goal = (own.integers(0, BUCKETS, (many, width)) for _ in range(3))
     return one, two, own.integers(0, 2, (many, width)).cumsum(axis=1), goal
