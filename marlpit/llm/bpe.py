@@ -57,6 +57,11 @@ class PairTable:
     def _home(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
 
+    def plain(self) -> dict[int, tuple[int, int]]:
+        """packed pair -> (rank, merged id), for one pair at a time."""
+        used = np.flatnonzero(self.keys != -1)
+        return dict(zip(self.keys[used].tolist(), zip(self.rank[used].tolist(), self.merged[used].tolist())))
+
     def find(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The slots of pairs; an empty slot (rank NO_RANK) where there is no such pair."""
         keys = left.astype(np.int64) << 32 | (right.astype(np.int64) & 0xFFFFFFFF)
@@ -80,6 +85,7 @@ class Bpe:
         columns = np.array(pairs, np.int64).reshape(-1, 4).T
         self.pairs = PairTable(columns[0], columns[1], (columns[2] * POSITIONS).astype(np.int32), columns[3].astype(np.int32))
         self.whole = ids if whole_first else {}
+        self.plain: dict[int, tuple[int, int]] | None = None
 
     @classmethod
     def from_rank_lines(cls, data: bytes) -> Bpe:
@@ -152,26 +158,23 @@ class Bpe:
 
     def _merge_long(self, piece: bytes) -> np.ndarray:
         """The same order over a linked list: the heap yields the lowest rank, leftmost first."""
-        ids = self.byte_ids[np.frombuffer(piece, np.uint8)].tolist()
+        self.plain = self.plain or self.pairs.plain()
+        find, ids = self.plain.get, self.byte_ids[np.frombuffer(piece, np.uint8)].tolist()
         n = len(ids)
-        before, after, pairs = list(range(-1, n - 1)), [*range(1, n), -1], self.pairs
-        slots = pairs.find(np.array(ids[:-1], np.int32), np.array(ids[1:], np.int32))
-        heap = [(r, k, ids[k], ids[k + 1]) for k, r in enumerate(pairs.rank[slots].tolist()) if r < NO_RANK]
+        before, after = list(range(-1, n - 1)), [*range(1, n), -1]
+        heap = [(found[0], k, a, b, found[1]) for k, (a, b) in enumerate(zip(ids, ids[1:])) if (found := find(a << 32 | b))]
         heapq.heapify(heap)
         while heap:
-            _, k, left, right = heapq.heappop(heap)
+            _, k, left, right, merged = heapq.heappop(heap)
             nxt = after[k]
             if ids[k] != left or nxt < 0 or ids[nxt] != right:
                 continue
-            ids[k] = int(pairs.merged[pairs.find(np.array([left]), np.array([right]))[0]])
-            ids[nxt], after[k] = -1, after[nxt]
+            ids[k], ids[nxt], after[k] = merged, -1, after[nxt]
             if after[k] >= 0:
                 before[after[k]] = k
             for a, b in ((before[k], k), (k, after[k])):
-                if a >= 0 and b >= 0:
-                    r = int(pairs.rank[pairs.find(np.array([ids[a]]), np.array([ids[b]]))[0]])
-                    if r < NO_RANK:
-                        heapq.heappush(heap, (r, a, ids[a], ids[b]))
+                if a >= 0 and b >= 0 and (found := find(ids[a] << 32 | ids[b])):
+                    heapq.heappush(heap, (found[0], a, ids[a], ids[b], found[1]))
         return np.array([i for i in ids if i >= 0], np.int32)
 
 

@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import keyed_text, map_batches
@@ -100,19 +100,27 @@ def fingerprint(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 RANGE_ROWS, MOST_RANGES = 2000, 20_000
 
 
+def keys_of_partitions(spark: SparkSession, n: int) -> np.ndarray:
+    """For each of n hash partitions a number that repartition() deals to it."""
+    dealt = spark.range(40 * n + 1000).select("id", F.pmod(F.hash("id"), F.lit(n)).alias("partition"))
+    found = {r[0]: r[1] for r in dealt.groupBy("partition").agg(F.min("id")).collect()}
+    return np.array([found.get(k, k) for k in range(n)], np.int64)
+
+
 def with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (bucket, doc_id, text, only_next) such that, within a bucket, descending doc_id, each text is followed by the next document's.
 
-    Ids are cut into ranges at quantiles; only their bounds reach the driver. The row after a range's
-    last is sent to that range too, marked only_next; after the smallest id comes the largest. Each text
-    moves once. Null ids count as the smallest. Rows of one id keep together, ordered by a hash of their
-    text.
+    Ids are cut into ranges at quantiles; only their bounds reach the driver. Every range is a partition. The
+    row after a range's last is sent to that range too, marked only_next; after the smallest id comes the
+    largest. Each text moves once. Null ids count as smaller than all others, and stand in the order of a
+    hash of their text; rows of one id keep together, in that order too.
     """
     texts = keyed_text(df, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    at, context = F.coalesce(F.col("doc_id"), F.lit(-(2**63))), df.sparkSession.sparkContext
+    without = F.lit(-(2**63)) + F.shiftrightunsigned(F.xxhash64("text"), 8)
+    at, spark = F.coalesce(F.col("doc_id"), without), df.sparkSession
     parts = min(MOST_RANGES, max(64, texts.count() // RANGE_ROWS))
     cuts = texts.agg(F.percentile_approx(at, [k / parts for k in range(1, parts)], 10 * parts)).first()[0]
-    bounds = context.broadcast(np.array(sorted({*(cuts or [])}), np.int64))
+    bounds = spark.sparkContext.broadcast(np.array(sorted({*(cuts or [])}), np.int64))
 
     @F.pandas_udf("int")
     def range_of(ids: pd.Series) -> pd.Series:
@@ -120,16 +128,18 @@ def with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     tops = {r[0]: r[1] for r in texts.select(range_of(at).alias("bucket"), at.alias("at")).groupBy("bucket").agg(F.max("at")).collect()}
     filled = sorted(tops)
-    follows = context.broadcast({tops[b]: filled[(k + 1) % len(filled)] for k, b in enumerate(filled)})
+    keys = dict(zip(filled, keys_of_partitions(spark, max(1, len(filled))).tolist()))
+    follows = spark.sparkContext.broadcast((keys, {tops[b]: keys[filled[(k + 1) % len(filled)]] for k, b in enumerate(filled)}))
 
-    @F.pandas_udf("array<struct<bucket:int,only_next:boolean>>")
+    @F.pandas_udf("array<struct<bucket:bigint,only_next:boolean>>")
     def homes_of(ids: pd.Series) -> pd.Series:
         own = np.searchsorted(bounds.value, ids.to_numpy(), side="left").tolist()
-        also = follows.value
-        return pd.Series([[(b, False), (also[i], True)] if i in also else [(b, False)] for b, i in zip(own, ids.tolist())])
+        keys, also = follows.value
+        return pd.Series([[(keys[b], False), (also[i], True)] if i in also else [(keys[b], False)] for b, i in zip(own, ids.tolist())])
 
-    spread = texts.select("doc_id", "text", F.explode(homes_of(at)).alias("home")).select("home.bucket", "doc_id", "text", "home.only_next")
-    return spread.repartition(max(1, len(filled)), "bucket").sortWithinPartitions("bucket", "only_next", F.desc_nulls_last("doc_id"), F.xxhash64("text"))
+    spread = texts.select("doc_id", "text", at.alias("at"), F.explode(homes_of(at)).alias("home")).select("home.bucket", "doc_id", "text", "home.only_next", "at")
+    dealt = spread.repartition(max(1, len(filled)), "bucket").sortWithinPartitions("bucket", "only_next", F.desc("at"), F.xxhash64("text"))
+    return dealt.select("bucket", "doc_id", "text", "only_next")
 
 
 def edit_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -44,6 +44,8 @@ SLACK = 6
 FILTER_BITS = 1 << 24
 #: Documents of one block; two blocks are compared in one task.
 BLOCK = 256
+#: Shared shingles of two blocks that are compared at once.
+COLUMNS = 1 << 13
 
 
 def shingle_sets(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -64,7 +66,7 @@ def minima(shingles: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def pack_bits(rows: np.ndarray) -> np.ndarray:
     """The low BITS of each minimum, LANES to a word."""
-    low = (rows & np.uint32((1 << BITS) - 1)).astype(np.uint64).reshape(len(rows), -1, LANES)
+    low = (rows & np.uint32((1 << BITS) - 1)).astype(np.uint64).reshape(len(rows), HASHES // LANES, LANES)
     return (low << (np.arange(LANES, dtype=np.uint64) * np.uint64(BITS))).sum(axis=2, dtype=np.uint64)
 
 
@@ -199,10 +201,16 @@ def links_across(nodes: DataFrame, bands: DataFrame, sets: DataFrame, percent: i
         n = np.array([len(x) for x in lists])
         names, column, many = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
         row, common = np.repeat(np.arange(len(n)), n), many[column] > 1
-        at = np.cumsum(many > 1) - 1
-        marks = np.zeros((len(n), int((many > 1).sum())), np.float32)
-        marks[row[common], at[column[common]]] = 1
-        both = (marks @ marks.T).astype(np.int64)
+        # Shared shingles are taken COLUMNS at a time, so that the matrix is bounded whatever the length of the texts.
+        row, at = row[common], (np.cumsum(many > 1) - 1)[column[common]]
+        order = np.argsort(at, kind="stable")
+        row, at, both = row[order], at[order], np.zeros((len(n), len(n)), np.float64)
+        for start in range(0, int((many > 1).sum()), COLUMNS):
+            a, b = np.searchsorted(at, [start, start + COLUMNS])
+            marks = np.zeros((len(n), COLUMNS), np.float32)
+            marks[row[a:b], at[a:b] - start] = 1
+            both += marks @ marks.T
+        both = both.astype(np.int64)
         linked = (100 * both >= percent * (n[:, None] + n[None] - both)) & (both > 0)
         label, out = np.unique(component, return_inverse=True)[1], []
         for x, y in zip(*np.nonzero(np.triu(linked, 1))):

@@ -34,7 +34,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import crc_bucket, cut, keyed_text, map_batches
@@ -219,7 +219,10 @@ def train(docs: DataFrame, labels: DataFrame, learn_from=None, sample_docs: int
     picked = [own.where(F.col("toxic") == c).orderBy(order, "doc_id").limit(sample_docs) for c in (0, 1)]
     part = (F.shiftrightunsigned(order, 7) % CURVE_SHARE == 0).alias("for_curve")
     # At most 2 * sample_docs rows, so the broadcast is bounded.
-    sample = cut(keyed_text(docs).join(F.broadcast(picked[0].unionByName(picked[1]).select("doc_id", "toxic", part)), "doc_id").dropDuplicates(["toxic", "text"]))
+    joined = keyed_text(docs).join(F.broadcast(picked[0].unionByName(picked[1]).select("doc_id", "toxic", part)), "doc_id")
+    # Of equal texts with one label the first by that order is learned from, in whatever order rows come.
+    first = F.row_number().over(Window.partitionBy("toxic", F.sha2(F.col("text").cast("binary"), 256)).orderBy(order, "doc_id"))
+    sample = cut(joined.withColumn("place", first).where("place = 1").drop("place"))
     model = fit_models(sample.where("not for_curve").select("doc_id", "text", "toxic"))
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
