@@ -140,18 +140,23 @@ def count_pairs(labelled: DataFrame) -> DataFrame:
 
 
 def fit_models(labelled: DataFrame) -> Model:
-    """All pairs of the sample come to the driver, 16 bytes each."""
-    counts = cut(count_pairs(labelled)).toArrow()
-    keys = counts["pair"].to_numpy()
-    order = np.argsort(keys).astype(np.int32)
-    return kneser_ney(keys[order], np.stack([counts[c].to_numpy()[order] for c in ("ordinary", "toxic")]))
+    """All pairs of the sample come to the driver in order, 12 bytes each."""
+    small = [F.col(c).cast("short").alias(c) for c in ("ordinary", "toxic")]
+    counts = cut(count_pairs(labelled)).select("pair", *small).orderBy("pair").toArrow()
+    keys, n = counts["pair"].to_numpy(), np.empty((2, counts.num_rows), np.int16)
+    for k, c in enumerate(("ordinary", "toxic")):
+        n[k] = counts[c].to_numpy()
+    del counts
+    pa.default_memory_pool().release_unused()
+    return kneser_ney(keys, n)
 
 
 def kneser_ney(keys: np.ndarray, n: np.ndarray) -> Model:
-    """The models of sorted packed pairs with their counts by class."""
-    before, own = (keys >> (SLOT_BITS + 1)).astype(np.int32), (keys & (2 * WORD_SLOTS - 1)).astype(np.int32)
+    """The models of sorted packed pairs with their counts by class. Pairs are worked on STEP_PAIRS at a time."""
     size, words = 2 * WORD_SLOTS, np.arange(2 * WORD_SLOTS) < WORD_SLOTS
     units = np.where(words, WORD_SLOTS, END + 1)
+    steps_of = [slice(at, at + STEP_PAIRS) for at in range(0, len(keys), STEP_PAIRS)]
+    parts = lambda here: (keys[here] >> (SLOT_BITS + 1), keys[here] & (2 * WORD_SLOTS - 1))
 
     def lower(left: np.ndarray, shorter: np.ndarray) -> np.ndarray:
         """Continuation counts, discounted and completed from the shorter order, for words and bytes apart."""
@@ -161,17 +166,24 @@ def kneser_ney(keys: np.ndarray, n: np.ndarray) -> Model:
                 out[part] = (np.maximum(left[part] - DISCOUNT, 0) + DISCOUNT * (left[part] > 0).sum() * shorter[part]) / total
         return out
 
-    shared = lower(np.bincount(own[(n > 0).all(axis=0)], minlength=size), 1 / units)
+    totals, kinds, left, left_of_both = np.zeros((2, size)), np.zeros((2, size)), np.zeros((2, size)), np.zeros(size)
+    for here in steps_of:
+        before, own = parts(here)
+        left_of_both += np.bincount(own[(n[:, here] > 0).all(axis=0)], minlength=size)
+        for c in (0, 1):
+            seen = n[c, here] > 0
+            totals[c] += np.bincount(before, n[c, here], size)
+            kinds[c] += np.bincount(before[seen], minlength=size)
+            left[c] += np.bincount(own[seen], minlength=size)
+    shared = lower(left_of_both, 1 / units)
     single, backoff, pair = np.zeros((2, size), np.float32), np.zeros((2, size), np.float32), np.zeros((2, len(keys)), np.float32)
     for c in (0, 1):
-        seen = n[c] > 0
-        total, kinds = np.bincount(before, n[c], size), np.bincount(before[seen], minlength=size)
-        alone = lower(np.bincount(own[seen], minlength=size), shared)
-        spare = np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1), 1.0)
+        alone = lower(left[c], shared)
+        spare = np.where(totals[c] > 0, DISCOUNT * kinds[c] / np.maximum(totals[c], 1), 1.0)
         single[c], backoff[c] = np.log(alone), np.log(spare)
-        for at in range(0, len(keys), STEP_PAIRS):
-            u, v, k = (x[at : at + STEP_PAIRS] for x in (before, own, n[c]))
-            pair[c, at : at + STEP_PAIRS] = np.log(np.maximum(k - DISCOUNT, 0) / np.maximum(total[u], 1) + spare[u] * alone[v])
+        for here in steps_of:
+            before, own = parts(here)
+            pair[c, here] = np.log(np.maximum(n[c, here] - DISCOUNT, 0) / np.maximum(totals[c][before], 1) + spare[before] * alone[own])
     return Model(keys, pair, backoff, single, np.zeros(FEATURES))
 
 
