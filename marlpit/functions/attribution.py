@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .urls import bare_host
+from .urls import bare_host, settled
 
 # Hosts and the platform each stands for, and mediums that mark a paid campaign.
 SEARCH_HOSTS = {
@@ -48,7 +48,7 @@ def classify_source(df: DataFrame) -> DataFrame:
     Host, medium, source and rule are settled in steps, so that none of them is worked out once for each place that asks for it.
     """
     name = lambda c: F.nullif(F.lower(F.trim(c)), F.lit(""))
-    read = df.select(*df.columns, F.inline(F.array(F.struct(bare_host(F.col("referrer")).alias("host "), name("utm_medium").alias("medium "), name("utm_source").alias("source ")))))
+    read = settled(df, **{"host ": bare_host(F.col("referrer")), "medium ": name("utm_medium"), "source ": name("utm_source")})
     host, medium, source = F.col("host "), F.col("medium "), F.col("source ")
     named = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in UTM_PLATFORMS.items() for x in pair]), source), F.lit("unknown"))
     given = lambda c: F.coalesce(F.col(c), F.lit("")) != ""

@@ -53,6 +53,11 @@ def _resolve(url: pd.Series, base: pd.Series) -> pd.Series:
     return pd.Series([one(u, b) for u, b in zip(url, base)])
 
 
+def settled(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with further columns that are worked out once each, however often later expressions name them: a generator stands between."""
+    return df.select(*df.columns, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def fold_escapes(text: Column) -> Column:
     """Escapes of unreserved characters decoded, the others in upper case."""
 
@@ -83,19 +88,20 @@ def normalise_urls(df: DataFrame, url: str, base: str | None = None, fold: bool
     absolute = raw.rlike("(?i)^[a-z][a-z0-9+.-]*:")
     odd = (~absolute & F.lit(base is not None)) | (raw.rlike("(?i)^https?:") & raw.rlike(r"[^\x21-\x7E]|/\.\.?(/|$)"))
     refused_early = (F.length(raw) > MAX_URL) | (raw == "") | raw.startswith("#")
-    whole = df.withColumn("url ", F.when(refused_early, None).when(odd, _resolve(F.when(odd & ~refused_early, raw), F.col(base) if base else F.lit(None).cast("string"))).otherwise(raw))
+    asked = settled(df, **{"odd ": odd & ~refused_early, "plain ": F.when(~refused_early, raw)})
+    whole = asked.withColumn("url ", F.when(F.col("odd "), _resolve(F.when(F.col("odd "), F.col("plain ")), F.col(base) if base else F.lit(None).cast("string"))).otherwise(F.col("plain ")))
     pattern = r"^(?i)(https?)://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]+)(?::(\d*))?([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
-    scheme, host, port, path, query = (F.regexp_extract("url ", pattern, k) for k in range(1, 6))
-    host = F.regexp_replace(F.lower(host), r"([^.])\.$", "$1")
-    scheme = F.lower(scheme)
+    parts = settled(whole, **{f"{n} ": F.regexp_extract("url ", pattern, k) for k, n in enumerate(("scheme", "host", "port", "path", "query"), 1)})
+    scheme, host, port, path, query = F.lower("scheme "), F.regexp_replace(F.lower("host "), r"([^.])\.$", "$1"), F.col("port "), F.col("path "), F.col("query ")
     default = ((scheme == "http") & (port == "80")) | ((scheme == "https") & (port == "443")) | (port == "")
     full = F.when(path == "", F.lit("/")).otherwise(path)
     full = F.when((F.length(full) > 1) & full.endswith("/"), F.substr(full, F.lit(1), F.length(full) - 1)).otherwise(full) if fold else full
     out = F.concat(scheme, F.lit("://"), host, F.when(default, "").otherwise(F.concat(F.lit(":"), port)), fold_escapes(full), F.when(query == "", "").otherwise(normalise_query(query)))
-    built = whole.withColumn("out ", F.when(F.col("url ").rlike(pattern), out))
-    too_long = (F.length(raw) > MAX_URL) | F.coalesce(F.length("out ") > MAX_URL, F.lit(False))
+    built = settled(parts, **{"out ": F.when(F.col("scheme ") != "", out)})
+    too_long = (F.length(F.trim(F.coalesce(F.col(url), F.lit("")))) > MAX_URL) | F.coalesce(F.length("out ") > MAX_URL, F.lit(False))
     refusal = F.when(too_long, "too_long").when(F.col("out ").isNull(), "not_a_resource")
-    return built.withColumn("refusal", refusal).withColumn("normalised", F.when(F.col("refusal").isNull(), F.col("out "))).drop("url ", "out ")
+    judged = settled(built, refusal=refusal, normalised=F.when(~too_long, F.col("out ")))
+    return judged.drop("url ", "odd ", "plain ", "scheme ", "host ", "port ", "path ", "query ", "out ")
 
 
 def url_depth(url: Column) -> Column:
