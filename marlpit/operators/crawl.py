@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.urls import classify_scope, normalise_urls
-from ..sources.tables import shared_table
+from ..sources.tables import numbered, shared_table
 
 # Failures that are refusals by policy.
 POLICY_REFUSALS = [
@@ -229,17 +229,6 @@ def row_ceiling(page_limit: int) -> int:
     return min(max(ROWS_PER_PAGE * page_limit, LEAST_ROWS), MOST_ROWS)
 
 
-def numbered(rows: DataFrame, keys: list[str], order: list[str], buckets: str) -> DataFrame:
-    """rows with n, their place within keys in the order of `buckets`, then of the rest of `order`.
-
-    Rows are counted by bucket first, and those counts, few, are summed; so only a bucket's rows meet, never all of a key.
-    """
-    sizes = rows.groupBy(*keys, buckets).agg(F.count("*").alias("size "))
-    before = F.coalesce(F.sum("size ").over(Window.partitionBy(*keys).orderBy(buckets).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    inner = F.row_number().over(Window.partitionBy(*keys, buckets).orderBy(*order))
-    return rows.withColumn("inner ", inner).join(sizes.select(*keys, buckets, before.alias("before ")), [*keys, buckets]).withColumn("n", F.col("inner ") + F.col("before ")).drop("inner ", "before ")
-
-
 def decide_enqueue(candidates: DataFrame, page_limit: int, max_depth: int) -> DataFrame:
     """G1: candidates (crawl_id, url, refusal, scope, allowed, depth, place) with accept, skip_reason and recorded, decided in order.
 

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import numbered
+
 # Hits an hour for an address on one form, an address, and a form.
 TIERS = [("ip_form", ["subject", "form"], 5), ("ip", ["subject"], 20), ("form", ["form"], 200)]
 
@@ -15,14 +17,18 @@ TIERS = [("ip_form", ["subject", "form"], 5), ("ip", ["subject"], 20), ("form",
 def rate_limit_verdicts(hits: DataFrame, window_seconds: int = 3600, tiers: list = TIERS) -> DataFrame:
     """Hits (id, subject, form, ts) with rejected_by: the first tier whose bucket was full, or null.
 
-    A rejected hit counts in the tier that rejected it and is not seen by later ones. Each tier is one
-    running count; a bucket is a fixed hour.
+    A rejected hit counts in the tier that rejected it and is not seen by later ones. A bucket is a fixed hour. Each
+    tier is one running count; where it is not of one subject it is counted by minute first, so that a busy form's
+    hour does not meet in one task.
     """
     open_hits = hits.withColumn("bucket", F.floor(F.unix_timestamp("ts") / window_seconds))
     out = None
     for name, keys, most in tiers:
-        place = F.row_number().over(Window.partitionBy(*keys, "bucket").orderBy("ts", "id"))
-        ranked = open_hits.withColumn("place", place)
+        if "subject" in keys:
+            ranked = open_hits.withColumn("place", F.row_number().over(Window.partitionBy(*keys, "bucket").orderBy("ts", "id")))
+        else:
+            minutes = open_hits.withColumn("minute ", F.floor(F.unix_timestamp("ts") / 60))
+            ranked = numbered(minutes, [*keys, "bucket"], ["ts", "id"], "minute ").withColumnRenamed("n", "place").drop("minute ")
         full = ranked.where(F.col("place") > most).select(*hits.columns, F.lit(name).alias("rejected_by"))
         out = full if out is None else out.unionByName(full)
         open_hits = ranked.where(F.col("place") <= most).drop("place")
