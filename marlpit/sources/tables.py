@@ -11,21 +11,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def shared_table(df: DataFrame) -> DataFrame:
-    """Write df to the folder in spark.checkpoint.dir, which all executors see, and read it back: lineage ends there and lost executors cost nothing.
-
-    Only a session of one machine may do without the setting.
-    """
-    spark: SparkSession = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which all executors see. Only a session of one machine may do without the setting."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(folder)
-    path = f"{folder}/table-{uuid.uuid4().hex}"
+    return folder
+
+
+def shared_table(df: DataFrame) -> DataFrame:
+    """Write df to the shared folder and read it back: lineage ends there and lost executors cost nothing."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def load(spark: SparkSession, directory: str, name: str, schema: T.StructType | str | None = None) -> DataFrame:
