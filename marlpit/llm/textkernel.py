@@ -77,12 +77,12 @@ def shingle_hashes(words: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.n
     return mix(total + np.minimum(left, n).astype(np.uint64)), out_offsets
 
 
-def steps(batch: pa.RecordBatch, column: int = 1) -> Iterator[tuple[int, list[bytes]]]:
-    """(first row, texts as UTF-8) of consecutive parts of a batch, of about STEP_BYTES each."""
+def steps(batch: pa.RecordBatch, column: int = 1, most: int = STEP_BYTES) -> Iterator[tuple[int, list[bytes]]]:
+    """(first row, texts as UTF-8) of consecutive parts of a batch, of about `most` bytes each."""
     texts = batch.column(column).cast(pa.binary()).to_pylist()
     at = size = 0
     for k, text in enumerate(texts):
-        if size and size + len(text) > STEP_BYTES:
+        if size and size + len(text) > most:
             yield at, texts[at:k]
             at, size = k, 0
         size += len(text)

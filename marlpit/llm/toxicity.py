@@ -45,6 +45,8 @@ SAMPLE_DOCS, CURVE_SHARE = 6000, 4
 #: Slots of words, and as many of byte contexts after them; the bytes that a byte is told by; the end of a word.
 SLOT_BITS, CONTEXT, END = 18, 7, 256
 WORD_SLOTS = 1 << SLOT_BITS
+#: Bytes of text worked on at once; a byte makes many numbers when it is told by those before it.
+SPELLED_BYTES = 1 << 19
 #: Pairs worked on at once by the driver.
 STEP_PAIRS = 1 << 18
 #: A word tells more from each of these differences of log-likelihoods on; past MOST it tells no more.
@@ -119,7 +121,7 @@ def count_pairs(labelled: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             toxic = np.array(batch.column(2).to_pylist(), np.int64)
-            for first, texts in steps(batch):
+            for first, texts in steps(batch, 1, SPELLED_BYTES):
                 before, own, words, offsets = slots(texts)
                 text = np.repeat(np.arange(len(texts)), np.diff(offsets))
                 # A text's words, each once: the first of its hash within the text.
@@ -239,7 +241,7 @@ def train(docs: DataFrame, labels: DataFrame, learn_from=None, sample_docs: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, texts in steps(batch):
+            for first, texts in steps(batch, 1, SPELLED_BYTES):
                 yield pa.RecordBatch.from_arrays([pa.array(list(features(shipped.value, texts))), batch.column(2).slice(first, len(texts)).cast(pa.int32())], ["x", "toxic"])
 
     seen = map_batches(sample.where("for_curve").select("doc_id", "text", "toxic"), run, "x array<double>, toxic int").toPandas()
@@ -260,7 +262,7 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shipped.value
         for batch in batches:
-            for first, texts in steps(batch):
+            for first, texts in steps(batch, 1, SPELLED_BYTES):
                 p = 1 / (1 + np.exp(-np.clip(features(model, texts) @ model.curve, -30, 30))) if model else np.zeros(len(texts))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(p)], ["doc_id", "score"])
 
