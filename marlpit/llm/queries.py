@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, fingerprints, lm_score, minhash, pii, suffix_dedup, token_counts, toxicity
+from . import bpe, chat, decontam, fingerprints, lm_score, minhash, pii, prefix_trie, suffix_dedup, token_counts, toxicity
 from .common import crc_bucket, table
 
 
@@ -79,8 +79,12 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_lm_scoring, op2_byte_bpe, op3_suffix_dedup, op4_token_counts, op5_minhash_near_dedup, op6_pii_surrogates, op7_fingerprints, op8_toxicity, op9_chat_formatting, op10_decontamination)
+    f.__name__: f for f in (op1_lm_scoring, op2_byte_bpe, op3_suffix_dedup, op4_token_counts, op5_minhash_near_dedup, op6_pii_surrogates, op7_fingerprints, op8_toxicity, op9_chat_formatting, op10_decontamination, op11_prefix_trie)
 }
 
 #: DuckDB SQL for the operators that SQL can express.
@@ -115,4 +119,29 @@ ORACLE_SQL: dict[str, str] = {
         SELECT s.doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
             coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM said s LEFT JOIN covered c USING (doc_id) LEFT JOIN named USING (doc_id)""",
+    "op11_prefix_trie": """
+        WITH u AS (
+            SELECT conv_id, length(text) AS chars, unit, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, unit) AS pos
+            FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, left(sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')), 32) AS unit
+                FROM conversations WHERE conv_id IS NOT NULL)),
+        c AS (SELECT DISTINCT conv_id, conv_id - conv_id % 100 AS base, xor(4294967295, list_reduce(
+            list_concat([4294967295], flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), ch -> [CAST(ord(ch) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+            (r, x) -> CASE WHEN x >= 0 THEN xor(r, x) WHEN r % 2 = 1 THEN xor(r // 2, 3988292384) ELSE r // 2 END)) % 6 AS h FROM u),
+        rebuilt AS (
+            SELECT c.conv_id, pos, unit, chars, 0 AS part FROM c JOIN u ON u.conv_id = base AND pos <= h
+            UNION ALL SELECT u.conv_id, pos, unit, chars, 1 FROM u JOIN c USING (conv_id) WHERE pos > h),
+        paths AS (
+            SELECT conv_id, chars, string_agg(unit, '') OVER w AS path, row_number() OVER w AS depth
+            FROM rebuilt WINDOW w AS (PARTITION BY conv_id ORDER BY part, pos)
+            UNION ALL SELECT conv_id, 0, '', 0 FROM c),
+        last AS (SELECT conv_id, max(depth) AS depth FROM paths GROUP BY conv_id),
+        nodes AS (
+            SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(chars) AS saved,
+                sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (p.depth = l.depth), '')) AS ends_sha256
+            FROM (SELECT p.*, l.depth AS l_depth FROM paths p JOIN last l USING (conv_id)) p JOIN (SELECT DISTINCT depth FROM last) l ON l.depth = p.l_depth GROUP BY path, p.depth),
+        kids AS (SELECT left(path, 32 * (depth - 1)) AS path, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1),
+        own AS (SELECT nodes.*, coalesce(n, 0) AS n_children FROM nodes LEFT JOIN kids USING (path)),
+        sums AS (SELECT left(path, 32 * d) AS path, sum(CAST(n_children = 0 AS INT)) AS n_leaves, sum(saved) AS saved FROM own, unnest(range(0, depth + 1)) t(d) GROUP BY 1)
+        SELECT o.conv_id, o.depth, p.conv_id AS parent_conv_id, o.n_convs, o.n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, o.ends_sha256
+        FROM own o JOIN sums s USING (path) LEFT JOIN own p ON o.depth > 0 AND p.path = left(o.path, 32 * (o.depth - 1))""",
 }
