@@ -125,8 +125,8 @@ ORACLE_SQL: dict[str, str] = {
             FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, left(sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')), 32) AS unit
                 FROM conversations WHERE conv_id IS NOT NULL)),
         c AS (SELECT DISTINCT conv_id, conv_id - conv_id % 100 AS base, xor(4294967295, list_reduce(
-            list_concat([4294967295], flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), ch -> [CAST(ord(ch) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
-            (r, x) -> CASE WHEN x >= 0 THEN xor(r, x) WHEN r % 2 = 1 THEN xor(r // 2, 3988292384) ELSE r // 2 END)) % 6 AS h FROM u),
+            list_concat([4294967295], flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda ch: [CAST(ord(ch) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+            lambda r, x: CASE WHEN x >= 0 THEN xor(r, x) WHEN r % 2 = 1 THEN xor(r // 2, 3988292384) ELSE r // 2 END)) % 6 AS h FROM u),
         rebuilt AS (
             SELECT c.conv_id, pos, unit, chars, 0 AS part FROM c JOIN u ON u.conv_id = base AND pos <= h
             UNION ALL SELECT u.conv_id, pos, unit, chars, 1 FROM u JOIN c USING (conv_id) WHERE pos > h),
@@ -134,11 +134,11 @@ ORACLE_SQL: dict[str, str] = {
             SELECT conv_id, chars, string_agg(unit, '') OVER w AS path, row_number() OVER w AS depth
             FROM rebuilt WINDOW w AS (PARTITION BY conv_id ORDER BY part, pos)
             UNION ALL SELECT conv_id, 0, '', 0 FROM c),
-        last AS (SELECT conv_id, max(depth) AS depth FROM paths GROUP BY conv_id),
+        ended AS (SELECT *, depth = max(depth) OVER (PARTITION BY conv_id) AS over FROM paths),
         nodes AS (
             SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(chars) AS saved,
-                sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (p.depth = l.depth), '')) AS ends_sha256
-            FROM (SELECT p.*, l.depth AS l_depth FROM paths p JOIN last l USING (conv_id)) p JOIN (SELECT DISTINCT depth FROM last) l ON l.depth = p.l_depth GROUP BY path, p.depth),
+                sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (over), '')) AS ends_sha256
+            FROM ended GROUP BY path, depth),
         kids AS (SELECT left(path, 32 * (depth - 1)) AS path, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1),
         own AS (SELECT nodes.*, coalesce(n, 0) AS n_children FROM nodes LEFT JOIN kids USING (path)),
         sums AS (SELECT left(path, 32 * d) AS path, sum(CAST(n_children = 0 AS INT)) AS n_leaves, sum(saved) AS saved FROM own, unnest(range(0, depth + 1)) t(d) GROUP BY 1)
