@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, fingerprints, lm_score, minhash, pii, prefix_trie, suffix_dedup, token_counts, toxicity
+from . import bpe, chat, decontam, fingerprints, hard_negatives, lm_score, minhash, pii, prefix_trie, suffix_dedup, token_counts, toxicity
 from .common import crc_bucket, table
 
 
@@ -83,8 +83,12 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_lm_scoring, op2_byte_bpe, op3_suffix_dedup, op4_token_counts, op5_minhash_near_dedup, op6_pii_surrogates, op7_fingerprints, op8_toxicity, op9_chat_formatting, op10_decontamination, op11_prefix_trie)
+    f.__name__: f for f in (op1_lm_scoring, op2_byte_bpe, op3_suffix_dedup, op4_token_counts, op5_minhash_near_dedup, op6_pii_surrogates, op7_fingerprints, op8_toxicity, op9_chat_formatting, op10_decontamination, op11_prefix_trie, op12_hard_negatives)
 }
 
 #: DuckDB SQL for the operators that SQL can express.
@@ -144,4 +148,20 @@ ORACLE_SQL: dict[str, str] = {
         sums AS (SELECT left(path, 32 * d) AS path, sum(CAST(n_children = 0 AS INT)) AS n_leaves, sum(saved) AS saved FROM own, unnest(range(0, depth + 1)) t(d) GROUP BY 1)
         SELECT o.conv_id, o.depth, p.conv_id AS parent_conv_id, o.n_convs, o.n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, o.ends_sha256
         FROM own o JOIN sums s USING (path) LEFT JOIN own p ON o.depth > 0 AND p.path = left(o.path, 32 * (o.depth - 1))""",
+    "op12_hard_negatives": """
+        WITH v AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS x
+            FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+                AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        scored AS (
+            SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_dot_product(a.x, b.x) AS BIGINT) AS score
+            FROM v a, v b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+        positives AS (
+            SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+        SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INT) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+        FROM positives JOIN scored USING (anchor_id)
+        WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+        WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)
+        QUALIFY row_number() OVER w <= 5""",
 }
