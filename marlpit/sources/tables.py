@@ -64,6 +64,24 @@ def numbered(rows: DataFrame, keys: list[str], order: list[str], buckets: str) -
     return rows.withColumn("inner ", inner).join(sizes.select(*keys, buckets, before.alias("before ")), [*keys, buckets]).withColumn("n", F.col("inner ") + F.col("before ")).drop("inner ", "before ")
 
 
+def ranked(rows: DataFrame, keys: list[str], order: list[Column], name: str = "n") -> DataFrame:
+    """rows with `name`, their place from 1 within keys in the order of `order`: a sort by sampled range cuts, and offsets from the rows of each key in the ranges before.
+
+    No key's rows meet in one task. Only rows that agree in keys and order stand in one range; null keys are a key.
+    """
+    sorting = [F.asc_nulls_first(k) for k in keys] + order
+    placed = shared_table(rows.repartitionByRange(*sorting).sortWithinPartitions(*sorting).withColumn("own ", F.monotonically_increasing_id()))
+    # monotonically_increasing_id holds the range in its upper bits; a range's rows of one key follow each other.
+    in_range = placed.withColumn("range ", F.shiftright("own ", 33))
+    counts = in_range.groupBy(*keys, "range ").agg(F.count("*").alias("size "), F.min("own ").alias("least "))
+    before = F.coalesce(F.sum("size ").over(Window.partitionBy(*keys).orderBy("range ").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select(*[F.col(k).alias(f"of {k}") for k in keys], F.col("range ").alias("of range "), (before - F.col("least ") + 1).alias("add "))
+    same = F.col("range ") == F.col("of range ")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"of {k}"))
+    return in_range.join(offsets, same).withColumn(name, F.col("own ") + F.col("add ")).select(*[f"`{c}`" for c in rows.columns], name)
+
+
 def json_col(df: DataFrame, column: str, schema: str) -> DataFrame:
     """A JSON text column read by a schema; text that does not parse becomes null."""
     return df.withColumn(column, F.from_json(column, schema))
