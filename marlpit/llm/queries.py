@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, fingerprints, hard_negatives, lm_score, minhash, pii, prefix_trie, suffix_dedup, token_counts, toxicity
+from . import bpe, chat, decontam, fingerprints, hard_negatives, lm_score, minhash, mixing, pii, prefix_trie, suffix_dedup, token_counts, toxicity
 from .common import crc_bucket, table
 
 
@@ -87,8 +87,12 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
 
 
+def op13_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_lm_scoring, op2_byte_bpe, op3_suffix_dedup, op4_token_counts, op5_minhash_near_dedup, op6_pii_surrogates, op7_fingerprints, op8_toxicity, op9_chat_formatting, op10_decontamination, op11_prefix_trie, op12_hard_negatives)
+    f.__name__: f for f in (op1_lm_scoring, op2_byte_bpe, op3_suffix_dedup, op4_token_counts, op5_minhash_near_dedup, op6_pii_surrogates, op7_fingerprints, op8_toxicity, op9_chat_formatting, op10_decontamination, op11_prefix_trie, op12_hard_negatives, op13_source_mixing)
 }
 
 #: DuckDB SQL for the operators that SQL can express.
