@@ -340,7 +340,8 @@ class Index:
 
         routed = map_batches(listed, route, "cell int, salt int, " + ", ".join(f"{c} binary" for c in PACKED))
         shards = self.shards.select("cell", "salt", *[F.col(c).alias(f"row_{c}") for c in ("ids", "labels", "vectors")], "nodes")
-        return map_batches(routed.join(shards, ["cell", "salt"]), look, FOUND)
+        # Spark takes what route makes for as small as what it reads, and would broadcast it.
+        return map_batches(routed.hint("merge").join(shards, ["cell", "salt"]), look, FOUND)
 
     def nearest(self, anchors: DataFrame, same: bool) -> DataFrame:
         """(anchor, window, vec_id, score, rank): the first MOST rows of all for each window of anchors."""
