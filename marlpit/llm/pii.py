@@ -42,9 +42,10 @@ HOT_SHARE, LEAST_HOT, SALTS = 2000, 1000, 256
 #: Draws after which surrogates grow longer.
 MOST_ATTEMPTS = 12
 
-# What each type looks like. Order decides where two could start together.
+# What each type looks like. Order decides where two could start together. A repeated group costs Java's
+# matcher stack for every round, so all have a bound; a host name has 127 labels at most.
 PATTERNS = {
-    "email": r"[\p{L}\p{N}._%+\-]{0,63}[\p{L}\p{N}_%+\-]@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}",
+    "email": r"[\p{L}\p{N}._%+\-]{0,63}[\p{L}\p{N}_%+\-]@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+){0,125}\.[A-Za-z]{2,}",
     "secret": r"\b[0-9a-fA-F]{32,}\b|\b(?:sk|pk|ghp|xoxb|AKIA)[_\-]?[A-Za-z0-9]{16,}\b",
     "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "card": r"(?<![\d.])(?:\d{4}[ \-]?){3}\d{4}(?![\d.]\d|\d)",

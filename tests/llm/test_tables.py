@@ -193,3 +193,15 @@ def test_clashing_columns(docs, rows):
     assert minhash.near_duplicates(docs, 85).count() == len(rows) and suffix_dedup.removal_report(docs).count() == len(rows)
     clean = pii.replace_pii(docs, "key")
     assert clean.columns == [*docs.columns, "n_entities"] and clean.count() == len(rows)
+
+
+def test_endless_entities_end_no_machine(spark):
+    """100,000 characters of what repeats in each pattern; an address with more labels than a host name may have is none."""
+    n = 50_000
+    texts = ["a@" + "b." * n + "com", "a@" + "bc." * 100 + "com x", "a." * n + "@b.com", "@" * 2 * n, "0f" * n + " end", "1" * 2 * n, "1234 " * n, "+1" + " 22" * n, "(22) " * n, "DE12" + " ABCD" * n, "1.2.3.4." * n, "Mr " + "Ab" * n, "Mr Ab " * n, "sk_" + "a1" * n, "123-45-6789-" * (n // 4)]
+    got = {r.doc_id: r for r in pii.replace_pii(spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string"), "key").collect()}
+    assert len(got) == len(texts)
+    assert got[0].n_entities == 0 and got[0].text == texts[0]
+    assert got[1].n_entities == 1 and got[1].text.endswith("@example.invalid x")
+    assert got[4].n_entities == 1 and got[4].text.endswith(" end") and len(got[4].text) == len(texts[4]) and got[4].text != texts[4]
+    assert got[11].n_entities == 1 and got[11].text.startswith("Mr ") and len(got[11].text) < 100
