@@ -101,15 +101,18 @@ def _pick(words: list[str], n: Column) -> Column:
 def _letters(value: Column, digest: Column) -> Column:
     """Digits for digits and letters for letters of their case; hexadecimal stays hexadecimal."""
     wide = F.concat(digest, F.sha2(digest, 256))
-    hexadecimal = value.rlike("^[0-9a-f]+$")
+    marks = F.filter(F.split(value, ""), lambda c: c != "")
 
-    def swap(c: Column, k: Column) -> Column:
-        n = F.conv(F.substr(wide, (k * F.lit(2)) % F.lit(126) + F.lit(1), F.lit(2)), 16, 10).cast("int")
-        digit = F.substr(F.lit("0123456789"), n % F.lit(10) + F.lit(1), F.lit(1))
-        low = F.when(hexadecimal, F.substr(F.lit("abcdef"), n % F.lit(6) + F.lit(1), F.lit(1))).otherwise(F.substr(F.lit("abcdefghijklmnopqrstuvwxyz"), n % F.lit(26) + F.lit(1), F.lit(1)))
-        return F.when(c.rlike("[0-9]"), digit).when(c.rlike("[a-z]"), low).when(c.rlike("[A-Z]"), F.upper(low)).otherwise(c)
+    def swapped(letters: str) -> Column:
+        def swap(c: Column, k: Column) -> Column:
+            n = F.conv(F.substr(wide, (k * F.lit(2)) % F.lit(126) + F.lit(1), F.lit(2)), 16, 10).cast("int")
+            low = F.substr(F.lit(letters), n % F.lit(len(letters)) + F.lit(1), F.lit(1))
+            return F.when(c.rlike("[0-9]"), F.substr(F.lit("0123456789"), n % F.lit(10) + F.lit(1), F.lit(1))).when(c.rlike("[a-z]"), low).when(c.rlike("[A-Z]"), F.upper(low)).otherwise(c)
 
-    return F.array_join(F.transform(F.filter(F.split(value, ""), lambda c: c != ""), swap), "")
+        return F.array_join(F.transform(marks, swap), "")
+
+    # What a lambda names of the whole value is worked out for each of its characters, so the value is looked at here.
+    return F.when(value.rlike("^[0-9a-f]+$"), swapped("abcdef")).otherwise(swapped("abcdefghijklmnopqrstuvwxyz"))
 
 
 def _check_sum(digits: Column) -> Column:
