@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import html
+import contextlib
 import re
 from collections.abc import Iterator
 from urllib.parse import urljoin
@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.markup import is_nofollow, scan_links, scan_metas
 from ..functions.urls import classify_scope, normalise_urls
 from ..sources.tables import numbered, shared_table
 
@@ -66,33 +67,17 @@ def page_outcomes(df: DataFrame) -> DataFrame:
     return df.withColumn("outcome", outcome).withColumn("failure_category", category)
 
 
-SKIPPED = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|svg)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
-TAG = re.compile(r"<(/?)(a|base)\b((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
-ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)")
-
-
-def scan_links(page: str, most: int = 5000) -> list[tuple[str | None, str, str | None, str]]:
-    """(base, href, anchor text, rel) of the anchors of one page in order."""
-    page = SKIPPED.sub(" ", page)
-    base, out, open_at = None, [], None
-    for tag in [*TAG.finditer(page)]:
-        if open_at is not None:
-            text = " ".join(html.unescape(re.sub(r"<[^>]*>", " ", page[open_at : tag.start()])).split())[:300]
-            out[-1] = (*out[-1][:2], text or None, out[-1][3])
-            open_at = None
-        if tag[1]:
-            continue
-        found: dict[str, str] = {}
-        for name, value in ATTRIBUTE.findall(tag[3]):
-            found.setdefault(name.lower(), html.unescape(value.strip("\"'") if value[:1] in "\"'" else value))
-        if "href" not in found:
-            continue
-        if tag[2].lower() == "base":
-            base = base or found["href"]
-        elif len(out) < most:
-            out.append((base, found["href"].strip(), None, found.get("rel", "").lower()))
-            open_at = tag.end()
-    return out
+#: Base tags of a page that are looked at.
+MOST_BASES = 16
+
+
+def resolved_base(url: str, bases: list[str]) -> str:
+    """The first base address that is one of the web, itself resolved against the page's; the page's without any."""
+    for base in bases:
+        with contextlib.suppress(ValueError):
+            if re.match(r"(?i)https?://[^/?#]", whole := urljoin(url, base.strip())):
+                return whole
+    return url
 
 
 def extract_links(pages: DataFrame) -> DataFrame:
@@ -100,11 +85,12 @@ def extract_links(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [
-                (page, origin, place, urljoin(url or "", base) if base else url, href, text, bool({"nofollow", "ugc", "sponsored"} & {*rel.split()}))
-                for page, url, origin, body in zip(batch.page_id, batch.url, batch.origin, batch.html)
-                for place, (base, href, text, rel) in enumerate(scan_links(body or ""))
-            ]
+            rows = []
+            for page, url, origin, body in zip(batch.page_id, batch.url, batch.origin, batch.html):
+                bases, anchors = scan_links(body or "")
+                # Anchors before a base tag resolve against what was there before it.
+                known = [resolved_base(url or "", [b for _, b in bases[:k]]) for k in range(min(len(bases), MOST_BASES) + 1)]
+                rows += [(page, origin, place, known[min(k, len(known) - 1)] or url, href.strip(), text, is_nofollow(rel)) for place, (k, href, text, rel) in enumerate(anchors)]
             yield pd.DataFrame(rows, columns=["page_id", "origin", "place", "base", "href", "anchor_text", "is_nofollow"])
 
     schema = "page_id long, origin string, place int, base string, href string, anchor_text string, is_nofollow boolean"
@@ -124,24 +110,19 @@ def link_report(pages: DataFrame, links: DataFrame) -> DataFrame:
     return joined.select("page_id", "links_out", "internal_out", "nofollow_out", "links_in", (F.col("links_in") == 0).alias("is_orphan"))
 
 
-ATTRIBUTE_VALUE = r"(?is)[\s\"'/]{}\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)"
-
-
-def attribute(tag: Column, name: str) -> Column:
-    """The trimmed value of a tag's attribute, '' if it has none; data-name is not name."""
-    return F.trim(F.regexp_replace(F.regexp_extract(tag, ATTRIBUTE_VALUE.format(name), 1), r"^[\"']|[\"']$", ""))
-
-
 def verification_tags(pages: DataFrame, expected: DataFrame, name: str) -> DataFrame:
     """(site, state): token_absent, token_mismatch or verified, from the meta tags in the head of pages (site, html) against expected (site, token).
 
     Tags count inside <head> and outside comments, templates and drawings; a token is 32 hexadecimal digits and nothing else.
     """
-    plain = F.regexp_replace("html", r"(?is)<!--.*?(?:-->|$)|<(template|svg|math|script|style)\b.*?(?:</\1\s*>|$)", "")
-    head = F.regexp_extract(plain, r"(?is)<head(?:\s[^>]*)?>(.*?)(?:</head\s*>|$)", 1)
-    tags = F.filter(F.regexp_extract_all(head, F.lit(r"(?is)<meta(?:\"[^\"]*\"|'[^']*'|[^'\">])*>"), 0), lambda t: F.lower(attribute(t, "name")) == name.lower())
-    tokens = F.filter(F.transform(tags, lambda t: F.lower(attribute(t, "content"))), lambda t: t.rlike("^[0-9a-f]{32}$"))
-    found = pages.select("site", F.coalesce(tokens, F.array().cast("array<string>")).alias("tokens")).join(expected, "site", "left")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            tokens = [[t.lower() for t in scan_metas(body or "", name) if re.fullmatch("[0-9a-fA-F]{32}", t)] for body in batch.html]
+            yield pd.DataFrame({"site": batch.site, "tokens": tokens})
+
+    read = pages.select("site", "html").mapInPandas(run, f"site {pages.schema['site'].dataType.simpleString()}, tokens array<string>")
+    found = read.join(expected, "site", "left")
     state = F.when(F.size("tokens") == 0, 0).when(F.array_contains("tokens", F.coalesce(F.lower("token"), F.lit(""))), 2).otherwise(1)
     names = F.array(F.lit("token_absent"), F.lit("token_mismatch"), F.lit("verified"))
     return found.groupBy("site").agg(F.max(state).alias("rank")).select("site", F.element_at(names, F.col("rank") + 1).alias("state"))
