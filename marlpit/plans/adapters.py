@@ -81,4 +81,6 @@ def views(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
 
 def with_views(sql: str, *names: str) -> str:
     """Oracle SQL: the views as common table expressions before a query."""
-    return "WITH " + ", ".join(f"{n} AS ({VIEWS[n]})" for n in names) + (", " + sql.strip()[5:] if sql.strip().upper().startswith("WITH ") else " " + sql)
+    own = ", ".join(f"{n} AS ({VIEWS[n]})" for n in names)
+    begins = re.match(r"\s*WITH( RECURSIVE)? ", sql)
+    return f"WITH{begins[1] or ''} {own}, {sql[begins.end() :]}" if begins else f"WITH {own} {sql}"

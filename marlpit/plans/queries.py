@@ -594,12 +594,20 @@ def _(submissions):
     return limits.rate_limit_verdicts(hits, 86400, [("ip_form", ["subject", "form"], 2), ("ip", ["subject"], 6), ("form", ["form"], 30)]).select("id", "rejected_by")
 
 
-@query("w7_burst_verdicts", None, "submissions")
+#: The sliding log of a key, hit by hit.
+LOGGED = """WITH RECURSIVE hits AS (SELECT id, {key} AS key, epoch_us(ts) / 1e6 AS sec, row_number() OVER (PARTITION BY {key} ORDER BY ts, id) AS n FROM submissions),
+    replay AS (
+        SELECT key, n, id, true AS allowed, [sec] AS log, sec FROM hits WHERE n = 1
+        UNION ALL SELECT key, n, id, len(kept) < {most}, CASE WHEN len(kept) < {most} THEN list_append(kept, sec) ELSE kept END, sec
+        FROM (SELECT h.*, list_filter(r.log, lambda t: t > h.sec - {window}) AS kept FROM replay r JOIN hits h ON h.key IS NOT DISTINCT FROM r.key AND h.n = r.n + 1) x)"""
+
+
+@query("w7_burst_verdicts", LOGGED.format(key="(subject, form)", most=2, window=86400) + " SELECT id, allowed FROM replay", "submissions")
 def _(submissions):
     return limits.burst_verdicts(submissions.select("id", "subject", "form", "ts"), 2, 86400.0)
 
 
-@query("w8_attempt_limits", None, "submissions")
+@query("w8_attempt_limits", LOGGED.format(key="subject", most=3, window=86400) + " SELECT id, allowed, CAST(3 - len(log) AS BIGINT) AS remaining, CASE WHEN allowed THEN 0.0::DOUBLE ELSE log[1] + 86400 - sec END AS retry_after FROM replay", "submissions")
 def _(submissions):
     return limits.attempt_limits(submissions.select("id", "subject", "ts"), 3, 86400.0)
 
@@ -610,7 +618,15 @@ def _(opportunities):
     return limits.stage_path(moves).select("id", "stage", "previous")
 
 
-@query("w9_stage_moves", None, "opportunities")
+@query("w9_stage_moves", """WITH RECURSIVE moves AS (
+        SELECT contact_id AS deal, id AS move_id, stage AS target, CASE WHEN id % 3 = 0 THEN '2-HIGH' END AS expected, min(stage) OVER (PARTITION BY contact_id) AS start,
+            row_number() OVER (PARTITION BY contact_id ORDER BY created_at, id) AS n FROM opportunities),
+    replay AS (
+        SELECT deal, 0 AS n, NULL::BIGINT AS move_id, '' AS result, start AS stage FROM moves WHERE n = 1
+        UNION ALL SELECT m.deal, m.n, m.move_id, CASE WHEN expected <> r.stage THEN 'rejected' WHEN target = r.stage THEN 'no_op' WHEN target = '5-LOW' THEN 'lost' WHEN target = '4-NOT SPECIFIED' THEN 'won' ELSE 'stage_changed' END,
+            CASE WHEN expected <> r.stage THEN r.stage ELSE target END
+        FROM replay r JOIN moves m ON m.deal = r.deal AND m.n = r.n + 1)
+    SELECT deal, move_id, result, stage, stage IN ('5-LOW', '4-NOT SPECIFIED') AS closed FROM replay WHERE n > 0""", "opportunities")
 def _(opportunities):
     deals = opportunities.groupBy(F.col("contact_id").alias("deal")).agg(F.min("stage").alias("stage"))
     moves = opportunities.select(F.col("contact_id").alias("deal"), F.col("id").alias("move_id"), F.col("stage").alias("to_stage"), F.when(F.col("id") % 3 == 0, "2-HIGH").alias("expected_stage"), F.col("created_at").alias("ts"))

@@ -140,6 +140,34 @@ def test_ordered_limits_match_a_plain_replay(spark):
 
     assert {r.id: r.allowed for r in limits.burst_verdicts(df, 2, 10.0).collect()} == replay(lambda s, f: (s, f), 2, 10)
     assert {r.id: r.allowed for r in limits.attempt_limits(df, 3, 20.0).collect()} == replay(lambda s, f: s, 3, 20)
+    # Ranges of a few rows, so that logs are carried over many of them.
+    assert {r.id: r.allowed for r in limits.burst_verdicts(df, 2, 10.0, ranges=40).collect()} == replay(lambda s, f: (s, f), 2, 10)
+    assert {r.id: r.allowed for r in limits.attempt_limits(df, 3, 20.0, ranges=40).collect()} == replay(lambda s, f: s, 3, 20)
+
+
+def test_a_hot_key_is_spread_over_ranges(spark):
+    """A key with most of all hits, calm at first, over its limit without a pause later; null keys and times."""
+    own = random.Random(4)
+    start = datetime.datetime(2024, 1, 1)
+    times = sorted([own.randrange(40_000) for _ in range(1500)] + [40_000 + own.randrange(600) for _ in range(1500)])
+    hits = [(k, 1 if k % 10 else k % 70, start + datetime.timedelta(seconds=t)) for k, t in enumerate(times)]
+    hits += [(5000 + k, None, start + datetime.timedelta(seconds=k // 3)) for k in range(60)] + [(6000 + k, 1, None) for k in range(5)]
+    df = spark.createDataFrame(hits, "id long, subject long, ts timestamp").repartition(5)
+    logs, want = {}, {}
+    for k, subject, ts in sorted(hits, key=lambda h: (h[2] is not None, h[2] or start, h[0])):
+        if ts is None:
+            want[k] = (True, 4, 0.0)
+            continue
+        log = [t for t in logs.get(subject, []) if t > ts - datetime.timedelta(seconds=60)]
+        allowed = len(log) < 4
+        logs[subject] = log = log + [ts] * allowed
+        want[k] = (allowed, 4 - len(log), 0.0 if allowed else (log[0] - ts).total_seconds() + 60)
+    got = limits.attempt_limits(df, 4, 60.0, ranges=30).collect()
+    known = {r.id: (r.allowed, r.remaining, r.retry_after) for r in got}
+    assert len(got) == len(hits) and all(known[k] == want[k] for k in want if k < 6000)
+    assert all(known[k][0] for k in range(6000, 6005))
+    placed = limits.in_ranges(df.withColumn("at", F.col("ts").cast("double")), ["subject"], ["at", "id"], 30)
+    assert placed.where("subject = 1").select("range ").distinct().count() > 20
 
 
 def test_stage_moves_match_a_plain_replay(spark):
@@ -154,6 +182,21 @@ def test_stage_moves_match_a_plain_replay(spark):
         at[d] = to if result not in ("rejected", "no_op") else at[d]
         want[d, m] = (result, at[d], at[d] in terminal)
     assert {(r.deal, r.move_id): (r.result, r.stage, r.closed) for r in limits.apply_stage_moves(deals, df, terminal).collect()} == want
+    # Ranges of a few moves: a deal's stage goes through several of them.
+    assert {(r.deal, r.move_id): (r.result, r.stage, r.closed) for r in limits.apply_stage_moves(deals, df, terminal, ranges=15).collect()} == want
+
+
+def test_moves_compose():
+    """Tables and constants of moves against a replay from every stage."""
+    own = random.Random(3)
+    for _ in range(300):
+        moves = [(own.choice("abcd"), own.choice(["a", "b", "c", "x", None][: own.randint(1, 5)])) for _ in range(own.randint(0, 6))]
+        ends, constant = limits.compose(moves)
+        for start in "abcdxy":
+            at = start
+            for to, expected in moves:
+                at = to if expected in (None, at) else at
+            assert (constant if constant is not None else ends.get(start, start)) == at
 
 
 def run_stream(spark, df, schema, fn, tmp_path, name, mode="append"):
