@@ -730,7 +730,15 @@ def _(spark, sf_dir):
     return crawl.extract_links(pages_with_origin(spark, sf_dir)).groupBy("page_id").agg(F.count("*").alias("links"))
 
 
-@query("c5_link_report", None)
+@query("c5_link_report", r"""WITH p AS (
+        SELECT page_id, regexp_replace(url, '#.*$', '') AS own, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS origin,
+            regexp_extract_all(regexp_replace(html, '<!--.*?-->|<(script|style|noscript|template|svg)\b.*?</(script|style|noscript|template|svg)', '', 'gs'), '<a [^>]*href="[^"]*"[^>]*>') AS tags FROM pages),
+    l AS (SELECT page_id, regexp_extract(tag, 'href="([^"]*)"', 1) AS href, origin, regexp_matches(tag, 'rel="[^"]*(nofollow|ugc|sponsored)') AS nofollow FROM p, unnest(tags) t(tag)),
+    t AS (SELECT page_id, CASE WHEN starts_with(href, '/') THEN origin || href ELSE href END AS target, starts_with(href, '/') OR starts_with(href, origin || '/') AS internal, nofollow FROM l),
+    o AS (SELECT page_id, count(*) AS links_out, count(*) FILTER (internal) AS internal_out, count(*) FILTER (nofollow) AS nofollow_out FROM t GROUP BY 1),
+    i AS (SELECT p.page_id, count(*) AS links_in FROM p JOIN t ON t.target = p.own AND t.page_id <> p.page_id GROUP BY 1)
+    SELECT page_id, coalesce(links_out, 0) AS links_out, coalesce(internal_out, 0) AS internal_out, coalesce(nofollow_out, 0) AS nofollow_out, coalesce(links_in, 0) AS links_in, coalesce(links_in, 0) = 0 AS is_orphan
+    FROM p LEFT JOIN o USING (page_id) LEFT JOIN i USING (page_id)""")
 def _(spark, sf_dir):
     pages = pages_with_origin(spark, sf_dir)
     return crawl.link_report(pages, tables.shared_table(crawl.extract_links(pages)))
