@@ -10,7 +10,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from ..sources.tables import shared_table
+
 SHINGLE, LEAST_WORDS, THRESHOLD_PERCENT = 3, 40, 30
+#: A shingle of more classes than this is common.
+OFTEN = 64
 
 
 @F.pandas_udf(StringType())
@@ -78,54 +82,116 @@ def text_classes(sets: DataFrame) -> DataFrame:
     return keyed.join(first, ["workspace_id", "set_key"]).drop("set_key")
 
 
-def similar_pairs(sets: DataFrame, percent: int = THRESHOLD_PERCENT) -> DataFrame:
+def shared_parts(sets: DataFrame, often: int = OFTEN) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What classes of equal sets share, without pairing those that share but common shingles.
+
+    (docs (workspace_id, id, n, pattern, common), rare (workspace_id, a, b, rare), patterns (workspace_id, p, q, both)):
+
+    - rare: of every two classes, how many shingles they share that at most `often` classes of the workspace have. The
+      classes of such a shingle are a short list, so their pairs grow with the text, never with the square of a group.
+    - common shingles are not paired by class. Those that stand in the same classes (the runs of one shared line) are
+      one mark of their weight; the marks of a class are its pattern, `common` their weight; patterns: what any two
+      share. Classes have few patterns where lines are shared.
+
+    So two classes share rare + both shingles, and classes that share no rare one are told by their patterns and sizes.
+    """
+    reps = text_classes(sets).where("id = class_id").select("workspace_id", "id", F.array_distinct(F.transform("shingles", lambda s: F.xxhash64(s))).alias("shingles"))
+    reps = shared_table(reps)
+    each = reps.select("workspace_id", "id", F.explode("shingles").alias("shingle"))
+    seen = each.groupBy("workspace_id", "shingle").agg(F.count("*").alias("many"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("y")).where("many > 1")
+    counted = shared_table(each.join(seen, ["workspace_id", "shingle"]))
+    lists = counted.where(F.col("many") <= often).groupBy("workspace_id", "shingle").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    firsts = lists.select("workspace_id", "ids", F.posexplode("ids").alias("place", "a"))
+    rare = firsts.select("workspace_id", "a", F.explode(F.slice("ids", F.col("place") + 2, F.greatest(F.size("ids") - F.col("place") - 1, F.lit(0)))).alias("b")).groupBy("workspace_id", "a", "b").agg(F.count("*").alias("rare"))
+    common = counted.where(F.col("many") > often)
+    # Shingles of the same classes have the same counts and sums of hashes.
+    alike = ["workspace_id", "many", "x", "y"]
+    marks = common.select("workspace_id", "shingle", "many", "x", "y").distinct().groupBy(*alike).agg(F.min("shingle").alias("shingle"), F.count("*").alias("weight")).select("workspace_id", "shingle", "weight")
+    marked = common.join(marks, ["workspace_id", "shingle"]).groupBy("workspace_id", "id").agg(F.array_sort(F.collect_list(F.struct("shingle", "weight"))).alias("marks"))
+    patterned = marked.select("workspace_id", "id", "marks", F.sha2(F.to_json("marks"), 256).alias("pattern"), F.aggregate("marks.weight", F.lit(0).cast("long"), lambda total, w: total + w).alias("common"))
+    patterned = shared_table(patterned)
+    docs = reps.select("workspace_id", "id", F.size("shingles").alias("n")).join(patterned.drop("marks"), ["workspace_id", "id"], "left").na.fill(0, ["common"])
+    of = patterned.groupBy("workspace_id", "pattern").agg(F.first("marks").alias("marks")).select("workspace_id", "pattern", F.explode("marks").alias("mark")).select("workspace_id", "pattern", "mark.*")
+    other = of.select("workspace_id", "shingle", F.col("pattern").alias("q"))
+    patterns = of.withColumnRenamed("pattern", "p").join(other, ["workspace_id", "shingle"]).groupBy("workspace_id", "p", "q").agg(F.sum("weight").alias("both"))
+    return shared_table(docs), shared_table(rare), shared_table(patterns)
+
+
+def rare_similarities(docs: DataFrame, rare: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(workspace_id, a, b, both, either) of the classes that share a rare shingle."""
+    side = lambda own, size, pattern: docs.select("workspace_id", F.col("id").alias(own), F.col("n").alias(size), F.col("pattern").alias(pattern))
+    placed = rare.join(side("a", "n", "p"), ["workspace_id", "a"]).join(side("b", "m", "q"), ["workspace_id", "b"]).join(patterns, ["workspace_id", "p", "q"], "left")
+    both = F.col("rare") + F.coalesce("both", F.lit(0))
+    return placed.select("workspace_id", "a", "b", both.alias("both"), (F.col("n") + F.col("m") - both).alias("either"))
+
+
+def pairs_from(docs: DataFrame, patterns: DataFrame, close: DataFrame, percent: int) -> DataFrame:
+    """T5's pairs, from shared_parts and rare_similarities."""
+    enough = 100 * F.col("both") >= percent * F.col("either")
+    # Without a rare shingle in common, what they share must be a part of either.
+    part = docs.where((F.col("common") > 0) & (100 * F.col("common") >= percent * F.col("n")))
+    left, right = part.select("workspace_id", F.col("id").alias("a"), F.col("n"), F.col("pattern").alias("p")), part.select("workspace_id", F.col("id").alias("b"), F.col("n").alias("m"), F.col("pattern").alias("q"))
+    met = left.join(patterns, ["workspace_id", "p"]).where(100 * F.col("both") >= percent * F.col("n")).join(right, ["workspace_id", "q"])
+    told = met.where("a < b").select("workspace_id", "a", "b", "both", (F.col("n") + F.col("m") - F.col("both")).alias("either")).where(enough).join(close.select("workspace_id", "a", "b"), ["workspace_id", "a", "b"], "left_anti")
+    return close.where(enough).unionByName(told).select("workspace_id", "a", "b", F.round(F.col("both") / F.col("either"), 6).alias("similarity"))
+
+
+def similar_pairs(sets: DataFrame, percent: int = THRESHOLD_PERCENT, often: int = OFTEN) -> DataFrame:
     """T5: (workspace_id, a, b, similarity): pairs of classes of equal sets at or above the threshold; membership is in text_classes.
 
-    Shingles are ordered by how few classes share them. Two sets with Jaccard t or more share one of the
-    first n - ceil(t * n) + 1 of either, so common shingles form no candidates; sizes must fit as well.
-    Candidates are then confirmed on whole sets.
+    Classes that share a rare shingle are counted exactly, the others by the patterns of their common ones (shared_parts),
+    so no common shingle is paired with itself.
+    """
+    docs, rare, patterns = shared_parts(sets, often)
+    return pairs_from(docs, patterns, rare_similarities(docs, rare, patterns), percent)
+
+
+def highest_similarities(docs: DataFrame, patterns: DataFrame, close: DataFrame) -> DataFrame:
+    """(workspace_id, id, near): the greatest similarity of each class to another one, exactly, 0 without any shared shingle.
+
+    Of the classes of one pattern the smallest is the most similar to whatever shares but common shingles with them, so a
+    class looks at patterns, not at classes; those with a rare shingle in common have their own count.
     """
-    reps = text_classes(sets).where("id = class_id").select("workspace_id", "id", "shingles")
-    each = reps.select("workspace_id", "id", F.size("shingles").alias("n"), F.explode(F.transform("shingles", lambda s: F.xxhash64(s))).alias("shingle"))
-    common = each.groupBy("workspace_id", "shingle").agg(F.count("*").alias("many")).where("many > 1")
-    shared = each.join(common, ["workspace_id", "shingle"])
-    by_doc = Window.partitionBy("workspace_id", "id")
-    place = F.row_number().over(by_doc.orderBy("many", "shingle"))
-    most = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)) + 1 - (F.col("n") - F.count("*").over(by_doc))
-    prefix = shared.select("workspace_id", "id", "n", "shingle", place.alias("place"), most.alias("most")).where("place <= most")
-    other = prefix.select("workspace_id", "shingle", F.col("id").alias("b"), F.col("n").alias("m"))
-    fits = (F.col("id") < F.col("b")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
-    pairs = prefix.join(other, ["workspace_id", "shingle"]).where(fits).select("workspace_id", F.col("id").alias("a"), "b").distinct()
-    ours = reps.select("workspace_id", F.col("id").alias("a"), F.col("shingles").alias("x"))
-    theirs = reps.select("workspace_id", F.col("id").alias("b"), F.col("shingles").alias("y"))
-    joined = pairs.join(ours, ["workspace_id", "a"]).join(theirs, ["workspace_id", "b"])
-    both = F.size(F.array_intersect("x", "y"))
-    counted = joined.select("workspace_id", "a", "b", both.alias("both"), (F.size("x") + F.size("y") - both).alias("either"))
-    return counted.where(F.col("both") * 100 >= F.col("either") * percent).select("workspace_id", "a", "b", F.round(F.col("both") / F.col("either"), 6).alias("similarity"))
-
-
-def duplication_verdicts(outputs: DataFrame, percent: int = THRESHOLD_PERCENT, fold: bool = True, floor_percent: int = 5) -> DataFrame:
+    ends = close.select("workspace_id", F.explode(F.array("a", "b")).alias("id"), (F.col("both") / F.col("either")).alias("s"))
+    exact = ends.groupBy("workspace_id", "id").agg(F.max("s").alias("exact"))
+    place = F.row_number().over(Window.partitionBy("workspace_id", "pattern").orderBy("n", "id"))
+    small = docs.where("pattern is not null").withColumn("place", place).where("place <= 2")
+    own = small.groupBy("workspace_id", "pattern").agg(F.min(F.when(F.col("place") == 1, F.struct("n", "id"))).alias("least"), F.min(F.when(F.col("place") == 2, F.col("n"))).alias("next"))
+    sizes = small.where("place = 1").select("workspace_id", F.col("pattern").alias("q"), F.col("n").alias("m"))
+    # For what is shared with a pattern only its smallest size matters.
+    offers = patterns.where("p <> q").join(sizes, ["workspace_id", "q"]).groupBy("workspace_id", "p", "both").agg(F.min("m").alias("m")).groupBy("workspace_id", F.col("p").alias("pattern")).agg(F.collect_list(F.struct("both", "m")).alias("offers"))
+    known = docs.where("pattern is not null").join(own, ["workspace_id", "pattern"]).join(offers, ["workspace_id", "pattern"], "left")
+    same = F.when(F.col("least.id") == F.col("id"), F.col("next")).otherwise(F.col("least.n"))
+    best = F.array_max(F.transform("offers", lambda o: o["both"] / (F.col("n") + o["m"] - o["both"])))
+    told = known.select("workspace_id", "id", F.greatest(best, F.col("common") / (F.col("n") + same - F.col("common"))).alias("told"))
+    joined = docs.select("workspace_id", "id").join(exact, ["workspace_id", "id"], "left").join(told, ["workspace_id", "id"], "left")
+    return joined.select("workspace_id", "id", F.round(F.coalesce(F.greatest("exact", "told"), F.lit(0.0)), 6).alias("near"))
+
+
+def duplication_verdicts(outputs: DataFrame, percent: int = THRESHOLD_PERCENT, fold: bool = True, often: int = OFTEN) -> DataFrame:
     """(id, verdict, highest, matches) of every published output against the others of its workspace.
 
     fail if any is similar from `percent` on; indeterminate if the output, or every other, is too short to compare;
-    pass otherwise, also without any other. highest is the greatest similarity, match or not, from floor_percent on (0 below:
-    texts that share a few common words would all be pairs). matches are (class_id, similarity), the most similar first: a class
-    is all outputs of equal sets, its own with similarity 1 if it has others; text_classes has the members.
+    pass otherwise, also without any other. highest is the greatest similarity, match or not. matches are (class_id,
+    similarity), the most similar first: a class is all outputs of equal sets, its own with similarity 1 if it has
+    others; text_classes has the members.
     """
-    sets = comparable(outputs, fold)
+    sets = shared_table(comparable(outputs, fold))
     classes = text_classes(sets).select("workspace_id", "id", "class_id")
     sizes = classes.groupBy("workspace_id", "class_id").agg(F.count("*").alias("copies"))
-    pairs = similar_pairs(sets, min(percent, floor_percent))
+    docs, rare, patterns = shared_parts(sets, often)
+    close = shared_table(rare_similarities(docs, rare, patterns))
+    pairs = pairs_from(docs, patterns, close, percent)
     of = lambda own, other: pairs.select("workspace_id", F.col(own).alias("class_id"), F.struct((-F.col("similarity")).alias("rank"), F.col(other).alias("class_id")).alias("near"))
-    ends = of("a", "b").unionByName(of("b", "a"))
-    near = ends.groupBy("workspace_id", "class_id").agg((-F.min("near.rank")).alias("near"), F.array_sort(F.collect_list(F.when(-F.col("near.rank") * 100 >= percent, F.col("near")))).alias("others"))
-    known = classes.join(sizes, ["workspace_id", "class_id"]).join(near, ["workspace_id", "class_id"], "left")
+    others = of("a", "b").unionByName(of("b", "a")).groupBy("workspace_id", "class_id").agg(F.array_sort(F.collect_list("near")).alias("others"))
+    near = highest_similarities(docs, patterns, close).withColumnRenamed("id", "class_id")
+    known = classes.join(sizes, ["workspace_id", "class_id"]).join(near, ["workspace_id", "class_id"]).join(others, ["workspace_id", "class_id"], "left")
     own = F.when(F.col("copies") > 1, F.array(F.struct(F.lit(-1.0).alias("rank"), "class_id"))).otherwise(F.array())
     matches = F.transform(F.concat(own, F.coalesce("others", F.array())), lambda m: F.struct(m["class_id"].alias("class_id"), (-m["rank"]).alias("similarity")))
-    judged = known.select("workspace_id", "id", F.when(F.col("copies") > 1, 1.0).otherwise(F.coalesce("near", F.lit(0.0))).alias("highest"), matches.alias("matches"))
+    judged = known.select("workspace_id", "id", F.when(F.col("copies") > 1, 1.0).otherwise(F.col("near")).alias("highest"), matches.alias("matches"))
     published = outputs.where("published").select("workspace_id", "id")
-    others = published.groupBy("workspace_id").agg(F.count("*").alias("published")).join(sets.groupBy("workspace_id").agg(F.count("*").alias("long")), "workspace_id", "left")
-    rows = published.join(judged, ["workspace_id", "id"], "left").join(others, "workspace_id")
+    counts = published.groupBy("workspace_id").agg(F.count("*").alias("published")).join(sets.groupBy("workspace_id").agg(F.count("*").alias("long")), "workspace_id", "left")
+    rows = published.join(judged, ["workspace_id", "id"], "left").join(counts, "workspace_id")
     verdict = F.when(F.col("matches").isNull(), "indeterminate").when(F.size("matches") > 0, "fail").when((F.col("published") > 1) & (F.col("long") < 2), "indeterminate").otherwise("pass")
     return rows.select("id", verdict.alias("verdict"), F.coalesce("highest", F.lit(0.0)).alias("highest"), F.coalesce("matches", F.array()).alias("matches"))
 

@@ -927,7 +927,7 @@ def _(outputs):
     return similarity.similar_pairs(similarity.comparable(outputs))
 
 
-@query("t6_duplication_verdicts", f"""WITH {FOLDED.replace("* 30)", "* 5)")}, near AS (SELECT id, max(similarity) AS s, max(CASE WHEN similarity >= 0.3 THEN 1 ELSE 0 END) AS hit, count(*) FILTER (similarity >= 0.3) AS n FROM (SELECT a AS id, similarity FROM pairs UNION ALL SELECT b, similarity FROM pairs) x GROUP BY 1),
+@query("t6_duplication_verdicts", f"""WITH {FOLDED.replace("* 30)", "* 0)")}, near AS (SELECT id, max(similarity) AS s, max(CASE WHEN similarity >= 0.3 THEN 1 ELSE 0 END) AS hit, count(*) FILTER (similarity >= 0.3) AS n FROM (SELECT a AS id, similarity FROM pairs UNION ALL SELECT b, similarity FROM pairs) x GROUP BY 1),
     judged AS (SELECT c.id, CASE WHEN copies > 1 THEN 1.0 ELSE coalesce(near.s, 0.0) END AS highest, CASE WHEN copies > 1 THEN 1 ELSE 0 END + coalesce(near.n, 0) AS matches FROM classes c LEFT JOIN near ON near.id = c.class_id)
     SELECT w.id, CASE WHEN j.id IS NULL THEN 'indeterminate' WHEN matches > 0 THEN 'fail' ELSE 'pass' END AS verdict, coalesce(CAST(highest AS DOUBLE), 0.0) AS highest, coalesce(matches, 0) AS matches FROM worded w LEFT JOIN judged j ON j.id = w.id""", "outputs")
 def _(outputs):

@@ -1,6 +1,7 @@
 import datetime
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from marlpit.functions import identity
@@ -66,6 +67,40 @@ def test_leads_in_order_match_a_plain_replay(spark):
     assert ingest.ingest_batch(spark.createDataFrame(leads[:5], LEAD), receipts, contacts, always_create=True)["contacts"].count() == len({x[3] for x in leads[:5]})
 
 
+@pytest.mark.parametrize("often", [1, 2, 4, 64])
+def test_similarities_match_every_pair(spark, often):
+    """Shared lines, near copies, short texts and two workspaces against a comparison of all pairs, whatever counts as common."""
+    own = random.Random(8)
+    word = lambda n=300: f"w{own.randrange(n)}"
+    lines = [" ".join(word(10**6) for _ in range(own.randint(3, 30))) for _ in range(4)]
+    rows, texts = [], []
+    for k in range(90):
+        parts = [" ".join(word() for _ in range(own.choice([0, 5, 40, 80])))] + [x for x in lines if own.random() < 0.4]
+        if texts and own.random() < 0.3:
+            parts = own.choice(texts).split()
+            if own.random() < 0.7 and parts:
+                parts[own.randrange(len(parts))] = word()
+        own.shuffle(parts)
+        texts.append(" ".join(parts))
+        rows.append((k % 2, k, texts[-1]))
+    sets = spark.createDataFrame([(w, k, len(t.split()), sorted({" ".join(t.split()[p : p + 3]) for p in range(len(t.split()) - 2)})) for w, k, t in rows if len(t.split()) > 3], "workspace_id int, id int, n_words int, shingles array<string>")
+    classes = {}
+    for r in sorted(sets.collect(), key=lambda r: r.id):
+        classes.setdefault((r.workspace_id, frozenset(r.shingles)), r.id)
+    pairs, best = {}, dict.fromkeys(classes.values(), 0.0)
+    for (w, x), a in classes.items():
+        for (v, y), b in classes.items():
+            if w == v and a < b:
+                s = len(x & y) / len(x | y)
+                best[a], best[b] = max(best[a], s), max(best[b], s)
+                if s >= 0.3:
+                    pairs[a, b] = round(s, 6)
+    assert {(r.a, r.b): r.similarity for r in similarity.similar_pairs(sets, often=often).collect()} == pairs
+    docs, rare, patterns = similarity.shared_parts(sets, often)
+    got = similarity.highest_similarities(docs, patterns, similarity.rare_similarities(docs, rare, patterns)).collect()
+    assert {r.id: r.near for r in got} == {k: round(s, 6) for k, s in best.items()}
+
+
 def test_duplication_verdicts(spark):
     words = " ".join(f"w{k}" for k in range(60))
     half = " ".join([f"w{k}" for k in range(12)] + [f"u{k}" for k in range(48)])
