@@ -28,25 +28,34 @@ def range_table(spark: SparkSession) -> DataFrame:
 def classify_addresses(df: DataFrame, ip_col: str) -> DataFrame:
     """Df with range_name: the most specific range of an address, 'public' outside all, 'invalid' if it is none.
 
+    Whatever is not written as an address is, to the letter, is invalid: spaces, leading zeros, colons too many.
+
     The list of ranges is fixed and short, so it is an expression. Version 6 addresses are compared by their
     32 hexadecimal digits. Those that carry a version 4 address, mapped or for NAT64, have its range, and
     'embedded-ipv4' where it would be public: an address has one notation.
     """
-    text = F.lower(F.trim(F.col(ip_col)))
-    dotted = F.regexp_extract(text, r"(?:^|:)(\d{1,3}(?:\.\d{1,3}){3})$", 1)
+    given = F.lower(F.col(ip_col))
+    # A zone says where a link-local address holds, and nothing of its range.
+    text = F.when(given.contains(":"), F.regexp_replace(given, r"%[0-9a-z.:\-]+$", "")).otherwise(given)
+    # Octets have one spelling: no leading zeros.
+    dotted = F.regexp_extract(text, r"(?:^|:)((?:(?:0|[1-9][0-9]{0,2})\.){3}(?:0|[1-9][0-9]{0,2}))$", 1)
     octets = F.transform(F.split(dotted, r"\."), lambda o: o.try_cast("long"))
     four_sound = (dotted != "") & F.forall(octets, lambda o: o.between(0, 255))
     low = F.aggregate(octets, F.lit(0).cast("long"), lambda total, o: total * 256 + F.coalesce(o, F.lit(0)))
     # The dotted end of a version 6 address is its last two groups.
     tail = F.lpad(F.lower(F.hex(low)), 8, "0")
     six_text = F.when(text.contains(":") & four_sound, F.concat(F.regexp_replace(text, r"[0-9.]+$", ""), F.substring(tail, 1, 4), F.lit(":"), F.substring(tail, 5, 4))).otherwise(text)
+    # Groups between single colons, and one gap at most, which stands for one group at least.
+    some = "[0-9a-f]{1,4}(?::[0-9a-f]{1,4}){0,7}"
+    sound = six_text.contains(":") & six_text.rlike(f"^(?:{some})?(?:::(?:{some})?)?$")
     halves = F.split(six_text, "::")
     groups = lambda part: F.filter(F.split(part, ":"), lambda g: g != "")
-    left, right = groups(halves[0]), F.when(F.size(halves) > 1, groups(F.get(halves, F.lit(1)))).otherwise(F.array().cast("array<string>"))
-    gap = F.when(F.size(halves) == 2, F.greatest(F.lit(8) - F.size(left) - F.size(right), F.lit(0))).otherwise(0)
-    every = F.concat(left, F.array_repeat(F.lit("0"), gap), right)
+    has_gap = F.size(halves) == 2
+    left, right = groups(halves[0]), F.when(has_gap, groups(F.get(halves, F.lit(1)))).otherwise(F.array().cast("array<string>"))
+    told = F.size(left) + F.size(right)
+    every = F.concat(left, F.array_repeat(F.lit("0"), F.when(has_gap, F.greatest(F.lit(8) - told, F.lit(0))).otherwise(0)), right)
     digits = F.array_join(F.transform(every, lambda g: F.lpad(g, 4, "0")), "")
-    is_v6 = six_text.rlike(r"^[0-9a-f:]+$") & six_text.contains(":") & (F.size(halves) <= 2) & (F.size(every) == 8) & F.forall(every, lambda g: F.length(g) <= 4)
+    is_v6 = sound & F.when(has_gap, told <= 7).otherwise(told == 8)
     settled = df.withColumn("v6 ", F.when(is_v6, digits)).withColumn("v4 ", F.when(text.contains(":"), None).when(four_sound & (dotted == text), low))
     inside = F.col("v6 ").startswith("0" * 20 + "ffff") | F.col("v6 ").startswith("0064ff9b" + "0" * 8)
     number = F.when(inside, F.conv(F.substring("v6 ", 25, 8), 16, 10).cast("long")).otherwise(F.col("v4 "))

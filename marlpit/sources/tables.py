@@ -105,28 +105,40 @@ def append(path: str, rows: DataFrame) -> None:
     rows.write.mode("append").parquet(path)
 
 
-def parse_robots(documents: DataFrame, max_bytes: int = 500_000, max_lines: int = 10_000, max_rules: int = 2_000) -> tuple[DataFrame, DataFrame]:
+# Fixed value: white space as scripts of the web know it.
+BLANK = r"\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
+
+
+def parse_robots(documents: DataFrame, max_bytes: int = 512_000, max_lines: int = 100_000, max_rules: int = 2_000, max_pattern: int = 2_048) -> tuple[DataFrame, DataFrame]:
     """(rules (origin, group, agent, line, kind, pattern), sitemaps (origin, line, url)) of documents (origin, body).
 
-    Bytes beyond the bound are cut with their partial last line; comments and unknown fields are ignored;
-    agents that follow each other open one group.
+    Characters beyond the bound are cut with their partial last line, whatever ends lines; a byte order mark is no part of
+    the first field; comments and unknown fields are ignored; agents that follow each other open one group; longer
+    patterns are cut at max_pattern, longer sitemap addresses left out.
     """
-    cut_at = F.when(F.length("body") > max_bytes, F.regexp_replace(F.substring("body", 1, max_bytes), r"[^\n]*$", "")).otherwise(F.col("body"))
+    blank = "[" + BLANK + "]"
+    bare = lambda c: F.regexp_replace(c, f"^{blank}++|{blank}++$", "")
+    kept = F.substring("body", 1, max_bytes)
+    # Up to the last line end; no line is whole without one.
+    ended = F.regexp_extract(kept, r"(?s)^(.*)[\r\n]", 1)
+    cut_at = F.regexp_replace(F.when(F.length("body") > max_bytes, ended).otherwise(F.col("body")), "^\ufeff", "")
     lines = documents.select("origin", F.posexplode(F.split(cut_at, r"\r\n|\r|\n")).alias("line", "text")).where(F.col("line") < max_lines)
-    bare = lines.withColumn("text", F.trim(F.regexp_replace("text", "#.*$", "")))
-    colon, spaced = r"^([A-Za-z\-]+)\s*:\s*(.*)$", r"^([A-Za-z\-]+)\s+(\S+)$"
+    plain = lines.withColumn("text", bare(F.substring_index("text", "#", 1)))
     has = F.col("text").contains(":")
-    field = F.lower(F.when(has, F.regexp_extract("text", colon, 1)).otherwise(F.regexp_extract("text", spaced, 1)))
-    value = F.trim(F.when(has, F.regexp_extract("text", colon, 2)).otherwise(F.regexp_extract("text", spaced, 2)))
-    known = bare.select("origin", "line", field.alias("field"), value.alias("value")).where(F.col("field").isin("user-agent", "allow", "disallow", "crawl-delay", "sitemap"))
+    spaced = f"^([^{BLANK}]++){blank}++([^{BLANK}]++)$"
+    field = F.lower(bare(F.when(has, F.substring_index("text", ":", 1)).otherwise(F.regexp_extract("text", spaced, 1))))
+    value = F.when(has, bare(F.substr("text", F.instr("text", ":") + 1))).otherwise(F.regexp_extract("text", spaced, 2))
+    known = plain.select("origin", "line", F.when(field == "useragent", F.lit("user-agent")).otherwise(field).alias("field"), value.alias("value")).where(F.col("field").isin("user-agent", "allow", "disallow", "crawl-delay", "sitemap"))
     order = Window.partitionBy("origin").orderBy("line")
     grouped = known.where("field <> 'sitemap'").withColumn("before", F.lag("field").over(order))
     opens = F.when((F.col("field") == "user-agent") & (F.coalesce("before", F.lit("")) != "user-agent"), 1).otherwise(0)
     grouped = grouped.withColumn("group", F.sum(opens).over(order))
-    agents = grouped.where("field = 'user-agent'").select("origin", "group", F.lower("value").alias("agent"))
-    rules = grouped.where("field <> 'user-agent' and `group` > 0").withColumn("place", F.row_number().over(order)).where(F.col("place") <= max_rules)
-    out = agents.join(rules.select("origin", "group", "line", F.col("field").alias("kind"), F.col("value").alias("pattern")), ["origin", "group"])
-    return out, known.where("field = 'sitemap' and value <> ''").select("origin", "line", F.col("value").alias("url"))
+    agents = grouped.where("field = 'user-agent' and value <> ''").select("origin", "group", F.lower("value").alias("agent"))
+    # Delays are not counted among the rules.
+    rules = grouped.where("field <> 'user-agent' and `group` > 0").withColumn("place", F.sum(F.when(F.col("field") == "crawl-delay", 0).otherwise(1)).over(order)).where((F.col("place") <= max_rules) | (F.col("field") == "crawl-delay"))
+    pattern = F.when(F.col("field") == "crawl-delay", F.col("value")).otherwise(F.substring("value", 1, max_pattern))
+    out = agents.join(rules.select("origin", "group", "line", F.col("field").alias("kind"), pattern.alias("pattern")), ["origin", "group"])
+    return out, known.where((F.col("field") == "sitemap") & F.length("value").between(1, max_pattern)).select("origin", "line", F.col("value").alias("url"))
 
 
 SITEMAP = "sitemap array<struct<loc:string>>, url array<struct<loc:string,lastmod:string,changefreq:string,priority:string>>"

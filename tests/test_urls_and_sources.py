@@ -45,6 +45,30 @@ def test_robots(spark):
     assert got == {"/admin/x": False, "/admin/open": True, "/admin/open2": False, "/old/x": False, "/free": True}
 
 
+def test_robots_files_that_must_not_fail_open(spark):
+    """Marks, line ends, blanks and cuts that could lose a rule or make one up."""
+    long = "User-agent: *\nDisallow: /private\n"
+    bodies = {
+        "mark": "\ufeffUser-agent: *\nDisallow: /x",
+        "cr": "User-agent: *\rDisallow: /x\r" + "# filler\r" * 100,
+        "crlf": "User-agent:\t*\r\nDisallow:\t/x\t#c\r\n",
+        "blank": "\u00a0User-agent\u3000: \u00a0*\nUserAgent: other\n\x0bDisallow \t /x",
+        "stump": long + "#" * (60 - len(long)) + "\nAllow: /private-page\n",
+        "line": "User-agent: *" + " " * 100 + "\nDisallow: /x",
+        "nobody": "User-agent: a\nDisallow: /y\nUser-agent:\nDisallow: /x",
+        "early": "Disallow: /x\nUser-agent: *\nCrawl-delay: 3\nDisallow: /y",
+        "spaces": "User-agent: *\nDisallow /x y\nDisallow: /x y",
+    }
+    rules, _ = tables.parse_robots(spark.createDataFrame([*bodies.items()], "origin string, body string"), max_bytes=75)
+    got = sorted((r.origin, r.agent, r.kind, r.pattern) for r in rules.collect())
+    assert got == sorted([
+        ("mark", "*", "disallow", "/x"), ("cr", "*", "disallow", "/x"), ("crlf", "*", "disallow", "/x"), ("blank", "*", "disallow", "/x"), ("blank", "other", "disallow", "/x"), ("stump", "*", "disallow", "/private"),
+        ("nobody", "a", "disallow", "/y"), ("early", "*", "crawl-delay", "3"), ("early", "*", "disallow", "/y"), ("spaces", "*", "disallow", "/x y"),
+    ])
+    counted, maps = tables.parse_robots(spark.createDataFrame([("o", "User-agent: *\nCrawl-delay: 1\nDisallow: /abcdef\nAllow: /b\nSitemap: https://e.test/\nSitemap: /m")], "origin string, body string"), max_rules=1, max_pattern=4)
+    assert sorted((r.kind, r.pattern) for r in counted.collect()) == [("crawl-delay", "1"), ("disallow", "/abc")] and [r.url for r in maps.collect()] == ["/m"]
+
+
 def test_orphans_ignore_self_and_external_links(spark):
     pages = spark.createDataFrame([(1, k, f"u{k}", 0, "fetched") for k in (1, 2, 3, 4)], "crawl_id int, page_id int, url string, depth int, outcome string")
     links = spark.createDataFrame([(1, 1, "u1", "internal"), (1, 1, "u2", "internal"), (1, 1, "u3", "external"), (2, 9, "u4", "internal")], "crawl_id int, source_page_id int, target_url string, scope string")
@@ -69,6 +93,12 @@ def test_addresses(spark):
     want = {
         "10.1.2.3": "private-a", "255.255.255.255": "broadcast", "8.8.8.8": "public", "169.254.169.254": "link-local", "::1": "loopback", "::": "unspecified", "fe80::1": "link-local", "2606:4700::1": "public",
         "::ffff:10.0.0.1": "private-a", "::ffff:7f00:1": "loopback", "::FFFF:8.8.8.8": "embedded-ipv4", "64:ff9b::a00:1": "private-a", "64:ff9b::8.8.8.8": "embedded-ipv4", "64:ff9b:1::a00:1": "public",
+        "08.8.8.8": "invalid", "010.0.0.1": "invalid", "8.8.8.8 ": "invalid", "1:2:3:4:5:6:7::8": "invalid", "1:2:3:4:5:6:7:8:": "invalid", ":1:2:3:4:5:6:7:8": "invalid", "1:2:3:4:5:6:7": "invalid",
+        "1:2:3:4:5:6:7::": "public", "::2:3:4:5:6:7:8": "public", "fe80::1%eth0": "link-local", "8.8.8.8%eth0": "invalid", "::ffff:010.0.0.1": "invalid", "1:2:3:4:5:6::1.2.3.4": "invalid", "1:2:3:4:5:6:10.0.0.1": "public",
+        ":::": "invalid", ":": "invalid", "1.2.3.4::": "invalid", "0.0.0.0": "this-network", "0.0.0.0.0": "invalid", "10.0.0.0": "private-a", "10.255.255.255": "private-a", "172.15.255.255": "public", "172.16.0.0": "private-b",
+        "172.31.255.255": "private-b", "172.32.0.1": "public", "100.63.255.255": "public", "100.64.0.0": "cgnat", "100.127.255.255": "cgnat", "100.128.0.1": "public", "169.253.255.255": "public", "169.255.0.1": "public",
+        "198.19.255.255": "benchmarking", "198.20.0.0": "public", "223.255.255.255": "public", "224.0.0.1": "multicast", "fbff::1": "public", "fc00::": "unique-local", "fec0::1": "public", "2001:db8::1": "documentation",
+        "2001:20::1": "orchid-v2", "2001::1": "teredo", "2002::1": "6to4", "64:ff9b::7f00:1": "loopback", "1::g": "invalid", "１.2.3.4": "invalid",
         "999.1.1.1": "invalid", "1.2.3": "invalid", "1::2::3": "invalid", "example.com": "invalid", "": "invalid", "12345::1": "invalid",
     }
     df = network.classify_addresses(spark.createDataFrame([(k,) for k in want], "ip string"), "ip")
