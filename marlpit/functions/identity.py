@@ -33,6 +33,24 @@ def normalise_phone(df: DataFrame, phone: str, region: str, rules: DataFrame) ->
     return joined.withColumn("phone_e164", F.when(valid, F.concat(F.lit("+"), F.col("code"), national))).drop("region ", "code", "trunk", "pattern")
 
 
+#: The region of a workspace that names none.
+DEFAULT_REGION = "AU"
+
+
+def phone_region(columns: list[str]) -> Column:
+    """The region that a row's telephone number is read by. columns: those that the table has."""
+    return F.coalesce(F.col("region"), F.lit(DEFAULT_REGION)) if "region" in columns else F.lit(DEFAULT_REGION)
+
+
+def phone_e164(phone: Column, region: Column) -> Column:
+    """C16 as an expression: the E.164 form of a number read by a region of PHONE_REGIONS, null where it is none of it."""
+    digits, out = F.regexp_replace(F.trim(phone), r"[\s().\-]", ""), F.lit(None).cast("string")
+    for name, code, trunk, pattern in PHONE_REGIONS:
+        own = F.when(digits.startswith("+" + code), F.substr(digits, F.lit(len(code) + 2))).when(digits.startswith("+"), None).when(digits.startswith(trunk), F.substr(digits, F.lit(len(trunk) + 1))).otherwise(digits)
+        out = F.when((region == name) & own.rlike(f"^{pattern}$"), F.concat(F.lit("+" + code), own)).otherwise(out)
+    return out
+
+
 def tag_slug(name: Column) -> Column:
     """C17: trimmed, lower-cased, white space collapsed."""
     return F.regexp_replace(F.lower(F.trim(name)), r"\s+", " ")
@@ -66,10 +84,10 @@ DIGEST_FIELDS = ["email", "phone", "first_name", "last_name", "source_type", "so
 
 
 def request_digest(columns: list[str]) -> Column:
-    """C20: SHA-256 of a lead's normalised e-mail and telephone number, trimmed lower-case names (null: empty), provenance and campaign, nulls kept. columns: those that the table has; the others are null."""
+    """C20: SHA-256 of a lead's normalised e-mail and E.164 telephone number, trimmed lower-case names (null: empty), provenance and campaign, nulls kept. columns: those that the table has; the others are null."""
     of = lambda c: F.col(c).cast("string") if c in columns else F.lit(None).cast("string")
     name = lambda c: F.lower(F.trim(F.coalesce(of(c), F.lit(""))))
-    first = [normalise_email(of("email")), F.nullif(F.trim(of("phone")), F.lit("")), name("first_name"), name("last_name")]
+    first = [normalise_email(of("email")), phone_e164(of("phone"), phone_region(columns)), name("first_name"), name("last_name")]
     return F.sha2(F.to_json(F.array(*first, *[of(c) for c in DIGEST_FIELDS[4:]])).cast("binary"), 256)
 
 

@@ -8,7 +8,7 @@ import json
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.identity import normalise_email, tag_slug
+from ..functions.identity import normalise_email, phone_e164, phone_region, tag_slug
 from ..sources.tables import like_literal, shared_table
 
 
@@ -275,8 +275,8 @@ def submission_receipts(submissions: DataFrame, contacts: DataFrame, versions: D
 
 
 def identity_keys(contacts: DataFrame) -> DataFrame:
-    """(id, created, kind, key): the identity keys of contacts, one row each."""
-    keys = F.array(F.struct(F.lit("email").alias("kind"), normalise_email(F.col("email")).alias("key")), F.struct(F.lit("phone").alias("kind"), F.nullif(F.trim("phone"), F.lit("")).alias("key")))
+    """(id, workspace_id, kind, key): the identity keys of contacts, one row each: the normalised e-mail, and the telephone number in E.164 by the row's region. A number that is none of its region is no key."""
+    keys = F.array(F.struct(F.lit("email").alias("kind"), normalise_email(F.col("email")).alias("key")), F.struct(F.lit("phone").alias("kind"), phone_e164(F.col("phone"), phone_region(contacts.columns)).alias("key")))
     return contacts.select("id", "workspace_id", F.explode(keys).alias("k")).select("id", "workspace_id", "k.kind", "k.key").where("key is not null")
 
 

@@ -2,28 +2,51 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.attribution import classify_source
-from ..functions.identity import abuse_signals, normalise_email, request_digest
+from ..functions.identity import DEFAULT_REGION, abuse_signals, normalise_email, request_digest
 from ..functions.urls import normalise_origin, origin_allowed
 from ..sources.tables import shared_table
 from .crm import entry_stage, identity_keys, import_match_count, live_contacts, rows_reached
 from .limits import TIERS, rate_limit_verdicts
 
 
-def least_neighbours(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(id, component): the least id that each node reaches over edges (id, key); rounds end when no label falls."""
-    labels = shared_table(nodes.select("id", F.col("id").alias("component")))
-    while True:
-        by_key = edges.join(labels, "id").groupBy("key").agg(F.min("component").alias("component"))
-        lower = edges.join(by_key, "key").groupBy("id").agg(F.min("component").alias("lower"))
-        new = shared_table(labels.join(lower, "id", "left").select("id", F.least("component", "lower").alias("component"), (F.col("lower") < F.col("component")).alias("fell")))
-        if new.where("fell").isEmpty():
-            return new.select("id", "component")
-        labels = new.select("id", "component")
+def oldest_reached(links: DataFrame) -> DataFrame:
+    """(id, best) of links (id, parent, best): the least best on the way from each id over parents to its end; a null parent ends it.
+
+    A hop doubles each round, so rounds grow with the logarithm of the longest way; each is written.
+    """
+    hops = shared_table(links)
+    while not hops.where("parent is not null").isEmpty():
+        above = hops.select(F.col("id").alias("parent"), F.col("parent").alias("next"), F.col("best").alias("theirs"))
+        hops = shared_table(hops.join(above, "parent", "left").select("id", F.col("next").alias("parent"), F.least("best", "theirs").alias("best")))
+    return hops.select("id", "best")
+
+
+def place_leads(fresh: DataFrame, contacts: DataFrame) -> DataFrame:
+    """(id, outcome, contact_id) of leads taken in the order of their ids, each to the oldest contact, stored or of this batch, that owns one of its keys.
+
+    A key's owner is the contact of the first lead that has it, so a lead's contact is the oldest on the ways from it over
+    first leads: what those have stored, and they themselves. A first lead has at most one other key, so it has at most
+    one way on, and the first leads are a forest, whose ways are walked in doubling hops. No component meets in a task.
+    """
+    keys = shared_table(identity_keys(fresh).select("id", F.concat_ws("|", F.col("workspace_id").cast("string"), "kind", "key").alias("key")))
+    stored = identity_keys(live_contacts(contacts)).groupBy(F.concat_ws("|", F.col("workspace_id").cast("string"), "kind", "key").alias("key")).agg(F.min("id").alias("stored"))
+    firsts = keys.groupBy("key").agg(F.min("id").alias("first"))
+    led = shared_table(keys.join(firsts, "key").join(stored, "key", "left"))
+    # Stored contacts are older than those of the batch; of either kind the smaller id is.
+    age = lambda new, k: F.struct(F.lit(new).alias("new"), k.alias("k"))
+    own = led.groupBy("id").agg(F.min("stored").alias("stored"), F.max(F.col("first") == F.col("id")).alias("leads"), F.min(F.when(F.col("first") < F.col("id"), F.col("first"))).alias("parent"))
+    base = F.when(F.col("stored").isNotNull(), age(1, F.col("stored"))).otherwise(age(2, F.col("id")))
+    bases = shared_table(own.select("id", "leads", "parent", base.alias("best")))
+    reached = oldest_reached(bases.where("leads").select("id", "parent", "best"))
+    through = led.select("id", "first").join(reached.select(F.col("id").alias("first"), F.col("best").alias("theirs")), "first").groupBy("id").agg(F.min("theirs").alias("theirs"))
+    found = bases.join(through, "id").select("id", F.least("best", "theirs").alias("best"))
+    judged = fresh.select("id").join(found, "id", "left").withColumn("best", F.coalesce("best", age(2, F.col("id"))))
+    contact = F.when(F.col("best.new") == 1, F.col("best.k")).otherwise(-F.col("best.k"))
+    return judged.select("id", F.when(contact == -F.col("id"), "created").otherwise("matched").alias("outcome"), contact.alias("contact_id"))
 
 
 def ingest_leads(leads: DataFrame, receipts: DataFrame, contacts: DataFrame, always_create: bool = False) -> DataFrame:
@@ -31,8 +54,8 @@ def ingest_leads(leads: DataFrame, receipts: DataFrame, contacts: DataFrame, alw
 
     A key seen before is a duplicate with its contact, or a conflict if its content differs. Other leads
     are taken in the order of their ids: each joins the oldest contact, stored or of this batch, that has
-    its e-mail or telephone number, or else is one itself. Leads that share keys are replayed together,
-    which is the only ordered work; contact ids of new contacts are the negated id of their lead.
+    its e-mail or telephone number, or else is one itself (place_leads). Ids are above 0; contact ids of new contacts
+    are the negated id of their lead.
     """
     digested = leads.withColumn("digest", request_digest(leads.columns))
     key = ["workspace_id", "source_system", "external_key"]
@@ -44,12 +67,7 @@ def ingest_leads(leads: DataFrame, receipts: DataFrame, contacts: DataFrame, alw
     if always_create:
         placed = fresh.select("id", F.lit("created").alias("outcome"), (-F.col("id")).alias("contact_id"), "digest")
     else:
-        keys = identity_keys(fresh).select("id", F.concat_ws("|", F.col("workspace_id").cast("string"), "kind", "key").alias("key"))
-        stored = identity_keys(live_contacts(contacts)).groupBy(F.concat_ws("|", F.col("workspace_id").cast("string"), "kind", "key").alias("key")).agg(F.min("id").alias("stored"))
-        component = least_neighbours(keys, fresh)
-        rows = fresh.select("id", "digest").join(component, "id").join(keys, "id", "left").join(stored, "key", "left")
-        per_lead = rows.groupBy("component", "id", "digest").agg(F.collect_list("key").alias("keys"), F.min("stored").alias("stored"))
-        placed = per_lead.groupBy("component").applyInPandas(replay, "id long, outcome string, contact_id long, digest string")
+        placed = fresh.select("id", "digest").join(place_leads(fresh, contacts), "id").select("id", "outcome", "contact_id", "digest")
     firsts = placed.join(seen.where("old_digest is null and place = 1").select("id", *key), "id").select(*key, F.col("contact_id").alias("own"), F.col("digest").alias("first_digest"))
     later = seen.where("old_digest is null and place > 1").join(firsts, key)
     same = F.col("digest") == F.col("first_digest")
@@ -57,22 +75,6 @@ def ingest_leads(leads: DataFrame, receipts: DataFrame, contacts: DataFrame, alw
     return replayed.unionByName(placed).unionByName(repeats)
 
 
-def replay(group: pd.DataFrame) -> pd.DataFrame:
-    """The leads of one component in order; a stored contact is older than any of the batch."""
-    owner: dict[str, int] = {}
-    rows = []
-    for row in group.sort_values("id").itertuples():
-        matches = [owner[k] for k in row.keys if k in owner]
-        stored = [int(row.stored)] if pd.notna(row.stored) else []
-        contact = min(stored + [m for m in matches if m > 0]) if stored or any(m > 0 for m in matches) else max(matches, default=None)
-        outcome = "matched" if contact is not None else "created"
-        contact = -row.id if contact is None else contact
-        for k in row.keys:
-            owner.setdefault(k, contact)
-        rows.append((row.id, outcome, contact, row.digest))
-    return pd.DataFrame(rows, columns=["id", "outcome", "contact_id", "digest"])
-
-
 def ingest_batch(leads: DataFrame, receipts: DataFrame, contacts: DataFrame, stages: DataFrame | None = None, always_create: bool = False) -> dict[str, DataFrame]:
     """L1: outcomes of leads (see ingest_leads) with the new rows of every table.
 
@@ -191,18 +193,19 @@ def prepare_import(rows: DataFrame, mapping: dict[str, str]) -> tuple[DataFrame,
     return judged.where(F.size("rules") == 0).drop("rules"), judged.select("row_number", F.explode("rules").alias("rule"))
 
 
-def validate_import(rows: DataFrame, mapping: dict[str, str], contacts: DataFrame) -> DataFrame:
+def validate_import(rows: DataFrame, mapping: dict[str, str], contacts: DataFrame, region: str = DEFAULT_REGION) -> DataFrame:
     """Total, valid, issues and known keys of an import, nothing written."""
     valid, issues = prepare_import(rows, mapping)
-    known = import_match_count(valid.withColumn("id", F.col("row_number")).withColumn("workspace_id", F.lit(0)), contacts.withColumn("workspace_id", F.lit(0)))
+    of_one = {"workspace_id": F.lit(0), "region": F.lit(region)}
+    known = import_match_count(valid.withColumns({"id": F.col("row_number")} | of_one), contacts.withColumns(of_one))
     parts = [rows.agg(F.count("*").alias("n")).withColumn("what", F.lit("total")), valid.agg(F.count("*").alias("n")).withColumn("what", F.lit("valid")), issues.agg(F.count("*").alias("n")).withColumn("what", F.lit("issues")), known.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).withColumn("what", F.lit("matches"))]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
-def run_import(rows: DataFrame, mapping: dict[str, str], receipts: DataFrame, contacts: DataFrame, workspace: int, batch: str) -> tuple[DataFrame, dict[str, DataFrame]]:
+def run_import(rows: DataFrame, mapping: dict[str, str], receipts: DataFrame, contacts: DataFrame, workspace: int, batch: str, region: str = DEFAULT_REGION) -> tuple[DataFrame, dict[str, DataFrame]]:
     """(status (batch, imported, matched, failed, status), new rows) of an import: sound rows are ingested under the key import:<batch>:<row>, so a repeated run adds nothing; a row with issues, or a conflict, has failed."""
     valid, issues = prepare_import(rows, mapping)
-    leads = valid.withColumnRenamed("row_number", "id").withColumn("workspace_id", F.lit(workspace)).withColumn("source_system", F.lit("import")).withColumn("external_key", F.concat_ws(":", F.lit("import"), F.lit(batch), F.col("id").cast("string")))
+    leads = valid.withColumnRenamed("row_number", "id").withColumn("workspace_id", F.lit(workspace)).withColumn("region", F.lit(region)).withColumn("source_system", F.lit("import")).withColumn("external_key", F.concat_ws(":", F.lit("import"), F.lit(batch), F.col("id").cast("string")))
     made = ingest_batch(leads, receipts, contacts)
     outcomes = made["outcomes"].select(F.lit(batch).alias("batch"), "outcome").unionByName(issues.select("row_number").distinct().select(F.lit(batch).alias("batch"), F.lit("failed").alias("outcome")))
     return import_status(outcomes), made

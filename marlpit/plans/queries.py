@@ -224,7 +224,7 @@ def _(submissions):
 
 KEYS = """
     keyed AS (SELECT id, workspace_id, is_deleted, is_merged, is_erased, 'email' AS kind, lower(trim(email)) AS k FROM contacts WHERE email IS NOT NULL
-        UNION ALL SELECT id, workspace_id, is_deleted, is_merged, is_erased, 'phone', phone FROM contacts WHERE phone IS NOT NULL)"""
+        UNION ALL SELECT id, workspace_id, is_deleted, is_merged, is_erased, 'phone', '+61' || substr(phone, 2) FROM contacts WHERE phone IS NOT NULL AND region = 'AU')"""
 
 
 @query("j9_duplicate_candidates", f"""WITH {KEYS}, hits AS (SELECT n.id, min(o.id) AS match_id, n.kind FROM keyed n JOIN keyed o ON n.workspace_id = o.workspace_id AND n.kind = o.kind AND n.k = o.k
@@ -1014,10 +1014,24 @@ def _(pages, links):
 ORACLE_SQL["g2_frontier"] = ORACLE_SQL["g2_frontier"].replace("WITH", "WITH RECURSIVE", 1)
 
 
-@query("l1_ingest_leads", None, "contacts")
+@query("l1_ingest_leads", f"""WITH RECURSIVE {KEYS},
+    leads AS (SELECT id, workspace_id, id // 6 AS x, sha256(CAST(json_array(lower(trim(email)), CASE WHEN region = 'AU' THEN '+61' || substr(phone, 2) END, lower(trim(first_name)), '', NULL, NULL, NULL, NULL, NULL, NULL) AS VARCHAR)) AS digest FROM contacts),
+    receipts AS (SELECT workspace_id, x, digest AS old, id AS old_contact FROM leads WHERE id % 30 = 0),
+    asked AS (SELECT l.*, old, old_contact, row_number() OVER (PARTITION BY l.workspace_id, l.x ORDER BY l.id) AS n FROM leads l LEFT JOIN receipts r ON r.workspace_id = l.workspace_id AND r.x = l.x WHERE l.id % 2 = 0),
+    fresh AS (SELECT * FROM asked WHERE old IS NULL AND n = 1),
+    theirs AS (SELECT k.id, k.workspace_id, kind, k FROM keyed k JOIN fresh f ON f.id = k.id),
+    firsts AS (SELECT workspace_id, kind, k, min(id) AS first FROM theirs GROUP BY 1, 2, 3),
+    stored AS (SELECT workspace_id, kind, k, min(id) AS stored FROM keyed WHERE id % 2 = 1 AND NOT (is_deleted OR is_merged OR is_erased) GROUP BY 1, 2, 3),
+    steps AS (SELECT DISTINCT id, first FROM theirs JOIN firsts USING (workspace_id, kind, k)),
+    reach AS (SELECT id, id AS point FROM fresh UNION SELECT reach.id, steps.first FROM reach JOIN steps ON steps.id = reach.point),
+    placed AS (SELECT r.id, coalesce(min(stored), -min(r.point)) AS contact_id FROM reach r LEFT JOIN theirs t ON t.id = r.point LEFT JOIN stored s ON s.workspace_id = t.workspace_id AND s.kind = t.kind AND s.k = t.k GROUP BY 1)
+    SELECT id, CASE WHEN contact_id = -id THEN 'created' ELSE 'matched' END AS outcome, contact_id, digest FROM fresh JOIN placed USING (id)
+    UNION ALL SELECT id, CASE WHEN digest = old THEN 'duplicate' ELSE 'conflict' END, CASE WHEN digest = old THEN old_contact END, digest FROM asked WHERE old IS NOT NULL
+    UNION ALL SELECT a.id, CASE WHEN a.digest = f.digest THEN 'duplicate' ELSE 'conflict' END, CASE WHEN a.digest = f.digest THEN p.contact_id END, a.digest
+    FROM asked a JOIN fresh f ON f.workspace_id = a.workspace_id AND f.x = a.x JOIN placed p ON p.id = f.id WHERE a.old IS NULL AND a.n > 1""", "contacts")
 def _(contacts):
-    leads = contacts.where("id % 2 = 0").select("id", "workspace_id", "first_name", "email", "phone", F.lit("web").alias("source_system"), F.concat(F.lit("k"), F.floor(F.col("id") / 6)).alias("external_key"))
-    receipts = contacts.where("id % 30 = 0").select("workspace_id", F.lit("web").alias("source_system"), F.concat(F.lit("k"), F.floor(F.col("id") / 6)).alias("external_key"), identity.request_digest(["email", "phone", "first_name"]).alias("digest"), F.col("id").alias("contact_id"))
+    leads = contacts.where("id % 2 = 0").select("id", "workspace_id", "first_name", "email", "phone", "region", F.lit("web").alias("source_system"), F.concat(F.lit("k"), F.floor(F.col("id") / 6)).alias("external_key"))
+    receipts = contacts.where("id % 30 = 0").select("workspace_id", F.lit("web").alias("source_system"), F.concat(F.lit("k"), F.floor(F.col("id") / 6)).alias("external_key"), identity.request_digest(["email", "phone", "first_name", "region"]).alias("digest"), F.col("id").alias("contact_id"))
     return ingest.ingest_leads(leads, receipts, contacts.where("id % 2 = 1"))
 
 
@@ -1221,7 +1235,7 @@ def _(submissions):
 @query("l1_new_rows", """WITH picked AS (SELECT *, id // 6 AS k FROM contacts WHERE id % 2 = 0), firsts AS (SELECT min(id) AS id FROM picked GROUP BY workspace_id, k)
     SELECT 'touches' AS name, count(*) AS n FROM firsts UNION ALL SELECT 'receipts', count(*) FROM firsts UNION ALL SELECT 'opportunities', count(*) FROM firsts WHERE id % 3 = 0""", "contacts")
 def _(contacts):
-    leads = contacts.where("id % 2 = 0").select("id", "workspace_id", "first_name", "email", "phone", F.lit("web").alias("source_system"), F.concat(F.lit("k"), F.floor(F.col("id") / 6)).alias("external_key"), F.lit("email").alias("source_type"), F.when(F.col("id") % 3 == 0, "A deal").alias("opportunity_title"), F.lit("p").alias("pipeline_id"))
+    leads = contacts.where("id % 2 = 0").select("id", "workspace_id", "first_name", "email", "phone", "region", F.lit("web").alias("source_system"), F.concat(F.lit("k"), F.floor(F.col("id") / 6)).alias("external_key"), F.lit("email").alias("source_type"), F.when(F.col("id") % 3 == 0, "A deal").alias("opportunity_title"), F.lit("p").alias("pipeline_id"))
     made = ingest.ingest_batch(leads, no_receipts(contacts), contacts.where("id % 2 = 1"))
     out = None
     for name in ("touches", "receipts", "opportunities"):

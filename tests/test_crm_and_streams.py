@@ -26,7 +26,7 @@ LEAD = "id long, workspace_id int, source_system string, external_key string, em
 
 
 def test_ingestion(spark):
-    leads = [(1, 1, "w", "a", "x@y.z", None, "A"), (2, 1, "w", "b", "X@y.z ", "5", "B"), (3, 1, "w", "c", None, "5", "C"), (4, 1, "w", "a", "x@y.z", None, "A"), (5, 1, "w", "a", "other@y.z", None, "A"), (6, 2, "w", "a", "x@y.z", None, "A"), (7, 1, "w", "d", "old@y.z", None, "D")]
+    leads = [(1, 1, "w", "a", "x@y.z", None, "A"), (2, 1, "w", "b", "X@y.z ", "0412 345 005", "B"), (3, 1, "w", "c", None, "+61412345005", "C"), (4, 1, "w", "a", "x@y.z", None, "A"), (5, 1, "w", "a", "other@y.z", None, "A"), (6, 2, "w", "a", "x@y.z", None, "A"), (7, 1, "w", "d", "old@y.z", None, "D")]
     contacts = spark.createDataFrame([(100, 1, "old@y.z", None, False, False, False)], "id long, workspace_id int, email string, phone string, is_deleted boolean, is_merged boolean, is_erased boolean")
     receipts = spark.createDataFrame([], "workspace_id int, source_system string, external_key string, digest string, contact_id long")
     got = {r.id: (r.outcome, r.contact_id) for r in ingest.ingest_leads(spark.createDataFrame(leads, LEAD), receipts, contacts).collect()}
@@ -37,16 +37,55 @@ def test_burst_log_skips_rejected():
     assert [v[0] for v in limits.sliding_log([0, 1, 2, 10.5, 11.5], 2, 10)] == [True, True, False, True, True]
 
 
+# Spellings of three numbers, and one that is none.
+NUMBERS = {"0412 345 001": "+61412345001", "+61412345001": "+61412345001", "(04) 12345002": "+61412345002", "0412-345-003": "+61412345003", "12": None}
+
+
+def test_spellings_of_a_number_are_one_key(spark):
+    columns = "id long, workspace_id int, region string, email string, phone string, is_deleted boolean, is_merged boolean, is_erased boolean"
+    rows = [(1, 1, None, None, "0400 000 000"), (2, 1, "AU", None, "+61400000000"), (3, 1, "AU", None, "0400000000"), (4, 1, "US", None, "0400000000"), (5, 1, "AU", None, "12"), (6, 1, "AU", None, "12"), (7, 1, "US", None, "(212) 555-0101"), (8, 1, "US", None, "+1 212 555 0101")]
+    contacts = spark.createDataFrame([(*r, False, False, False) for r in rows], columns)
+    assert {(r.id, r.other_id) for r in crm.merge_candidates(contacts).collect()} == {(a, b) for a in (1, 2, 3) for b in (1, 2, 3) if a != b} | {(7, 8), (8, 7)}
+    digests = {r.id: r.d for r in contacts.select("id", identity.request_digest(["email", "phone", "region"]).alias("d")).collect()}
+    assert digests[1] == digests[2] == digests[3] != digests[4] and digests[7] == digests[8]
+
+
+def test_long_chains_of_leads_match_a_plain_replay(spark):
+    """Chains in which every lead shares a key with the one before, in and out of order, a hot key, and keys of stored contacts."""
+    own = random.Random(9)
+    chain = [(f"e{k}@x.y", f"04000{k + d:05d}") for k in range(300) for d in (0, 1)]
+    parts = chain + [tuple(own.choice([None, f"{kind}{own.randrange(40)}@x.y" if kind == "m" else f"0411{own.randrange(40):06d}"]) for kind in "mp") for _ in range(150)] + [("hot@x.y", f"0422{k:06d}") for k in range(80)]
+    own.shuffle(parts)
+    half = sorted(range(len(parts)), key=lambda k: (k % 3 == 0, parts[k] in chain and chain.index(parts[k])))
+    leads = [(n + 1, 1, "w", f"k{n}", *parts[k], "Ann") for n, k in enumerate(half)]
+    rows = [(10_000 + k, 1, f"e{own.randrange(300)}@x.y", f"0411{own.randrange(40):06d}", False, False, False) for k in range(6)]
+    contacts = spark.createDataFrame(rows, "id long, workspace_id int, email string, phone string, is_deleted boolean, is_merged boolean, is_erased boolean")
+    stored, owner, want = {}, {}, {}
+    for k, _, mail, phone, *_ in rows:
+        for x in (mail, phone):
+            stored.setdefault(x, k)
+    for k, _, _, _, mail, phone, _ in leads:
+        keys = [x for x in (mail, phone) if x]
+        found = [stored[x] for x in keys if x in stored] + [owner[x] for x in keys if x in owner]
+        kept = [c for c in found if c > 0]
+        contact = min(kept) if kept else max(found, default=-k)
+        want[k] = ("created" if contact == -k else "matched", contact)
+        for x in keys:
+            owner.setdefault(x, contact)
+    got = ingest.place_leads(spark.createDataFrame(leads, LEAD), contacts).collect()
+    assert {r.id: (r.outcome, r.contact_id) for r in got} == want and len(got) == len(leads)
+
+
 def test_leads_in_order_match_a_plain_replay(spark):
     """Random leads of few keys against the rules read one lead at a time."""
     own = random.Random(6)
     pick = lambda *xs: own.choice(xs)
-    leads = [(k, 1, "w", f"k{own.randrange(60)}", pick(None, " A@x.y", "a@x.y", "b@x.y", "c@x.y"), pick(None, "1", "2", "3"), pick("Ann", "ann ", "Bob")) for k in range(1, 91)]
-    stored = {"b@x.y": 500, "3": 501}
-    contacts = spark.createDataFrame([(500, 1, "b@x.y", None, False, False, False), (501, 1, None, "3", False, False, False)], "id long, workspace_id int, email string, phone string, is_deleted boolean, is_merged boolean, is_erased boolean")
+    leads = [(k, 1, "w", f"k{own.randrange(60)}", pick(None, " A@x.y", "a@x.y", "b@x.y", "c@x.y"), pick(None, *NUMBERS), pick("Ann", "ann ", "Bob")) for k in range(1, 91)]
+    stored = {"b@x.y": 500, "+61412345003": 501}
+    contacts = spark.createDataFrame([(500, 1, "b@x.y", None, False, False, False), (501, 1, None, "+61 412 345 003", False, False, False)], "id long, workspace_id int, email string, phone string, is_deleted boolean, is_merged boolean, is_erased boolean")
     want, seen, owner = {}, {}, {}
     for k, _, _, key, mail, phone, name in leads:
-        keys = [x for x in ((mail or "").strip().lower(), phone) if x]
+        keys = [x for x in ((mail or "").strip().lower(), NUMBERS.get(phone)) if x]
         digest = (tuple(keys), mail is None, name.strip().lower())
         if key in seen:
             want[k] = ("duplicate", seen[key][1]) if seen[key][0] == digest else ("conflict", None)
