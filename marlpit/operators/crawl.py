@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.markup import is_nofollow, scan_links, scan_metas
 from ..functions.urls import classify_scope, normalise_urls
-from ..sources.tables import numbered, shared_table
+from ..sources.tables import ranked, shared_table
 
 # Failures that are refusals by policy.
 POLICY_REFUSALS = [
@@ -214,6 +214,7 @@ def decide_enqueue(candidates: DataFrame, page_limit: int, max_depth: int) -> Da
     """G1: candidates (crawl_id, url, refusal, scope, allowed, depth, place) with accept, skip_reason and recorded, decided in order.
 
     The page limit falls on the later of those that pass, and rows beyond the ceiling are not recorded, in the order of depth, place and URL.
+    A crawl is ranked over sorted ranges (ranked), so no level of it meets in one task.
     """
     early = (
         F.when(F.col("refusal") == "too_long", "url_too_long").when(F.col("refusal").isNotNull(), "unsupported_scheme")
@@ -221,8 +222,8 @@ def decide_enqueue(candidates: DataFrame, page_limit: int, max_depth: int) -> Da
         .when(F.col("depth") > max_depth, "depth_limit").when(~F.col("allowed"), "robots_disallowed")
     )
     marked = candidates.withColumn("early", early).withColumn("passes ", F.col("early").isNull())
-    passed = numbered(marked, ["crawl_id", "passes "], ["place", "url"], "depth").withColumnRenamed("n", "nth ")
-    every = numbered(passed, ["crawl_id"], ["place", "url"], "depth")
+    order = [F.col(c).asc_nulls_first() for c in ("depth", "place", "url")]
+    every = ranked(ranked(marked, ["crawl_id", "passes "], order, "nth "), ["crawl_id"], order)
     reason = F.when(F.col("early").isNotNull(), F.col("early")).when(F.col("nth ") > page_limit, "page_limit")
     out = every.withColumn("skip_reason", reason).withColumn("accept", F.col("skip_reason").isNull()).withColumn("recorded", F.col("n") <= row_ceiling(page_limit))
     return out.drop("early", "passes ", "nth ", "n")
@@ -240,8 +241,7 @@ def build_frontier(seeds: DataFrame, links: DataFrame, max_depth: int, page_limi
     level = start.groupBy("crawl_id", "url").agg(F.min("rank").alias("rank"))
     seen, used = None, None
     for depth in range(max_depth + 1):
-        spread = level.withColumn("bucket ", F.concat_ws("|", F.col("rank").cast("string"), F.substring("url", 1, 24)))
-        placed = numbered(spread, ["crawl_id"], ["url"], "bucket ").drop("bucket ")
+        placed = ranked(level, ["crawl_id"], [F.col("rank").asc(), F.col("url").asc()])
         counted = placed if used is None else placed.join(used, "crawl_id", "left")
         before = F.lit(0) if used is None else F.coalesce("used", F.lit(0))
         source = F.element_at(F.array(F.lit("seed"), F.lit("sitemap"), F.lit("link")), F.col("rank") + 1)

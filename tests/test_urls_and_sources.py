@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from marlpit.functions import attribution, urls
@@ -165,3 +167,24 @@ def test_contacts_csv(spark, tmp_path):
     rows, report = tables.read_contacts_csv(spark, str(path))
     assert rows.columns == ["Name", "Mail"] and {tuple(r) for r in rows.collect()} == {("A, B", "a@b.c"), ("Only", "")}
     assert report.first().n_rows == 2
+
+
+def test_ranks_within_keys_match_a_plain_sort(spark):
+    """Keys of all sizes, a null one and one with most of all rows, ranked over ranges of few rows."""
+    own = random.Random(7)
+    rows = [(own.choice([None, "a", "b", "hot", "hot", "hot", "hot"]), own.randrange(50), k) for k in range(600)]
+    df = spark.createDataFrame(rows, "key string, v int, id int").repartition(6)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r.id: r.n for r in tables.ranked(df, ["key"], [F.col("v").desc(), F.col("id").asc()]).collect()}
+        whole = {r.id: r.n for r in tables.ranked(df, [], [F.col("v").asc(), F.col("id").asc()]).collect()}
+        none = tables.ranked(df.limit(0), ["key"], [F.col("v").asc()])
+        assert none.columns == ["key", "v", "id", "n"] and none.isEmpty()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = {}
+    for key in {r[0] for r in rows}:
+        for n, (_, _, k) in enumerate(sorted((r for r in rows if r[0] == key), key=lambda r: (-r[1], r[2]))):
+            want[k] = n + 1
+    assert got == want
+    assert whole == {k: n + 1 for n, (_, _, k) in enumerate(sorted(rows, key=lambda r: (r[1], r[2])))}
