@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,15 +27,24 @@ def oldest_reached(links: DataFrame) -> DataFrame:
     return hops.select("id", "best")
 
 
-def place_leads(fresh: DataFrame, contacts: DataFrame) -> DataFrame:
+def stored_keys(contacts: DataFrame) -> DataFrame:
+    """(key, stored): the oldest live contact of each identity key."""
+    return identity_keys(live_contacts(contacts)).groupBy(key_name().alias("key")).agg(F.min("id").alias("stored"))
+
+
+def key_name() -> Column:
+    """One text for a key of identity_keys."""
+    return F.concat_ws("|", F.col("workspace_id").cast("string"), "kind", "key")
+
+
+def place_leads(fresh: DataFrame, stored: DataFrame) -> DataFrame:
     """(id, outcome, contact_id) of leads taken in the order of their ids, each to the oldest contact, stored or of this batch, that owns one of its keys.
 
     A key's owner is the contact of the first lead that has it, so a lead's contact is the oldest on the ways from it over
-    first leads: what those have stored, and they themselves. A first lead has at most one other key, so it has at most
+    first leads: what those have stored (key, stored), and they themselves. A first lead has at most one other key, so it has at most
     one way on, and the first leads are a forest, whose ways are walked in doubling hops. No component meets in a task.
     """
-    keys = shared_table(identity_keys(fresh).select("id", F.concat_ws("|", F.col("workspace_id").cast("string"), "kind", "key").alias("key")))
-    stored = identity_keys(live_contacts(contacts)).groupBy(F.concat_ws("|", F.col("workspace_id").cast("string"), "kind", "key").alias("key")).agg(F.min("id").alias("stored"))
+    keys = shared_table(identity_keys(fresh).select("id", key_name().alias("key")))
     firsts = keys.groupBy("key").agg(F.min("id").alias("first"))
     led = shared_table(keys.join(firsts, "key").join(stored, "key", "left"))
     # Stored contacts are older than those of the batch; of either kind the smaller id is.
@@ -49,13 +60,13 @@ def place_leads(fresh: DataFrame, contacts: DataFrame) -> DataFrame:
     return judged.select("id", F.when(contact == -F.col("id"), "created").otherwise("matched").alias("outcome"), contact.alias("contact_id"))
 
 
-def ingest_leads(leads: DataFrame, receipts: DataFrame, contacts: DataFrame, always_create: bool = False) -> DataFrame:
+def ingest_leads(leads: DataFrame, receipts: DataFrame, contacts: DataFrame | None, always_create: bool = False, stored: DataFrame | None = None) -> DataFrame:
     """L1, L2: (id, outcome, contact_id, digest) of leads (id, workspace_id, source_system, external_key, email, phone, ...).
 
     A key seen before is a duplicate with its contact, or a conflict if its content differs. Other leads
     are taken in the order of their ids: each joins the oldest contact, stored or of this batch, that has
     its e-mail or telephone number, or else is one itself (place_leads). Ids are above 0; contact ids of new contacts
-    are the negated id of their lead.
+    are the negated id of their lead. stored (key, stored) may stand for contacts, as stored_keys gives it.
     """
     digested = leads.withColumn("digest", request_digest(leads.columns))
     key = ["workspace_id", "source_system", "external_key"]
@@ -67,7 +78,7 @@ def ingest_leads(leads: DataFrame, receipts: DataFrame, contacts: DataFrame, alw
     if always_create:
         placed = fresh.select("id", F.lit("created").alias("outcome"), (-F.col("id")).alias("contact_id"), "digest")
     else:
-        placed = fresh.select("id", "digest").join(place_leads(fresh, contacts), "id").select("id", "outcome", "contact_id", "digest")
+        placed = fresh.select("id", "digest").join(place_leads(fresh, stored_keys(contacts) if stored is None else stored), "id").select("id", "outcome", "contact_id", "digest")
     firsts = placed.join(seen.where("old_digest is null and place = 1").select("id", *key), "id").select(*key, F.col("contact_id").alias("own"), F.col("digest").alias("first_digest"))
     later = seen.where("old_digest is null and place > 1").join(firsts, key)
     same = F.col("digest") == F.col("first_digest")
@@ -75,17 +86,17 @@ def ingest_leads(leads: DataFrame, receipts: DataFrame, contacts: DataFrame, alw
     return replayed.unionByName(placed).unionByName(repeats)
 
 
-def ingest_batch(leads: DataFrame, receipts: DataFrame, contacts: DataFrame, stages: DataFrame | None = None, always_create: bool = False) -> dict[str, DataFrame]:
+def ingest_batch(leads: DataFrame, receipts: DataFrame, contacts: DataFrame | None, stages: DataFrame | None = None, always_create: bool = False, stored: DataFrame | None = None) -> dict[str, DataFrame]:
     """L1: outcomes of leads (see ingest_leads) with the new rows of every table.
 
     Leads may carry provenance columns, captured_at, and for a deal opportunity_title, value_minor and pipeline_id. Taken leads
     make a touch, a receipt and, with a title, a deal at the entry stage of their pipeline (stages: pipeline_id, stage_id, position,
     category, archived); created ones make a contact. New rows have the id of their lead, contacts its negative.
     """
-    outcomes = shared_table(ingest_leads(leads, receipts, contacts, always_create))
+    outcomes = shared_table(ingest_leads(leads, receipts, contacts, always_create, stored))
     taken = leads.join(outcomes.where(F.col("outcome").isin("created", "matched")).select("id", "outcome", "contact_id", "digest"), "id")
     has = lambda c: F.col(c) if c in leads.columns else F.lit(None).cast("string")
-    people = ["first_name", "last_name", "email", "phone", "company_name"]
+    people = ["first_name", "last_name", "email", "phone", "company_name", *(["region"] if "region" in leads.columns else [])]
     source = ["source_type", "source_platform", "confidence", "utm_source", "utm_medium", "utm_campaign", "gclid", "fbclid", "referrer", "landing_path", "captured_at"]
     new_contacts = taken.where("outcome = 'created'").select(F.col("contact_id").alias("id"), "workspace_id", *[has(c).alias(c) for c in people])
     touches = taken.select("id", "workspace_id", "contact_id", *[has(c).alias(c) for c in source])
@@ -142,19 +153,22 @@ def deal_title(template: Column, contact: Column, form: Column, company: Column)
     return F.coalesce(F.nullif(F.substring(F.trim(filled), 1, 200), F.lit("")), F.lit("Website enquiry"))
 
 
-def process_submissions(submissions: DataFrame, forms: DataFrame, fields: DataFrame, receipts: DataFrame, contacts: DataFrame, app_url: str, tiers: list | None = None) -> dict[str, DataFrame]:
+def process_submissions(submissions: DataFrame, forms: DataFrame, fields: DataFrame, receipts: DataFrame, contacts: DataFrame | None, app_url: str, tiers: list | None = None, earlier: DataFrame | None = None, stored: Callable[[DataFrame], DataFrame] | None = None, settled: Callable[[DataFrame], DataFrame] | None = None) -> dict[str, DataFrame]:
     """L3: public submissions (id, form_id, submission_id, origin, ip, ts, trap, elapsed_ms, challenge_ok, values, and the context columns of C11) run through every gate, mapped and ingested.
 
     forms: (form_id, workspace_id, name, status, allowed_origins, honeypot, min_seconds, title_template or null for no deal, pipeline_id, value_minor). Besides what
     ingest_batch returns, 'submissions' has a row for every submission: outcome (created, matched, duplicate or rejected), rejection_reason and contact_id.
-    A key that comes back with other content is rejected as validation_failed.
+    A key that comes back with other content is rejected as validation_failed. earlier: hits (id, subject, form, ts) that count against
+    the limits before these; 'hits' has those of this batch, 'leads' what has passed the gates. stored and settled may stand for contacts and receipts: given
+    the leads, they find the owners of their keys (key, stored), and their receipts.
     """
     known = submissions.join(forms, "form_id").withColumn("accepting", F.col("status") == "active")
     own = normalise_origin(F.lit(app_url)).eqNullSafe(normalise_origin(F.col("origin")))
     known = known.withColumn("origin_ok", own | origin_allowed(F.col("origin"), F.col("allowed_origins")))
     # Only what has come this far counts against the limits.
     hits = known.where("accepting and origin_ok").select("id", F.col("ip").alias("subject"), F.col("form_id").alias("form"), "ts")
-    limited = rate_limit_verdicts(hits, tiers=tiers or TIERS).where("rejected_by is not null").select("id", F.lit(True).alias("rate_rejected"))
+    counted = hits if earlier is None else hits.unionByName(earlier.join(hits.select("id"), "id", "left_anti").select(hits.columns))
+    limited = rate_limit_verdicts(counted, tiers=tiers or TIERS).where("rejected_by is not null").select("id", F.lit(True).alias("rate_rejected"))
     mapped = map_form_values(known.select("id", "form_id", "values"), fields)
     full = known.drop("values").join(limited, "id", "left").join(mapped, "id", "left").na.fill(False, ["rate_rejected"])
     full = full.withColumn("trap", F.when(F.col("honeypot"), F.col("trap"))).withColumn("missing_required", F.coalesce(F.size("missing"), F.lit(0)))
@@ -162,11 +176,12 @@ def process_submissions(submissions: DataFrame, forms: DataFrame, fields: DataFr
     name = F.concat_ws(" ", F.nullif("first_name", F.lit("")), F.nullif("last_name", F.lit("")))
     leads = judged.where("rejection_reason is null").select(
         "id", "workspace_id", F.lit("public_form").alias("source_system"), F.concat_ws(":", "form_id", "submission_id").alias("external_key"),
-        F.coalesce("first_name", F.lit("Website enquiry")).alias("first_name"), "last_name", "email", "phone", "company_name",
+        F.coalesce("first_name", F.lit("Website enquiry")).alias("first_name"), "last_name", "email", "phone", "company_name", *(["region"] if "region" in judged.columns else []),
         "source_type", "source_platform", "confidence", "utm_source", "utm_medium", "utm_campaign", "gclid", "fbclid", "referrer", F.col("ts").alias("captured_at"),
         F.when(F.col("title_template").isNotNull(), deal_title(F.col("title_template"), name, F.col("name"), F.col("company_name"))).alias("opportunity_title"), "pipeline_id", "value_minor",
     )
-    out = ingest_batch(leads, receipts, contacts)
+    out = ingest_batch(leads, receipts if settled is None else settled(leads), contacts, stored=None if stored is None else stored(leads))
+    out |= {"hits": hits, "leads": leads}
     done = judged.select("id", "form_id", "rejection_reason").join(out["outcomes"].select("id", F.col("outcome").alias("taken"), "contact_id"), "id", "left")
     refused = F.col("rejection_reason").isNotNull() | (F.col("taken") == "conflict")
     out["submissions"] = done.select("id", "form_id", F.when(refused, "rejected").otherwise(F.col("taken")).alias("outcome"), F.coalesce("rejection_reason", F.when(F.col("taken") == "conflict", "validation_failed")).alias("rejection_reason"), "contact_id")

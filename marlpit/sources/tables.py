@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -100,6 +102,72 @@ def upsert(target: DataFrame, rows: DataFrame, key: list[str], set_cols: list[st
     return joined.select(*[F.when(F.col("new "), F.col(f"new {c}")).otherwise(F.col(c)).alias(c) if c in set_cols else F.col(c) for c in target.columns])
 
 
+@dataclass(frozen=True)
+class KeyedTable:
+    """S6, S7, S8 as a sink: a table of Parquet folders by bucket of its key, of which a batch reads and writes only those it touches.
+
+    bucket: whole numbers that rows of one key share, an expression; by default a hash of the key by `buckets`. A batch is first
+    merged with its buckets into a written table (merged), then those are swapped for it (swap, Spark's dynamic partition overwrite);
+    a swap that was cut short is repeated from what was written, and changes nothing else.
+    """
+
+    path: str
+    schema: str
+    key: tuple[str, ...]
+    bucket: str = ""
+    buckets: int = 64
+
+    def bucketed(self, rows: DataFrame) -> DataFrame:
+        own = F.expr(self.bucket) if self.bucket else F.pmod(F.xxhash64(*[F.col(k).cast("string") for k in self.key]), F.lit(self.buckets))
+        return rows.withColumn("bucket", own.cast("long"))
+
+    def columns(self, rows: DataFrame) -> list[Column]:
+        """The table's columns of rows, those that rows lack null."""
+        kinds = T.StructType.fromDDL(self.schema)
+        return [(F.col(f"`{f.name}`") if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in kinds]
+
+    def read(self, spark: SparkSession, buckets: list[int] | None = None) -> DataFrame:
+        """The whole table, or some of its buckets; a table that nothing was written to is empty."""
+        spark.createDataFrame([], f"{self.schema}, bucket long").write.mode("ignore").parquet(self.path)
+        rows = spark.read.schema(f"{self.schema}, bucket long").parquet(self.path)
+        return rows.where("bucket is not null") if buckets is None else rows.where(F.col("bucket").isin(buckets))
+
+    def touched(self, rows: DataFrame) -> list[int]:
+        """The buckets of rows; there are no more of them than the table has."""
+        return [r.bucket for r in self.bucketed(rows).select("bucket").distinct().collect()]
+
+    def merged(self, rows: DataFrame, set_cols: list[str] | None = None) -> DataFrame:
+        """The touched buckets, whole, after rows came in: new keys are inserted, the first of each; known ones stay (S6), or have set_cols changed."""
+        new = self.bucketed(rows.select(self.columns(rows)))
+        old = self.read(rows.sparkSession, self.touched(rows))
+        if set_cols is None:
+            return old.unionByName(insert_ignore(old, new, [*self.key]))
+        known = old.select(*self.key)
+        changed = upsert(old, new.join(known, [*self.key], "left_semi"), [*self.key], set_cols)
+        return changed.unionByName(new.join(known, [*self.key], "left_anti").select(old.columns))
+
+    def swap(self, merged: DataFrame) -> None:
+        merged.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.path)
+
+
+def commit_batch(spark: SparkSession, folder: str, number: int, make: Callable[[], dict[str, DataFrame]], tables: dict[str, KeyedTable]) -> None:
+    """Several tables changed under one batch number, all or none of them in the end.
+
+    make gives the merged buckets of each table, and is asked only if this batch has not been written whole yet: first all are
+    written beside the tables, then a mark that they are, then they are swapped in. A batch that is run again after a
+    failure before the mark begins anew, with no table changed; after it, it repeats the swaps from what was written.
+    """
+    beside, schema = f"{folder}/batch-{number}", "number long"
+    marks = f"{folder}/written"
+    spark.createDataFrame([], schema).write.mode("ignore").parquet(marks)
+    if spark.read.schema(schema).parquet(marks).where(F.col("number") == number).isEmpty():
+        for name, merged in make().items():
+            merged.write.mode("overwrite").parquet(f"{beside}/{name}")
+        spark.createDataFrame([(number,)], schema).coalesce(1).write.mode("append").parquet(marks)
+    for name, table in tables.items():
+        table.swap(spark.read.schema(f"{table.schema}, bucket long").parquet(f"{beside}/{name}"))
+
+
 def append(path: str, rows: DataFrame) -> None:
     """Rows added to an append-only table."""
     rows.write.mode("append").parquet(path)

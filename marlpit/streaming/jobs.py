@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
+from ..operators import ingest
 from ..operators.limits import sliding_log
-from ..sources.tables import insert_ignore
+from ..sources.tables import KeyedTable, commit_batch, insert_ignore, shared_table
 
 LATE = "1 hour"
 
@@ -58,6 +59,64 @@ def ingest_stream(submissions: DataFrame, receipts_path: str, checkpoint: str, s
     return new_submissions(submissions).writeStream.foreachBatch(settle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+CONTEXT = "source_type string, source_platform string, confidence string, utm_source string, utm_medium string, utm_campaign string, gclid string, fbclid string, referrer string, landing_path string, captured_at timestamp"
+
+
+def submission_tables(folder: str, buckets: int = 64) -> dict[str, KeyedTable]:
+    """The tables that submissions change, by name; owners has the contact of every identity key, hits what counts against the limits, an hour a bucket."""
+    of = lambda name, schema, *key, bucket="": KeyedTable(f"{folder}/{name}", schema, key or ("id",), bucket, buckets)
+    return {
+        "submissions": of("submissions", "id long, form_id string, outcome string, rejection_reason string, contact_id long"),
+        "contacts": of("contacts", "id long, workspace_id long, first_name string, last_name string, email string, phone string, company_name string, region string"),
+        "touches": of("touches", f"id long, workspace_id long, contact_id long, {CONTEXT}"),
+        "opportunities": of("opportunities", "id long, workspace_id long, contact_id long, touch_id long, title string, value_minor long, pipeline_id string, status string, stage_id string"),
+        "activities": of("activities", "id string, contact_id long, type string, summary string"),
+        "receipts": of("receipts", "workspace_id long, source_system string, external_key string, digest string, contact_id long, touch_id long, opportunity_id long", "workspace_id", "source_system", "external_key"),
+        "owners": of("owners", "key string, stored long", "key"),
+        "hits": of("hits", "id long, subject string, form string, ts timestamp", "id", bucket="floor(unix_timestamp(ts) / 3600)"),
+    }
+
+
+def submission_stream(submissions: DataFrame, forms: DataFrame, fields: DataFrame, folder: str, checkpoint: str, app_url: str, tiers: list | None = None, buckets: int = 64) -> StreamingQuery:
+    """Every batch of submissions through all gates, matched, and written to submission_tables(folder/tables), all of them under the batch's number.
+
+    A batch reads only what its own keys and hours may meet: the buckets of its receipts and identity keys, and the hits
+    of its hours, so its cost follows the batch and not the history. A batch that failed anywhere is run again and adds
+    nothing twice (commit_batch). A new contact has the id of its submission, so older contacts have smaller ids.
+    """
+    tables = submission_tables(f"{folder}/tables", buckets)
+
+    def settle(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+
+        def make() -> dict[str, DataFrame]:
+            rows = shared_table(batch)
+            now = rows.select("id", F.col("ip").cast("string").alias("subject"), F.col("form_id").alias("form"), "ts")
+            earlier = tables["hits"].read(spark, tables["hits"].touched(now)).select("id", "subject", "form", "ts")
+
+            def owners(leads: DataFrame) -> DataFrame:
+                asked = shared_table(ingest.identity_keys(leads).select(ingest.key_name().alias("key")).distinct())
+                return tables["owners"].read(spark, tables["owners"].touched(asked)).join(asked, "key", "left_semi").select("key", "stored")
+
+            def receipts(leads: DataFrame) -> DataFrame:
+                return tables["receipts"].read(spark, tables["receipts"].touched(leads)).drop("bucket")
+
+            made = ingest.process_submissions(rows.withColumn("ip", F.col("ip").cast("string")), forms, fields, None, None, app_url, tiers, earlier, owners, receipts)
+            taken = made["leads"].join(made["outcomes"].where(F.col("outcome").isin("created", "matched")).select("id", "contact_id"), "id")
+            keyed = ingest.identity_keys(taken).join(taken.select("id", "contact_id"), "id").groupBy(ingest.key_name().alias("key")).agg(F.min_by("contact_id", "id").alias("stored"))
+            lasting = {"contacts": ["id"], "owners": ["stored"]}
+            out = {}
+            for name, table in tables.items():
+                df = keyed if name == "owners" else made[name]
+                ids = lasting.get(name, [c for c in ("contact_id",) if c in df.columns])
+                out[name] = table.merged(df.withColumns({c: F.abs(c) for c in ids}))
+            return out
+
+        commit_batch(spark, f"{folder}/commits", number, make, tables)
+
+    return submissions.writeStream.foreachBatch(settle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 class Burst(StatefulProcessor):
     """The times of a key's allowed hits."""
 

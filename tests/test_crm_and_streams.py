@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from marlpit.functions import identity
 from marlpit.operators import crm, ingest, limits, similarity
+from marlpit.sources.tables import KeyedTable
 from marlpit.streaming import jobs
 
 
@@ -72,7 +73,7 @@ def test_long_chains_of_leads_match_a_plain_replay(spark):
         want[k] = ("created" if contact == -k else "matched", contact)
         for x in keys:
             owner.setdefault(x, contact)
-    got = ingest.place_leads(spark.createDataFrame(leads, LEAD), contacts).collect()
+    got = ingest.place_leads(spark.createDataFrame(leads, LEAD), ingest.stored_keys(contacts)).collect()
     assert {r.id: (r.outcome, r.contact_id) for r in got} == want and len(got) == len(leads)
 
 
@@ -306,6 +307,91 @@ def test_submission_stream_writes_each_key_once(spark, tmp_path):
     assert sorted(r.external_key for r in got.collect()) == [f"k{k}" for k in range(5)]
 
 
+def posted(spark, own, ids, before):
+    t = datetime.datetime(2024, 1, 1, 10)
+    rows = []
+    for k in ids:
+        key = own.randrange(20) if own.random() < 0.1 else 1000 + k
+        values = {"name": own.choice(["Ann", "Bob"]), "mail": own.choice(["", f"m{own.randrange(25)}@x.y", f"n{k}@x.y"]), "tel": own.choice(["", f"0412 {own.randrange(30):06d}"])}
+        if before and own.random() < 0.15:
+            key, values = own.choice(before)
+        before.append((key, values))
+        rows.append((k, "f", f"s{key}", "https://site.test", f"ip{own.randrange(6)}", t + datetime.timedelta(seconds=40 * k), "x" if own.random() < 0.1 else None, 9000, True, values, *[None] * 6))
+    return spark.createDataFrame(rows, "id long, form_id string, submission_id string, origin string, ip string, ts timestamp, trap string, elapsed_ms long, challenge_ok boolean, values map<string,string>, gclid string, fbclid string, utm_medium string, utm_source string, utm_campaign string, referrer string")
+
+
+def test_submission_stream_as_a_whole(spark, tmp_path, monkeypatch):
+    """Three batches, one of which is cut short twice, against all submissions in one job; a stream that starts anew adds nothing."""
+    forms = spark.createDataFrame([("f", 1, "Form", "active", ["https://site.test"], True, 2, "{contact} via {form}", "p", 100)], "form_id string, workspace_id long, name string, status string, allowed_origins array<string>, honeypot boolean, min_seconds int, title_template string, pipeline_id string, value_minor long")
+    fields = spark.createDataFrame([("f", k, k, target, n, 200, "text", False, None) for n, (k, target) in enumerate((("name", "first_name"), ("mail", "email"), ("tel", "phone")))], "form_id string, key string, label string, target string, position int, max_length int, kind string, required boolean, options array<string>")
+    tiers = [("ip", ["subject"], 12)]
+    own, source, folder = random.Random(11), str(tmp_path / "in"), str(tmp_path / "out")
+    before = []
+    parts = [posted(spark, own, range(n, n + 40), before) for n in (1, 41, 81)]
+    start = lambda checkpoint: jobs.submission_stream(spark.readStream.schema(parts[0].schema).parquet(source), forms, fields, folder, str(tmp_path / checkpoint), "https://app.test", tiers, 4)
+    tables, swap, calls = jobs.submission_tables(f"{folder}/tables", 4), KeyedTable.swap, []
+    parts[0].write.mode("append").parquet(source)
+    start("one").awaitTermination()
+    parts[1].write.mode("append").parquet(source)
+    for last in (1, 3):
+
+        def failing(self, merged, last=last):
+            calls.append(self.path)
+            if len(calls) == last:
+                raise OSError("cut short")
+            swap(self, merged)
+
+        calls.clear()
+        monkeypatch.setattr(KeyedTable, "swap", failing)
+        with pytest.raises(Exception, match="cut short"):
+            start("one").awaitTermination()
+    monkeypatch.setattr(KeyedTable, "swap", swap)
+    start("one").awaitTermination()
+    parts[2].write.mode("append").parquet(source)
+    start("one").awaitTermination()
+    nobody = spark.createDataFrame([], "id long, workspace_id long, email string, phone string, is_deleted boolean, is_merged boolean, is_erased boolean")
+    receipts = spark.createDataFrame([], "workspace_id long, source_system string, external_key string, digest string, contact_id long")
+    whole = ingest.process_submissions(parts[0].unionByName(parts[1]).unionByName(parts[2]), forms, fields, receipts, nobody, "https://app.test", tiers)
+
+    def content(df, name):
+        ids = {"contacts": ["id"]}.get(name, ["contact_id"] if "contact_id" in df.columns else [])
+        return sorted(map(str, df.withColumns({c: F.abs(c) for c in ids}).select(tables[name].columns(df)).collect()))
+
+    def now():
+        return {name: content(t.read(spark).drop("bucket"), name) for name, t in tables.items()}
+
+    got = now()
+    assert {r.split("outcome=")[1].split(",")[0] for r in got["submissions"]} == {"'created'", "'matched'", "'duplicate'", "'rejected'"}
+    for name in ("submissions", "contacts", "touches", "opportunities", "receipts", "activities", "hits"):
+        assert got[name] == content(whole[name], name), name
+    # The same submissions again, under new batch numbers of another folder of commits.
+    jobs.commit_batch(spark, f"{folder}/other", 0, lambda: {n: t.merged(t.read(spark).drop("bucket")) for n, t in tables.items()}, tables)
+    assert now() == got
+
+
+def test_keyed_tables_touch_only_their_buckets(spark, tmp_path):
+    import os
+
+    table = KeyedTable(str(tmp_path / "t"), "k long, a string, b string", ("k",), buckets=8)
+    rows = lambda *r: spark.createDataFrame(r, "k long, a string, b string")
+    write = lambda df, cols=None: table.swap(spark.read.schema(f"{table.schema}, bucket long").parquet(saved(df, cols)))
+
+    def saved(df, cols):
+        path = str(tmp_path / f"m{len(os.listdir(tmp_path))}")
+        table.merged(df, cols).write.parquet(path)
+        return path
+
+    assert table.read(spark).isEmpty()
+    write(rows(*[(k, "x", "y") for k in range(40)]))
+    files = {f for d, _, names in os.walk(table.path) for f in (os.path.join(d, n) for n in names) if "part-" in f}
+    write(rows((3, "new", "new"), (100, "p", "q"), (100, "r", "s")))
+    assert {tuple(r)[:3] for r in table.read(spark).where("k in (3, 100)").collect()} == {(3, "x", "y"), (100, "p", "q")}
+    write(rows((3, "new", "new"), (101, "t", "u")), ["a"])
+    assert {tuple(r)[:3] for r in table.read(spark).where("k in (3, 101)").collect()} == {(3, "new", "y"), (101, "t", "u")} and table.read(spark).count() == 42
+    kept = [f for f in files if os.path.exists(f)]
+    assert 0 < len(kept) < len(files)
+
+
 def test_window_streams(spark, tmp_path):
     t = datetime.datetime(2024, 1, 1, 10)
     rows = [(k, k % 2, "accepted" if k % 3 else "rejected", "e", 1, t + datetime.timedelta(minutes=30 * k)) for k in range(6)]
