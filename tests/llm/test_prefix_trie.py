@@ -23,27 +23,31 @@ def plain(rows):
             role, text = role or "", text or ""
             turns[conv].append((turn is not None, turn or 0, role, digest(role, text), text))
     own = {c: [(r, t) for *_, r, _, t in sorted(x, key=lambda v: v[:4])] for c, x in turns.items()}
-    members, paths = defaultdict(list), {}
+    # A node is known by its parent's number and its own turn, so that long paths cost no more than their turns.
+    numbers, above, depth, last, members, ends = {}, [None], [0], [""], [[]], [[]]
     for c in own:
         h = zlib.crc32(str(c).encode()) % 6
-        base = int(c / 100) * 100
-        paths[c] = own.get(base, [])[:h] + own[c][h:]
-        for d in range(len(paths[c]) + 1):
-            members[tuple(paths[c][:d])].append(c)
-    kids = defaultdict(int)
-    for node in members:
-        if node:
-            kids[node[:-1]] += 1
-    leaves, saved = defaultdict(int), defaultdict(int)
-    for node, m in members.items():
-        for d in range(len(node) + 1):
-            leaves[node[:d]] += not kids[node]
-            saved[node[:d]] += (len(m) - 1) * len(node[-1][1]) if node else 0
-    out = []
-    for node, m in members.items():
-        ends = ",".join(str(c) for c in sorted(m) if len(paths[c]) == len(node))
-        out.append((min(m), len(node), min(members[node[:-1]]) if node else None, len(m), kids[node], leaves[node], saved[node], hashlib.sha256(ends.encode()).hexdigest()))
-    return sorted(out, key=str)
+        at = 0
+        members[0].append(c)
+        for turn in own.get(int(c / 100) * 100, [])[:h] + own[c][h:]:
+            if (at, turn) not in numbers:
+                numbers[at, turn] = len(above)
+                above.append(at), depth.append(depth[at] + 1), last.append(turn[1]), members.append([]), ends.append([])
+            at = numbers[at, turn]
+            members[at].append(c)
+        ends[at].append(c)
+    if not own:
+        return []
+    kids, leaves, saved = [0] * len(above), [0] * len(above), [0] * len(above)
+    for k in range(len(above) - 1, -1, -1):
+        leaves[k] += not kids[k]
+        saved[k] += (len(members[k]) - 1) * len(last[k])
+        if k:
+            kids[above[k]] += 1
+            leaves[above[k]] += leaves[k]
+            saved[above[k]] += saved[k]
+    digest_of = lambda x: hashlib.sha256(",".join(map(str, sorted(x))).encode()).hexdigest()
+    return sorted(((min(members[k]), depth[k], min(members[above[k]]) if k else None, len(members[k]), kids[k], leaves[k], saved[k], digest_of(ends[k])) for k in range(len(above))), key=str)
 
 
 def held(spark, rows):
