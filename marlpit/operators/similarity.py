@@ -142,7 +142,7 @@ def similar_pairs(sets: DataFrame, percent: int = THRESHOLD_PERCENT, often: int
     Classes that share a rare shingle are counted exactly, the others by the patterns of their common ones (shared_parts),
     so no common shingle is paired with itself.
     """
-    docs, rare, patterns = shared_parts(sets, often)
+    docs, rare, patterns = shared_parts(shared_table(sets), often)
     return pairs_from(docs, patterns, rare_similarities(docs, rare, patterns), percent)
 
 
