@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from ..sources.tables import shared_table
+from ..sources.tables import shared_table, spread
 
 SHINGLE, LEAST_WORDS, THRESHOLD_PERCENT = 3, 40, 30
 #: A shingle of more classes than this is common.
@@ -71,7 +71,8 @@ def shingles(words: Column, n: int = SHINGLE) -> Column:
 
 def comparable(outputs: DataFrame, fold: bool = True) -> DataFrame:
     """T4: (workspace_id, id, n_words, shingles) of published texts long enough to compare."""
-    worded = outputs.where("published").select("workspace_id", "id", to_words(F.coalesce("text", F.lit("")), fold).alias("words"))
+    texts = spread(outputs.where("published").select("workspace_id", "id", "text"))
+    worded = texts.select("workspace_id", "id", to_words(F.coalesce("text", F.lit("")), fold).alias("words"))
     return worded.where(F.size("words") >= LEAST_WORDS).select("workspace_id", "id", F.size("words").alias("n_words"), shingles(F.col("words")).alias("shingles"))
 
 

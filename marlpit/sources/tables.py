@@ -31,6 +31,12 @@ def shared_table(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many partitions as there are cores, where it has fewer: a table of a few splits is dealt anew, a larger one is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def load(spark: SparkSession, directory: str, name: str, schema: T.StructType | str | None = None) -> DataFrame:
     """One model table; a declared schema wins over the file's."""
     reader = spark.read.schema(schema) if schema else spark.read
