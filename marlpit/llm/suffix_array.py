@@ -3,35 +3,16 @@
 Suffixes are classified as smaller (S) or larger (L) than their right neighbour;
 the substrings between leftmost S positions are sorted and named, the string of
 names is sorted recursively, and two scans induce the rest. A scan runs over
-character buckets: what one wave of a bucket's entries induces is placed in one
-numpy step, and only entries of the same character make another wave. Strings of
-names with few repeats have too many buckets for that and are ranked by doubling.
+character buckets in blocks: consecutive buckets of which none induces entries of
+another one of the block are read in one numpy step. So a scan's steps follow from
+how the characters stand next to each other and not from their number: an alphabet
+with as many letters as the string has places takes about the root of them.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-#: A string whose characters repeat less often than this on average is ranked by doubling.
-LEAST_REPEATS = 256
-
-
-def by_doubling(text: np.ndarray) -> np.ndarray:
-    """The suffix array of any string of small integers, by ranks of doubled length."""
-    n = len(text)
-    rank = np.unique(text, return_inverse=True)[1].astype(np.int64)
-    size = 1
-    while True:
-        after = np.full(n, -1, np.int64)
-        after[: max(0, n - size)] = rank[size:]
-        key = rank * (n + 1) + after + 1
-        order = np.argsort(key, kind="stable")
-        new = np.empty(n, np.int64)
-        new[order] = np.concatenate([[0], np.cumsum(np.diff(key[order]) != 0)])
-        if new[order[-1]] == n - 1 or size >= n:
-            return order
-        rank, size = new, 2 * size
-
 
 def smaller_than_next(text: np.ndarray) -> np.ndarray:
     """True for S suffixes; the end of the string counts as smaller than all, so the last suffix is L."""
@@ -45,75 +26,105 @@ def smaller_than_next(text: np.ndarray) -> np.ndarray:
     return out
 
 
+def ranges(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The integers of all ranges low[k] to high[k] - 1, one range after the other."""
+    size = high - low
+    return np.arange(size.sum()) + np.repeat(low - np.cumsum(size) + size, size)
+
+
+def blocks(text: np.ndarray, is_s: np.ndarray, letters: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each letter, where a block that begins with it ends: the first letter above it, and the last below it, that the block's own letters induce."""
+    before, after = text[:-1], text[1:]
+    above = np.full(letters, letters, np.int64)
+    up = ~is_s[:-1] & (before > after)
+    np.minimum.at(above, after[up], before[up])
+    below = np.full(letters, -1, np.int64)
+    down = is_s[:-1] & (before < after)
+    np.maximum.at(below, after[down], before[down])
+    return np.minimum.accumulate(above[::-1])[::-1], np.maximum.accumulate(below)
+
+
 def induce(text: np.ndarray, is_s: np.ndarray, seeds: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """The suffix order induced by seeds, the leftmost S positions in their order; starts are the buckets' bounds."""
-    n, letters = len(text), np.flatnonzero(np.diff(starts))
+    n, letters = len(text), len(starts) - 1
     order = np.full(n, -1, np.int64)
     head, tail = starts[:-1].copy(), starts[1:].copy()
-    seed_letter = text[seeds]
-    grouped = np.argsort(seed_letter, kind="stable")
-    many = np.bincount(seed_letter, minlength=len(head))
-    first = np.concatenate([[0], np.cumsum(many)])
+    grouped = seeds[np.argsort(text[seeds], kind="stable")]
+    first = np.concatenate([[0], np.cumsum(np.bincount(text[seeds], minlength=letters))])
+    above, below = blocks(text, is_s, letters)
 
     def place(found: np.ndarray) -> None:
         """Append suffixes to the heads of their buckets."""
         letter = text[found]
         sort = np.argsort(letter, kind="stable")
-        count = np.bincount(letter, minlength=len(head))
-        used = np.flatnonzero(count)
-        ends = np.cumsum(count[used])
-        at = np.arange(len(found)) - np.repeat(ends - count[used], count[used]) + np.repeat(head[used], count[used])
-        order[at] = found[sort]
-        head[used] += count[used]
+        edge = np.flatnonzero(np.diff(letter[sort], prepend=-1))
+        used, count = letter[sort[edge]], np.diff(np.append(edge, len(sort)))
+        order[ranges(head[used], head[used] + count)] = found[sort]
+        head[used] += count
 
     def place_back(found: np.ndarray) -> None:
         """Prepend suffixes to the tails of their buckets, the first found furthest right."""
+        found = found[::-1]
         letter = text[found]
         sort = np.argsort(letter, kind="stable")
-        count = np.bincount(letter, minlength=len(tail))
-        used = np.flatnonzero(count)
-        ends = np.cumsum(count[used])
-        at = np.repeat(tail[used], count[used]) - 1 - (np.arange(len(found)) - np.repeat(ends - count[used], count[used]))
-        order[at] = found[sort]
-        tail[used] -= count[used]
+        edge = np.flatnonzero(np.diff(letter[sort], prepend=-1))
+        used, count = letter[sort[edge]], np.diff(np.append(edge, len(sort)))
+        order[ranges(tail[used] - count, tail[used])] = found[sort]
+        tail[used] -= count
 
     def left_of(entries: np.ndarray, want_s: bool) -> np.ndarray:
         before = entries[entries > 0] - 1
         return before[is_s[before] == want_s]
 
+    def own(entries: np.ndarray, want_s: bool) -> np.ndarray:
+        """What entries induce in their own buckets."""
+        before = entries[entries > 0] - 1
+        return before[(is_s[before] == want_s) & (text[before] == text[before + 1])]
+
     if not is_s[n - 1]:
         place(np.array([n - 1]))
-    for c in letters:
-        done = starts[c]
-        while done < head[c]:
-            wave, done = order[done : head[c]], head[c]
-            if (found := left_of(wave, False)).size:
+    low = 0
+    while low < letters:
+        high = int(above[low])
+        block = np.arange(low, high)
+        done = starts[block]
+        while (wave := ranges(done, head[block])).size:
+            done = head[block].copy()
+            if (found := own(order[wave], False)).size:
                 place(found)
-        own = seeds[grouped[first[c] : first[c + 1]]]
-        if (found := left_of(own, False)).size:
+        larger, several = order[ranges(starts[block], head[block])], high - low > 1
+        read = np.concatenate([larger, grouped[first[low] : first[high]]])
+        if several:
+            read = read[np.argsort(text[read], kind="stable")]
+        found = left_of(read, False)
+        if (found := found[text[found] >= high]).size:
             place(found)
-    for c in letters[::-1]:
-        done = starts[c + 1]
-        while done > tail[c]:
-            wave, done = order[tail[c] : done][::-1], tail[c]
-            if (found := left_of(wave, True)).size:
+        low = high
+    high = letters - 1
+    while high >= 0:
+        low = int(below[high]) + 1
+        block = np.arange(low, high + 1)
+        done = starts[block + 1]
+        while (wave := ranges(tail[block], done)).size:
+            done = tail[block].copy()
+            if (found := own(order[wave][::-1], True)).size:
                 place_back(found)
-        larger = order[starts[c] : head[c]][::-1]
-        if (found := left_of(larger, True)).size:
+        # Of each bucket the S entries, which lie right, are read before the L entries, all from the right.
+        found = left_of(order[ranges(np.stack([starts[block], tail[block]], 1).ravel(), np.stack([head[block], starts[block + 1]], 1).ravel())][::-1], True)
+        if (found := found[text[found] < low]).size:
             place_back(found)
+        high = low - 1
     return order
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
-    """The start positions of all suffixes, in order. text holds integers from 0; a suffix precedes its extensions."""
+    """The start positions of all suffixes, in order. text holds integers; a suffix precedes its extensions."""
     n = len(text)
     if n < 2:
         return np.arange(n)
-    size = int(text.max()) + 1
-    if n < LEAST_REPEATS or n < size * LEAST_REPEATS:
-        return by_doubling(text)
+    text = np.unique(text, return_inverse=True)[1].astype(np.int64)
     is_s = smaller_than_next(text)
-    starts = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=size))])
+    starts = np.concatenate([[0], np.cumsum(np.bincount(text))])
     seeds = np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1
     if len(seeds) > 1:
         order = induce(text, is_s, seeds, starts)

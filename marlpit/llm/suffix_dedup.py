@@ -22,8 +22,8 @@ batch sends an anchor with the same surroundings once however often it has it,
 and a group of more than `hot` members counts its windows one by one in a grouped
 aggregation, so no group has to meet in one place.
 
-Null and empty texts remove nothing. Texts may be of any length; memory follows
-the longest. Repeated rows are copies of each other. Extra columns are not
+Null and empty texts remove nothing. Texts may have up to a gigabyte less one byte,
+longer ones raise an error; memory follows the longest. Repeated rows are copies of each other. Extra columns are not
 carried.
 """
 
@@ -87,6 +87,8 @@ def anchors(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np
     raw = np.frombuffer(b"".join(texts), np.uint8)
     if len(raw) < length:
         return none, none, nothing, nothing
+    if len(raw) >> POSITION_BITS:
+        raise ValueError(f"texts of {len(raw)} bytes at once: places have {POSITION_BITS} bits")
     ends = np.cumsum([len(t) for t in texts])
     begins = ends - [len(t) for t in texts]
     hasher, every = Hasher(raw), np.arange(len(raw) - GRAM + 1)
