@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from .hosts import ascii_host, browser_host, browser_hosts
+
 MAX_URL = 2048
 
 # Query parameters that never tell pages apart.
@@ -29,6 +31,8 @@ SENSITIVE = [
 SCHEME = r"(?i)^[a-z][a-z0-9+.\-]*:"
 # An http address as browsers read it: any number of slashes, backslashes included, and the host after the last @ of the authority.
 HTTP = r"(?i)^(https?):[/\\]*(?:([^/\\?#]*)@)?(\[[0-9a-f:.]+\]|[^/\\?#@:\[\]]*)(?::([0-9]*))?(?=[/\\?#]|$)"
+#: An http address whose host browsers change: outside ASCII, escaped, encoded, or of numbers.
+ODD_HOST = r"(?i)^https?://(?:[^/?#@]*@)?(?:\[|[^/?#:]*(?:xn--|%)|(?:[^/?#:]*\.)?(?:0x[0-9a-f]*|[0-9]+)\.?(?:[:/?#]|$))"
 #: What no host holds.
 NOT_IN_HOST = r"[\x00-\x20<>^|%\x7F]"
 
@@ -42,10 +46,13 @@ def _resolve(url: pd.Series, base: pd.Series) -> pd.Series:
             return None
         try:
             parts = urlsplit(urljoin(b, u) if b else u)
-            host = (parts.hostname or "").encode("idna").decode() if parts.hostname else ""
-            port = f":{parts.port}" if parts.port else ""
+            named = parts.hostname or ""
+            host = ascii_host(f"[{named}]" if ":" in named else named) if parts.scheme in ("http", "https") else named
+            port = f":{parts.port}" if parts.port is not None else ""
         except (ValueError, UnicodeError):
             return None
+        if host is None:
+            return None
         keep = "/%:@!$&'()*+,;=-._~"
         query = "?" + quote(parts.query, safe=keep + "?[]") if parts.query else ""
         return f"{parts.scheme}://{host}{port}{quote(parts.path, safe=keep)}{query}" if parts.scheme else None
@@ -86,7 +93,7 @@ def normalise_urls(df: DataFrame, url: str, base: str | None = None, fold: bool
     """Df with normalised (null if refused) and refusal (too_long, not_a_resource or null)."""
     raw = F.trim(F.coalesce(F.col(url), F.lit("")))
     absolute = raw.rlike("(?i)^[a-z][a-z0-9+.-]*:")
-    odd = (~absolute & F.lit(base is not None)) | (raw.rlike("(?i)^https?:") & raw.rlike(r"[^\x21-\x7E]|/\.\.?(/|$)"))
+    odd = (~absolute & F.lit(base is not None)) | (raw.rlike("(?i)^https?:") & (raw.rlike(r"[^\x21-\x7E]|/\.\.?(/|$)") | raw.rlike(ODD_HOST)))
     refused_early = (F.length(raw) > MAX_URL) | (raw == "") | raw.startswith("#")
     asked = settled(df, **{"odd ": odd & ~refused_early, "plain ": F.when(~refused_early, raw)})
     whole = asked.withColumn("url ", F.when(F.col("odd "), _resolve(F.when(F.col("odd "), F.col("plain ")), F.col(base) if base else F.lit(None).cast("string"))).otherwise(F.col("plain ")))
@@ -125,12 +132,18 @@ def classify_scope(url: Column, origin: Column, follow_upgrade: bool = True) ->
     return verdict.when(F.lit(follow_upgrade) & upgrade, "scheme_upgrade").when(related, "other_subdomain").otherwise("external")
 
 
-def http_parts(url: Column) -> dict[str, Column]:
+def http_host(url: Column) -> Column:
+    """The host of an absolute http address in lower case, as it is written."""
+    return F.lower(F.regexp_extract(url, HTTP, 3))
+
+
+def http_parts(url: Column, host: Column | None = None) -> dict[str, Column]:
     """scheme, login, host and port of an absolute http address, all in lower case and the default port empty; null where it is none.
 
-    Hosts outside ASCII stay as they are written, and numbers for IPv4 addresses in odd notations too.
+    The host is as browsers keep it (hosts.browser_host), unless it is given.
     """
-    scheme, login, host, port = (F.lower(F.regexp_extract(url, HTTP, k)) for k in range(1, 5))
+    host = browser_host(http_host(url)) if host is None else host
+    scheme, login, port = (F.lower(F.regexp_extract(url, HTTP, k)) for k in (1, 2, 4))
     number = F.regexp_replace(port, "^0+(?=[0-9])", "")
     sound = url.rlike(HTTP) & (host != "") & ~host.rlike(NOT_IN_HOST) & ((number == "") | (F.coalesce(number.try_cast("long"), F.lit(65536)) < 65536))
     default = ((scheme == "http") & (number == "80")) | ((scheme == "https") & (number == "443"))
@@ -171,13 +184,15 @@ def bare_host(value: Column) -> Column:
     return F.regexp_replace(http_parts(http_address(value))["host"], r"^www\.", "")
 
 
-def normalise_origin(value: Column) -> Column:
-    """Scheme, host and port of an http address or of a bare host (then https), without a default port or login; null where there is none, for 'null' and beyond 255 characters."""
-    parts = http_parts(http_address(value))
+def normalise_origin(value: Column, host: Column | None = None) -> Column:
+    """Scheme, host and port of an http address or of a bare host (then https), without a default port or login; null where there is none, for 'null' and beyond 255 characters. host: as in http_parts."""
+    parts = http_parts(http_address(value), host)
     origin = F.concat(parts["scheme"], F.lit("://"), parts["host"], F.when(parts["port"] == "", "").otherwise(F.concat(F.lit(":"), parts["port"])))
     return F.when((F.length(F.trim(value)) <= 255) & (F.trim(value) != "null"), origin)
 
 
 def origin_allowed(origin: Column, allowed: Column) -> Column:
     """Whether an origin is in the list; an empty list allows every origin."""
-    return (F.coalesce(F.size(allowed), F.lit(0)) == 0) | F.coalesce(F.exists(allowed, lambda a: normalise_origin(a) == normalise_origin(origin)), F.lit(False))
+    hosts = browser_hosts(F.transform(allowed, lambda a: http_host(http_address(a))))
+    origins = F.zip_with(allowed, hosts, normalise_origin)
+    return (F.coalesce(F.size(allowed), F.lit(0)) == 0) | F.coalesce(F.array_contains(origins, normalise_origin(origin)), F.lit(False))

@@ -123,6 +123,25 @@ def test_hosts_and_origins(spark):
     assert [r.ok for r in df.select("k", urls.origin_allowed(F.col("o"), F.col("a")).alias("ok")).orderBy("k").collect()] == [c[2] for c in checks]
 
 
+def test_hosts_as_browsers_read_them(spark):
+    want = {
+        "http://2130706433/": "127.0.0.1", "http://0x7f.1": "127.0.0.1", "http://0X7F000001:80/x": "127.0.0.1", "http://010.0.0.1": "8.0.0.1", "127.1": "127.0.0.1", "http://1.2.3.4.": "1.2.3.4", "http://10.0.0.0x": "10.0.0.0", "http://1.65535": "1.0.255.255",
+        "http://256.1.1.1": None, "http://1.2.3.4.5": None, "http://1.2.3.08": None, "http://4294967296": None, "http://1..2": None, "http://a.test.09": None, "http://1.2.3.256": None, "http://1.a.test": "1.a.test",
+        "https://Bücher.example/x": "xn--bcher-kva.example", "https://xn--bcher-kva.example": "xn--bcher-kva.example", "https://faß.de": "xn--fa-hia.de", "例え。テスト": "xn--r8jz45g.xn--zckzah", "https://www.münchen.test": "xn--mnchen-3ya.test",
+        "https://ｅｘａｍｐｌｅ．test": "example.test", "https://ex%41mple.test": "example.test", "https://b%C3%BCcher.test": "xn--bcher-kva.test", "https://so\u00adft.test": "soft.test", "https://☃.test": "xn--n3h.test", "http://１２７.1": "127.0.0.1",
+        "https://xn--a.test": None, "https://xn--.test": None, "https://a%2fb.test": None, "https://a%20b.test": None, "https://%ff.test": None, "https://\u0301a.test": None, "https://a\u200db.test": None,
+        "http://[0:0:0:0:0:0:0:1]": "[::1]", "http://[::ffff:1.2.3.4]:8080": "[::ffff:102:304]", "http://[1:0:0:2:0:0:0:3]": "[1:0:0:2::3]", "http://[1:2:3:4:5:6:0:8]": "[1:2:3:4:5:6:0:8]", "http://[1::2::3]": None, "http://[1:2]": None, "http://[::]": "[::]", "http://[1:2:3:4:5:6:7:8:9]": None, "http://[::1.2.3]": None,
+    }
+    df = spark.createDataFrame([(u,) for u in want], "u string")
+    assert {r.u: r.h for r in df.select("u", urls.bare_host(F.col("u")).alias("h")).collect()} == want
+    checks = [("http://0x7f.1:8080", ["http://127.0.0.1:8080"], True), ("http://127.0.0.1", ["http://2130706433", None], True), ("https://bücher.test", ["https://a.test", "XN--BCHER-KVA.test"], True), ("https://bucher.test", ["bücher.test"], False), ("http://256.1", ["http://256.1"], False)]
+    df = spark.createDataFrame([(k, o, a) for k, (o, a, _) in enumerate(checks)], "k int, o string, a array<string>")
+    assert [r.ok for r in df.select("k", urls.origin_allowed(F.col("o"), F.col("a")).alias("ok")).orderBy("k").collect()] == [c[2] for c in checks]
+    whole = {"http://0x7f.1/a": "http://127.0.0.1/a", "https://bücher.test/ü": "https://xn--bcher-kva.test/%C3%BC", "https://ex%41mple.test:8443/?b=1": "https://example.test:8443/?b=1", "http://1.2.3.256/": None, "http://[0::1]/": "http://[::1]/", "http://a.test/1.2": "http://a.test/1.2", "http://faß.de/": "http://xn--fa-hia.de/"}
+    df = spark.createDataFrame([(u,) for u in whole], "u string")
+    assert {r.u: r.normalised for r in urls.normalise_urls(df, "u").collect()} == whole
+
+
 def test_policy(spark):
     want = {
         "https://a.test/?code=SPRING20&state=VIC&key=colour&id=1&design=2&tokenizer=3": None, "https://a.test:443/": None, "http://a.test:80/": None, "https://a.test/#?token=1": None, "https://@a.test/": None,
