@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from urllib.parse import quote, urljoin, urlsplit
 
 import pandas as pd
@@ -132,22 +133,34 @@ def classify_scope(url: Column, origin: Column, follow_upgrade: bool = True) ->
     return verdict.when(F.lit(follow_upgrade) & upgrade, "scheme_upgrade").when(related, "other_subdomain").otherwise("external")
 
 
+def bound(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """fn of a value that is written out once, however often fn names it; fn holds no Python function."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
 def http_host(url: Column) -> Column:
     """The host of an absolute http address in lower case, as it is written."""
     return F.lower(F.regexp_extract(url, HTTP, 3))
 
 
-def http_parts(url: Column, host: Column | None = None) -> dict[str, Column]:
-    """scheme, login, host and port of an absolute http address, all in lower case and the default port empty; null where it is none.
+def http_parts(url: Column, host: Column | None = None) -> Column:
+    """A struct of scheme, login, host and port of an absolute http address, all in lower case and the default port empty; nulls where it is none.
 
     The host is as browsers keep it (hosts.browser_host), unless it is given.
     """
-    host = browser_host(http_host(url)) if host is None else host
-    scheme, login, port = (F.lower(F.regexp_extract(url, HTTP, k)) for k in (1, 2, 4))
-    number = F.regexp_replace(port, "^0+(?=[0-9])", "")
-    sound = url.rlike(HTTP) & (host != "") & ~host.rlike(NOT_IN_HOST) & ((number == "") | (F.coalesce(number.try_cast("long"), F.lit(65536)) < 65536))
-    default = ((scheme == "http") & (number == "80")) | ((scheme == "https") & (number == "443"))
-    return {k: F.when(sound, v) for k, v in {"scheme": scheme, "login": login, "host": host, "port": F.when(default, "").otherwise(number)}.items()}
+
+    def read(v: Column) -> Column:
+        scheme, login, port = (F.lower(F.regexp_extract(v["url"], HTTP, k)) for k in (1, 2, 4))
+        found = F.struct(scheme.alias("scheme"), login.alias("login"), v["host"].alias("host"), F.regexp_replace(port, "^0+(?=[0-9])", "").alias("port"))
+        sound = v["url"].rlike(HTTP) & (v["host"] != "") & ~v["host"].rlike(NOT_IN_HOST)
+        return bound(F.when(sound, found), judged)
+
+    def judged(p: Column) -> Column:
+        near = (p["port"] == "") | (F.coalesce(p["port"].try_cast("long"), F.lit(65536)) < 65536)
+        default = ((p["scheme"] == "http") & (p["port"] == "80")) | ((p["scheme"] == "https") & (p["port"] == "443"))
+        return F.when(near, F.struct(p["scheme"].alias("scheme"), p["login"].alias("login"), p["host"].alias("host"), F.when(default, "").otherwise(p["port"]).alias("port")))
+
+    return bound(F.struct(url.alias("url"), (browser_host(http_host(url)) if host is None else host).alias("host")), read)
 
 
 def without_breaks(value: Column) -> Column:
@@ -156,8 +169,7 @@ def without_breaks(value: Column) -> Column:
 
 def http_address(value: Column) -> Column:
     """A value as an absolute http address: as it is if it has a scheme, else after https://; null if it is empty, has another scheme or begins with a slash."""
-    raw = without_breaks(value)
-    return F.when((raw == "") | raw.startswith("/"), None).when(raw.rlike(SCHEME), F.when(raw.rlike("(?i)^https?:"), raw)).otherwise(F.concat(F.lit("https://"), raw))
+    return bound(without_breaks(value), lambda raw: F.when((raw == "") | raw.startswith("/"), None).when(raw.rlike(SCHEME), F.when(raw.rlike("(?i)^https?:"), raw)).otherwise(F.concat(F.lit("https://"), raw)))
 
 
 def url_policy(url: Column) -> Column:
@@ -186,8 +198,7 @@ def bare_host(value: Column) -> Column:
 
 def normalise_origin(value: Column, host: Column | None = None) -> Column:
     """Scheme, host and port of an http address or of a bare host (then https), without a default port or login; null where there is none, for 'null' and beyond 255 characters. host: as in http_parts."""
-    parts = http_parts(http_address(value), host)
-    origin = F.concat(parts["scheme"], F.lit("://"), parts["host"], F.when(parts["port"] == "", "").otherwise(F.concat(F.lit(":"), parts["port"])))
+    origin = bound(http_parts(http_address(value), host), lambda p: F.concat(p["scheme"], F.lit("://"), p["host"], F.when(p["port"] == "", "").otherwise(F.concat(F.lit(":"), p["port"]))))
     return F.when((F.length(F.trim(value)) <= 255) & (F.trim(value) != "null"), origin)
 
 

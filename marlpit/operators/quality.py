@@ -31,6 +31,17 @@ def attribution_violations(events: DataFrame, outputs: DataFrame) -> DataFrame:
     return joined.select("id", violation.alias("violation")).where("violation is not null")
 
 
+def outcome_violations(events: DataFrame, outputs: DataFrame) -> DataFrame:
+    """(id, violation) of events (id, output_id, outcome, contact_id, acquisition_id, opportunity_id): those of attribution_violations, and outcomes that name another record than their own, or more than it, or that are unknown."""
+    own = {"contact_created": "contact_id", "acquisition_recorded": "acquisition_id", "opportunity_created": "opportunity_id", "opportunity_stage_changed": "opportunity_id", "opportunity_won": "opportunity_id"}
+    named = F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), c) for c in ("contact_id", "acquisition_id", "opportunity_id")]))
+    right = F.lit(False)
+    for outcome, column in own.items():
+        right = F.when(F.col("outcome") == outcome, named == F.array(F.lit(column))).otherwise(right)
+    unpublished = attribution_violations(events.withColumn("outcome", F.lit(None).cast("string")), outputs)
+    return unpublished.unionByName(events.where(~right).select("id", F.lit("target_contradicts_outcome").alias("violation")))
+
+
 def immutability_violations(before: DataFrame, after: DataFrame, key: str, protected: list[str]) -> DataFrame:
     """(key, field) of protected fields that differ between two snapshots; a vanished row is '(row)'."""
     later = after.select(F.col(key), *[F.col(c).alias(f"after {c}") for c in protected], F.lit(True).alias("there"))
@@ -50,6 +61,59 @@ def stage_blockers(stages: DataFrame, opportunities: DataFrame) -> DataFrame:
     return stages.join(held, ["workspace_id", "stage"])
 
 
+def crawl_rules() -> dict[str, Column]:
+    """Q1: crawls (status, started_at, completed_at, failure_category, page_limit, max_depth and six counters)."""
+    status, ended = F.col("status"), F.col("completed_at").isNotNull()
+    counters = [F.col(c) >= 0 for c in ("pages_discovered", "pages_fetched", "pages_failed", "pages_skipped", "bytes_downloaded", "sitemap_url_count")]
+    return {
+        "budget_out_of_bounds": F.col("page_limit").between(1, 10_000) & F.col("max_depth").between(1, 20),
+        "ended_without_completed_at": (status.isin("completed", "failed", "cancelled") & ended) | status.isin("queued", "running"),
+        "running_without_started_at": (status == "queued") | F.col("started_at").isNotNull(),
+        "failed_without_category": (status != "failed") | F.col("failure_category").isNotNull(),
+        "counter_below_zero": all_of(counters),
+    }
+
+
+def frontier_rules() -> dict[str, Column]:
+    """Q1: frontier rows (state, skip_reason, depth, attempts): a skipped row has a reason and no other has one."""
+    return {"skip_reason_contradicts_state": (F.col("state") == "skipped") == F.col("skip_reason").isNotNull(), "depth_or_attempts_out_of_bounds": F.col("depth").between(0, 20) & F.col("attempts").between(0, 10)}
+
+
+def crawl_page_rules() -> dict[str, Column]:
+    """Q1: observed pages (outcome, failure_category, http_status, normalised_url, title, meta_description, h1_text, canonical_url)."""
+    bounds = {"title": 1000, "meta_description": 2000, "h1_text": 1000, "canonical_url": 2048, "normalised_url": 2048}
+    bounded = [F.col(c).isNull() | (F.length(c) <= most) for c, most in bounds.items()]
+    return {
+        "failure_without_category": ~F.col("outcome").isin("blocked", "failed") | F.col("failure_category").isNotNull(),
+        "http_status_implausible": F.col("http_status").isNull() | F.col("http_status").between(100, 599),
+        "text_out_of_bounds": all_of([*bounded, F.col("normalised_url") != ""]),
+    }
+
+
+def crawl_site_rules() -> dict[str, Column]:
+    """Q1: sites (verification_state, verified_at, verification_method and the four limits of a crawl)."""
+    verified, at = F.col("verification_state") == "verified", F.col("verified_at").isNotNull()
+    limits = {"crawl_page_limit": (1, 10_000), "crawl_max_depth": (1, 20), "crawl_concurrency": (1, 4), "crawl_delay_ms": (0, 60_000)}
+    return {"verification_contradicts_state": (verified & at & F.col("verification_method").isNotNull()) | (~verified & ~at), "crawl_budget_out_of_bounds": all_of([F.col(c).between(*b) for c, b in limits.items()])}
+
+
+def link_rules() -> dict[str, Column]:
+    """Q1: the words of a link have 300 characters at most."""
+    return {"anchor_text_too_long": F.length("anchor_text") <= 300}
+
+
+def site_page_rules() -> dict[str, Column]:
+    """Q1: lasting pages (normalised_url, first_seen_at, last_seen_at)."""
+    return {"page_url_out_of_bounds": (F.col("normalised_url") != "") & (F.length("normalised_url") <= 2048), "seen_range_reversed": F.col("last_seen_at") >= F.col("first_seen_at")}
+
+
+def all_of(rules: list[Column]) -> Column:
+    out = F.lit(True)
+    for rule in rules:
+        out = out & rule
+    return out
+
+
 def contact_rules() -> dict[str, Column]:
     """Q2: contacts (id, merged_at, merged_into)."""
     return {"merge_incomplete": F.col("merged_at").isNull() == F.col("merged_into").isNull(), "merged_into_itself": F.col("merged_into") != F.col("id")}

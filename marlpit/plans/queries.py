@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import attribution, identity, urls
-from ..operators import access, crawl, crm, ingest, limits, network, quality, similarity
+from ..operators import access, crawl, crm, ingest, limits, network, quality, search, similarity
 from ..sources import tables
 from .adapters import NOW, views, with_views
 
@@ -33,6 +33,16 @@ LIVE = "NOT is_deleted AND NOT is_merged AND NOT is_erased"
 # --- scans, filters, projections
 
 
+@query("f1_indexed_search", with_views("""SELECT term, count(*) AS n, min(id) AS first_id FROM (SELECT right(s_name, 5) AS term FROM supplier UNION SELECT lower(substr(c_mktsegment, 1, 2)) FROM customer UNION SELECT concat('user', s_suppkey) FROM supplier) t
+    JOIN contacts ON contains(lower(first_name), term) OR contains(lower(coalesce(email, '')), term) OR contains(coalesce(phone, ''), term) GROUP BY 1""", "contacts"))
+def _(spark, sf_dir):
+    [contacts], suppliers = views(spark, sf_dir, "contacts"), tables.load(spark, sf_dir, "supplier")
+    columns = ["first_name", "email", "phone"]
+    terms = suppliers.select(F.right("s_name", F.lit(5)).alias("term")).unionByName(suppliers.select(F.concat(F.lit("USER"), "s_suppkey").alias("term"))).unionByName(contacts.select(F.substring("company", 1, 2).alias("term")))
+    index = tables.shared_table(search.gram_index(contacts, "id", columns))
+    return search.search_terms(contacts, index, "id", columns, terms).groupBy("term").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
+
+
 @query("f1_contains_search", "SELECT id, workspace_id FROM contacts WHERE contains(lower(first_name), '#0000001') OR contains(lower(coalesce(email, '')), 'user1')", "contacts")
 def _(contacts):
     return crm.contains_search(contacts, ["first_name", "email"], "USER1").unionByName(crm.contains_search(contacts, ["first_name"], "#0000001")).select("id", "workspace_id").distinct()
@@ -339,6 +349,16 @@ def _(touches, outputs):
     return quality.attribution_violations(events, outputs)
 
 
+@query("j20_outcome_violations", """SELECT id, CASE WHEN published IS NULL THEN 'missing_output' ELSE 'unpublished_output' END AS violation FROM (SELECT t.id, o.published FROM touches t LEFT JOIN outputs o ON o.id = t.id * 7 % 1500) x WHERE published IS NULL OR NOT published
+    UNION ALL SELECT id, 'target_contradicts_outcome' FROM (SELECT id, id % 6 AS outcome, contact_id IS NOT NULL AND id % 3 = 0 AS by_contact, id % 4 = 1 AS by_acquisition, id % 5 < 2 AS by_deal FROM touches) x
+    WHERE NOT CASE outcome WHEN 5 THEN false WHEN 0 THEN by_contact AND NOT by_acquisition AND NOT by_deal WHEN 1 THEN by_acquisition AND NOT by_contact AND NOT by_deal ELSE by_deal AND NOT by_contact AND NOT by_acquisition END""", "touches", "outputs")
+def _(touches, outputs):
+    k = F.col("id")
+    names = F.array(*map(F.lit, ["contact_created", "acquisition_recorded", "opportunity_created", "opportunity_stage_changed", "opportunity_won", "click"]))
+    events = touches.select("id", (k * 7 % 1500).alias("output_id"), F.get(names, (k % 6).cast("int")).alias("outcome"), F.when(k % 3 == 0, F.col("contact_id")).alias("contact_id"), F.when(k % 4 == 1, k).alias("acquisition_id"), F.when(k % 5 < 2, k).alias("opportunity_id"))
+    return quality.outcome_violations(events, outputs)
+
+
 @query("j21_merge_redirects", """WITH RECURSIVE hops AS (SELECT id, merged_into AS survivor FROM contacts WHERE merged_into IS NOT NULL
     UNION SELECT h.id, c.merged_into FROM hops h JOIN contacts c ON c.id = h.survivor WHERE c.merged_into IS NOT NULL) SELECT id, min(survivor) AS survivor FROM hops GROUP BY id""".replace("WITH RECURSIVE", "WITH"), "contacts")
 def _(contacts):
@@ -780,6 +800,14 @@ def _(spark, sf_dir):
     return tables.load(spark, sf_dir, "pages").groupBy(urls.bare_host(shown).alias("host")).agg(F.count("*").alias("n"))
 
 
+@query("c9_number_hosts", """SELECT page_id, CASE WHEN page_id % 5 = 3 THEN concat_ws('.', 10, n >> 16 & 255, n >> 8 & 255, n & 255) WHEN page_id % 5 < 4 THEN concat_ws('.', n >> 24 & 255, n >> 16 & 255, n >> 8 & 255, n & 255) END AS host FROM (SELECT page_id, page_id * 7919 % 4294967296 AS n FROM pages) x""")
+def _(spark, sf_dir):
+    # One IPv4 address as a decimal, hexadecimal and octal number, in two parts, and with a part too many.
+    n, k = F.col("page_id") * 7919 % (1 << 32), F.col("page_id") % 5
+    said = F.when(k == 0, n.cast("string")).when(k == 1, F.concat(F.lit("0x"), F.hex(n))).when(k == 2, F.concat(F.lit("0"), F.conv(n.cast("string"), 10, 8))).when(k == 3, F.concat(F.lit("012."), (n % (1 << 24)).cast("string"))).otherwise(F.concat(F.lit("1.2.3.4."), n.cast("string")))
+    return tables.load(spark, sf_dir, "pages").select("page_id", urls.bare_host(F.concat(F.lit("http://"), said, F.lit(":8080/x"))).alias("host"))
+
+
 @query("c10_origin_mix", """SELECT origin, count(*) AS n, coalesce(max(CASE WHEN origin LIKE 'https%' AND origin <> 'https://evil.test' THEN 1 ELSE 0 END), 0) = 1 AS allowed FROM (
     SELECT CASE page_id % 5 WHEN 0 THEN 'https://evil.test' WHEN 1 THEN 'https://' || host WHEN 2 THEN NULL ELSE said || host END AS origin
     FROM (SELECT page_id, regexp_extract(lower(url), '^([a-z]+://)', 1) AS said, regexp_extract(lower(url), '^[a-z]+://([^/?#]*)', 1) AS host FROM pages) x) y GROUP BY 1""")
@@ -1249,6 +1277,34 @@ def _(pages):
     return quality.check_rows(pages, {"depth_out_of_range": F.col("depth").between(0, 7), "redirect_at_depth": ~((F.col("outcome") == "redirected") & (F.col("depth") >= 3))})
 
 
+@query("q1_crawl_constraints", """SELECT rule, count(*) AS n FROM (
+    SELECT 'budget_out_of_bounds' AS rule FROM graph_pages WHERE page_id % 20 = 0 OR depth = 0 UNION ALL SELECT 'ended_without_completed_at' FROM graph_pages WHERE page_id % 5 > 1 AND page_id % 3 = 0
+    UNION ALL SELECT 'running_without_started_at' FROM graph_pages WHERE page_id % 5 > 0 AND page_id % 7 = 0 UNION ALL SELECT 'failed_without_category' FROM graph_pages WHERE page_id % 5 = 3 AND page_id % 2 = 0 UNION ALL SELECT 'counter_below_zero' FROM graph_pages WHERE depth - page_id % 7 < 0
+    UNION ALL SELECT 'skip_reason_contradicts_state' FROM graph_pages WHERE (page_id % 4 = 0) <> (page_id % 6 = 0) UNION ALL SELECT 'depth_or_attempts_out_of_bounds' FROM graph_pages WHERE depth * 3 > 20 OR page_id % 13 > 10
+    UNION ALL SELECT 'failure_without_category' FROM graph_pages WHERE outcome = 'redirected' AND page_id % 2 = 0 UNION ALL SELECT 'http_status_implausible' FROM graph_pages WHERE page_id % 700 < 100 AND page_id % 11 > 0 OR page_id % 700 > 599 AND page_id % 11 > 0
+    UNION ALL SELECT 'text_out_of_bounds' FROM graph_pages WHERE page_id % 9 = 0 OR page_id % 10 = 0 UNION ALL SELECT 'verification_contradicts_state' FROM graph_pages WHERE CASE WHEN page_id % 3 = 0 THEN page_id % 2 > 0 OR page_id % 5 = 0 ELSE page_id % 2 = 0 END
+    UNION ALL SELECT 'crawl_budget_out_of_bounds' FROM graph_pages WHERE page_id % 6 NOT BETWEEN 1 AND 4 UNION ALL SELECT 'anchor_text_too_long' FROM graph_pages WHERE page_id % 8 = 0 UNION ALL SELECT 'page_url_out_of_bounds' FROM graph_pages WHERE page_id % 9 = 0
+    UNION ALL SELECT 'seen_range_reversed' FROM graph_pages WHERE depth > 5) x GROUP BY 1""", "graph_pages")
+def _(pages):
+    k, depth, now = F.col("page_id"), F.col("depth"), F.lit(NOW).cast("timestamp")
+    status = F.get(F.array(*map(F.lit, ["queued", "running", "completed", "failed", "cancelled"])), (k % 5).cast("int"))
+    counters = [F.lit(1).alias(c) for c in ("pages_fetched", "pages_failed", "pages_skipped", "bytes_downloaded", "sitemap_url_count")]
+    crawls = pages.select(status.alias("status"), F.when(k % 7 > 0, now).alias("started_at"), F.when(k % 3 > 0, now).alias("completed_at"), F.when(k % 2 > 0, "timeout").alias("failure_category"), F.when(k % 20 == 0, 20_000).otherwise(500).alias("page_limit"), depth.alias("max_depth"), (depth - k % 7).alias("pages_discovered"), *counters)
+    frontier = pages.select(F.when(k % 4 == 0, "skipped").otherwise("queued").alias("state"), F.when(k % 6 == 0, "depth").alias("skip_reason"), (depth * 3).alias("depth"), (k % 13).alias("attempts"))
+    long = F.when(k % 10 == 0, F.repeat(F.lit("t"), 1001)).otherwise("t")
+    address = F.when(k % 9 == 0, "").otherwise(F.col("url"))
+    seen = pages.select(F.when(F.col("outcome") == "redirected", "blocked").otherwise("fetched").alias("outcome"), F.when(k % 2 > 0, "robots").alias("failure_category"), F.when(k % 11 > 0, k % 700).alias("http_status"), address.alias("normalised_url"), long.alias("title"), long.alias("meta_description"), F.lit(None).cast("string").alias("h1_text"), F.col("url").alias("canonical_url"))
+    sites = pages.select(F.when(k % 3 == 0, "verified").otherwise("pending").alias("verification_state"), F.when(k % 2 == 0, now).alias("verified_at"), F.when(k % 5 > 0, "meta").alias("verification_method"), F.lit(1).alias("crawl_page_limit"), F.lit(20).alias("crawl_max_depth"), (k % 6).alias("crawl_concurrency"), F.lit(0).alias("crawl_delay_ms"))
+    links = pages.select(F.when(k % 8 == 0, F.repeat(F.lit("a"), 301)).when(k % 8 == 1, F.repeat(F.lit("a"), 300)).alias("anchor_text"))
+    lasting = pages.select(address.alias("normalised_url"), F.lit(5).alias("last_seen_at"), depth.alias("first_seen_at"))
+    checks = [(crawls, quality.crawl_rules()), (frontier, quality.frontier_rules()), (seen, quality.crawl_page_rules()), (sites, quality.crawl_site_rules()), (links, quality.link_rules()), (lasting, quality.site_page_rules())]
+    out = None
+    for df, rules in checks:
+        part = quality.check_rows(df, rules)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query("q2_constraint_violations", """SELECT rule, count(*) AS n FROM (SELECT 'merge_incomplete' AS rule FROM contacts WHERE (id % 6 = 0) <> (merged_into IS NOT NULL) UNION ALL SELECT 'merged_into_itself' FROM contacts WHERE merged_into IS NOT NULL AND id % 2 = 0
     UNION ALL SELECT 'not_one_value' FROM submissions WHERE (id % 2 = 0)::INT + (id % 3 = 0)::INT <> 1 UNION ALL SELECT 'outcome_contradicts_records' FROM submissions WHERE CASE WHEN outcome = 'rejected' THEN id % 4 = 0 ELSE id % 7 = 0 END
     UNION ALL SELECT 'origin_is_none' FROM submissions WHERE id % 3 = 0 UNION ALL SELECT 'key_is_weak' FROM submissions WHERE id % 5 = 0 UNION ALL SELECT 'evidence_is_no_object' FROM submissions WHERE id % 4 IN (0, 1) UNION ALL SELECT 'evidence_too_long' FROM submissions WHERE id % 4 = 3) x GROUP BY 1""", "contacts", "submissions")

@@ -43,10 +43,10 @@ def load(spark: SparkSession, directory: str, name: str, schema: T.StructType |
     return reader.parquet(f"{directory}/{name}.parquet")
 
 
-def read_contacts_csv(spark: SparkSession, path: str, max_columns: int = 60, max_field: int = 4000) -> tuple[DataFrame, DataFrame]:
+def read_contacts_csv(spark: SparkSession, path: str, max_columns: int = 60, max_field: int = 4000, max_rows: int = 10_000) -> tuple[DataFrame, DataFrame]:
     """(rows, report). Headers are trimmed, required and unique case-insensitively; short rows are padded with '' and blank lines skipped.
 
-    Limits are reported, never applied: the report counts rows, over-long fields and surplus columns.
+    Limits are reported, never applied: the report counts rows, over-long fields, surplus columns and the rows that a reader with a limit would cut off.
     """
     raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("encoding", "UTF-8").option("mode", "PERMISSIVE").option("enforceSchema", False).csv(path)
     names = [c.lstrip("﻿").strip() for c in raw.columns]
@@ -57,7 +57,7 @@ def read_contacts_csv(spark: SparkSession, path: str, max_columns: int = 60, max
     rows = raw.toDF(*names).na.fill("")
     rows = rows.where(F.greatest(*[F.length(F.trim(f"`{n}`")) for n in names], F.lit(0)) > 0)
     long_fields = sum((F.when(F.length(f"`{n}`") > max_field, 1).otherwise(0) for n in names), F.lit(0))
-    report = rows.agg(F.count("*").alias("n_rows"), F.coalesce(F.sum(long_fields), F.lit(0)).alias("long_fields")).withColumn("surplus_columns", F.lit(max(0, len(names) - max_columns)))
+    report = rows.agg(F.count("*").alias("n_rows"), F.coalesce(F.sum(long_fields), F.lit(0)).alias("long_fields")).withColumn("surplus_columns", F.lit(max(0, len(names) - max_columns))).withColumn("truncated", F.greatest(F.col("n_rows") - max_rows, F.lit(0)))
     return rows, report
 
 
