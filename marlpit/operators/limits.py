@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import numbered, shared_table
 
+#: Rows of a range, which a task holds at once.
+RANGE_ROWS = 200_000
 # Hits an hour for an address on one form, an address, and a form.
 TIERS = [("ip_form", ["subject", "form"], 5), ("ip", ["subject"], 20), ("form", ["form"], 200)]
 
@@ -53,10 +55,13 @@ def sliding_log(times: list[float], most: int, window_s: float, log: deque[float
 
 
 def in_ranges(rows: DataFrame, keys: list[str], order: list[str], ranges: int | None = None) -> DataFrame:
-    """rows with `key ` and `range `, written: ranges of rows sorted by key and order, of about equal size; a large key goes over many."""
+    """rows with `key ` and `range `, written: ranges of rows sorted by key and order, of about equal size; a large key goes over many.
+
+    A range is held whole by a task, so without `ranges` there are as many as give each about RANGE_ROWS.
+    """
     keyed = rows.withColumn("key ", F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}))
-    by = ["key ", *order]
-    return shared_table((keyed.repartitionByRange(ranges, *by) if ranges else keyed.repartitionByRange(*by)).withColumn("range ", F.spark_partition_id()))
+    ranges = ranges or max(1, -(-rows.count() // RANGE_ROWS))
+    return shared_table(keyed.repartitionByRange(ranges, "key ", *order).withColumn("range ", F.spark_partition_id()))
 
 
 def by_key(group: pd.DataFrame, order: list[str]) -> Iterator[tuple[str, pd.DataFrame]]:
