@@ -69,13 +69,9 @@ def normalised(scores: np.ndarray) -> np.ndarray:
 
 def summed_by(ids: np.ndarray, rows: np.ndarray, many: int) -> np.ndarray:
     """The sum of the rows of each id."""
-    order = np.argsort(ids.astype(np.int16), kind="stable")
-    ranked = ids[order]
-    first = np.flatnonzero(np.diff(ranked, prepend=-1))
-    out = np.zeros((many, rows.shape[1]), np.float32)
-    if len(first):
-        out[ranked[first]] = np.add.reduceat(rows.take(order, axis=0), first, axis=0)
-    return out
+    width = rows.shape[1]
+    at = ids.astype(np.int64)[:, None] * width + np.arange(width)
+    return np.bincount(at.ravel(), rows.ravel(), many * width).reshape(many, width).astype(np.float32)
 
 
 class Attention:
@@ -148,20 +144,21 @@ class Attention:
         rows, member = np.arange(len(goal)), goal % MEMBERS
         top, kind, p, parts = self.shares(hidden, goal)
         top[rows, kind] -= 1
-        top *= weight[:, None]
         down = top @ w["class"].T
-        out = {"class": hidden.T @ top, "class_bias": top.sum(axis=0), "member": np.zeros_like(w["member"]), "member_bias": np.zeros_like(w["member_bias"])}
+        # Weights scale the narrow side of each product; sums over positions are products too.
+        heavy = (hidden * weight[:, None]).T
+        out = {"class": heavy @ top, "class_bias": weight @ top, "member": np.zeros_like(w["member"]), "member_bias": np.zeros_like(w["member_bias"])}
         for c, here, part in parts:
             part[rows[: len(part)], member[here]] -= 1
-            part *= weight[here, None]
-            out["member"][c] = hidden[here].T @ part
-            out["member_bias"][c] = part.sum(axis=0)
+            np.matmul(heavy[:, here], part, out=out["member"][c])
+            np.matmul(weight[here], part, out=out["member_bias"][c])
             down[here] += part @ w["member"][c].T
+        down *= weight[:, None]
         down *= hidden > 0
         back = np.empty_like(order)
         back[order] = rows
         down = down.take(back, axis=0)
-        out |= {"read": f["both"].T @ down, "hidden": down.sum(axis=0)}
+        out |= {"read": f["both"].T @ down, "hidden": np.ones(len(down), down.dtype) @ down}
         dboth = down @ w["read"].T
         dx, dseen = (np.ascontiguousarray(d).reshape(x.shape) for d in (dboth[:, :WIDTH], dboth[:, WIDTH:]))
         slope = dseen @ x.transpose(0, 2, 1)

@@ -30,7 +30,6 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Callable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +41,7 @@ from pyspark.sql import functions as F
 from .attention import BUCKETS, MEMBERS, START, Adam, Attention, initial, keep_memory, windows_of
 from .bpe import read_file
 from .common import crc_bucket, cut, keyed_text, map_batches
-from .textkernel import mix, powers
+from .textkernel import ASCII_LOWER, SPACED, mix, run_hashes
 
 #: Positions of a window, and how many of them a scoring window adds to the one before.
 WINDOW, STEP = 24, 18
@@ -63,47 +62,95 @@ STEPS, PASSES = 200, 10
 MERGED = 16
 #: Letters of a word that are spelled together.
 RUN = 64
-SPACES = bytes(32 if b in range(9, 14) else b for b in range(256))
-PIECE_VALUE = mix(np.arange(1, 65537, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+#: Bytes of text that are spelled, and pieces that are scored, at a time, so that what is worked on stays in a core's cache.
+SPELL_BYTES, SCORED_PIECES = 1 << 18, 1 << 17
 
 
-def words_of(text: bytes) -> list[bytes]:
-    return [w for w in text.lower().translate(SPACES).split(b" ") if w]
+class Table:
+    """Places of distinct 64-bit hashes in the order they came in, by open addressing; room: for how many, at least."""
+
+    def __init__(self, hashes: np.ndarray, room: int = 0):
+        bits = max(4, int(np.ceil(np.log2(max(1, len(hashes), room) * 3))))
+        self.shift, self.mask, self.many = np.uint64(64 - bits), (1 << bits) - 1, 0
+        self.hashes, self.place = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32)
+        self.add(hashes)
+
+    def add(self, hashes: np.ndarray) -> None:
+        """Hashes that are not there yet, and for which there is room."""
+        slot, rest = (hashes >> self.shift).astype(np.int64), np.arange(len(hashes))
+        while rest.size:
+            at = slot[rest]
+            free = self.place[at] < 0
+            self.hashes[at[free]], self.place[at[free]] = hashes[rest[free]], self.many + rest[free]
+            rest = rest[self.place[at] != self.many + rest]
+            slot[rest] = (slot[rest] + 1) & self.mask
+        self.many += len(hashes)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The place of each hash, -1 where it is not there."""
+        slot = (hashes >> self.shift).astype(np.int64)
+        place = self.place[slot]
+        other = np.flatnonzero((place >= 0) & (self.hashes[slot] != hashes))
+        while other.size:
+            slot[other] = (slot[other] + 1) & self.mask
+            place[other] = self.place[slot[other]]
+            other = other[(place[other] >= 0) & (self.hashes[slot[other]] != hashes[other])]
+        return place
 
 
 class Speller:
-    """Texts as subword ids; a word's first piece, and no other, begins with the space before it. Remembers how words are spelled, and forgets all when it is full."""
+    """Texts as subword ids; a word's first piece, and no other, begins with the space before it. Remembers by a 64-bit hash how words are spelled, and forgets all when it is full."""
 
     def __init__(self, ranks: dict[bytes, int], room: int = 1 << 19):
         self.encoding = tiktoken.Encoding("pieces", pat_str=f" ?[^ ]{{1,{RUN}}}", mergeable_ranks=ranks, special_tokens={})
         self.room = room
-        self.forget()
+        self.forget(room)
 
-    def forget(self) -> None:
-        self.at: dict[bytes, int] = {}
-        self.pieces, self.first, self.size = np.zeros(0, np.uint16), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    def forget(self, room: int) -> None:
+        self.at = Table(np.zeros(0, np.uint64), room)
+        # Grown by doubling; the first at.many words, and filled pieces, count.
+        self.first, self.size, self.pieces, self.filled = np.zeros(room, np.int64), np.zeros(room, np.int64), np.zeros(room, np.uint16), 0
 
-    def learn(self, words: list[bytes], opens: np.ndarray) -> None:
+    def learn(self, hashes: np.ndarray, words: list[bytes], opens: np.ndarray) -> None:
         pieces = np.array(self.encoding.encode_ordinary(" " + b" ".join(words).decode()), np.uint16)
         first = np.flatnonzero(opens[pieces])
-        self.at.update(zip(words, range(len(self.at), len(self.at) + len(words))))
-        self.first, self.size = np.append(self.first, first + len(self.pieces)), np.append(self.size, np.diff(first, append=len(pieces)))
-        self.pieces = np.append(self.pieces, pieces)
+        if self.filled + len(pieces) > len(self.pieces):
+            self.pieces = np.concatenate([self.pieces, np.zeros(self.filled + len(pieces), np.uint16)])
+        self.pieces[self.filled : self.filled + len(pieces)] = pieces
+        own = slice(self.at.many, self.at.many + len(words))
+        self.first[own], self.size[own] = first + self.filled, np.diff(first, append=len(pieces))
+        self.filled += len(pieces)
+        self.at.add(hashes)
 
     def __call__(self, texts: list[bytes], opens: np.ndarray) -> Iterator[bytes]:
         """Each text's ids as little-endian unsigned 16-bit integers."""
-        listed = [words_of(t) for t in texts]
-        every = [*chain.from_iterable(listed)]
-        if new := [*(set(every) - self.at.keys())]:
-            if len(self.at) + len(new) > self.room:
-                self.forget()
-                new = [*set(every)]
-            self.learn(new, opens)
-        which = np.fromiter(map(self.at.__getitem__, every), np.int64, len(every))
+        at = size = 0
+        for k, text in enumerate(texts):
+            if size and size + len(text) > SPELL_BYTES:
+                yield from self.spelled(texts[at:k], opens)
+                at, size = k, 0
+            size += len(text)
+        yield from self.spelled(texts[at:], opens)
+
+    def spelled(self, texts: list[bytes], opens: np.ndarray) -> Iterator[bytes]:
+        letters = ASCII_LOWER[np.frombuffer(b" ".join(texts) + b" ", np.uint8)]
+        edge = np.diff(SPACED[letters].view(np.int8), prepend=np.int8(0))
+        starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        offsets = np.searchsorted(starts, np.cumsum([0, *(len(t) + 1 for t in texts)]))
+        hashes = run_hashes(letters, starts, ends - starts)
+        which = self.at.find(hashes)
+        if len(new := np.flatnonzero(which < 0)):
+            new = new[np.unique(hashes[new], return_index=True)[1]]
+            if self.at.many + len(new) > len(self.first):
+                new = np.unique(hashes, return_index=True)[1]
+                self.forget(max(self.room, len(new)))
+            data = letters.tobytes()
+            self.learn(hashes[new], [data[a:b] for a, b in zip(starts[new].tolist(), ends[new].tolist())], opens)
+            which = self.at.find(hashes)
         sizes = self.size[which]
-        ends = np.cumsum(sizes)
-        flat = self.pieces[np.repeat(self.first[which] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
-        cuts = np.concatenate([[0], ends])[np.cumsum([0, *map(len, listed)])]
+        stops = np.cumsum(sizes)
+        flat = self.pieces[np.repeat(self.first[which] - (stops - sizes), sizes) + np.arange(stops[-1] if len(stops) else 0)]
+        cuts = np.concatenate([[0], stops])[offsets]
         for a, b in zip(cuts[:-1], cuts[1:]):
             yield flat[a:b].tobytes()
 
@@ -130,23 +177,22 @@ class Words:
     """The words of some texts (ids laid end to end): where they begin and end, how many each text has, and a hash of each."""
 
     def __init__(self, texts: list[bytes], opens: np.ndarray):
-        self.ids = np.frombuffer(b"".join(texts), "<u2").astype(np.int64)
+        ids = np.frombuffer(b"".join(texts), "<u2")
+        self.ids = ids.astype(np.int64)
         self.first = np.flatnonzero(opens[self.ids])
         self.size = np.diff(self.first, append=len(self.ids))
         self.last = self.first + self.size - 1
         self.offsets = np.searchsorted(self.first, np.cumsum([0, *(len(t) // 2 for t in texts)]))
-        self.hashes = np.zeros(0, np.uint64)
-        if len(self.first):
-            within = np.arange(len(self.ids)) - np.repeat(self.first, self.size)
-            value = PIECE_VALUE[self.ids] * powers(int(self.size.max()))[within]
-            self.hashes = mix(np.add.reduceat(value, self.first) + self.size.astype(np.uint64))
+        self.hashes = np.zeros(len(self.first), np.uint64)
+        if len(ids):
+            self.hashes = run_hashes(ids, self.first, self.size)
 
 
-def id_steps(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, list[bytes]]]:
-    """(first row, packed ids) of consecutive parts of a batch, of about STEP_PIECES each."""
+def id_steps(batch: pa.RecordBatch, column: int, most: int = STEP_PIECES) -> Iterator[tuple[int, list[bytes]]]:
+    """(first row, packed ids) of consecutive parts of a batch, of about `most` pieces each."""
     texts, at, size = batch.column(column).to_pylist(), 0, 0
     for k, text in enumerate(texts):
-        if size and size + len(text) > 2 * STEP_PIECES:
+        if size and size + len(text) > 2 * most:
             yield at, texts[at:k]
             at, size = k, 0
         size += len(text)
@@ -246,33 +292,6 @@ class Buckets:
         self.inside = np.log((given + 0.5) / whole[self.of])
 
 
-class Table:
-    """Places of distinct 64-bit hashes in their own order, by open addressing."""
-
-    def __init__(self, hashes: np.ndarray):
-        bits = max(4, int(np.ceil(np.log2(max(1, len(hashes)) * 3))))
-        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
-        self.hashes, self.place = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32)
-        slot, rest = (hashes >> self.shift).astype(np.int64), np.arange(len(hashes))
-        while rest.size:
-            at = slot[rest]
-            free = self.place[at] < 0
-            self.hashes[at[free]], self.place[at[free]] = hashes[rest[free]], rest[free]
-            rest = rest[self.place[at] != rest]
-            slot[rest] = (slot[rest] + 1) & self.mask
-
-    def find(self, hashes: np.ndarray) -> np.ndarray:
-        """The place of each hash, -1 where it is not there."""
-        slot = (hashes >> self.shift).astype(np.int64)
-        place = self.place[slot]
-        other = np.flatnonzero((place >= 0) & (self.hashes[slot] != hashes))
-        while other.size:
-            slot[other] = (slot[other] + 1) & self.mask
-            place[other] = self.place[slot[other]]
-            other = other[(place[other] >= 0) & (self.hashes[slot[other]] != hashes[other])]
-        return place
-
-
 class Positions:
     """Sequences laid end to end (size: of each): two ids a position, the bucket to be given there, and the id's probability inside its bucket. Joint sequences share windows."""
 
@@ -563,7 +582,7 @@ def score_texts(docs: DataFrame, train_condition, vocabulary_path: str, id_col:
         keep_memory()
         language, often, often_n, often_rest, (all_so, kinds_so) = shared.value
         for batch in batches:
-            for first, part in id_steps(batch, 2):
+            for first, part in id_steps(batch, 2, SCORED_PIECES):
                 own = Words(part, vocabulary.value.opens)
                 opening, end, own_id = language.openings(own)
                 at = often.find(own.hashes)

@@ -62,6 +62,32 @@ def hash_words(texts: list[bytes], is_word: np.ndarray = SPACED) -> tuple[np.nda
     return mix(np.add.reduceat(values, first) + lengths.astype(np.uint64)), offsets
 
 
+#: Which bytes of a 64-bit number belong to a run that has so many bytes left.
+FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Rounds of 64 bits in which runs are hashed; what is longer is added as a polynomial.
+ROUNDS = 4
+LETTER_VALUE = mix(np.arange(1, 65537, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def run_hashes(letters: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A hash of each run of letters (unsigned, of 8 or 16 bits), 64 bits of them at a time."""
+    each = 8 // letters.itemsize
+    at = np.lib.stride_tricks.sliding_window_view(np.concatenate([letters, np.zeros(each, letters.dtype)]), each)
+    out = mix(size.astype(np.uint64) + np.uint64(1))
+    for k in range(0, ROUNDS * each, each):
+        if k == 0:
+            out = mix(out ^ (at[first].view(np.uint64)[:, 0] & FIRST_BYTES[np.minimum(size, each) * letters.itemsize]))
+        elif (more := np.flatnonzero(size > k)).size:
+            out[more] = mix(out[more] ^ (at[first[more] + k].view(np.uint64)[:, 0] & FIRST_BYTES[np.minimum(size[more] - k, each) * letters.itemsize]))
+    if (long := np.flatnonzero(size > ROUNDS * each)).size:
+        left = size[long] - ROUNDS * each
+        begin = np.cumsum(left) - left
+        within = np.arange(left.sum()) - np.repeat(begin, left)
+        values = LETTER_VALUE[letters[np.repeat(first[long] + ROUNDS * each, left) + within]] * powers(int(left.max()))[within]
+        out[long] = mix(out[long] ^ np.add.reduceat(values, begin))
+    return out
+
+
 def shingle_hashes(words: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of runs of n words; a text of fewer words, but not none, is one run. Same layout as hash_words."""
     counts = np.diff(offsets)

@@ -12,6 +12,7 @@ import pytest
 
 from marlpit.llm import lm_score
 from marlpit.llm.attention import BUCKETS, START, Adam, Attention, initial, windows_of
+from marlpit.llm.textkernel import run_hashes
 
 PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -77,9 +78,34 @@ def test_table_of_hashes():
     hashes = np.unique(np.concatenate([own.integers(0, 2**63, 500).astype(np.uint64), np.arange(1, 60, dtype=np.uint64)]))
     table = lm_score.Table(hashes)
     asked = np.concatenate([hashes[::-1], np.array([2**62 + 1, 61, 0], np.uint64)])
+    grown = lm_score.Table(hashes[:100], len(hashes))
+    grown.add(hashes[100:])
+    assert grown.find(asked).tolist() == table.find(asked).tolist()
     assert table.find(asked).tolist() == [*range(len(hashes))][::-1] + [-1, -1, -1] and lm_score.Table(hashes[:0]).find(asked).max() == -1
 
 
+@pytest.mark.parametrize("kind", ["u1", "<u2"])
+def test_hashes_tell_runs_apart_wherever_they_stand(kind):
+    own = np.random.default_rng(4)
+    letters = own.integers(0, 3, 3000).astype(kind)
+    first, size = own.integers(0, 2900, 4000), own.choice([1, 2, 3, 7, 8, 9, 15, 16, 17, 31, 32, 33, 34, 90], 4000)
+    hashes, runs = run_hashes(letters, first, size), [letters[a : a + n].tobytes() for a, n in zip(first, size)]
+    assert len({*hashes.tolist()}) == len({*runs}) == len({*zip(hashes.tolist(), runs)}) < 4000
+    assert run_hashes(letters[:0], first[:0], size[:0]).size == 0
+
+
+def test_speller_that_forgets_spells_alike():
+    """Also where one text has more words than there is room for."""
+    vocabulary = lm_score.Vocabulary(open(PATH, "rb").read())
+    own = random.Random(5)
+    texts = [" ".join(f"W{own.randint(0, 400)}x\t" for _ in range(own.randint(0, 300))).encode() for _ in range(40)] + [b"", b" \n", "é Ünï".encode()]
+    large, small = lm_score.Speller(vocabulary.ranks), lm_score.Speller(vocabulary.ranks, room=7)
+    want = [*large(texts, vocabulary.opens)]
+    assert [x for t in texts for x in small([t], vocabulary.opens)] == want == [*small(texts, vocabulary.opens)]
+    plain = [np.array(large.encoding.encode_ordinary("".join(f" {w}" for w in words(t.decode()))), "<u2").tobytes() for t in texts]
+    assert want == plain and large.at.many == len({w for t in texts for w in words(t.decode())})
+
+
 def windows(own, many=5, width=8):
     one, two, goal = (own.integers(0, BUCKETS, (many, width)) for _ in range(3))
     return one, two, own.integers(0, 2, (many, width)).cumsum(axis=1), goal
