@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlpit.llm import bpe, decontam, minhash, pii, queries, toxicity
-from marlpit.llm.common import cut, table
+from marlpit.llm.common import cut, give_back, table
 
 #: Percent of shared shingles from which documents are near duplicates.
 NEAR_PERCENT = 80
@@ -29,7 +29,11 @@ def whole_rows(docs: DataFrame) -> DataFrame:
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents whose toxicity stays below the operator's threshold; learn from the labelled rows that are not held out."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), toxicity.not_held_out())
-    return toxicity.score(whole_rows(docs), model, "row").where("predicted = 0").select("doc_id.*")
+    kept = toxicity.score(whole_rows(docs), model, "row").where("predicted = 0").select("doc_id.*")
+    # The driver's copy has been shipped; the memory that training took is not kept through the stages to come.
+    del model
+    give_back()
+    return kept
 
 
 #: A column that no table of documents has.

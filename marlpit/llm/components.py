@@ -25,15 +25,20 @@ def _small_star(links: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("high", F.col("least").alias("low"))).distinct()
 
 
+def _are_stars(links: DataFrame) -> bool:
+    """Whether every larger end has one link only and is no smaller end: then smaller ends are the least of their components."""
+    ends = links.select(F.explode(F.array(F.struct(F.col("high").alias("node"), F.lit(1).alias("up")), F.struct(F.col("low").alias("node"), F.lit(0).alias("up")))).alias("end"))
+    counts = ends.groupBy("end.node").agg(F.sum("end.up").alias("up"), F.count("*").alias("all"))
+    return not counts.agg(F.count_if((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("up") < F.col("all"))))).first()[0]
+
+
 def label_components(pairs: DataFrame) -> DataFrame:
     """(node, component): the smallest id reachable, for every node of pairs (a, b) but the smallest of each component.
 
     Links of a node to itself and null ends are ignored; repeated links count once.
     """
     links = cut(pairs.where("a <> b").select(F.greatest("a", "b").alias("high"), F.least("a", "b").alias("low")).distinct())
-    before = None
-    while True:
-        state = links.agg(F.count("*"), F.sum(F.xxhash64("high", "low").cast("decimal(38,0)"))).first()
-        if state == before or not state[0]:
-            return links.select(F.col("high").alias("node"), F.col("low").alias("component"))
-        before, links = state, cut(_small_star(_large_star(links)))
+    # No further round is run to see that none changes anything.
+    while not _are_stars(links):
+        links = cut(_small_star(_large_star(links)))
+    return links.select(F.col("high").alias("node"), F.col("low").alias("component"))

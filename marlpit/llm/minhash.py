@@ -42,6 +42,8 @@ ADDENDS = mix(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0xE7037ED1A0
 SLACK = 6
 #: Bits of the filter that finds the rows of named documents at the scan: 2 MB however many are named.
 FILTER_BITS = 1 << 24
+#: Bits of one of Spark's bitmaps; the filter reaches the driver as FILTER_BITS / BITMAP_BITS rows of them.
+BITMAP_BITS = 1 << 15
 #: Documents of one block; two blocks are compared in one task.
 BLOCK = 256
 #: Shared shingles of two blocks that are compared at once.
@@ -122,12 +124,12 @@ def likely(a: str, b: str, threshold: float) -> Column:
 
 def membership_bits(ids: DataFrame) -> np.ndarray:
     """A filter of FILTER_BITS bits, whatever the number of ids (doc_id): false positives are possible, false negatives are not."""
-    place = bit_place("doc_id")
-    words = ids.select(place.alias("at")).selectExpr("cast(at div 64 as int) AS word", "shiftleft(1L, cast(at % 64 as int)) AS bit")
-    found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
-    out = np.zeros(FILTER_BITS // 64, np.int64)
-    out[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
-    return out.view(np.uint64)
+    place = F.col("at") + 1  # Spark's bitmaps number their bits from 1, and their own places from 0
+    found = ids.select(bit_place("doc_id").alias("at")).groupBy(F.bitmap_bucket_number(place).alias("bitmap")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+    out = np.zeros((FILTER_BITS // BITMAP_BITS, BITMAP_BITS // 8), np.uint8)
+    for row in found.collect():
+        out[row["bitmap"] - 1] = np.frombuffer(row["bits"], np.uint8)
+    return out.reshape(-1).view("<u8")
 
 
 def bit_place(id_col: str) -> Column:
@@ -243,7 +245,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, n: int = SHINGLE_WORDS,
     if not still.isEmpty():
         near_bands = crowded.select("band", F.col("rep").alias("doc_id")).join(mixed, "band", "left_semi")
         more = cut(links_across(still, near_bands, sets_of(docs, still, n), percent))
-        labels = label_components(links.unionByName(more).unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+        # What links join, labels join too.
+        labels = label_components(more.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b"))))
     found = classes.select("set_key", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
     out = profiles.select("doc_id", "n_shingles", "set_key").join(found, "set_key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))

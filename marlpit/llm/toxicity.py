@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc_bucket, cut, keyed_text, map_batches
+from .common import crc_bucket, cut, give_back, keyed_text, map_batches
 from .textkernel import ALPHANUMERIC, ASCII_LOWER, hash_words, mix, steps
 
 #: The most labelled texts read of each class; one in CURVE_SHARE of them fits the curve, the rest the models.
@@ -148,7 +148,7 @@ def fit_models(labelled: DataFrame) -> Model:
     for k, c in enumerate(("ordinary", "toxic")):
         n[k] = counts[c].to_numpy()
     del counts
-    pa.default_memory_pool().release_unused()
+    give_back()
     return kneser_ney(keys, n)
 
 

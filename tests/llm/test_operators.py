@@ -3,11 +3,14 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from marlpit.llm import chat, components, decontam, fingerprints, minhash, pii, suffix_dedup, toxicity
+from marlpit.llm import chat, common, components, decontam, fingerprints, minhash, pii, suffix_dedup, toxicity
 
 rng = random.Random(5)
 VOCABULARY = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 6))) for _ in range(300)]
@@ -52,6 +55,26 @@ def test_components(spark):
     assert got == {**{k: 1 for k in range(2, 41)}, 100: 50}
 
 
+def test_stars_take_no_round(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(components, "cut", lambda df: written.append(1) or common.cut(df))
+    pairs = spark.createDataFrame([(1, k) for k in range(2, 30)] + [(60, 50), (50, 70), (4, 4)], "a long, b long")
+    assert {(r.node, r.component) for r in components.label_components(pairs).collect()} == {*((k, 1) for k in range(2, 30)), (60, 50), (70, 50)}
+    assert len(written) == 1
+
+
+def test_filter_of_ids_takes_little_of_the_driver(spark):
+    ids = spark.range(150_000).select(F.col("id").alias("doc_id"))
+    places = np.array([r[0] for r in ids.where("doc_id % 50 = 0").select(minhash.bit_place("doc_id")).collect()])
+    tracemalloc.start()
+    bits = minhash.membership_bits(ids)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 4 * minhash.FILTER_BITS / 8
+    assert ((bits[places >> 6] >> (places & 63).astype(np.uint64)) & np.uint64(1)).all()
+    assert 149_000 < np.unpackbits(bits.view(np.uint8)).sum() <= 150_000
+
+
 def repeats(rows):
     starts = {}
     for _, b in rows:
