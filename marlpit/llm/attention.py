@@ -24,6 +24,8 @@ BUCKETS = MEMBERS + CLASSES * MEMBERS
 #: The input that stands before the first id of a sequence.
 START = BUCKETS
 WIDTH, HEAD, HIDDEN = 24, 12, 24
+#: Windows that are looked at together when they are scored.
+LOOKED = 128
 #: Scores are held within this bound before they are exponentiated.
 BOUND = np.float32(30)
 
@@ -59,19 +61,24 @@ def initial(window: int, popularity: np.ndarray) -> dict[str, np.ndarray]:
     }
 
 
-def normalised(scores: np.ndarray) -> np.ndarray:
-    """Softmax over the last axis, in place."""
+def exponentials(scores: np.ndarray) -> np.ndarray:
+    """Exponentiate scores in place; the reciprocal of each row's sum, with which a row is a softmax."""
     np.clip(scores, -BOUND, BOUND, out=scores)
     np.exp(scores, out=scores)
-    scores *= np.float32(1) / (scores @ np.ones((scores.shape[-1], 1), np.float32))
-    return scores
+    return np.float32(1) / (scores @ np.ones(scores.shape[-1], np.float32))
 
 
-def summed_by(ids: np.ndarray, rows: np.ndarray, many: int) -> np.ndarray:
-    """The sum of the rows of each id."""
-    width = rows.shape[1]
-    at = ids.astype(np.int64)[:, None] * width + np.arange(width)
-    return np.bincount(at.ravel(), rows.ravel(), many * width).reshape(many, width).astype(np.float32)
+def with_ones(rows: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """The rows in that order, each with a one at its end."""
+    out = np.ones((len(rows), rows.shape[1] + 1), rows.dtype)
+    out[:, :-1] = rows.take(order, axis=0)
+    return out
+
+
+def summed_by(ids: np.ndarray, columns: np.ndarray, many: int) -> np.ndarray:
+    """The sum of the rows of each id; columns: of the rows, each laid out by itself."""
+    at = ids.astype(np.intp)
+    return np.stack([np.bincount(at, c, many) for c in columns], axis=1).astype(np.float32)
 
 
 class Attention:
@@ -101,37 +108,43 @@ class Attention:
         if group is not None and len(mixed := np.flatnonzero((group != group[:, -1:]).any(axis=1))):
             share[mixed] *= group[mixed, first:, None] == group[mixed, None, :]
         share *= np.float32(1) / (share @ self.ones)
-        both = np.empty((len(own), 2 * WIDTH), flat.dtype)
-        both[:, :WIDTH], both[:, WIDTH:] = own, (share @ x).reshape(-1, WIDTH)
-        hidden = both @ w["read"]
+        seen = (share @ x).reshape(-1, WIDTH)
+        hidden = own @ w["read"][:WIDTH]
+        hidden += seen @ w["read"][WIDTH:]
         hidden += w["hidden"]
         np.maximum(hidden, np.float32(0), out=hidden)
-        return {"x": x, "query": query, "key": key, "share": share, "both": both, "hidden": hidden}
+        return {"x": x, "query": query, "key": key, "share": share, "seen": seen, "hidden": hidden}
 
-    def shares(self, hidden: np.ndarray, goal: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, slice, np.ndarray]]]:
-        """(shares of the first softmax, which of them each goal has, probability of each goal; class, its positions and the shares of its members), all in ascending order of goals."""
-        w, rows, member = self.weights, np.arange(len(goal)), goal % MEMBERS
+    def shares(self, hidden: np.ndarray, goal: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, ...], tuple[np.ndarray, ...], list[tuple[int, slice]]]:
+        """(probability of each goal; of the first softmax and of the one inside classes: exponentials, what makes shares of them, which of them each goal has; class and its positions), in ascending order of goals.
+
+        The last column of hidden is one, so that biases are a row of the weights. Positions of classes count from the first that has one.
+        """
+        w = self.weights
         kind = np.where(goal < MEMBERS, goal, goal // MEMBERS + (MEMBERS - 1))
-        top = hidden @ w["class"]
-        top += w["class_bias"]
-        p = normalised(top)[rows, kind]
-        ends, parts = np.searchsorted(goal, np.arange(1, CLASSES + 2) * MEMBERS).tolist(), []
-        for c, (start, stop) in enumerate(zip(ends[:-1], ends[1:])):
-            if start < stop:
-                part = hidden[start:stop] @ w["member"][c]
-                part += w["member_bias"][c]
-                normalised(part)
-                p[start:stop] *= part[rows[: stop - start], member[start:stop]]
-                parts.append((c, slice(start, stop), part))
-        return top, kind, p, parts
+        top = hidden @ np.concatenate([w["class"], w["class_bias"][None]])
+        outer = exponentials(top)
+        p = top[np.arange(len(goal)), kind] * outer
+        ends = np.searchsorted(goal, np.arange(1, CLASSES + 2) * MEMBERS)
+        rest = hidden[ends[0] :]
+        ends = (ends - ends[0]).tolist()
+        parts = [(c, slice(start, stop)) for c, (start, stop) in enumerate(zip(ends[:-1], ends[1:])) if start < stop]
+        members, inside = np.concatenate([w["member"], w["member_bias"][:, None]], axis=1), np.empty((len(rest), MEMBERS), top.dtype)
+        for c, here in parts:
+            np.matmul(rest[here], members[c], out=inside[here])
+        inner, member = exponentials(inside), goal[len(goal) - len(rest) :] % MEMBERS
+        p[len(goal) - len(rest) :] *= inside[np.arange(len(rest)), member] * inner
+        return p, (top, outer, kind), (inside, inner, member), parts
 
     def log_probability(self, one: np.ndarray, two: np.ndarray, group: np.ndarray | None, target: np.ndarray, first: int = 0) -> np.ndarray:
         """The natural logarithm of the probability of each target, shaped as target, which has the positions from `first` on."""
         goal = target.ravel()
         order = np.argsort(goal.astype(np.int16), kind="stable")
-        hidden = self.look(one, two, group, first)["hidden"].take(order, axis=0)
+        # Fewer windows at a time than goals, so that what is made of them stays in a core's cache.
+        cuts = range(0, len(one), LOOKED)
+        hidden = np.concatenate([self.look(one[k : k + LOOKED], two[k : k + LOOKED], None if group is None else group[k : k + LOOKED], first)["hidden"] for k in cuts])
         out = np.empty(len(goal))
-        out[order] = np.log(np.maximum(self.shares(hidden, goal[order])[2], 1e-30))
+        out[order] = np.log(np.maximum(self.shares(with_ones(hidden, order), goal[order])[0], 1e-30))
         return out.reshape(target.shape)
 
     def slopes(self, one: np.ndarray, two: np.ndarray, group: np.ndarray | None, target: np.ndarray, weight: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
@@ -140,27 +153,32 @@ class Attention:
         x, share = f["x"], f["share"]
         flat = x.reshape(-1, WIDTH)
         order = np.argsort(goal.astype(np.int16), kind="stable")
-        goal, hidden, weight = goal[order], f["hidden"].take(order, axis=0), weight.ravel()[order].astype(np.float32)
-        rows, member = np.arange(len(goal)), goal % MEMBERS
-        top, kind, p, parts = self.shares(hidden, goal)
-        top[rows, kind] -= 1
+        goal, hidden, weight = goal[order], with_ones(f["hidden"], order), weight.ravel()[order].astype(np.float32)
+        rows = np.arange(len(goal))
+        p, (top, outer, kind), (inside, inner, member), parts = self.shares(hidden, goal)
+        # Weights, and what makes shares of exponentials, scale the narrow side of each product; sums over positions are products too.
+        top[rows, kind] -= np.float32(1) / outer
+        outer *= weight
         down = top @ w["class"].T
-        # Weights scale the narrow side of each product; sums over positions are products too.
-        heavy = (hidden * weight[:, None]).T
-        out = {"class": heavy @ top, "class_bias": weight @ top, "member": np.zeros_like(w["member"]), "member_bias": np.zeros_like(w["member_bias"])}
-        for c, here, part in parts:
-            part[rows[: len(part)], member[here]] -= 1
-            np.matmul(heavy[:, here], part, out=out["member"][c])
-            np.matmul(weight[here], part, out=out["member_bias"][c])
-            down[here] += part @ w["member"][c].T
-        down *= weight[:, None]
-        down *= hidden > 0
+        down *= outer[:, None]
+        slope = (hidden * outer[:, None]).T @ top
+        out = {"class": slope[:-1], "class_bias": slope[-1]}
+        start = len(goal) - len(inside)
+        inside[rows[: len(inside)], member] -= np.float32(1) / inner
+        inner *= weight[start:]
+        heavy, below, slope = (hidden[start:] * inner[:, None]).T, np.empty((len(inside), HIDDEN), top.dtype), np.zeros((CLASSES, HIDDEN + 1, MEMBERS), top.dtype)
+        for c, here in parts:
+            np.matmul(heavy[:, here], inside[here], out=slope[c])
+            np.matmul(inside[here], w["member"][c].T, out=below[here])
+        out |= {"member": slope[:, :-1], "member_bias": slope[:, -1]}
+        below *= inner[:, None]
+        down[start:] += below
+        down *= hidden[:, :-1] > 0
         back = np.empty_like(order)
         back[order] = rows
         down = down.take(back, axis=0)
-        out |= {"read": f["both"].T @ down, "hidden": np.ones(len(down), down.dtype) @ down}
-        dboth = down @ w["read"].T
-        dx, dseen = (np.ascontiguousarray(d).reshape(x.shape) for d in (dboth[:, :WIDTH], dboth[:, WIDTH:]))
+        out |= {"read": np.concatenate([flat.T @ down, f["seen"].T @ down]), "hidden": np.ones(len(down), down.dtype) @ down}
+        dx, dseen = ((down @ read.T).reshape(x.shape) for read in (w["read"][:WIDTH], w["read"][WIDTH:]))
         slope = dseen @ x.transpose(0, 2, 1)
         dx += share.transpose(0, 2, 1) @ dseen
         slope -= np.einsum("bij,bij->bi", slope, share)[:, :, None]
@@ -172,7 +190,8 @@ class Attention:
         dx = dx.reshape(-1, WIDTH)
         dx += dquery @ w["query"].T
         dx += dkey @ w["key"].T
-        out |= {"one": summed_by(one.ravel(), dx, BUCKETS + 1), "two": summed_by(two.ravel(), dx, BUCKETS + 1)}
+        columns = np.ascontiguousarray(dx.T, dtype=np.float64)
+        out |= {"one": summed_by(one.ravel(), columns, BUCKETS + 1), "two": summed_by(two.ravel(), columns, BUCKETS + 1)}
         return float(-(np.log(np.maximum(p, 1e-30)) * weight).sum()), out
 
 

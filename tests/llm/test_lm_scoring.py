@@ -130,6 +130,20 @@ def test_slopes_are_derivatives():
         assert abs((above - below) / 2e-5 - slope[at]) < 1e-6, name
 
 
+def test_windows_are_looked_at_a_few_at_a_time(monkeypatch):
+    own, looked, look = np.random.default_rng(3), [], Attention.look
+    monkeypatch.setattr(Attention, "look", lambda self, one, *rest: looked.append(len(one)) or look(self, one, *rest))
+    model = Attention(24, initial(24, np.full(BUCKETS, 1 / BUCKETS)))
+    model.weights["member"] *= 20
+    one, two, goal = (own.integers(0, BUCKETS, (300, 24)) for _ in range(3))
+    group = np.repeat(own.integers(0, 2, (300, 1)), 24, axis=1)
+    group[:, 12:] += own.integers(0, 2, (300, 1))
+    got = model.log_probability(one, two, group, goal[:, 6:], 6)
+    assert max(looked) <= 128 and sum(looked) == 300
+    alone = [model.log_probability(*(x[k : k + 1] for x in (one, two, group)), goal[k : k + 1, 6:], 6) for k in range(300)]
+    assert np.abs(got - np.concatenate(alone)).max() < 1e-4
+
+
 def test_attention_is_causal_and_adds_up_to_one():
     own = np.random.default_rng(1)
     model = Attention(8, initial(8, np.full(BUCKETS, 1 / BUCKETS)))
