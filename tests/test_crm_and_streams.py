@@ -225,6 +225,16 @@ def test_erasure_leaves_no_trace(spark):
     assert ingest.apply_erasures({"contacts": after["contacts"], "touches": touches}, spark.createDataFrame([(1,)], "id long"))[1].count() == 0
 
 
+def test_the_log_of_erasures_is_one_aggregate(spark):
+    contacts = spark.createDataFrame([(k, k == 3, False) for k in range(1, 6)], "id long, is_erased boolean, is_merged boolean")
+    owned = {name: spark.createDataFrame([(10 * k + n, k) for k in (1, 2, 3) for n in range(k)], "id long, contact_id long") for name in ("touches", "opportunities")}
+    fields = spark.createDataFrame([(2, "x"), (5, "y"), (5, "z")], "contact_id long, value string")
+    _, log = ingest.apply_erasures({"contacts": contacts, **owned, "fields": fields}, spark.createDataFrame([(1,), (2,), (2,), (3,), (4,), (5,), (9,)], "id long"))
+    assert log.columns == ["id", "touches", "opportunities", "fields"]
+    assert sorted(map(tuple, log.collect())) == [(1, 1, 1, 0), (2, 2, 2, 1), (4, 0, 0, 0), (5, 0, 0, 2)]
+    assert "Join LeftOuter" not in log._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_imports_run_once(spark):
     rows = spark.createDataFrame([(1, "Ann", "a@x.y"), (2, "", "b@x.y"), (3, "Cy", "nonsense"), (4, "Di", "A@x.y")], "row_number long, Name string, Mail string")
     contacts = spark.createDataFrame([], "id long, workspace_id long, email string, phone string, is_deleted boolean, is_merged boolean, is_erased boolean")
