@@ -88,26 +88,50 @@ class Attention:
         self.window, self.weights = window, weights
         back = np.arange(window)[:, None] - np.arange(window)
         self.causal = ((back >= 0) & (back <= (window if reach is None else reach))).astype(np.float32)
-        self.back, self.ones = np.maximum(back, 0), np.ones((window, 1), np.float32)
+        self.back, self.ones = np.maximum(back, 0), np.ones(window, np.float32)
 
-    def look(self, one: np.ndarray, two: np.ndarray, group: np.ndarray | None, first: int = 0) -> dict[str, np.ndarray]:
-        """What positions from `first` on make of windows (ids one and two; group: the sequence that each position belongs to, beyond which it sees nothing; None: one to a window)."""
+    def products(self) -> tuple[np.ndarray, np.ndarray]:
+        """Each id's vectors (one and two) times all that `look` multiplies inputs by: query, key, what is read of the position itself and of what it sees."""
         w = self.weights
-        flat = w["one"].take(one.ravel(), axis=0)
-        flat += w["two"].take(two.ravel(), axis=0)
-        x = flat.reshape(*one.shape, WIDTH)
-        own = x[:, first:].reshape(-1, WIDTH)
-        query = (own @ (w["query"] * np.float32(HEAD**-0.5))).reshape(len(one), -1, HEAD)
-        key = (flat @ w["key"]).reshape(*one.shape, HEAD)
+        by = np.concatenate([w["query"] * np.float32(HEAD**-0.5), w["key"], w["read"][:WIDTH], w["read"][WIDTH:]], axis=1)
+        one, two = w["one"] @ by, w["two"] @ by
+        one[:, 2 * HEAD : 2 * HEAD + HIDDEN] += w["hidden"]
+        return one, two
+
+    def attended(self, query: np.ndarray, key: np.ndarray, group: np.ndarray | None, first: int) -> np.ndarray:
+        """How much each position from `first` on sees of each position of its window, adding up to one."""
         share = query @ key.transpose(0, 2, 1)
-        share += w["distance"][self.back[first:]]
+        share += self.weights["distance"][self.back[first:]]
         np.clip(share, -BOUND, BOUND, out=share)
         np.exp(share, out=share)
         share *= self.causal[first:]
         # Most windows lie in one sequence.
         if group is not None and len(mixed := np.flatnonzero((group != group[:, -1:]).any(axis=1))):
             share[mixed] *= group[mixed, first:, None] == group[mixed, None, :]
-        share *= np.float32(1) / (share @ self.ones)
+        flat = share.reshape(-1, self.window)
+        flat *= (np.float32(1) / (flat @ self.ones))[:, None]
+        return share
+
+    def look(self, one: np.ndarray, two: np.ndarray, group: np.ndarray | None, first: int = 0, known: tuple[np.ndarray, np.ndarray] | None = None) -> dict[str, np.ndarray]:
+        """What positions from `first` on make of windows (ids one and two; group: the sequence that each position belongs to, beyond which it sees nothing; None: one to a window).
+
+        known: the products of all ids, from which only "hidden" is made.
+        """
+        w = self.weights
+        if known is not None:
+            flat = known[0].take(one.ravel(), axis=0)
+            flat += known[1].take(two.ravel(), axis=0)
+            query, key, own, value = np.split(flat.reshape(*one.shape, -1), [HEAD, 2 * HEAD, 2 * HEAD + HIDDEN], axis=2)
+            hidden = self.attended(query[:, first:], key, group, first) @ value
+            hidden += own[:, first:]
+            return {"hidden": np.maximum(hidden, np.float32(0), out=hidden).reshape(-1, HIDDEN)}
+        flat = w["one"].take(one.ravel(), axis=0)
+        flat += w["two"].take(two.ravel(), axis=0)
+        x = flat.reshape(*one.shape, WIDTH)
+        own = x[:, first:].reshape(-1, WIDTH)
+        query = (own @ (w["query"] * np.float32(HEAD**-0.5))).reshape(len(one), -1, HEAD)
+        key = (flat @ w["key"]).reshape(*one.shape, HEAD)
+        share = self.attended(query, key, group, first)
         seen = (share @ x).reshape(-1, WIDTH)
         hidden = own @ w["read"][:WIDTH]
         hidden += seen @ w["read"][WIDTH:]
@@ -136,13 +160,14 @@ class Attention:
         p[len(goal) - len(rest) :] *= inside[np.arange(len(rest)), member] * inner
         return p, (top, outer, kind), (inside, inner, member), parts
 
-    def log_probability(self, one: np.ndarray, two: np.ndarray, group: np.ndarray | None, target: np.ndarray, first: int = 0) -> np.ndarray:
-        """The natural logarithm of the probability of each target, shaped as target, which has the positions from `first` on."""
+    def log_probability(self, one: np.ndarray, two: np.ndarray, group: np.ndarray | None, target: np.ndarray, first: int = 0, known: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+        """The natural logarithm of the probability of each target, shaped as target, which has the positions from `first` on. known: `products()`, made once for many calls."""
+        known = known or self.products()
         goal = target.ravel()
         order = np.argsort(goal.astype(np.int16), kind="stable")
         # Fewer windows at a time than goals, so that what is made of them stays in a core's cache.
         cuts = range(0, len(one), LOOKED)
-        hidden = np.concatenate([self.look(one[k : k + LOOKED], two[k : k + LOOKED], None if group is None else group[k : k + LOOKED], first)["hidden"] for k in cuts])
+        hidden = np.concatenate([self.look(one[k : k + LOOKED], two[k : k + LOOKED], None if group is None else group[k : k + LOOKED], first, known)["hidden"] for k in cuts])
         out = np.empty(len(goal))
         out[order] = np.log(np.maximum(self.shares(with_ones(hidden, order), goal[order])[0], 1e-30))
         return out.reshape(target.shape)
@@ -161,7 +186,7 @@ class Attention:
         outer *= weight
         down = top @ w["class"].T
         down *= outer[:, None]
-        slope = (hidden * outer[:, None]).T @ top
+        slope = (top.T @ (hidden * outer[:, None])).T
         out = {"class": slope[:-1], "class_bias": slope[-1]}
         start = len(goal) - len(inside)
         inside[rows[: len(inside)], member] -= np.float32(1) / inner

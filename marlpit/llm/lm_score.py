@@ -60,6 +60,8 @@ RATE, GO_ON_RATE = 0.006, 0.003
 STEPS, PASSES = 200, 10
 #: Rows whose weights one task sums, and that reach the driver.
 MERGED = 16
+#: Distinct words whose counts a task gathers before it hands them on.
+GATHERED = 1 << 19
 #: Letters of a word that are spelled together.
 RUN = 64
 #: Bytes of text that are spelled, and pieces that are scored, at a time, so that what is worked on stays in a core's cache.
@@ -101,7 +103,7 @@ class Table:
 class Speller:
     """Texts as subword ids; a word's first piece, and no other, begins with the space before it. Remembers by a 64-bit hash how words are spelled, and forgets all when it is full."""
 
-    def __init__(self, ranks: dict[bytes, int], room: int = 1 << 19):
+    def __init__(self, ranks: dict[bytes, int], room: int = 1 << 20):
         self.encoding = tiktoken.Encoding("pieces", pat_str=f" ?[^ ]{{1,{RUN}}}", mergeable_ranks=ranks, special_tokens={})
         self.room = room
         self.forget(room)
@@ -236,6 +238,50 @@ def unpacked_pieces(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.n
     return pieces[there], there.sum(axis=1)
 
 
+def grouped(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(an order in which equal hashes lie together, where each group of them begins)."""
+    # Numbers sort faster than places by numbers: places stand in the low bits.
+    bits = np.uint64(max(1, len(hashes).bit_length()))
+    keys = hashes >> bits << bits | np.arange(len(hashes), dtype=np.uint64)
+    keys.sort()
+    order = (keys & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    ordered, high = hashes.take(order), keys >> bits
+    new = ordered[1:] != ordered[:-1]
+    if (new & (high[1:] == high[:-1])).any():  # hashes that differ in the low bits alone
+        order = np.argsort(hashes)
+        ordered = hashes[order]
+        new = ordered[1:] != ordered[:-1]
+    return order, np.flatnonzero(np.concatenate([np.ones(min(1, len(hashes)), bool), new]))
+
+
+class Gathered:
+    """Counts of distinct words (word, size, low, high, n) from many parts, at most GATHERED of them once they are merged."""
+
+    def __init__(self):
+        self.parts, self.many = [], 0
+
+    def add(self, *columns: np.ndarray) -> Iterator[list[np.ndarray]]:
+        self.parts.append(columns)
+        self.many += len(columns[0])
+        if self.many > 2 * GATHERED:
+            self.merge()
+            if self.many > GATHERED:
+                yield from self.handed_on()
+
+    def merge(self) -> None:
+        *same, n = (np.concatenate(c) for c in zip(*self.parts))
+        order, first = grouped(same[0].view(np.uint64))
+        self.parts = [(*(c[order[first]] for c in same), np.add.reduceat(n[order], first))]
+        self.many = len(first)
+
+    def handed_on(self) -> Iterator[list[np.ndarray]]:
+        if self.many:
+            self.merge()
+            for k in range(0, self.many, 1 << 16):
+                yield [c[k : k + (1 << 16)] for c in self.parts[0]]
+        self.parts, self.many = [], 0
+
+
 def corpus_counts(texts: DataFrame, vocabulary) -> DataFrame:
     """COUNTS of texts (trained, ids): n is the occurrences in trained ones, zero where only others have a word.
 
@@ -244,7 +290,7 @@ def corpus_counts(texts: DataFrame, vocabulary) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opens = vocabulary.value.opens
-        pieces = np.zeros((2, len(opens)), np.int64)
+        pieces, gathered = np.zeros((2, len(opens)), np.int64), Gathered()
 
         def rows(kind: int, word: np.ndarray, size: np.ndarray, packs: tuple[np.ndarray, np.ndarray], n: np.ndarray) -> pa.RecordBatch:
             columns = [np.full(len(n), kind, np.int32), word, size.astype(np.int32), *packs, n.astype(np.int64)]
@@ -255,9 +301,13 @@ def corpus_counts(texts: DataFrame, vocabulary) -> DataFrame:
             for start, part in id_steps(batch, 1):
                 words = Words(part, opens)
                 weight = np.repeat(trained[start : start + len(part)], np.diff(words.offsets))
-                found, at, which = np.unique(words.hashes, return_index=True, return_inverse=True)
-                n, first, size = np.bincount(which, weight, len(found)), words.first[at], words.size[at]
-                yield rows(WORD, found.view(np.int64), size, packed_pieces(words.ids, first, size), n)
+                if not len(words.first):
+                    continue
+                order, begins = grouped(words.hashes)
+                at = order[begins]
+                found, n, first, size = words.hashes[at], np.add.reduceat(weight[order].astype(np.int64), begins), words.first[at], words.size[at]
+                for word, of, low, high, many in gathered.add(found.view(np.int64), size, *packed_pieces(words.ids, first, size), n):
+                    yield rows(WORD, word, of, (low, high), many)
                 if (long := np.flatnonzero((size > PACKED) & (n > 0))).size:
                     # Runs share a piece with the one before; the last ends the word.
                     many = -(-(size[long] - 1) // (PACKED - 1))
@@ -269,6 +319,8 @@ def corpus_counts(texts: DataFrame, vocabulary) -> DataFrame:
                     yield rows(RUN_OF, named.view(np.int64), np.where(left > PACKED, -own, own), packed_pieces(words.ids, begin, own), np.repeat(n[long], many))
                 opening = np.bincount(words.ids[words.first], weight, len(opens)).astype(np.int64)
                 pieces += [opening, np.bincount(words.ids, np.repeat(weight, words.size), len(opens)).astype(np.int64) - opening]
+        for word, size, low, high, n in gathered.handed_on():
+            yield rows(WORD, word, size, (low, high), n)
         for kind, n in ((OPENING, pieces[0]), (INNER, pieces[1])):
             there = np.flatnonzero(n)
             nothing = np.zeros(len(there), np.int64)
@@ -305,12 +357,12 @@ class Positions:
 
     def log_probability(self, model: Attention) -> np.ndarray:
         """The natural logarithm of the probability of the id at each position, from windows that overlap by WINDOW - STEP."""
-        p, lead = np.zeros(self.many + 2 * WINDOW), WINDOW - STEP
+        p, lead, known = np.zeros(self.many + 2 * WINDOW), WINDOW - STEP, model.products()
         index, given = windows_of(self.runs, WINDOW, STEP)
         index += WINDOW
         for k in range(0, len(index), 2 * BATCH_WINDOWS):
             at, own = index[k : k + 2 * BATCH_WINDOWS], given[k : k + 2 * BATCH_WINDOWS, lead:]
-            p[at[:, lead:][own]] = model.log_probability(self.one[at], self.two[at], self.group[at], self.goal[at[:, lead:]], lead)[own]
+            p[at[:, lead:][own]] = model.log_probability(self.one[at], self.two[at], self.group[at], self.goal[at[:, lead:]], lead, known)[own]
         return p[WINDOW : self.many + WINDOW] + self.inside
 
     def learn(self, adam: Adam, batch: int) -> int:
@@ -355,17 +407,15 @@ class Language:
 
     def text_positions(self, words: Words, heads: np.ndarray) -> Positions:
         """Every word of every text, then the text's end."""
-        many = np.diff(words.offsets)
-        at = np.arange(len(words.first)) + np.repeat(np.arange(len(many)), many)
-        total = len(at) + len(many)
-        one, two = np.full(total + 1, START, np.int16), np.full(total + 1, START, np.int16)
-        goal = np.full(total, self.stop)
-        goal[at] = heads
-        one[at + 1], two[at + 1] = self.opening.of[heads], self.inner.of[words.ids[words.last]]
+        # A word is one place further for each text before its own.
+        many, ends = np.diff(words.offsets), words.offsets[1:]
+        goal, last = np.insert(heads, ends, self.stop), np.insert(words.ids.take(words.last), ends, self.stop)
+        given = self.opening.of.take(goal)
+        one, two = np.roll(given, 1), np.roll(self.inner.of.take(last), 1)
         # Nothing stands before a text's first word.
         begin = np.cumsum(many + 1) - (many + 1)
         one[begin], two[begin] = START, START
-        return Positions(many + 1, one[:total], two[:total], self.opening.of[goal], self.opening.inside[goal], False)
+        return Positions(many + 1, one, two, given, self.opening.inside.take(goal), False)
 
     def word_positions(self, ids: np.ndarray, size: np.ndarray, closed: np.ndarray | None = None) -> Positions:
         """Every piece after the first of words laid end to end, then the word's close (unless it is not closed)."""
@@ -546,6 +596,26 @@ def begun_so(words: DataFrame, whole: np.ndarray, stop: int) -> tuple[np.ndarray
     return out[0], out[1]
 
 
+class Often:
+    """What words (word, first, n, rest: a pandas frame) and first pieces add to scores, by their place; the last place is that of no word and adds nothing.
+
+    n_so, kinds_so: occurrences and distinct words by first piece.
+    """
+
+    def __init__(self, words, whole: np.ndarray, n_so: np.ndarray, kinds_so: np.ndarray, scale: float):
+        hashes, first, n = words["word"].to_numpy(np.int64).view(np.uint64), words["first"].to_numpy(np.int64), words["n"].to_numpy(np.int64)
+        self.at, self.n = Table(hashes), n
+        self.log_all = np.log10(np.maximum(n_so, 1))
+        # What is left of the first piece's words for those never seen; all, if none begins so.
+        self.spare = np.where(kinds_so > 0, DISCOUNT * kinds_so, 1.0)
+        score = np.where(np.isin(hashes, whole), 0.0, self.scores(n, first, words["rest"].to_numpy(np.float64)))
+        self.score, self.base = np.append(score, 0.0), np.append(np.log10((n + 0.5) / scale), 0.0)
+
+    def scores(self, n: np.ndarray, first: np.ndarray, rest: np.ndarray) -> np.ndarray:
+        """The log10 probability of what follows words' first pieces; rest: its natural logarithm by spelling."""
+        return np.log10(np.maximum(n - DISCOUNT, 0) + self.spare[first] * np.exp(rest)) - self.log_all[first]
+
+
 def score_texts(docs: DataFrame, train_condition, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every text; counts and weights come from the rows under train_condition.
 
@@ -572,36 +642,34 @@ def score_texts(docs: DataFrame, train_condition, vocabulary_path: str, id_col:
     train_openings(language, learnt, vocabulary, int(pieces.sum()), int(tokens))
     train_spelling(language, counts)
     words = cut(spelled_words(counts, language))
-    hot = frequent(words).select("word", "n", "rest").toPandas()
-    begun = begun_so(words, language.whole, stop)
-    shared = context.broadcast((language, Table(hot["word"].to_numpy(np.int64).view(np.uint64)), hot["n"].to_numpy(np.int64), hot["rest"].to_numpy(np.float64), begun))
+    hot = frequent(words).toPandas()
     scale = tokens + 0.5 * (types + 1)
+    shared = context.broadcast((language, Often(hot, language.whole, *begun_so(words, language.whole, stop), scale)))
     end_base = float(np.log10((ends + 0.5) / scale))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_memory()
-        language, often, often_n, often_rest, (all_so, kinds_so) = shared.value
+        language, often = shared.value
         for batch in batches:
             for first, part in id_steps(batch, 2, SCORED_PIECES):
                 own = Words(part, vocabulary.value.opens)
                 opening, end, own_id = language.openings(own)
-                at = often.find(own.hashes)
-                found = at >= 0
-                n, rest = (np.where(found, known[at] if len(known) else 0, 0) for known in (often_n, often_rest))
-                long = np.flatnonzero((own.size > PACKED) & ~own_id)
-                pieces = own.ids[np.repeat(own.first[long] - (np.cumsum(own.size[long]) - own.size[long]), own.size[long]) + np.arange(own.size[long].sum())]
-                rest[long] = language.spelled(pieces, own.size[long])
                 begins = own.ids[own.first]
-                # What is left of the first piece's words for those never seen; all, if none begins so.
-                spare = np.where(kinds_so[begins] > 0, DISCOUNT * kinds_so[begins], 1.0)
-                of_count = np.where(own_id | ~found, 0.0, np.log10(np.maximum(n - DISCOUNT, 0) + spare * np.exp(rest)))
-                score = opening / np.log(10) + of_count - np.where(own_id, 0.0, np.log10(np.maximum(all_so[begins], 1)))
-                base = np.where(found, np.log10((n + 0.5) / scale), 0.0)
-                sums = [np.concatenate([[0], np.cumsum(x)])[own.offsets] for x in (found, base, score)]
+                at = often.at.find(own.hashes)
+                found, score, base = at >= 0, often.score.take(at, mode="wrap"), often.base.take(at, mode="wrap")
                 rare = np.flatnonzero(~found)
+                score[rare] = np.where(own_id[rare], 0.0, -often.log_all[begins[rare]])
+                spare, rest = often.spare[begins[rare]], np.zeros(len(rare))
+                if (long := np.flatnonzero((own.size > PACKED) & ~own_id)).size:
+                    pieces = own.ids[np.repeat(own.first[long] - (np.cumsum(own.size[long]) - own.size[long]), own.size[long]) + np.arange(own.size[long].sum())]
+                    spelled_long, known = language.spelled(pieces, own.size[long]), found[long]
+                    rest[np.searchsorted(rare, long[~known])] = spelled_long[~known]
+                    score[long[known]] = often.scores(often.n[at[long[known]]], begins[long[known]], spelled_long[known])
+                score += opening / np.log(10)
+                sums = [np.concatenate([[0], np.cumsum(x)])[own.offsets] for x in (found, base, score)]
                 listed = pa.ListArray.from_arrays(
                     pa.array(np.searchsorted(rare, own.offsets), pa.int32()),
-                    pa.StructArray.from_arrays([pa.array(own.hashes[rare].view(np.int64)), pa.array(spare[rare].astype(np.float32)), pa.array(rest[rare].astype(np.float32))], ["word", "spare", "rest"]),
+                    pa.StructArray.from_arrays([pa.array(own.hashes[rare].view(np.int64)), pa.array(spare.astype(np.float32)), pa.array(rest.astype(np.float32))], ["word", "spare", "rest"]),
                 )
                 columns = [
                     batch.column(0).slice(first, len(part)),

@@ -72,13 +72,14 @@ LETTER_VALUE = mix(np.arange(1, 65537, dtype=np.uint64) * np.uint64(0x9E3779B97F
 def run_hashes(letters: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
     """A hash of each run of letters (unsigned, of 8 or 16 bits), 64 bits of them at a time."""
     each = 8 // letters.itemsize
-    at = np.lib.stride_tricks.sliding_window_view(np.concatenate([letters, np.zeros(each, letters.dtype)]), each)
+    # The 64 bits from each letter on.
+    at = np.ndarray(len(letters), np.uint64, np.concatenate([letters, np.zeros(each, letters.dtype)]), 0, letters.strides).copy()
     out = mix(size.astype(np.uint64) + np.uint64(1))
     for k in range(0, ROUNDS * each, each):
         if k == 0:
-            out = mix(out ^ (at[first].view(np.uint64)[:, 0] & FIRST_BYTES[np.minimum(size, each) * letters.itemsize]))
+            out = mix(out ^ (at.take(first) & FIRST_BYTES[np.minimum(size, each) * letters.itemsize]))
         elif (more := np.flatnonzero(size > k)).size:
-            out[more] = mix(out[more] ^ (at[first[more] + k].view(np.uint64)[:, 0] & FIRST_BYTES[np.minimum(size[more] - k, each) * letters.itemsize]))
+            out[more] = mix(out[more] ^ (at.take(first[more] + k) & FIRST_BYTES[np.minimum(size[more] - k, each) * letters.itemsize]))
     if (long := np.flatnonzero(size > ROUNDS * each)).size:
         left = size[long] - ROUNDS * each
         begin = np.cumsum(left) - left

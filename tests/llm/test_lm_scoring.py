@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from marlpit.llm import lm_score
@@ -200,3 +201,41 @@ def test_words_and_their_pieces():
     ids = np.frombuffer(next(lm_score.Speller(vocabulary.ranks)([f"\tA b\n{long} ".encode()], vocabulary.opens)), "<u2")
     assert b"".join(tokens[i] for i in ids.tolist()) == f" a b {long}".encode() and vocabulary.opens[ids].sum() == 4
     assert START == BUCKETS
+
+
+def test_a_task_hands_on_each_word_once(spark, monkeypatch):
+    """Not once for each batch; and merged counts add up, also where they are handed on early."""
+    vocabulary = lm_score.Vocabulary(open(PATH, "rb").read())
+    own = random.Random(6)
+    texts = [" ".join(f"w{own.randint(0, 300)}" for _ in range(own.randint(0, 80))) for _ in range(60)] + ["", "q7" * 40]
+    ids = [*lm_score.Speller(vocabulary.ranks)([t.encode() for t in texts], vocabulary.opens)]
+    want = Counter(hash_ for x in ids[::2] for hash_ in lm_score.Words([x], vocabulary.opens).hashes.view(np.int64).tolist())
+    batches = [pa.RecordBatch.from_pydict({"trained": [k % 2 == 0 for k in range(a, min(a + 7, len(ids)))], "ids": ids[a : a + 7]}) for a in range(0, len(ids), 7)]
+    runs, plain = [], lm_score.map_batches
+    monkeypatch.setattr(lm_score, "map_batches", lambda df, run, schema: (runs.append(run), plain(df, run, schema))[1])
+    lm_score.corpus_counts(spark.createDataFrame([(True, bytearray())], "trained boolean, ids binary"), spark.sparkContext.broadcast(vocabulary))
+    for room in (1 << 19, 40):
+        monkeypatch.setattr(lm_score, "GATHERED", room, raising=False)
+        rows = [r for b in runs[0](iter(batches)) for r in b.to_pylist() if r["kind"] == lm_score.WORD]
+        found = Counter()
+        for r in rows:
+            found[r["word"]] += r["n"]
+        assert +found == want and len(found) == len({w for t in texts for w in t.split()})
+        assert len(rows) == len(found) if room > 1000 else len(rows) > len(found)
+
+
+def test_equal_hashes_lie_together():
+    own = np.random.default_rng(6)
+    for hashes in (own.integers(0, 40, 500).astype(np.uint64) << np.uint64(50), own.integers(0, 40, 500).astype(np.uint64), np.zeros(0, np.uint64), np.array([7], np.uint64)):
+        order, first = lm_score.grouped(hashes)
+        found, n = np.unique(hashes, return_counts=True)
+        assert sorted(order.tolist()) == [*range(len(hashes))] and hashes[order[first]].tolist() == found.tolist() and np.diff(first, append=len(hashes)).tolist() == n.tolist()
+
+
+def test_products_of_ids_give_what_multiplied_inputs_give():
+    own = np.random.default_rng(7)
+    model = Attention(24, initial(24, np.full(BUCKETS, 1 / BUCKETS)))
+    model.weights = {k: v + own.standard_normal(v.shape).astype(np.float32) * np.float32(0.1) for k, v in model.weights.items()}
+    one, two, group, _ = windows(own, 20, 24)
+    plain, known = model.look(one, two, group, 6)["hidden"], model.look(one, two, group, 6, model.products())["hidden"]
+    assert plain.shape == known.shape and np.abs(plain - known).max() < 1e-4
