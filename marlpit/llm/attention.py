@@ -202,19 +202,19 @@ class Attention:
         back = np.empty_like(order)
         back[order] = rows
         down = down.take(back, axis=0)
-        out |= {"read": np.concatenate([flat.T @ down, f["seen"].T @ down]), "hidden": np.ones(len(down), down.dtype) @ down}
-        dx, dseen = ((down @ read.T).reshape(x.shape) for read in (w["read"][:WIDTH], w["read"][WIDTH:]))
+        dseen = (down @ w["read"][WIDTH:].T).reshape(x.shape)
+        dx = (share.transpose(0, 2, 1) @ dseen).reshape(-1, WIDTH)
         slope = dseen @ x.transpose(0, 2, 1)
-        dx += share.transpose(0, 2, 1) @ dseen
         slope -= np.einsum("bij,bij->bi", slope, share)[:, :, None]
         slope *= share
         out["distance"] = np.bincount(self.back.ravel(), slope.sum(axis=0).ravel(), self.window).astype(np.float32)
         dquery = (slope @ f["key"]).reshape(-1, HEAD) * np.float32(HEAD**-0.5)
         dkey = (slope.transpose(0, 2, 1) @ f["query"]).reshape(-1, HEAD)
-        out |= {"query": flat.T @ dquery, "key": flat.T @ dkey}
-        dx = dx.reshape(-1, WIDTH)
-        dx += dquery @ w["query"].T
-        dx += dkey @ w["key"].T
+        # All that multiplies inputs goes back in one product.
+        every = np.concatenate([down, dquery, dkey], axis=1)
+        dx += every @ np.concatenate([w["read"][:WIDTH], w["query"], w["key"]], axis=1).T
+        read, out["query"], out["key"] = np.split(flat.T @ every, [HIDDEN, HIDDEN + HEAD], axis=1)
+        out |= {"read": np.concatenate([read, f["seen"].T @ down]), "hidden": np.ones(len(down), down.dtype) @ down}
         columns = np.ascontiguousarray(dx.T, dtype=np.float64)
         out |= {"one": summed_by(one.ravel(), columns, BUCKETS + 1), "two": summed_by(two.ravel(), columns, BUCKETS + 1)}
         return float(-(np.log(np.maximum(p, 1e-30)) * weight).sum()), out
@@ -225,18 +225,33 @@ class Adam:
 
     def __init__(self, model: Attention, rate: float, steps: int):
         self.model, self.rate, self.steps, self.done = model, rate, max(1, steps), 0
-        self.mean = {k: np.zeros_like(v) for k, v in model.weights.items()}
-        self.square = {k: np.zeros_like(v) for k, v in model.weights.items()}
+        # The weights, and all that goes with them, lie in one array each, which are worked on at once and in place.
+        weights, ends = model.weights, np.cumsum([0, *(v.size for v in model.weights.values())])
+        self.weights = np.concatenate([v.ravel() for v in weights.values()])
+        self.slope, self.mean, self.square, self.spare = (np.zeros_like(self.weights) for _ in range(4))
+        self.slopes = {}
+        for (k, v), a, b in zip([*weights.items()], ends[:-1], ends[1:]):
+            weights[k], self.slopes[k] = self.weights[a:b].reshape(v.shape), self.slope[a:b].reshape(v.shape)
 
     def step(self, *windows: np.ndarray) -> float:
         loss, slopes = self.model.slopes(*windows)
+        for k, g in slopes.items():
+            self.slopes[k][...] = g
         self.done += 1
         rate = self.rate * (1 - 0.9 * min(1.0, self.done / self.steps)) * np.sqrt(1 - 0.99**self.done) / (1 - 0.9**self.done)
-        for k, g in slopes.items():
-            mean, square = self.mean[k], self.square[k]
-            mean += np.float32(0.1) * (g - mean)
-            square += np.float32(0.01) * (g * g - square)
-            self.model.weights[k] -= np.float32(rate) * mean / (np.sqrt(square) + np.float32(1e-8))
+        g, mean, square, spare = self.slope, self.mean, self.square, self.spare
+        np.subtract(g, mean, out=spare)
+        spare *= np.float32(0.1)
+        mean += spare
+        np.multiply(g, g, out=spare)
+        spare -= square
+        spare *= np.float32(0.01)
+        square += spare
+        np.sqrt(square, out=spare)
+        spare += np.float32(1e-8)
+        np.divide(mean, spare, out=spare)
+        spare *= np.float32(rate)
+        self.weights -= spare
         return loss
 
 

@@ -327,7 +327,8 @@ def corpus_counts(texts: DataFrame, vocabulary) -> DataFrame:
             yield rows(kind, there, nothing, (nothing, nothing), n[there])
 
     same = [F.max(c).alias(c) for c in ("size", "low", "high")]
-    return map_batches(texts.select("trained", "ids"), run, COUNTS).groupBy("kind", "word").agg(*same, F.sum("n").alias("n"))
+    # Tasks have merged their own; a partial aggregate before the shuffle would find next to nothing to merge.
+    return map_batches(texts.select("trained", "ids"), run, COUNTS).repartition("kind", "word").groupBy("kind", "word").agg(*same, F.sum("n").alias("n"))
 
 
 class Buckets:
