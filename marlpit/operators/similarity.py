@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import re
 import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -13,13 +16,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from ..sources.tables import shared_table, spread
+from ..sources.tables import few_at_once, give_back, shared_table, spread
 
 SHINGLE, LEAST_WORDS, THRESHOLD_PERCENT = 3, 40, 30
 #: A shingle of more classes than this is common.
 OFTEN = 64
 #: Runs in a block of classes; two blocks are what a task holds.
 BLOCK = 1 << 21
+#: Runs that a task looks at together for those that one class has.
+BUCKET = 1 << 21
+#: A run of more than one in so many classes of a block is counted by rows of bytes, not by lists.
+WIDE = 32
+#: Tasks that cells are dealt over at most.
+MOST_TASKS = 4000
+#: Accents that folding takes off.
+ACCENTS = re.compile("[\u0300-\u036f]+")
 
 
 @F.pandas_udf(StringType())
@@ -51,16 +62,19 @@ def fold_text(texts: pd.Series) -> pd.Series:
     """Compatibility forms without combining accents, lower-cased."""
 
     def one(text):
-        plain = "".join(c for c in unicodedata.normalize("NFKD", text) if not "̀" <= c <= "ͯ")
-        return unicodedata.normalize("NFKC", plain).lower()
+        return text.lower() if text.isascii() else unicodedata.normalize("NFKC", ACCENTS.sub("", unicodedata.normalize("NFKD", text))).lower()
 
     return texts.map(one, na_action="ignore")
 
 
+def spaced_words(text: Column, fold: bool = True) -> Column:
+    """The words of a text with a blank between them, and perhaps before and after them."""
+    return F.regexp_replace(fold_text(text) if fold else F.lower(text), r"[^\p{L}\p{N}]+", " ")
+
+
 def to_words(text: Column, fold: bool = True) -> Column:
     """The words of a text: runs of letters and digits."""
-    folded = fold_text(text) if fold else F.lower(text)
-    return F.filter(F.split(F.regexp_replace(folded, r"[^\p{L}\p{N}]+", " "), " "), lambda w: w != "")
+    return F.filter(F.split(spaced_words(text, fold), " "), lambda w: w != "")
 
 
 def shingles(words: Column, n: int = SHINGLE) -> Column:
@@ -81,6 +95,52 @@ def comparable(outputs: DataFrame, fold: bool = True) -> DataFrame:
     return worded.where(F.size("words") >= LEAST_WORDS).select("workspace_id", "id", F.size("words").alias("n_words"), shingles(F.col("words")).alias("shingles"))
 
 
+def mixed(x: np.ndarray) -> np.ndarray:
+    """64 bits mixed so that every bit hangs on all others; no two become one."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def hash_runs(texts: pa.Array, seeds: np.ndarray, least: int = LEAST_WORDS) -> list[np.ndarray | None]:
+    """The shingle set of each text of spaced words, as sorted hashes that hold the seed; None for fewer than `least` words."""
+    lists = pc.split_pattern(texts, " ")
+    said = lists.flatten()
+    real = pc.not_equal(said, "")
+    ends = np.concatenate([[0], np.cumsum(real.to_numpy(zero_copy_only=False))])[lists.offsets.to_numpy()]
+    coded = said.filter(real).dictionary_encode()
+    words = pd.util.hash_array(coded.dictionary.to_numpy(zero_copy_only=False).astype(object), categorize=False)[coded.indices.to_numpy()]
+    if len(words) < SHINGLE:
+        return [None] * len(texts)
+    runs = np.repeat(seeds.view(np.uint64), np.diff(ends))[: len(words) - SHINGLE + 1]
+    for k in range(SHINGLE):
+        runs = mixed(runs + words[k : len(words) - SHINGLE + 1 + k])
+    sets = [np.sort(runs[a : b - SHINGLE + 1].view(np.int64)) if b - a >= max(least, SHINGLE) else None for a, b in zip(ends, ends[1:])]
+    return [x if x is None else x[np.diff(x, prepend=~x[0]) != 0] for x in sets]
+
+
+def hashed_texts(outputs: DataFrame, fold: bool = True) -> DataFrame:
+    """(workspace_id, id, set_key, runs): comparable's texts with their shingles as hashes that hold the workspace, and a digest of these."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 1000):
+                part = batch.slice(at, 1000)
+                sets = hash_runs(part["text"], part["seed"].to_numpy())
+                long = [k for k, runs in enumerate(sets) if runs is not None]
+                if long:
+                    keys = pa.array([hashlib.sha256(sets[k]).hexdigest() for k in long], pa.string())
+                    runs = lists_of(np.concatenate([sets[k] for k in long]), np.cumsum([0, *(len(sets[k]) for k in long[:-1])]))
+                    yield pa.RecordBatch.from_arrays([part["workspace_id"].take(pa.array(long)), part["id"].take(pa.array(long)), keys, runs], names=["workspace_id", "id", "set_key", "runs"])
+        give_back()
+
+    few_at_once(outputs.sparkSession)
+    texts = spread(outputs.where("published").select("workspace_id", "id", "text"))
+    spaced = texts.select("workspace_id", "id", F.xxhash64("workspace_id").alias("seed"), spaced_words(F.coalesce("text", F.lit("")), fold).alias("text"))
+    kinds = [outputs.schema[c].dataType.simpleString() for c in ("workspace_id", "id")]
+    return spaced.mapInArrow(run, f"workspace_id {kinds[0]}, id {kinds[1]}, set_key string, runs array<long>")
+
+
 def text_classes(sets: DataFrame) -> DataFrame:
     """sets with class_id: the smallest id of the workspace with the same shingle set."""
     keyed = sets.withColumn("set_key", F.sha2(F.array_join(F.array_sort("shingles"), "\n").cast("binary"), 256))
@@ -143,13 +203,71 @@ def pairs_from(docs: DataFrame, patterns: DataFrame, close: DataFrame, percent:
 
 
 def hashed_classes(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(classes (workspace_id, id, class_id), reps (workspace_id, id, n, runs)): classes as in text_classes, and each class's shingles as hashes that hold the workspace."""
-    hashed = F.array_distinct(F.transform("shingles", lambda s: F.xxhash64("workspace_id", s)))
-    keyed = shared_table(sets.select("workspace_id", "id", F.sha2(F.array_join(F.array_sort("shingles"), "\n").cast("binary"), 256).alias("set_key"), hashed.alias("runs")))
+    """(classes (workspace_id, id, class_id), reps (workspace_id, id, n, runs)): classes as in text_classes, and each class's shingles as hashes that hold the workspace.
+
+    sets are comparable's or, which takes a tenth of the time, hashed_texts'.
+    """
+    if "runs" not in sets.columns:
+        hashed = F.array_distinct(F.transform("shingles", lambda s: F.xxhash64("workspace_id", s)))
+        sets = sets.select("workspace_id", "id", F.sha2(F.array_join(F.array_sort("shingles"), "\n").cast("binary"), 256).alias("set_key"), hashed.alias("runs"))
+    keyed = shared_table(sets.withColumn("n", F.size("runs")))
     first = keyed.groupBy("workspace_id", "set_key").agg(F.min("id").alias("class_id"))
     classes = shared_table(keyed.select("workspace_id", "id", "set_key").join(first, ["workspace_id", "set_key"]).drop("set_key"))
-    own = classes.where("id = class_id").select("workspace_id", "id")
-    return classes, keyed.join(own, ["workspace_id", "id"], "left_semi").select("workspace_id", "id", F.size("runs").alias("n"), "runs")
+    # Written first, so that few copies are sent to where the runs are, and not the runs to them.
+    copies = shared_table(classes.where("id <> class_id").select("workspace_id", "id"))
+    return classes, keyed.join(copies, ["workspace_id", "id"], "left_anti").select("workspace_id", "id", "n", "runs")
+
+
+def shared_runs(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """(workspace_id, id, n, runs) of docs, a row or several each, with numbers of the runs that more than one of them has.
+
+    Runs are dealt by the range of their hash over buckets of about `bucket`, what a document has of one in a row. A bucket is read in one sort.
+    """
+    buckets = max(1, -(-(docs.agg(F.sum("n")).first()[0] or 0) // bucket))
+    kinds = [docs.schema[c].dataType.simpleString() for c in ("workspace_id", "id")]
+    schema = f"workspace_id {kinds[0]}, id {kinds[1]}, n int, runs array<long>"
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 1000):
+                part = batch.slice(at, 1000)
+                rows, runs = listed(part["runs"])
+                places = rows * buckets + ((runs.view(np.uint64) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+                order = np.argsort(places, kind="stable")
+                begins = np.flatnonzero(np.diff(places[order], prepend=-1))
+                if len(begins):
+                    first = order[begins]
+                    own = part.select(["workspace_id", "id", "n"]).take(pa.array(rows[first]))
+                    numbers = pa.array((places[first] % buckets).astype(np.int32))
+                    yield pa.RecordBatch.from_arrays([numbers, *own.columns, lists_of(runs[order], begins)], names=["bucket", "workspace_id", "id", "n", "runs"])
+        give_back()
+
+    def keep(dealt: pa.Table) -> pa.Table:
+        rows, runs = listed(dealt["runs"].combine_chunks())
+        order = np.argsort(runs)
+        same = runs[order[1:]] == runs[order[:-1]]
+        shared, numbers = np.zeros(len(runs), bool), np.empty(len(runs), np.int64)
+        shared[order[1:][same]] = shared[order[:-1][same]] = True
+        # Shared runs are numbered from 0 in each bucket, and no two buckets give the same numbers.
+        starts = np.diff(runs[order], prepend=~runs[order[:1]]) != 0
+        numbers[order] = (np.cumsum(starts & shared[order]) - 1) * buckets + dealt["bucket"][0].as_py()
+        rows, numbers = rows[shared], numbers[shared]
+        begins = np.flatnonzero(np.diff(rows, prepend=-1))
+        give_back()
+        return dealt.select(["workspace_id", "id", "n"]).take(pa.array(rows[begins])).append_column("runs", lists_of(numbers, begins))
+
+    few_at_once(docs.sparkSession)
+    dealt = docs.select("workspace_id", "id", "n", "runs").mapInArrow(deal, f"bucket int, {schema}")
+    return dealt.repartition(min(2 * buckets, MOST_TASKS), "bucket").groupBy("bucket").applyInArrow(keep, schema)
+
+
+def listed(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, elements) of lists."""
+    return np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)), lists.flatten().to_numpy()
+
+
+def lists_of(elements: np.ndarray, begins: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.append(begins, len(elements)).astype(np.int32)), pa.array(elements))
 
 
 def overlaps(docs: DataFrame, percent: int, nearest: bool = False, block: int = BLOCK) -> DataFrame:
@@ -159,13 +277,13 @@ def overlaps(docs: DataFrame, percent: int, nearest: bool = False, block: int =
     are a cell, counted by a task of its own in memory. So no pair of classes is written that is not asked for: what
     is shuffled are the runs, once for each block, whatever number of classes a run is in.
     """
-    each = docs.select("workspace_id", "id", "n", F.explode("runs").alias("run"))
-    shared = each.withColumn("many", F.count("*").over(Window.partitionBy("run"))).where("many > 1")
-    kept = shared.groupBy("workspace_id", "id", "n").agg(F.collect_list("run").alias("runs"))
+    kept = shared_runs(docs).groupBy("workspace_id", "id", "n").agg(F.flatten(F.collect_list("runs")).alias("runs"))
     if not nearest:
         # Two classes share no more than all that this one shares, and together have no fewer than its own.
         kept = kept.where(100 * F.size("runs") >= percent * F.col("n"))
     kept = shared_table(kept)
+    if (kept.agg(F.max(F.array_max("runs"))).first()[0] or 0) < 1 << 31:
+        kept = kept.withColumn("runs", F.col("runs").cast("array<int>"))
     total = F.sum(F.size("runs"))
     blocks = kept.groupBy("workspace_id").agg(F.greatest(F.ceil(total / block), F.least(F.lit(3), F.ceil(total * 8 / block))).cast("int").alias("blocks"))
     placed = kept.join(blocks, "workspace_id").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
@@ -176,62 +294,175 @@ def overlaps(docs: DataFrame, percent: int, nearest: bool = False, block: int =
 
     def count(key: tuple, cell: pa.Table) -> pa.Table:
         found = cell_pairs(cell, key[1].as_py() == key[2].as_py(), percent, nearest)
+        give_back()
         ids = cell["id"].combine_chunks()
         a, b = ids.take(pa.array(found[0])), ids.take(pa.array(found[1]))
         ordered = pc.less(a, b)
         columns = [pa.array([key[0].as_py()] * len(a), cell.schema.field("workspace_id").type), pc.if_else(ordered, a, b), pc.if_else(ordered, b, a), pa.array(found[2], pa.int64()), pa.array(found[3], pa.int64())]
         return pa.table(columns, names=["workspace_id", "a", "b", "both", "either"])
 
-    return cells.groupBy("workspace_id", "low", "high").applyInArrow(count, f"workspace_id {kinds[0]}, a {kinds[1]}, b {kinds[1]}, both long, either long")
+    # As many tasks as there are cells, so that Spark does not merge small shuffles of much work.
+    tasks = blocks.agg(F.sum(F.expr("blocks * (blocks + 1) div 2"))).first()[0] or 1
+    dealt = cells.repartition(min(2 * tasks, MOST_TASKS), "workspace_id", "low", "high")
+    return dealt.groupBy("workspace_id", "low", "high").applyInArrow(count, f"workspace_id {kinds[0]}, a {kinds[1]}, b {kinds[1]}, both long, either long")
 
 
 def cell_pairs(cell: pa.Table, diagonal: bool, percent: int, nearest: bool, most: int = 1 << 20) -> list[np.ndarray]:
     """Rows x and y of a cell, both and either of the pairs that overlaps asks for; most: posting entries gathered at once."""
     lists = cell["runs"].combine_chunks()
     sizes, n = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64), cell["n"].to_numpy().astype(np.int64)
-    rows, runs = np.repeat(np.arange(len(n)), sizes), np.unique(lists.flatten().to_numpy(), return_inverse=True)[1]
+    rows, runs = np.repeat(np.arange(len(n), dtype=np.int32), sizes), lists.flatten().dictionary_encode().indices.to_numpy()
     left = np.ones(len(n), bool) if diagonal else cell["left"].to_numpy(zero_copy_only=False)
+    out = (nearest_pairs if nearest else close_pairs)(rows, runs, n, left, diagonal, percent, most)
+    return [np.concatenate(c) if out else np.empty(0, np.int64) for c in (zip(*out) if out else [()] * 4)]
+
+
+def list_postings(rows: np.ndarray, runs: np.ndarray, kinds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows by run, how many a run has, where they end)."""
+    many = np.bincount(runs, minlength=kinds)
+    return rows[np.argsort(runs, kind="stable")], many, np.cumsum(many)
+
+
+def gather(postings: tuple[np.ndarray, np.ndarray, np.ndarray], of: np.ndarray) -> np.ndarray:
+    """The rows of the runs `of`, one run after the other."""
+    rows, many, ends = postings
+    width = many[of]
+    return rows[np.repeat(ends[of] - np.cumsum(width), width) + np.arange(width.sum())]
+
+
+def cuts(widths: np.ndarray, most: int) -> list[int]:
+    """Where to cut widths so that each piece sums up to `most`, or is one."""
+    reach, at = np.cumsum(widths), [0]
+    if not len(widths) or reach[-1] <= most:
+        return [0, len(widths)] if len(widths) else at
+    while at[-1] < len(widths):
+        before = reach[at[-1] - 1] if at[-1] else 0
+        at.append(max(at[-1] + 1, int(np.searchsorted(reach, before + most, "right"))))
+    return at
+
+
+def close_pairs(rows: np.ndarray, runs: np.ndarray, n: np.ndarray, left: np.ndarray, diagonal: bool, percent: int, most: int) -> list[tuple]:
+    """cell_pairs at or above the threshold.
+
+    Such a pair shares a least number of runs, so with the runs of each row in one order, the rare ones first, two rows
+    share one before the last `least` - 1 of either. Only these are looked up; what they and the rest could come to
+    at most tells which pairs are counted in full.
+    """
+    least, kinds = -(-percent * n // 100), int(runs.max(initial=-1)) + 1
+    while True:
+        # Runs of one side only, and rows left with too few others, are nothing to any pair.
+        of = left[rows]
+        lefts, rights = np.bincount(runs[of], minlength=kinds), np.bincount(runs if diagonal else runs[~of], minlength=kinds)
+        live = (rights > 1)[runs] if diagonal else ((lefts > 0) & (rights > 0))[runs]
+        size = np.bincount(rows[live], minlength=len(n))
+        live &= (size >= np.maximum(least, 1))[rows]
+        if live.all():
+            break
+        rows, runs = rows[live], runs[live]
+    if not len(rows):
+        return []
+    rank = np.empty(kinds, np.int32)
+    rank[np.argsort(lefts + rights, kind="stable")] = np.arange(kinds)
+    runs = rank[runs]
+    order = np.lexsort((runs, rows))
+    rows, runs = rows[order], runs[order]
+    begins = np.cumsum(size) - size
+    first = size - np.maximum(least, 1) + 1
+    early = np.arange(len(rows)) - begins[rows] < first[rows]
+    # What a row may share after its early runs, and the rank of the last of these.
+    rest, last = size - first, np.where(size > 0, runs[np.minimum(begins + np.maximum(first, 1) - 1, len(runs) - 1)], -1)
+    right = early if diagonal else early & ~left[rows]
+    postings = list_postings(rows[right], runs[right], kinds)
+    looked = np.flatnonzero(early & left[rows])
+    looked = looked[postings[1][runs[looked]] > 0]
+    out, kept, counts, marked = [], np.empty(0, np.int64), np.empty(0, np.int64), np.zeros(kinds, bool)
+    at = cuts(postings[1][runs[looked]], most)
+    for begin, end in zip(at, at[1:]):
+        part = looked[begin:end]
+        met = np.repeat(rows[part].astype(np.int64), postings[1][runs[part]]) * len(n) + gather(postings, runs[part])
+        # What the row cut in two had before is counted in.
+        met, where = np.unique(np.concatenate([kept, met]), return_inverse=True)
+        count = np.bincount(where, np.concatenate([counts, np.ones(len(where) - len(kept), np.int64)]), len(met)).astype(np.int64)
+        x, y = met // len(n), met % len(n)
+        open_row = x == (rows[looked[end]] if end < len(looked) else -1)
+        kept, counts = met[open_row], count[open_row]
+        could = count + np.where(last[x] < last[y], rest[x], np.where(last[x] > last[y], rest[y], np.minimum(rest[x], rest[y])))
+        asked = ~open_row & ((100 + percent) * could >= percent * (n[x] + n[y]))
+        if diagonal:
+            asked &= y > x
+        x, y = x[asked], y[asked]
+        for k, to in zip(turns := np.flatnonzero(np.diff(x, prepend=-1)), [*turns[1:], len(x)]):
+            own, others = x[k], y[k:to]
+            for a in range(0, len(others), 1000):
+                some = others[a : a + 1000]
+                mine = runs[begins[own] : begins[own] + size[own]]
+                marked[mine] = True
+                places = np.repeat(begins[some] - np.cumsum(size[some]) + size[some], size[some]) + np.arange(size[some].sum())
+                both = np.add.reduceat(marked[runs[places]], np.cumsum(size[some]) - size[some], dtype=np.int64)
+                marked[mine] = False
+                either = n[own] + n[some] - both
+                close = 100 * both >= percent * either
+                out.append((np.full(int(close.sum()), own), some[close], both[close], either[close]))
+    return out
+
+
+def nearest_pairs(rows: np.ndarray, runs: np.ndarray, n: np.ndarray, left: np.ndarray, diagonal: bool, percent: int, most: int) -> list[tuple]:
+    """cell_pairs at or above the threshold, and each row's most similar one: every left row is counted against all right ones.
+
+    What a row shares of wide runs (lines that many have) is a sum of rows of bytes, and rows that have the same wide runs share that sum.
+    """
+    sizes, kinds = np.bincount(rows, minlength=len(n)), int(runs.max(initial=-1)) + 1
+    begins = np.cumsum(sizes) - sizes
     lefts, rights = np.flatnonzero(left), np.arange(len(n)) if diagonal else np.flatnonzero(~left)
-    # Postings: the right rows of each run.
     of = np.ones(len(rows), bool) if diagonal else ~left[rows]
-    order = np.argsort(runs[of], kind="stable")
-    postings = np.searchsorted(rights, rows[of])[order]
-    ends = np.cumsum(np.bincount(runs[of], minlength=int(runs.max(initial=-1)) + 1))
-    many, begins = np.diff(ends, prepend=0), np.cumsum(sizes) - sizes
-    best, out = np.zeros(len(rights)), []
-    best_of = np.zeros((3, len(rights)), np.int64)
-    for x in lefts:
+    places, whose = np.searchsorted(rights, rows[of]), runs[of]
+    many = np.bincount(whose, minlength=kinds)
+    wide = many * WIDE > len(rights)
+    postings = list_postings(places[~wide[whose]], whose[~wide[whose]], kinds)
+    number = np.cumsum(wide) - 1
+    table = np.zeros((int(wide.sum()), len(rights)), np.uint8)
+    table[number[whose[wide[whose]]], places[wide[whose]]] = 1
+    # Rows of the same wide runs follow one another.
+    pattern, of = np.zeros(len(n), np.uint64), wide[runs]
+    np.add.at(pattern, rows[of], mixed(runs[of].astype(np.uint64)))
+    sized, out = n[rights], []
+    best, best_of = np.zeros(len(rights)), np.zeros((3, len(rights)), np.int64)
+    before, common = None, None
+    for x in lefts[np.argsort(pattern[lefts], kind="stable")]:
         mine = runs[begins[x] : begins[x] + sizes[x]]
-        mine = mine[many[mine] > 0]
-        both, at = np.zeros(len(rights), np.int64), 0
-        reach = np.cumsum(many[mine])
-        while at < len(mine):
-            to = max(at + 1, int(np.searchsorted(reach, (reach[at - 1] if at else 0) + most, "right")))
-            part, width = mine[at:to], many[mine[at:to]]
-            skip = np.repeat(ends[part] - np.cumsum(width), width)
-            both += np.bincount(postings[skip + np.arange(len(skip))], minlength=len(rights))
-            at = to
+        shown = np.sort(number[mine[wide[mine]]])
+        if before is None or not np.array_equal(shown, before):
+            # Sums of 255 bytes still fit a byte.
+            before, common = shown, sum((table[shown[k : k + 255]].sum(axis=0, dtype=np.uint8).astype(np.int64) for k in range(0, len(shown), 255)), np.zeros(len(rights), np.int64))
+        mine = mine[postings[1][mine] > 0]
+        if not len(mine) and not len(shown):
+            continue
+        both, at = common, cuts(postings[1][mine], most)
+        for begin, end in zip(at, at[1:]):
+            both = both + np.bincount(gather(postings, mine[begin:end]), minlength=len(rights))
         if diagonal:
+            both = both.copy() if both is common else both
             both[x] = 0
-        met = np.flatnonzero(both)
-        shared, y = both[met], rights[met]
-        either = n[x] + n[y] - shared
-        close = 100 * shared >= percent * either
-        asked = close & (y > x) if diagonal else close
-        if nearest and len(met):
-            alike = shared / either
-            top = int(np.argmax(alike))
-            asked[top] |= not close[top]
-            if not diagonal:
-                better = alike > best[met]
-                best[met[better]] = alike[better]
-                best_of[0, met[better]], best_of[1, met[better]], best_of[2, met[better]] = x, shared[better], either[better]
-        out.append((np.full(int(asked.sum()), x), y[asked], shared[asked], either[asked]))
-    if nearest and not diagonal:
+        either = n[x] + sized - both
+        alike = both / either
+        top = int(np.argmax(alike))
+        if not both[top]:
+            continue
+        if 100 * both[top] >= percent * either[top]:
+            asked = np.flatnonzero(100 * both >= percent * either)
+            asked = asked[rights[asked] > x] if diagonal else asked
+        else:
+            asked = np.array([top])
+        if not diagonal:
+            better = np.flatnonzero(alike > best)
+            best[better] = alike[better]
+            best_of[0, better], best_of[1, better], best_of[2, better] = x, both[better], either[better]
+        out.append((np.full(len(asked), x), rights[asked], both[asked], either[asked]))
+    if not diagonal:
         # Those at or above the threshold are out already.
         some = (best > 0) & (100 * best_of[1] < percent * best_of[2])
         out.append((best_of[0][some], rights[some], best_of[1][some], best_of[2][some]))
-    return [np.concatenate(c) if out else np.empty(0, np.int64) for c in (zip(*out) if out else [()] * 4)]
+    return out
 
 
 def above(found: DataFrame, percent: int) -> DataFrame:
@@ -278,7 +509,7 @@ def duplication_verdicts(outputs: DataFrame, percent: int = THRESHOLD_PERCENT, f
     similarity), the most similar first: a class is all outputs of equal sets, its own with similarity 1 if it has
     others; text_classes has the members.
     """
-    classes, reps = hashed_classes(comparable(outputs, fold))
+    classes, reps = hashed_classes(hashed_texts(outputs, fold))
     sizes = classes.groupBy("workspace_id", "class_id").agg(F.count("*").alias("copies"))
     found = shared_table(overlaps(reps, percent, nearest))
     pairs = above(found, percent)
